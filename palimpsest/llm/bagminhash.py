@@ -16,6 +16,12 @@ WIDTH, SIMILARITY = 5, 0.8
 #: 24 bands of 6 registers: a pair of similarity 0.8 shares a band with probability 0.9993.
 BANDS, ROWS = 24, 6
 REGISTERS = BANDS * ROWS
+#: Members of a bucket that one not linked with the bucket's lead is verified against first.
+PIVOTS = 4
+#: Buckets of so many members are paired by a join; larger ones are compared in blocks of so many by their sketches.
+SMALL_BUCKET, BLOCK = 16, 512
+#: Classes of shingles that a sketch counts.
+CLASSES = 256
 _G = np.uint64(0x9E3779B97F4A7C15)
 _LEFT, _RIGHT = np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
 
@@ -148,6 +154,48 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return two.where(near("a", "ta", "tb")).select("a", "b")
 
 
+def sketch(b: tuple[np.ndarray, np.ndarray]) -> bytes:
+    """Number of shingles in each of ``CLASSES`` classes, by hash."""
+    counts = np.bincount((b[0] % np.uint64(CLASSES)).astype(np.int64), weights=b[1], minlength=CLASSES)
+    return np.minimum(counts, 65535).astype(np.uint16).tobytes()
+
+
+def _possible(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of members(band, h, rep, n, root, c) of one bucket and different roots that may overlap enough.
+
+    Two bags share at most the sum of the smaller counts of each class, so no pair is lost. A bucket of c members is
+    cut into blocks by hash and each pair of blocks is one group; only the pairs that pass leave it.
+    """
+    small_batches(texts.sparkSession)
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"doc": batch["doc"], "sketch": [sketch(bag(word_hashes(t))) for t in batch["text"]]})
+
+    ids = members.select("rep").distinct()
+    sketches = texts.join(ids, texts["doc"] == ids["rep"], "left_semi").select("doc", "text").mapInPandas(draw, "doc bigint, sketch binary")
+    own, blocks = F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"), F.ceil(F.col("c") / BLOCK).cast("int")
+    cells = members.withColumn("nb", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    cells = cells.join(sketches, F.col("rep") == F.col("doc")).select(
+        "band", "h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "root", "sketch")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        i, j = group["i"].iloc[0], group["j"].iloc[0]
+        x, y = group[group["own"] == i], group[group["own"] == j]
+        counts = [np.frombuffer(b"".join(g["sketch"]), np.uint16).reshape(-1, CLASSES) for g in (x, y)]
+        xr, yr, xn, yn, xd, yd = (g[c].to_numpy() for c in ("root", "n", "rep") for g in (x, y))
+        out = []
+        for k in range(len(x)):
+            most = np.minimum(counts[0][k], counts[1]).sum(1, dtype=np.int64)
+            fits = (most * (1 + similarity) >= similarity * (xn[k] + yn) - 1e-6) | (np.maximum(xn[k], yn) > 65535)
+            fits &= (xr[k] != yr) & (np.minimum(xn[k], yn) >= similarity * np.maximum(xn[k], yn))
+            fits &= (xd[k] < yd) | (i != j)
+            out += [(min(xd[k], d), max(xd[k], d)) for d in yd[fits]]
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return cells.groupBy("band", "h", "i", "j").applyInPandas(compare, "a bigint, b bigint")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of ``docs``: (doc_id, class_id, kept).
 
@@ -157,9 +205,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     number of copies costs one representative.
 
     Representatives that share a band are candidates. In a band's bucket each member is verified against the
-    bucket's least document; then those that are not in its component yet are verified against every member of
-    another component. Members of one component need no further check, so no bucket is expanded into all pairs and
-    no link between components is lost.
+    bucket's lead, the one that meets most others; those not linked with it are verified against ``PIVOTS`` further
+    ones. Where a bucket still holds several components, members of different ones are compared, in large buckets by
+    an upper bound of their overlap first (``_possible``), and what is left is verified. Members of one component need
+    no further check, so no bucket is expanded into all pairs and no link between components is lost.
 
     Null, empty and blank texts have no shingles, link with nothing and are kept. Null doc_ids have a null class and
     are kept. Rows that repeat a doc_id count as one document. An empty table gives no rows; extra columns are ignored.
@@ -168,21 +217,35 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     reps = signed.where("n > 0 and doc is not null").groupBy("same").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     reps = materialize(reps)
     slots = reps.select("rep", "n", F.posexplode("bands").alias("band", "h"))
-    leads = slots.groupBy("band", "h").agg(F.min(F.struct("rep", "n")).alias("lead"), F.count("*").alias("c")).where("c > 1")
+    sizes = slots.groupBy("band", "h").agg(F.count("*").alias("c")).where("c > 1")
+    shared = materialize(slots.join(sizes, ["band", "h"]))
+    # a document that meets many others is close to most of them: the best one of each hash class is a pivot of its bucket
+    score = shared.groupBy("rep").agg(F.sum("c").alias("score"))
+    top = F.max(F.struct("score", (-F.col("rep")).alias("m"), "n"))
+    pivots = shared.join(score, "rep").groupBy("band", "h", F.pmod(F.xxhash64("rep"), F.lit(PIVOTS)).alias("s")).agg(top.alias("top"))
+    pivots = materialize(pivots)
+    leads = pivots.groupBy("band", "h").agg(F.max("top").alias("top")).select("band", "h", (-F.col("top.m")).alias("lead"), F.col("top.n").alias("lead_n"))
     close = lambda m, n: F.least(m, n) >= F.lit(similarity) * F.greatest(m, n)
-    stars = materialize(slots.join(leads, ["band", "h"]).select("band", "h", "rep", "n", F.col("lead.rep").alias("lead"), F.col("lead.n").alias("lead_n")))
+    stars = materialize(shared.join(leads, ["band", "h"]).select("band", "h", "rep", "n", "lead", "lead_n"))
     pairs = stars.where((F.col("rep") != F.col("lead")) & close(F.col("n"), F.col("lead_n"))).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     ids = stars.select(F.col("rep").alias("id")).distinct()
     texts = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text")).where("text is not null")
     texts = materialize(texts.join(ids, texts["doc"] == ids["id"], "left_semi").dropDuplicates(["doc"]))
     links = materialize(_verified(pairs, texts, similarity))
+    apart = stars.where("rep <> lead").join(links.select(F.col("a").alias("lead"), F.col("b").alias("rep")), ["lead", "rep"], "left_anti")
+    others = pivots.select("band", "h", (-F.col("top.m")).alias("pivot"), F.col("top.n").alias("pivot_n"))
+    pairs = apart.join(others, ["band", "h"]).where("pivot <> rep and pivot <> lead").where(close(F.col("n"), F.col("pivot_n")))
+    pairs = pairs.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+    links = materialize(links.unionByName(_verified(pairs, texts, similarity)))
     roots = materialize(components(links))
     of = lambda c, out: roots.select(F.col("node").alias(c), F.col("root").alias(out))
-    held = stars.join(of("rep", "root"), "rep", "left").join(of("lead", "lead_root"), "lead", "left")
-    held = held.withColumn("root", F.coalesce("root", "rep")).withColumn("lead_root", F.coalesce("lead_root", "lead"))
-    out_of = held.where("root <> lead_root").select("band", "h", F.col("rep").alias("u"), F.col("n").alias("un"), F.col("root").alias("ur"))
-    more = held.join(out_of, ["band", "h"]).where("root <> ur and rep <> lead").where(close(F.col("n"), F.col("un")))
-    more = more.select(F.least("rep", "u").alias("a"), F.greatest("rep", "u").alias("b")).distinct()
+    held = materialize(stars.join(of("rep", "root"), "rep", "left").select("band", "h", "rep", "n", F.coalesce("root", "rep").alias("root")))
+    mixed = held.groupBy("band", "h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo <> hi")
+    held = materialize(held.join(mixed.select("band", "h", "c"), ["band", "h"]))
+    few = held.where(F.col("c") <= SMALL_BUCKET).select("band", "h", "rep", "n", "root")
+    two = few.join(few.toDF("band", "h", "u", "un", "ur"), ["band", "h"]).where("root <> ur and rep < u").where(close(F.col("n"), F.col("un")))
+    more = two.select(F.col("rep").alias("a"), F.col("u").alias("b")).unionByName(_possible(held.where(F.col("c") > SMALL_BUCKET), texts, similarity))
+    more = more.distinct()
     more = materialize(_verified(more, texts, similarity))
     roots = materialize(components(links.unionByName(more))) if more.count() else roots
     named = reps.join(roots, reps["rep"] == roots["node"], "left").select("same", F.coalesce("root", "rep").alias("class_id"))
