@@ -218,7 +218,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     reps = materialize(reps)
     slots = reps.select("rep", "n", F.posexplode("bands").alias("band", "h"))
     sizes = slots.groupBy("band", "h").agg(F.count("*").alias("c")).where("c > 1")
-    shared = materialize(slots.join(sizes, ["band", "h"]))
+    shared = materialize(slots.join(sizes.hint("merge"), ["band", "h"]))  # sorted at every size: a hot bucket can be split
     # a document that meets many others is close to most of them: the best one of each hash class is a pivot of its bucket
     score = shared.groupBy("rep").agg(F.sum("c").alias("score"))
     top = F.max(F.struct("score", (-F.col("rep")).alias("m"), "n"))
