@@ -89,7 +89,7 @@ def sink_ledger(t: Tables) -> DataFrame:
     return st.ledger_rows(t["ledger"], t["workspaces"], turns).select("turn_id", "seq", "owner_id", "system")
 
 
-@query("SELECT item_id, count(*) AS access_count, epoch(max("at"))::BIGINT AS last_at, sum(cited::BIGINT)::BIGINT AS cited_count FROM access GROUP BY 1")
+@query("SELECT item_id, count(*) AS access_count, floor(epoch(max(\"at\")))::BIGINT AS last_at, sum(cited::BIGINT)::BIGINT AS cited_count FROM access GROUP BY 1")
 def sink_access(t: Tables) -> DataFrame:
     return st.access_counters(t["access"]).select("item_id", "access_count", F.unix_timestamp("last_accessed_at").alias("last_at"), "cited_count")
 

@@ -18,11 +18,9 @@ from palimpsest.sources.storage import shared_dir
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """The event table as a stream; its name may be a file or a folder."""
-    folder, _, name = path.rpartition("/")
-    schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
-    single = spark.read.format("binaryFile").option("pathGlobFilter", name).load(folder).select("path").limit(1).collect()
-    return stream.option("pathGlobFilter", name).load(folder) if single else stream.load(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("recursiveFileLookup", "true")
+    events = stream.parquet(f"{path.rstrip('/')}*")
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def run_available(stream: DataFrame, mode: str = "append", batch: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
