@@ -282,18 +282,18 @@ def d_reminder(t: Tables) -> DataFrame:
 
 # ---------------------------------------------------------------- accounting and evaluation
 
-_COST = "round_even((input_tokens * 0.25::DECIMAL(10,4) + output_tokens * 1.25::DECIMAL(10,4))::DOUBLE / 1000000, 8)"
+_COST = "sum(input_tokens * 25 + output_tokens * 125)::BIGINT AS cost_e8"  # hundred-millionths
 
 
-@query(f"SELECT w.owner_id, w.tier, round(sum({_COST}), 6) AS cost, sum(input_tokens + cached_tokens + output_tokens)::BIGINT AS tokens FROM ledger l JOIN workspaces w ON l.workspace_id = w.workspace_id WHERE NOT l.system GROUP BY 1, 2")
+@query(f"SELECT w.owner_id, w.tier, {_COST}, sum(input_tokens + cached_tokens + output_tokens)::BIGINT AS tokens FROM ledger l JOIN workspaces w ON l.workspace_id = w.workspace_id WHERE NOT l.system GROUP BY 1, 2")
 def a_spent(t: Tables) -> DataFrame:
-    return me.spend(t["ledger"], t["workspaces"]).withColumn("cost", F.round(F.col("cost").cast("double"), 6))
+    return me.spend(t["ledger"], t["workspaces"]).select("owner_id", "tier", (F.col("cost") * 100_000_000).cast("bigint").alias("cost_e8"), "tokens")
 
 
-@query(f"SELECT provider, round(sum({_COST}), 6) AS cost FROM ledger WHERE \"at\" >= TIMESTAMP '1998-01-01' GROUP BY 1")
+@query(f"SELECT provider, {_COST} FROM ledger WHERE \"at\" >= TIMESTAMP '1998-01-01' GROUP BY 1")
 def a_global_spend(t: Tables) -> DataFrame:
     rows = t["ledger"].where(F.col("at") >= F.lit(datetime(1998, 1, 1)))
-    return rows.groupBy("provider").agg(F.round(F.sum(me.cost(F.col("input_tokens"), F.col("output_tokens"), 0.25, 1.25)).cast("double"), 6).alias("cost"))
+    return rows.groupBy("provider").agg((F.sum(me.cost(F.col("input_tokens"), F.col("output_tokens"), 0.25, 1.25)) * 100_000_000).cast("bigint").alias("cost_e8"))
 
 
 @query("SELECT w.tier, sum(input_tokens + output_tokens)::BIGINT AS used, greatest(0, 40000000 - sum(input_tokens + output_tokens))::BIGINT AS remaining FROM ledger l JOIN workspaces w ON l.workspace_id = w.workspace_id GROUP BY 1")
