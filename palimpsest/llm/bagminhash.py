@@ -230,7 +230,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     pairs = stars.where((F.col("rep") != F.col("lead")) & close(F.col("n"), F.col("lead_n"))).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     ids = stars.select(F.col("rep").alias("id")).distinct()
     texts = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text")).where("text is not null")
-    texts = materialize(texts.join(ids, texts["doc"] == ids["id"], "left_semi").dropDuplicates(["doc"]))
+    texts = materialize(texts.join(ids.hint("merge"), texts["doc"] == ids["id"], "left_semi").dropDuplicates(["doc"]))
     links = materialize(_verified(pairs, texts, similarity))
     apart = stars.where("rep <> lead").join(links.select(F.col("a").alias("lead"), F.col("b").alias("rep")), ["lead", "rep"], "left_anti")
     others = pivots.select("band", "h", (-F.col("top.m")).alias("pivot"), F.col("top.n").alias("pivot_n"))
