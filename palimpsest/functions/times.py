@@ -225,24 +225,3 @@ def routine_rule(text: Column) -> Column:
     return F.when(t.rlike(r"\bweekdays?\b"), "FREQ=WEEKLY;BYDAY=MO,TU,WE,TH,FR").when(t.rlike(r"\b(every|each) weekend\b|\bweekends\b"), "FREQ=WEEKLY;BYDAY=SA,SU").when(
         repeats & (F.size(order) > 0), F.concat(F.lit("FREQ=WEEKLY"), every, F.lit(";BYDAY="), F.array_join(order, ","))).when(
         repeats & freq.isNotNull(), F.concat(F.lit("FREQ="), freq, every))
-
-
-def relative_words(at: Column, now: Column, timezone: str = "UTC") -> Column:
-    """``today``, ``3 days ago``, ``in 2 weeks``: distance in local days."""
-    n = F.datediff(local_day(at, timezone), local_day(now, timezone))
-    size = F.abs(n)
-    count, unit = F.lit(None).cast("int"), F.lit(None).cast("string")
-    for days, name, low in ((1, "day", 0), (7, "week", 14), (30, "month", 60), (365, "year", 730)):
-        count = F.when(size >= low, F.floor(size / days).cast("int")).otherwise(count)
-        unit = F.when(size >= low, name).otherwise(unit)
-    words = F.concat(count.cast("string"), F.lit(" "), unit, F.when(count == 1, "").otherwise("s"))
-    return F.when(n == 0, "today").when(n == 1, "tomorrow").when(n == -1, "yesterday").when(n > 0, F.concat(F.lit("in "), words)).otherwise(F.concat(words, F.lit(" ago")))
-
-
-def rrule_words(rule: Column) -> Column:
-    """A rule in words: ``every 2 weeks on MO, TH``."""
-    every = F.coalesce(_part(rule, "INTERVAL").cast("int"), F.lit(1))
-    unit = F.element_at(F.create_map(*[F.lit(x) for kv in {"DAILY": "day", "WEEKLY": "week", "MONTHLY": "month", "YEARLY": "year"}.items() for x in kv]), _part(rule, "FREQ"))
-    head = F.when(every == 1, F.concat(F.lit("every "), unit)).otherwise(F.concat(F.lit("every "), every.cast("string"), F.lit(" "), unit, F.lit("s")))
-    byday = _part(rule, "BYDAY")
-    return F.concat(head, F.when(byday.isNotNull(), F.concat(F.lit(" on "), F.replace(byday, F.lit(","), F.lit(", ")))).otherwise(""))

@@ -24,6 +24,22 @@ def cost(input_tokens: Column, output_tokens: Column, price_in: float, price_out
     return F.bround((total / 1_000_000).cast("decimal(38,12)"), 8)
 
 
+def call_cost(tokens: tuple[Column, Column, Column], prices: tuple[float, float, float]) -> Column:
+    """Price of (input, cached, output) tokens at prices per million, to 8 places, half to even."""
+    total = sum((n * F.lit(p).cast("decimal(10,4)") for n, p in zip(tokens, prices, strict=True)), F.lit(0).cast("decimal(10,4)"))
+    return F.bround((total / 1_000_000).cast("decimal(38,12)"), 8)
+
+
+def weight(price: tuple[Column, Column], base: tuple[float, float], places: int = 4) -> Column:
+    """How many tokens of the base model one token of a model counts as, three of input to one of output, half up."""
+    ratio = (price[0] * 3 + price[1]).cast("decimal(20,6)") / F.lit(3 * base[0] + base[1]).cast("decimal(20,6)")
+    return F.round(ratio, places)
+
+
+def charged(tokens: Column, weight_: Column) -> Column:
+    return F.round(tokens * weight_, 0).cast("bigint")
+
+
 def spend(ledger: DataFrame, workspaces: DataFrame) -> DataFrame:
     """Cost and tokens of each owner's own calls; the system's calls don't count against an owner."""
     own = ledger.where(~F.col("system")).join(F.broadcast(workspaces), "workspace_id")

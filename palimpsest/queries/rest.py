@@ -176,28 +176,6 @@ def x_split_said(t: Tables) -> DataFrame:
     return t["said"].select("turn_id", "seq", F.posexplode(tx.split_said(F.col("text"))).alias("position", "snippet"))
 
 
-@query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang, len(regexp_extract_all(html, '<a href=')) AS links FROM pages")
-def x_meta(t: Tables) -> DataFrame:
-    h = F.col("html")
-    return t["pages"].select("page_id", F.regexp_extract(h, "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract(h, '<html lang="([^"]*)"', 1).alias("lang"),
-                             F.regexp_count(h, F.lit("<a href=")).cast("bigint").alias("links"))
-
-
-@query("SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)), '^www\\.', '') AS site, regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) AS path, "
-       "array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|fbclid|gclid|ref)='))), '&') AS params FROM pages")
-def x_canonical_url(t: Tables) -> DataFrame:
-    u = F.col("url")
-    params = F.filter(F.split(F.regexp_extract(u, r"\?([^#]*)", 1), "&"), lambda p: (p != "") & ~p.rlike(r"^(utm_[a-z]+|fbclid|gclid|ref)="))
-    site = F.regexp_replace(F.lower(F.regexp_extract(u, "^[a-zA-Z]+://([^/?#]*)", 1)), r"^www\.", "")
-    return t["pages"].select("page_id", site.alias("site"), F.regexp_extract(u, "^[a-zA-Z]+://[^/?#]*([^?#]*)", 1).alias("path"), F.array_join(F.array_sort(params), "&").alias("params"))
-
-
-@query("SELECT page_id, list_distinct(regexp_extract_all(html, 'href=\"(/[^\"]*)\"', 1)) IS NOT NULL AS some, len(list_distinct(regexp_extract_all(html, 'href=\"(/[^\"]*)\"', 1))) AS n FROM pages")
-def x_extract_urls(t: Tables) -> DataFrame:
-    found = F.array_distinct(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), 1))
-    return t["pages"].select("page_id", found.isNotNull().alias("some"), F.size(found).cast("bigint").alias("n"))
-
-
 @query("SELECT * FROM (VALUES ('PT1H2M3S', 3723, '1:02:03'), ('P1DT5S', 86405, '24:00:05'), ('95', 95, '1:35'), ('soon', NULL, NULL)) v(raw, seconds, shown)")
 def x_duration(t: Tables) -> DataFrame:
     rows = t.spark.createDataFrame([("PT1H2M3S",), ("P1DT5S",), ("95",), ("soon",)], "raw string")
