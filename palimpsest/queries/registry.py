@@ -10,6 +10,7 @@ from palimpsest.sources.derived import load, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+FUNCTIONS: dict[str, Callable[[Tables], DataFrame]] = {}
 
 
 class Tables:
@@ -24,6 +25,7 @@ class Tables:
 
 def query(sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], Callable[[Tables], DataFrame]]:
     def add(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        FUNCTIONS[f.__name__] = f
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql:
             ORACLE_SQL[f.__name__] = oracle(sql)

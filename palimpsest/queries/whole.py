@@ -1,0 +1,34 @@
+"""Whole forms of queries that are registered over a part of their input: ``<name>_whole``, each with SQL of its own."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from palimpsest.queries.registry import FUNCTIONS, ORACLE_SQL, QUERIES, Tables
+from palimpsest.sources.derived import CUT_TEXT, load
+
+
+class WholeTables(Tables):
+    """Tables whose ``keys`` hold whole texts."""
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return load(self.spark, self.sf_dir, "whole_keys" if name == "keys" else name)
+
+
+# ---------------------------------------------------------------- whole texts
+
+#: Queries that read the text of ``keys``.
+OVER_TEXT = ("r_lexical", "r_collapse", "j_full_rrf", "t_search", "c_correction_bulk", "r_embed_cache", "r_snippet", "r_anchor", "w_distinct_on", "q_history_seed")
+
+
+def _over_whole_keys(name: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return FUNCTIONS[name](WholeTables(spark, sf_dir))
+
+    QUERIES[f"{name}_whole"] = run
+    if name in ORACLE_SQL:
+        ORACLE_SQL[f"{name}_whole"] = ORACLE_SQL[name].replace(CUT_TEXT, "d.text")
+
+
+for _name in OVER_TEXT:
+    _over_whole_keys(_name)
