@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from palimpsest.queries.registry import FUNCTIONS, ORACLE_SQL, QUERIES, Tables
+from palimpsest.operators import writes as wr
+from palimpsest.queries.registry import FUNCTIONS, ORACLE_SQL, QUERIES, Tables, query
+from palimpsest.queries.rest import _OPS, _SPLIT
 from palimpsest.sources.derived import CUT_TEXT, load
 
 
@@ -32,3 +35,42 @@ def _over_whole_keys(name: str) -> None:
 
 for _name in OVER_TEXT:
     _over_whole_keys(_name)
+
+
+# ---------------------------------------------------------------- all operations
+
+_ALL_OPS = "SELECT CAST(floor(l_orderkey / 2) AS BIGINT) AS turn_id, l_linenumber AS seq, l_orderkey + l_linenumber AS item_id, CASE l_returnflag WHEN 'A' THEN 'done' WHEN 'N' THEN 'superseded' ELSE 'cancelled' END AS state FROM lineitem"
+
+
+def _all_ops(t: Tables) -> DataFrame:
+    return t["lineitem"].selectExpr("CAST(floor(l_orderkey / 2) AS BIGINT) AS turn_id", "l_linenumber AS seq", "l_orderkey + l_linenumber AS item_id",
+                                    "CASE l_returnflag WHEN 'A' THEN 'done' WHEN 'N' THEN 'superseded' ELSE 'cancelled' END AS state")
+
+
+_ALL_SPLIT = _SPLIT.replace(_OPS, _ALL_OPS)
+
+
+def _all_log(t: Tables) -> DataFrame:
+    return wr.write_log(wr.split_ops(_all_ops(t), t["items"])["applied"])
+
+
+@query(f"{_ALL_SPLIT} SELECT turn_id, seq, item_id, outcome FROM s")
+def c_edited_bulk_whole(t: Tables) -> DataFrame:
+    parts = wr.split_ops(_all_ops(t), t["items"])
+    rows = [df.select("turn_id", "seq", "item_id", F.lit(n).alias("outcome")) for n, df in parts.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query(f"{_ALL_SPLIT} SELECT * FROM log")
+def c_commit_whole(t: Tables) -> DataFrame:
+    return _all_log(t).withColumn("version", F.col("version").cast("bigint"))
+
+
+@query(f"{_ALL_SPLIT} SELECT i.item_id, coalesce(l.after, i.state) AS state FROM items i LEFT JOIN (SELECT item_id, arg_max(after, version) AS after FROM log GROUP BY 1) l ON l.item_id = i.item_id")
+def c_versions_whole(t: Tables) -> DataFrame:
+    return wr.current_states(t["items"], _all_log(t))
+
+
+@query(f"{_ALL_SPLIT} SELECT m.item_id, m.restored, m.item_id IN (SELECT item_id FROM log WHERE turn_id > 100) AS conflict FROM (SELECT item_id, arg_min(before, version) AS restored FROM log WHERE turn_id = 100 GROUP BY 1) m")
+def c_undo_whole(t: Tables) -> DataFrame:
+    return wr.undo(_all_log(t), 100)

@@ -1,8 +1,12 @@
 import re
 
+import pandas as pd
+
 from palimpsest.queries.all_queries import QUERIES
 from palimpsest.queries.rest import QUESTION
 
+SF = "/root/testdata/sf0.001"
+
 
 def words(text):
     return re.findall("[a-z0-9]+", text.lower())
@@ -20,3 +24,13 @@ def test_a_question_word_after_2000_characters_is_found(spark, tmp_path):
     # equal prefixes are not equal texts, and the longest text of an item is told beyond the prefix
     assert QUERIES["r_embed_cache_whole"](spark, str(tmp_path)).count() == 0
     assert {r.item_id: r.key_id for r in QUERIES["w_distinct_on_whole"](spark, str(tmp_path)).collect()} == {0: 1, 1: 2}
+
+
+def test_every_line_is_an_operation(spark):
+    got = QUERIES["c_edited_bulk_whole"](spark, SF).toPandas()
+    lines = pd.read_parquet(f"{SF}/lineitem.parquet")
+    assert len(got) == len(lines) and set(got.turn_id) == set(lines.l_orderkey // 2)
+    assert set(got.outcome) == {"applied", "held", "rejected"}
+    # a share of the orders in every tenth of them has an operation that stands
+    log = QUERIES["c_commit_whole"](spark, SF).toPandas()
+    assert len(set(log.item_id * 10 // (lines.l_orderkey.max() + 1))) == 10 and log.version.max() > 1
