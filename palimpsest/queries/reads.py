@@ -191,7 +191,11 @@ def p_core_view(t: Tables) -> DataFrame:
        "coalesce((SELECT string_agg(e.entity_id::VARCHAR || ':' || e.role, ',' ORDER BY e.entity_id, e.role) FROM item_entities e WHERE e.item_id = i.item_id), '') AS ends "
        f"FROM items i LEFT JOIN keys k ON k.item_id = i.item_id WHERE {SCOPE} AND i.item_id < 200 GROUP BY i.item_id, i.title")
 def p_hydrate(t: Tables) -> DataFrame:
-    hits = fl.scoped(t["items"], ALL).where("item_id < 200")
+    return hydrated(t, fl.scoped(t["items"], ALL).where("item_id < 200"))
+
+
+def hydrated(t: Tables, hits: DataFrame) -> DataFrame:
+    """(item_id, shown, ends) of items: their display text, and entities with roles."""
     shown = t["keys"].where("key_kind = 'text'").groupBy("item_id").agg(F.min("text").alias("key"))
     ends = t["item_entities"].groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("entity_id", "role"))).alias("e"))
     said = F.array_join(F.transform("e", lambda x: F.concat(x["entity_id"].cast("string"), F.lit(":"), x["role"])), ",")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.operators import filters as fl
 from palimpsest.operators import writes as wr
+from palimpsest.queries.reads import ALL, SCOPE, hydrated
 from palimpsest.queries.registry import FUNCTIONS, ORACLE_SQL, QUERIES, Tables, query
 from palimpsest.queries.rest import _OPS, _SPLIT
 from palimpsest.sources.derived import CUT_TEXT, load
@@ -74,3 +76,12 @@ def c_versions_whole(t: Tables) -> DataFrame:
 @query(f"{_ALL_SPLIT} SELECT m.item_id, m.restored, m.item_id IN (SELECT item_id FROM log WHERE turn_id > 100) AS conflict FROM (SELECT item_id, arg_min(before, version) AS restored FROM log WHERE turn_id = 100 GROUP BY 1) m")
 def c_undo_whole(t: Tables) -> DataFrame:
     return wr.undo(_all_log(t), 100)
+
+
+# ---------------------------------------------------------------- all items
+
+@query("WITH s AS (SELECT item_id, min(text) AS shown FROM whole_keys WHERE key_kind = 'text' GROUP BY 1), "
+       "n AS (SELECT item_id, string_agg(entity_id::VARCHAR || ':' || role, ',' ORDER BY entity_id, role) AS ends FROM item_entities GROUP BY 1) "
+       f"SELECT i.item_id, coalesce(s.shown, i.title) AS shown, coalesce(n.ends, '') AS ends FROM items i LEFT JOIN s ON s.item_id = i.item_id LEFT JOIN n ON n.item_id = i.item_id WHERE {SCOPE}")
+def p_hydrate_whole(t: Tables) -> DataFrame:
+    return hydrated(WholeTables(t.spark, t.sf_dir), fl.scoped(t["items"], ALL))

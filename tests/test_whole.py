@@ -2,8 +2,10 @@ import re
 
 import pandas as pd
 
+from palimpsest.operators import filters as fl
 from palimpsest.queries.all_queries import QUERIES
 from palimpsest.queries.rest import QUESTION
+from palimpsest.sources.derived import load
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,3 +36,9 @@ def test_every_line_is_an_operation(spark):
     # a share of the orders in every tenth of them has an operation that stands
     log = QUERIES["c_commit_whole"](spark, SF).toPandas()
     assert len(set(log.item_id * 10 // (lines.l_orderkey.max() + 1))) == 10 and log.version.max() > 1
+
+
+def test_every_scoped_item_is_hydrated(spark):
+    scoped = {r.item_id for r in fl.scoped(load(spark, SF, "items"), fl.Access()).collect()}
+    assert max(scoped) >= 200
+    assert {r.item_id for r in QUERIES["p_hydrate_whole"](spark, SF).collect()} == scoped
