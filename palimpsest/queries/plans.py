@@ -205,7 +205,12 @@ _CLEAN = "array_to_string(regexp_extract_all(lower({}), '[a-z0-9]+'), ' ')"
        "SELECT m.mention_id, CASE WHEN said = 'me' THEN 'self' WHEN p.n = 1 THEN 'matched' WHEN p.n > 1 THEN 'ambiguous' ELSE 'new' END AS outcome, p.id AS entity_id, CASE WHEN p.n > 0 THEN 'mention' END AS how, "
        "coalesce(p.n, 0) AS n_candidates FROM m LEFT JOIN p ON p.mention_id = m.mention_id")
 def c_resolve_entity(t: Tables) -> DataFrame:
-    said = t["orders"].where("o_orderkey % 20 < 3").selectExpr("o_orderkey AS mention_id", "CASE o_orderkey % 3 WHEN 0 THEN 'Me' WHEN 1 THEN concat('the C', o_custkey % 700, \"'s\") ELSE 'Nobody' END AS mention",
+    return resolved(t, t["orders"].where("o_orderkey % 20 < 3"))
+
+
+def resolved(t: Tables, orders: DataFrame) -> DataFrame:
+    """The mentions that orders stand for, resolved to customers."""
+    said = orders.selectExpr("o_orderkey AS mention_id", "CASE o_orderkey % 3 WHEN 0 THEN 'Me' WHEN 1 THEN concat('the C', o_custkey % 700, \"'s\") ELSE 'Nobody' END AS mention",
                                                               "CAST(NULL AS STRING) AS name", "CAST(NULL AS STRING) AS label", "'person' AS kind")
     return en.resolve(said, _people(t))
 

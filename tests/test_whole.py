@@ -1,6 +1,7 @@
 import re
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from palimpsest.operators import filters as fl
 from palimpsest.queries.all_queries import QUERIES
@@ -42,3 +43,15 @@ def test_every_scoped_item_is_hydrated(spark):
     scoped = {r.item_id for r in fl.scoped(load(spark, SF, "items"), fl.Access()).collect()}
     assert max(scoped) >= 200
     assert {r.item_id for r in QUERIES["p_hydrate_whole"](spark, SF).collect()} == scoped
+
+
+def test_no_mention_item_or_message_is_left_out(spark):
+    orders = load(spark, SF, "orders")
+    n = orders.count()
+    for name in ("c_resolve_entity_whole", "c_keys_rebuild_whole", "c_reconcile_whole"):
+        assert QUERIES[name](spark, SF).count() == n
+    # every message counts: the first of a person fires, whatever its number
+    first = {r.o_custkey: r.m for r in orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("m")).collect()}
+    waiting = load(spark, SF, "triggers").where("state = 'pending' and kind = 'person'").collect()
+    got = {r.trigger_id: r.message_id for r in QUERIES["r_trigger_person_whole"](spark, SF).collect()}
+    assert got == {r.trigger_id: first[r.entity_id] for r in waiting}
