@@ -22,8 +22,12 @@ BREAKS = frozenset(
     "address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 "
     "h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Elements that hold lines; a region of content grows to the smallest of these around it. Fixed values.
+#: Elements that hold lines. Fixed values.
 HOLDERS = frozenset("article body div html main section table td blockquote".split())
+#: Those that a region can be; quotes and tables are parts of what surrounds them. Fixed values.
+REGIONS = HOLDERS - {"blockquote", "table", "td"}
+#: Characters a tag that count at most, so that long lines don't outweigh others. Fixed value.
+LONG = 200
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of class or id attributes that mark what surrounds an article. Fixed values.
 MARKS = frozenset(
@@ -45,6 +49,7 @@ class _Lines(HTMLParser):
         self.inside = 0  # open article and main elements
         self.path: tuple[int, ...] = ()
         self.ids = 0
+        self.whole: set[int] = set()  # articles and mains
         self.lines: list[tuple[str, int, tuple[int, ...]]] = []  # (text, tags, holders)
         self.buffer: list[str] = []
         self.tags = 0
@@ -75,7 +80,7 @@ class _Lines(HTMLParser):
             tag, skipped = self.stack.pop()
             self.skipped -= skipped
             self.inside -= tag in ("article", "main")
-            if tag in HOLDERS:
+            if tag in REGIONS:
                 self.path = self.path[:-1]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -99,9 +104,11 @@ class _Lines(HTMLParser):
         self.skipped += skipped
         self.inside += tag in ("article", "main")
         self.stack.append((tag, skipped))
-        if tag in HOLDERS:
+        if tag in REGIONS:
             self.ids += 1
             self.path = (*self.path, self.ids)
+            if tag in ("article", "main"):
+                self.whole.add(self.ids)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -134,11 +141,12 @@ def _smoothed(x: np.ndarray, sigma: float) -> np.ndarray:
 def main_text(html: str | None, sigma: float = 1.5, cut: float = 0.35, share: float = 0.8) -> str:
     """The article of a page, its blocks joined by line breaks.
 
-    Lines end at block tags. Each has the ratio of its characters to the tags since the line before; the ratios are
-    smoothed by a Gaussian over ``sigma`` lines, and lines above ``cut`` times the length-weighted mean are content. A
-    region of content then grows to the smallest holder (article, section, div, body) that has at least ``share`` of
-    all content characters, so short lines between or beside long ones are kept. Menus, forms, notices, adverts,
-    comments and other furniture are told by their elements, roles and class words and never become lines.
+    Lines end at block tags. Each has the ratio of its characters to the tags since the line before, ``LONG`` at most;
+    the ratios are smoothed by a Gaussian over ``sigma`` lines, and lines above ``cut`` times the length-weighted mean
+    are content. The result is the smallest holder (article, section, div, body) that has every line of content and at
+    least ``share`` of all characters, or the outermost article or main around it, so short lines between or beside
+    long ones are kept. Menus, forms, notices, adverts, comments and other furniture are told by their elements, roles
+    and class words and never become lines.
     Null, empty and textless pages give an empty text.
     """
     if not html:
@@ -154,17 +162,21 @@ def main_text(html: str | None, sigma: float = 1.5, cut: float = 0.35, share: fl
     if not lines:
         return ""
     chars = np.array([len(t) for t, _, _ in lines], float)
-    ratio = chars / np.maximum([n for _, n, _ in lines], 1)
+    ratio = np.minimum(chars / np.maximum([n for _, n, _ in lines], 1), LONG)
     smooth = _smoothed(ratio, sigma)
-    content = smooth >= cut * np.average(smooth, weights=chars)
+    content = smooth >= cut * np.average(smooth, weights=np.minimum(chars, LONG))
     weight: dict[int, float] = {}
+    lacks: dict[int, int] = {}
+    n_content = int(content.sum())
     for (_, _, path), n, good in zip(lines, chars, content, strict=True):
-        if good:
-            for h in path:
-                weight[h] = weight.get(h, 0.0) + n
-    need = share * chars[content].sum()
-    # holders are numbered as they open, so the last that is heavy enough is the innermost
-    holder = max((h for h, w in weight.items() if w >= need), default=None)
+        for h in path:
+            weight[h] = weight.get(h, 0.0) + n
+            lacks[h] = lacks.get(h, n_content) - int(good)
+    # holders are numbered as they open, so the last that has everything is the innermost
+    holder = max((h for h, w in weight.items() if not lacks[h] and w >= share * chars.sum()), default=None)
+    if holder is not None:
+        path = next(path for _, _, path in lines if holder in path)
+        holder = next((h for h in path[: path.index(holder)] if h in parser.whole), holder)
     return "\n".join(t for t, _, path in lines if holder is None or holder in path)
 
 

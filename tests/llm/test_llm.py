@@ -113,6 +113,21 @@ def test_html_regions():
     assert htmltext.main_text(None) == htmltext.main_text("") == htmltext.main_text("<p>") == ""
 
 
+def test_html_keeps_all_content():
+    par = lambda n, c: (c * 9 + " ") * (n // 10)
+    tidy = lambda *x: "\n".join(y.strip() for y in x)
+    quote = f"<h1>T</h1><p>{par(300, 'a')}</p><blockquote><p>{par(3000, 'b')}</p></blockquote><p>{par(300, 'c')}</p>"
+    for around in ("article", "div", "main", "body"):
+        assert htmltext.main_text(f"<{around}>{quote}</{around}>") == tidy("T", par(300, "a"), par(3000, "b"), par(300, "c"))
+    assert htmltext.main_text(quote.replace("blockquote", "table")) == tidy("T", par(300, "a"), par(3000, "b"), par(300, "c"))
+    rest = [par(300, chr(97 + i % 26)) for i in range(20)]
+    skew = f"<div><p>{par(60_000, 'x')}</p></div><div>{''.join(f'<p>{x}</p>' for x in rest)}</div>"
+    for around in ("article", "div", "body"):
+        assert htmltext.main_text(f"<{around}>{skew}</{around}>") == tidy(par(60_000, "x"), *rest)
+    # what is no content and stands outside stays away
+    assert htmltext.main_text(f"<body><div>a b</div><article>{quote}</article></body>") == tidy("T", par(300, "a"), par(3000, "b"), par(300, "c"))
+
+
 # ---------------------------------------------------------------- 6
 
 def bags(text):
