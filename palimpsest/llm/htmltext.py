@@ -126,6 +126,12 @@ class _Lines(HTMLParser):
             if self.stack[i][0] in ("article", "main", "body", "html") and tag not in HOLDERS:
                 return  # a stray end tag doesn't close what holds it
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:  # an unknown section is a comment up to the next ">"
+            return self.parse_bogus_comment(i)
+
     def handle_data(self, data: str) -> None:
         if not self.skipped:
             self.buffer.append(data)
@@ -152,11 +158,8 @@ def main_text(html: str | None, sigma: float = 1.5, cut: float = 0.35, share: fl
     if not html:
         return ""
     parser = _Lines()
-    try:
-        parser.feed(html)
-        parser.close()
-    except AssertionError:  # the parser's answer to a broken declaration; what came before it counts
-        pass
+    parser.feed(html)
+    parser.close()
     parser.end_line()
     lines = parser.lines
     if not lines:

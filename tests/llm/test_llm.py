@@ -128,6 +128,12 @@ def test_html_keeps_all_content():
     assert htmltext.main_text(f"<body><div>a b</div><article>{quote}</article></body>") == tidy("T", par(300, "a"), par(3000, "b"), par(300, "c"))
 
 
+def test_html_goes_on_after_a_broken_declaration():
+    for odd in ("<![foo[x]]>", "<![ endif]>", "<![endif]-->", "<![CDATA[x]]>", "<![if IE]>", "<!x>", "<!>", "<!doctype>", "<![", "<![ "):
+        got = htmltext.main_text(f"<article><p>First paragraph.</p>{odd}<p>Second paragraph.</p></article>").split("\n")
+        assert got[0] == "First paragraph." and got[-1] == "Second paragraph.", odd
+
+
 # ---------------------------------------------------------------- 6
 
 def bags(text):
