@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,8 @@ COSINE = 0.98
 TRAIN_ROWS = 8_000
 #: Vectors for each inverted list aimed at, lists at most, subspaces and codewords of a residual, vectors of a block.
 PER_LIST, MAX_LISTS, SUBSPACES, CODES, BLOCK = 400, 4096, 8, 64, 1024
+#: Vectors whose distances to all lists are held at once.
+PROBE_ROWS = 256
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -54,6 +57,11 @@ class Index:
         n = min(map(len, books))
         return cls(c, np.array([b[:n] for b in books]), float(np.sqrt(max(0.0, 2 - 2 * cosine))) + 1e-9)
 
+    @cached_property
+    def between(self) -> np.ndarray:
+        """Distances of the centroids, (lists, lists); worked out once a process, a row at a time."""
+        return np.array([np.sqrt(((self.centroids - c) ** 2).sum(1)) for c in self.centroids])
+
     def pad(self, x: np.ndarray) -> np.ndarray:
         return np.pad(x, ((0, 0), (0, self.centroids.shape[1] - x.shape[1])))
 
@@ -64,12 +72,14 @@ class Index:
         2 (x-y).(d-c), at most 2 reach |c-d|: so one of the two has a gap of reach |c-d| at most, and a search of all
         lists within that gap finds every link from one side or the other.
         """
-        d2 = (self.centroids**2).sum(1) - 2 * x @ self.centroids.T
-        own = d2.argmin(1)
-        between = np.sqrt(np.maximum(0.0, ((self.centroids[own][:, None, :] - self.centroids[None]) ** 2).sum(2)))
-        near = d2 - d2[np.arange(len(x)), own][:, None] <= self.reach * between + 1e-9
-        near[np.arange(len(x)), own] = False
-        return [np.concatenate([[o], np.flatnonzero(n)]).astype(np.int32) for o, n in zip(own, near, strict=True)]
+        out: list[np.ndarray] = []
+        for s in range(0, len(x), PROBE_ROWS):
+            d2 = (self.centroids**2).sum(1) - 2 * x[s : s + PROBE_ROWS] @ self.centroids.T
+            own, at = d2.argmin(1), np.arange(len(d2))
+            near = d2 - d2[at, own][:, None] <= self.reach * self.between[own] + 1e-9
+            near[at, own] = False
+            out += [np.concatenate([[o], np.flatnonzero(n)]).astype(np.int32) for o, n in zip(own, near, strict=True)]
+        return out
 
     def encode(self, x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the residuals to the vectors' lists, and the distance between vector and decoded vector."""

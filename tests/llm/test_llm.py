@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -231,6 +232,23 @@ def test_vector_edge_cases(spark):
     assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 10: (3, 1), **{i: (0, i) for i in (4, 5, 6, 7, 8, 9)}}
 
 
+def test_probes_hold_no_array_of_batch_lists_and_dims():
+    x = np.random.default_rng(5).normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = embeddup.Index.fit(x, 200, 0.98)
+    tracemalloc.start()
+    got = index.probes(x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3000 * 200 * 64 * 8 / 10
+    c = index.centroids
+    for v, lists in zip(x[:300], got[:300], strict=True):
+        d = ((v - c) ** 2).sum(1)
+        own = d.argmin()
+        near = d - d[own] <= index.reach * np.sqrt(((c - c[own]) ** 2).sum(1)) + 1e-9
+        assert lists[0] == own and sorted(lists) == np.flatnonzero(near).tolist()
+
+
 def test_url_rules(spark):
     urls = [(1, "http://a.example.com/en/x"), (2, "http://www.example.com/en/x"), (3, "HTTP://B.NET/fr/?q"), (4, None), (5, "no scheme"), (6, "http://notexample.com/en/")]
     df = spark.createDataFrame(urls, "page_id bigint, url string")
