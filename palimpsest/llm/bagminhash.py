@@ -255,9 +255,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each class of ``near_duplicates``; of rows with the same doc_id one stays."""
-    kept = near_duplicates(docs, key, text, similarity).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    some = docs.where(F.col(key).isNotNull()).join(kept, F.col(key) == F.col("__kept"), "left_semi")
-    first = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(text)))
-    some = some.withColumn("__n", first).where("__n = 1").drop("__n")
+    """``docs`` with one row of each class of ``near_duplicates``. Rows with the same doc_id and text count as one; those
+    of a doc_id that occurs with different texts are documents of their own, named by a hash of doc_id and text."""
+    digest = F.sha2(F.col(text), 256)
+    seen = docs.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key"))
+    several = seen.agg(F.min(digest).alias("lo"), F.max(digest).alias("hi"), F.count(text).alias("n"), F.count("*").alias("m"))
+    # written first: its size decides the join, and no text is shuffled for it while it is small
+    several = materialize(several.where("lo <> hi or (n > 0 and n < m)").select("__key"))
+    named = docs.where(F.col(key).isNotNull()).join(several, F.col(key) == F.col("__key"), "left")
+    named = named.withColumn("__node", F.when(F.col("__key").isNull(), F.col(key).cast("bigint")).otherwise(F.xxhash64(key, digest))).drop("__key")
+    kept = near_duplicates(named, "__node", text, similarity).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    some = named.join(kept, F.col("__node") == F.col("__kept"), "left_semi")
+    first = F.row_number().over(Window.partitionBy("__node").orderBy(F.xxhash64(text)))
+    some = some.withColumn("__n", first).where("__n = 1").drop("__n", "__node")
     return some.unionByName(docs.where(F.col(key).isNull()))

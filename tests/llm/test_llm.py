@@ -196,6 +196,15 @@ def test_near_duplicate_edge_cases(spark):
     assert bagminhash.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_no_text_of_a_repeated_key_is_lost(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    rows = [(1, one), (1, two), (1, two), (2, two), (3, three), (3, None), (4, one + " "), (5, three), (None, one)]
+    got = [(r.doc_id, r.text) for r in bagminhash.keep_one(frame(spark, [(i, t, None, None) for i, t in rows])).collect()]
+    # each text without a near copy stays once, a null text and a null key stay
+    assert sorted((t or "").split()[:1] for i, t in got if i is not None) == [[], ["a0"], ["b0"], ["c0"]]
+    assert (3, None) in got and (None, one) in got and len(got) == 5 and set(got) <= set(rows)
+
+
 # ---------------------------------------------------------------- 7
 
 def test_chat_round_trip(spark):
