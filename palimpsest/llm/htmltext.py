@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -14,7 +16,7 @@ from palimpsest.llm.shared import small_batches
 
 #: Elements whose text is never article text. Fixed values.
 SKIP = frozenset(
-    "script style title noscript template svg math iframe object canvas nav footer aside form button select option "
+    "script style title noscript template svg iframe object canvas nav footer aside form button select option "
     "textarea dialog menu head audio video map".split()
 )
 #: Elements that end a line of text. Fixed values.
@@ -24,10 +26,18 @@ BREAKS = frozenset(
 )
 #: Elements that hold lines. Fixed values.
 HOLDERS = frozenset("article body div html main section table td blockquote".split())
-#: Those that a region can be; quotes and tables are parts of what surrounds them. Fixed values.
+#: Those that a line is said to stand in; quotes and tables are parts of what surrounds them. Fixed values.
 REGIONS = HOLDERS - {"blockquote", "table", "td"}
+#: Elements in which an open paragraph, item or cell can be closed by the next. Fixed values.
+SCOPES = HOLDERS | frozenset("ul ol dl tr nav header footer aside form".split())
+#: Elements that stray end tags of what they hold don't leave. Fixed values.
+BARRIERS = frozenset("article main body html".split())
+SIBLINGS = frozenset("li td th tr dd dt option".split())
+HEADINGS = frozenset("h1 h2 h3".split())
 #: Characters a tag that count at most, so that long lines don't outweigh others. Fixed value.
 LONG = 200
+#: Lines before a region in which its headline is looked for.
+LEAD = 5
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of class or id attributes that mark what surrounds an article. Fixed values.
 MARKS = frozenset(
@@ -39,76 +49,113 @@ MARKS = frozenset(
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 
 
+class Line(NamedTuple):
+    text: str
+    tags: int  # tags since the line before
+    linked: int  # characters inside links
+    holder: int  # region element that it stands in directly
+    whole: int  # outermost article or main around it, or 0
+    heading: bool
+
+
 class _Lines(HTMLParser):
-    """Lines of text with their tag counts and holders, from start, end and data events as they stream by."""
+    """Lines of text with their tag counts and holders, from start, end and data events as they stream by.
+
+    Every element is pushed and popped once, and open elements are counted by name, so the work is linear in the page
+    however deep it is nested and however many elements stay open.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, bool]] = []  # (tag, skipped)
+        self.open: Counter[str] = Counter()
+        self.scopes: list[Counter[str]] = [Counter()]  # open elements by name since the last of SCOPES
+        self.barriers: list[Counter[str]] = [Counter()]  # the same since the last of BARRIERS
+        self.holders, self.wholes = [0], [0]
         self.skipped = 0
-        self.inside = 0  # open article and main elements
-        self.path: tuple[int, ...] = ()
         self.ids = 0
-        self.whole: set[int] = set()  # articles and mains
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []  # (text, tags, holders)
+        self.lines: list[Line] = []
         self.buffer: list[str] = []
+        self.linked = 0
+        self.heading = False
         self.tags = 0
 
     def end_line(self) -> None:
         text = " ".join("".join(self.buffer).split())
         self.buffer.clear()
         if text:
-            self.lines.append((text, self.tags, self.path))
+            self.lines.append(Line(text, self.tags, self.linked, self.holders[-1], self.wholes[-1], self.heading))
             self.tags = 0
+        self.linked = 0
 
     def _unwanted(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in SKIP:
+        inside = self.wholes[-1] > 0
+        if tag in SKIP or tag == "header" and not inside:
             return True
         got = dict(attrs)
-        if tag == "header" and not self.inside:
-            return True
         if "hidden" in got or (got.get("aria-hidden") or "").lower() == "true" or (got.get("role") or "").lower() in ROLES:
             return True
         if "display:none" in (got.get("style") or "").replace(" ", "").lower():
             return True
         words = f"{got.get('class') or ''} {got.get('id') or ''}".lower()
         words = words.replace("-", " ").replace("_", " ").split()
-        return tag not in ("html", "body", "article", "main") and any(w in MARKS or (w == "header" and not self.inside) for w in words)
+        return tag not in ("html", "body", "article", "main") and any(w in MARKS or (w == "header" and not inside) for w in words)
+
+    def _push(self, tag: str, skipped: bool) -> None:
+        self.stack.append((tag, skipped))
+        self.skipped += skipped
+        self.open[tag] += 1
+        self.barriers[-1][tag] += 1
+        self.scopes[-1][tag] += 1
+        if tag in BARRIERS:
+            self.barriers.append(Counter())
+        if tag in SCOPES:
+            self.scopes.append(Counter())
+        if tag in REGIONS:
+            self.ids += 1
+            self.holders.append(self.ids)
+        if tag in ("article", "main"):
+            self.wholes.append(self.wholes[-1] or self.ids)
 
-    def _pop(self, at: int) -> None:
-        while len(self.stack) > at:
-            tag, skipped = self.stack.pop()
+    def _pop_to(self, tag: str) -> None:
+        """Close elements up to the innermost open one of that name."""
+        while True:
+            last, skipped = self.stack.pop()
+            if last in BARRIERS:
+                self.barriers.pop()
+            if last in SCOPES:
+                self.scopes.pop()
+            if last in REGIONS:
+                self.holders.pop()
+            if last in ("article", "main"):
+                self.wholes.pop()
             self.skipped -= skipped
-            self.inside -= tag in ("article", "main")
-            if tag in REGIONS:
-                self.path = self.path[:-1]
+            self.open[last] -= 1
+            self.barriers[-1][last] -= 1
+            self.scopes[-1][last] -= 1
+            if last == tag:
+                return
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "br":
             self.buffer.append(" ")
-        if tag == "body":
-            self._pop(next((i for i, (t, _) in enumerate(self.stack) if t == "head"), len(self.stack)))
+        if tag == "body" and self.open["head"] > 0:
+            self._pop_to("head")
         if tag in BREAKS:
             self.end_line()
             # an open paragraph ends at the next block; so does an open item or cell at its next sibling
-            for i in range(len(self.stack) - 1, -1, -1):
-                if (open_tag := self.stack[i][0]) == "p" or open_tag == tag and tag in ("li", "td", "th", "tr", "dd", "dt", "option"):
-                    self._pop(i)
-                    break
-                if open_tag in HOLDERS or open_tag in ("ul", "ol", "dl", "tr", "nav", "header", "footer", "aside", "form"):
-                    break
+            if self.scopes[-1]["p"] > 0:
+                self._pop_to("p")
+            if tag == "tr" and len(self.scopes) > 1 and self.open["tr"] > 0 and self.stack[-1][0] in ("tr", "td", "th"):
+                self._pop_to("tr")
+            elif tag in SIBLINGS and self.scopes[-1][tag] > 0:
+                self._pop_to(tag)
+            elif tag in ("td", "th") and self.stack and self.stack[-1][0] in ("td", "th"):
+                self._pop_to(self.stack[-1][0])
+            self.heading = tag in HEADINGS
         self.tags += 1
-        if tag in VOID:
-            return
-        skipped = self._unwanted(tag, attrs)
-        self.skipped += skipped
-        self.inside += tag in ("article", "main")
-        self.stack.append((tag, skipped))
-        if tag in REGIONS:
-            self.ids += 1
-            self.path = (*self.path, self.ids)
-            if tag in ("article", "main"):
-                self.whole.add(self.ids)
+        if tag not in VOID:
+            self._push(tag, self._unwanted(tag, attrs))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -119,12 +166,10 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in BREAKS:
             self.end_line()
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                self._pop(i)
-                return
-            if self.stack[i][0] in ("article", "main", "body", "html") and tag not in HOLDERS:
-                return  # a stray end tag doesn't close what holds it
+            self.heading = False
+        # a stray end tag doesn't close what holds it
+        if (self.open if tag in HOLDERS else self.barriers[-1])[tag] > 0:
+            self._pop_to(tag)
 
     def parse_marked_section(self, i: int, report: int = 1) -> int:
         try:
@@ -135,6 +180,8 @@ class _Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.skipped:
             self.buffer.append(data)
+            if self.open["a"] > 0:
+                self.linked += len(data.split()) and len(" ".join(data.split()))
 
 
 def _smoothed(x: np.ndarray, sigma: float) -> np.ndarray:
@@ -144,16 +191,51 @@ def _smoothed(x: np.ndarray, sigma: float) -> np.ndarray:
     return total / np.convolve(np.ones(x.size), kernel, "full")[reach : reach + x.size]
 
 
-def main_text(html: str | None, sigma: float = 1.5, cut: float = 0.35, share: float = 0.8) -> str:
+def regions(lines: list[Line], sigma: float, cut: float, small: float) -> list[tuple[int, int]]:
+    """Runs of lines, as (first, end), that clusters of smoothed text-to-tag ratios make the content of a page.
+
+    Content lines are those whose ratio, smoothed over their neighbours, is above ``cut`` times the length-weighted
+    mean. Two of them belong to one cluster unless most of what stands between is links; clusters under ``small`` of
+    the largest one go. A cluster also takes the lines next to it in its holder as far as they aren't mostly links,
+    and a headline just before it.
+    """
+    chars = np.array([len(x.text) for x in lines], float)
+    linked = np.minimum([x.linked for x in lines], chars)
+    ratio = np.minimum((chars - linked) / np.maximum([x.tags for x in lines], 1), LONG)
+    smooth = _smoothed(ratio, sigma)
+    at = np.flatnonzero(smooth >= cut * np.average(smooth, weights=np.minimum(chars, LONG)))
+    all_chars, all_linked = np.append(0, np.cumsum(chars)), np.append(0, np.cumsum(linked))
+    between = lambda a, b: all_linked[b] - all_linked[a] > 0.5 * (all_chars[b] - all_chars[a])
+    found = [[at[0], at[0] + 1]]
+    for i in at[1:]:
+        if i > found[-1][1] and between(found[-1][1], i):
+            found.append([i, i + 1])
+        else:
+            found[-1][1] = i + 1
+    size = [all_chars[b] - all_chars[a] for a, b in found]
+    found = [x for x, n in zip(found, size, strict=True) if n >= small * max(size)]
+    out: list[tuple[int, int]] = []
+    for a, b in found:
+        beside = lambda i, edge: 0 <= i < len(lines) and lines[i].holder == lines[edge].holder and linked[i] <= 0.5 * chars[i]
+        while beside(a - 1, a):
+            a -= 1
+        while beside(b, b - 1):
+            b += 1
+        a = next((i for i in range(a - 1, max(a - 1 - LEAD, -1), -1) if lines[i].heading and not between(i, a)), a)
+        if out and a <= out[-1][1]:
+            a, b = out[-1][0], max(b, out.pop()[1])
+        out.append((int(a), int(b)))
+    return out
+
+
+def main_text(html: str | None, sigma: float = 1.5, cut: float = 0.35, small: float = 0.1) -> str:
     """The article of a page, its blocks joined by line breaks.
 
-    Lines end at block tags. Each has the ratio of its characters to the tags since the line before, ``LONG`` at most;
-    the ratios are smoothed by a Gaussian over ``sigma`` lines, and lines above ``cut`` times the length-weighted mean
-    are content. The result is the smallest holder (article, section, div, body) that has every line of content and at
-    least ``share`` of all characters, or the outermost article or main around it, so short lines between or beside
-    long ones are kept. Menus, forms, notices, adverts, comments and other furniture are told by their elements, roles
-    and class words and never become lines.
-    Null, empty and textless pages give an empty text.
+    Lines end at block tags. Each has the ratio of its characters outside links to the tags since the line before,
+    ``LONG`` at most; the clusters of smoothed ratios (``regions``) are the content. Where at least half of it stands
+    in articles and mains, these are the result, with all their lines; else the regions are. Menus, forms, notices,
+    adverts, comments and other furniture that elements, roles or class words name never become lines. Null, empty and
+    textless pages give an empty text. Formulas stay. An unknown declaration is a comment.
     """
     if not html:
         return ""
@@ -164,30 +246,21 @@ def main_text(html: str | None, sigma: float = 1.5, cut: float = 0.35, share: fl
     lines = parser.lines
     if not lines:
         return ""
-    chars = np.array([len(t) for t, _, _ in lines], float)
-    ratio = np.minimum(chars / np.maximum([n for _, n, _ in lines], 1), LONG)
-    smooth = _smoothed(ratio, sigma)
-    content = smooth >= cut * np.average(smooth, weights=np.minimum(chars, LONG))
-    weight: dict[int, float] = {}
-    lacks: dict[int, int] = {}
-    n_content = int(content.sum())
-    for (_, _, path), n, good in zip(lines, chars, content, strict=True):
-        for h in path:
-            weight[h] = weight.get(h, 0.0) + n
-            lacks[h] = lacks.get(h, n_content) - int(good)
-    # holders are numbered as they open, so the last that has everything is the innermost
-    holder = max((h for h, w in weight.items() if not lacks[h] and w >= share * chars.sum()), default=None)
-    if holder is not None:
-        path = next(path for _, _, path in lines if holder in path)
-        holder = next((h for h in path[: path.index(holder)] if h in parser.whole), holder)
-    return "\n".join(t for t, _, path in lines if holder is None or holder in path)
+    runs = regions(lines, sigma, cut, small)
+    size: Counter[int] = Counter()
+    for a, b in runs:
+        for x in lines[a:b]:
+            size[x.whole] += len(x.text)
+    if 2 * (size.total() - size[0]) >= size.total():
+        return "\n".join(x.text for x in lines if x.whole and size[x.whole])
+    return "\n".join(x.text for a, b in runs for x in lines[a:b])
 
 
 def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
     """``pages`` with the main text of each page in ``out``. See ``main_text``; the rest of the row stays as it is.
 
-    Null and empty pages give an empty text, repeated rows the same text, an empty table no rows. An extra column
-    named ``out`` is replaced.
+    Null and empty pages give an empty text, repeated rows the same text, an empty table no rows. Very long and deeply
+    nested pages take time in proportion to their length. An extra column named ``out`` is replaced.
     """
     small_batches(pages.sparkSession)
 
