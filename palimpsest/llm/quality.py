@@ -4,32 +4,41 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
+from unicodedata import category
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import materialize, small_batches, word_hashes
+from palimpsest.llm.shared import materialize, small_batches
 
 BITS, RANK, NEIGHBOURS = 11, 48, 15
 #: Labelled documents whose vectors are broadcast, at most about (a hash picks them): 2500 x 48 numbers.
 TRAIN_ROWS = 2_500
 #: Documents whose cosines are computed in one block, and code points that are counted at once.
 BLOCK, CHUNK = 128, 1 << 20
-#: Weights of the three parts of a vector: letter-class trigrams, character trigrams, repetition of words.
-PARTS = (1.0, 0.6, 1.0)
+#: Decimals of a cosine that count when neighbours are ranked.
+DECIMALS = 9
+#: Weights of the two parts of a vector: letter-class trigrams, character trigrams.
+PARTS = (1.0, 0.6)
 _SIZE = 1 << BITS
-WIDTH = 2 * _SIZE + 4
+WIDTH = 2 * _SIZE
+#: What stands for a character of each general category in letter-class trigrams; others stand for themselves.
+_CLASS = {"Ll": "a", "Lu": "A", "Lt": "A", "Lm": "a", "Lo": "o", "Nd": "0", "Nl": "0", "No": "0", "Mn": "m", "Mc": "m"}
+
+
+@cache
+def _class_table() -> np.ndarray:
+    """The class of each code point of the basic plane."""
+    return np.array([ord(_CLASS.get(category(chr(c)), chr(c))) for c in range(1 << 16)], np.uint32)
 
 
 def _classes(chars: np.ndarray) -> np.ndarray:
-    """Lower-case letters as a, upper-case as A, digits as 0; other characters stand for themselves."""
-    out = chars.copy()
-    out[(chars >= 97) & (chars <= 122) | (chars >= 223) & (chars <= 687)] = 97
-    out[(chars >= 65) & (chars <= 90) | (chars >= 192) & (chars <= 222)] = 65
-    out[(chars >= 48) & (chars <= 57)] = 48
-    return out
+    """Letters of any script as a, A or o (scripts without case), digits as 0; the rest stands for itself."""
+    basic = chars < 1 << 16
+    return np.where(basic, _class_table()[np.where(basic, chars, 0)], chars)
 
 
 def _trigrams(c: np.ndarray) -> np.ndarray:
@@ -40,22 +49,15 @@ def _trigrams(c: np.ndarray) -> np.ndarray:
 
 
 def features(text: str | None) -> np.ndarray:
-    """Counts over a whole text: hashed letter-class trigrams, character trigrams, and (new, repeated) words.
-
-    A word is repeated if it equals the word before it. The last two places count words and distinct words.
-    """
+    """Counts over a whole text: hashed letter-class trigrams, then character trigrams."""
     out = np.zeros(WIDTH, np.float32)
     if not text or text.isspace():
         return out
     chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    for start in range(0, chars.size, CHUNK):
-        c = chars[start : start + CHUNK + 2]
+    for start in range(0, max(chars.size - 2, 1), CHUNK):
+        c = chars[start : start + CHUNK + 2]  # trigrams that begin in this chunk
         out[:_SIZE] += _trigrams(_classes(c))
-        out[_SIZE : 2 * _SIZE] += _trigrams(c)
-    words = word_hashes(text)
-    again = int((words[1:] == words[:-1]).sum())
-    distinct = np.unique(words).size
-    out[2 * _SIZE :] = (words.size - again, again, distinct, words.size - distinct)
+        out[_SIZE:] += _trigrams(c)
     return out
 
 
@@ -75,20 +77,24 @@ class Model:
         k = min(NEIGHBOURS, len(self.labels))
         for start in range(0, len(texts) if k else 0, BLOCK):
             x = np.array([features(t) for t in texts[start : start + BLOCK]])
-            some = x.any(1)
-            cos = self.embed(x) @ self.vectors.T
-            near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-            w = np.maximum(np.take_along_axis(cos, near, 1), 0.0) ** 8 + 1e-9
-            vote = (w * self.labels[near]).sum(1) / w.sum(1)
-            out[start : start + BLOCK] = np.where(some, vote, 0.0)
+            cos = np.round(self.embed(x) @ self.vectors.T, DECIMALS)
+            near = nearest(cos, k)
+            w = (np.maximum(cos, 0.0) ** 8 + 1e-9) * near
+            out[start : start + BLOCK] = np.where(x.any(1), (w @ self.labels) / w.sum(1), 0.0)
         return np.clip(out, 0.0, 1.0)
 
 
+def nearest(cos: np.ndarray, k: int) -> np.ndarray:
+    """Which columns of each row are its ``k`` largest; of equal ones the first."""
+    least = np.partition(cos, cos.shape[1] - k, axis=1)[:, cos.shape[1] - k, None]
+    above, equal = cos > least, cos == least
+    return above | equal & (np.cumsum(equal, axis=1) <= k - above.sum(1, keepdims=True))
+
+
 def weighted(x: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """TF-IDF rows: root frequencies times idf, each of the three parts scaled to its own length."""
-    out = np.sqrt(x)
-    out[:, : 2 * _SIZE] *= idf
-    for part, (a, b) in zip(PARTS, ((0, _SIZE), (_SIZE, 2 * _SIZE), (2 * _SIZE, WIDTH)), strict=True):
+    """TF-IDF rows: root frequencies times idf, each of the two parts scaled to its own length."""
+    out = np.sqrt(x, dtype=np.float64) * idf
+    for part, (a, b) in zip(PARTS, ((0, _SIZE), (_SIZE, WIDTH)), strict=True):
         out[:, a:b] *= part / np.maximum(np.linalg.norm(out[:, a:b], axis=1, keepdims=True), 1e-12)
     return out
 
@@ -96,11 +102,24 @@ def weighted(x: np.ndarray, idf: np.ndarray) -> np.ndarray:
 def latent_basis(x: np.ndarray, rank: int = RANK, seed: int = 5) -> np.ndarray:
     """Leading right singular vectors by randomised range finding with two power steps."""
     rng = np.random.default_rng(seed)
-    q = rng.standard_normal((x.shape[1], min(rank + 8, *x.shape))).astype(np.float32)
+    q = rng.standard_normal((x.shape[1], min(rank + 8, *x.shape)))
     for _ in range(3):
         q, _ = np.linalg.qr(x.T @ (x @ q))
     _, _, vt = np.linalg.svd(x @ q, full_matrices=False)
-    return (q @ vt.T)[:, :rank].astype(np.float32)
+    return (q @ vt.T)[:, :rank]
+
+
+def fit_sample(sample: list[tuple[int, int, np.ndarray, np.ndarray]], idf: np.ndarray) -> Model:
+    """Basis and labelled vectors from rows (label, key, places, counts), in any order; vectors stand in order of key."""
+    sample = sorted(sample, key=lambda r: (r[1], r[0], len(r[2]), r[2].tobytes(), r[3].tobytes()))
+    x = np.zeros((len(sample), WIDTH), np.float32)
+    for i, (_, _, at, n) in enumerate(sample):
+        x[i, at] = n
+    x = weighted(x, idf)
+    basis = latent_basis(x)
+    v = x @ basis
+    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    return Model(idf, basis, v, np.array([r[0] for r in sample], float))
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", label: str = "quality", train_rows: int = TRAIN_ROWS) -> Model:
@@ -108,25 +127,26 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id"
 
     Document frequencies count all documents of ``docs``, in one pass that also takes the counts of about
     ``train_rows`` labelled documents, picked by a hash of ``key``. Several labels of a key count as their mean,
-    rounded. Labels that are null don't count.
+    rounded. Labels or keys that are null don't count, nor do texts that are null, empty or blank. The bounded sample is
+    fitted in one task (``train_rows`` x ``WIDTH`` numbers); the driver gets basis and vectors.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & learn)
     n = known.count()
     cut = int(1e9 * min(1.0, train_rows / max(n, 1)))
     known = known.where(F.pmod(F.xxhash64(F.col(key), F.lit(4)), F.lit(1_000_000_000)) < F.lit(cut))
     known = known.groupBy(F.col(key).alias("k")).agg(F.round(F.avg(label)).cast("int").alias("label"))
-    picked = {r.k: r.label for r in known.limit(2 * train_rows).collect()}
-    shared = docs.sparkSession.sparkContext.broadcast(picked)
+    shared = spark.sparkContext.broadcast({r.k: r.label for r in known.limit(2 * train_rows).collect()})
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df = np.zeros(2 * _SIZE, np.int64)
+        df = np.zeros(WIDTH, np.int64)
         n = 0
         for batch in batches:
             out = []
             for k, text in zip(batch["k"], batch["text"], strict=True):
                 x = features(text)
-                df += x[: 2 * _SIZE] > 0
+                df += x > 0
                 n += bool(x.any())
                 if not pd.isna(k) and int(k) in shared.value and x.any():
                     at = np.flatnonzero(x)
@@ -139,32 +159,39 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id"
 
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("text"))
     got = materialize(rows.mapInPandas(count, "label int, k bigint, at array<int>, n array<bigint>"))
+    shared.destroy()
     sums = got.where("label is null").select(F.explode(F.arrays_zip("at", "n")).alias("x")).groupBy("x.at").agg(F.sum("x.n").alias("n"))
-    df, total = np.zeros(2 * _SIZE), 0
+    df, total = np.zeros(WIDTH), 0
     for r in sums.collect():  # one row for each place at most
         if r["at"] < 0:
             total = r["n"]
         else:
             df[r["at"]] = r["n"]
-    idf = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
-    sample = got.where("label is not null").limit(2 * train_rows).collect()
-    if not sample:
-        return Model(idf, np.zeros((WIDTH, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0))
-    sample.sort(key=lambda r: (r.k, r.label, len(r.at)))
-    x = np.zeros((len(sample), WIDTH), np.float32)
-    for i, r in enumerate(sample):
-        x[i, r["at"]] = r["n"]
-    basis = latent_basis(weighted(x, idf))
-    model = Model(idf, basis, np.zeros((0, basis.shape[1]), np.float32), np.zeros(0))
-    return Model(idf, basis, model.embed(x).astype(np.float32), np.array([r.label for r in sample], float))
+    idf = np.log((1 + total) / (1 + df)) + 1
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sample = [(int(r.label), int(r.k), r.at, r.n) for batch in batches for r in batch.itertuples(index=False)]
+        if sample:
+            model = fit_sample(sample, idf)
+            yield pd.DataFrame({"part": "basis", "i": range(WIDTH), "v": list(model.basis), "label": 0.0})
+            yield pd.DataFrame({"part": "vector", "i": range(len(sample)), "v": list(model.vectors), "label": model.labels})
+
+    sample = got.where("label is not null").limit(2 * train_rows)
+    fitted = sample.coalesce(1).mapInPandas(fit, "part string, i int, v array<double>, label double").toArrow()
+    if not fitted.num_rows:
+        return Model(idf, np.zeros((WIDTH, 1)), np.zeros((0, 1)), np.zeros(0))
+    fitted = fitted.to_pandas()
+    basis, vectors = (fitted[fitted["part"] == x].sort_values("i") for x in ("basis", "vector"))
+    return Model(idf, np.vstack(basis["v"].to_numpy()), np.vstack(vectors["v"].to_numpy()), vectors["label"].to_numpy())
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "quality_score") -> DataFrame:
     """``docs`` with ``out``: the similarity-weighted share of label 1 among the nearest labelled documents (0 to 1).
 
     Exact cosines to every labelled vector, in blocks of documents. Null, empty and blank texts score 0, as does
-    everything if no document is labelled. Ties among neighbours are broken by no rule but are the same in a rerun.
-    Repeated rows get equal answers; an empty table gives no rows; an extra column named ``out`` is replaced.
+    everything if no document is labelled. Neighbours rank by cosine, rounded to ``DECIMALS`` places, then by key. Very
+    long texts count in parts of ``CHUNK`` code points, whole. Repeated rows get equal answers; an empty table gives no
+    rows; an extra column named ``out`` is replaced.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
