@@ -20,6 +20,8 @@ TRAIN_ROWS = 8_000
 PER_LIST, MAX_LISTS, SUBSPACES, CODES, BLOCK = 400, 4096, 8, 64, 1024
 #: Vectors whose distances to all lists are held at once.
 PROBE_ROWS = 256
+#: What rounding to single precision can add to a distance of unit vectors, with room to spare.
+SLACK = 1e-5
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -62,8 +64,12 @@ class Index:
         """Distances of the centroids, (lists, lists); worked out once a process, a row at a time."""
         return np.array([np.sqrt(((self.centroids - c) ** 2).sum(1)) for c in self.centroids])
 
-    def pad(self, x: np.ndarray) -> np.ndarray:
-        return np.pad(x, ((0, 0), (0, self.centroids.shape[1] - x.shape[1])))
+    def stack(self, vectors: pd.Series) -> np.ndarray:
+        """Vectors as rows in double precision, filled up with zeros to the width of the centroids."""
+        out = np.zeros((len(vectors), self.centroids.shape[1]))
+        for row, v in zip(out, vectors, strict=True):
+            row[: len(v)] = v
+        return out
 
     def probes(self, x: np.ndarray) -> list[np.ndarray]:
         """Lists to search for each unit vector, its own first.
@@ -84,32 +90,24 @@ class Index:
     def encode(self, x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the residuals to the vectors' lists, and the distance between vector and decoded vector."""
         parts = (x - self.centroids[own]).reshape(len(x), SUBSPACES, -1)
-        d = ((parts[:, :, None, :] - self.books[None]) ** 2).sum(3)
-        codes = d.argmin(2)
-        return codes.astype(np.uint8), np.sqrt(np.take_along_axis(d, codes[:, :, None], 2)[:, :, 0].sum(1))
+        codes, error = np.zeros((len(x), SUBSPACES), np.uint8), np.zeros(len(x))
+        for s in range(SUBSPACES):
+            d = (parts[:, s] ** 2).sum(1)[:, None] - 2 * parts[:, s] @ self.books[s].T + (self.books[s] ** 2).sum(1)
+            codes[:, s] = d.argmin(1)
+            error += ((parts[:, s] - self.books[s][codes[:, s]]) ** 2).sum(1)
+        return codes, np.sqrt(error)
+
+    def near(self, q: np.ndarray, at: int, codes: np.ndarray, error: np.ndarray) -> np.ndarray:
+        """Which coded vectors of list ``at`` may be linked with each exact query: asymmetric distances summed from lookup tables.
 
-    def distances(self, q: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
-        """Asymmetric distances of exact queries to coded vectors of list ``at``, summed from lookup tables."""
+        A vector lies within its error of the decoded one, so no link is lost.
+        """
         parts = (q - self.centroids[at]).reshape(len(q), SUBSPACES, -1)
-        tables = ((parts[:, :, None, :] - self.books[None]) ** 2).sum(3)
         total = np.zeros((len(q), len(codes)))
         for s in range(SUBSPACES):
-            total += tables[:, s][:, codes[:, s]]
-        return np.sqrt(total)
-
-
-def _linked(index: Index, q: pd.DataFrame, b: pd.DataFrame, at: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (query, base) of linked pairs of one list: table lookups, then exact cosines of what is left."""
-    qx, bx = index.pad(np.vstack(q["v"].to_numpy())), index.pad(np.vstack(b["v"].to_numpy()))
-    codes, error = index.encode(bx, np.full(len(bx), at))
-    i, j = np.nonzero(index.distances(qx, at, codes) <= index.reach + error[None, :] + 1e-9)
-    if not i.size:
-        return i, j
-    hit = np.zeros(i.size, bool)
-    for s in range(0, i.size, 1 << 15):
-        k = slice(s, s + (1 << 15))
-        hit[k] = np.einsum("ij,ij->i", qx[i[k]], bx[j[k]]) >= cosine
-    return i[hit], j[hit]
+            table = ((parts[:, s, None, :] - self.books[s]) ** 2).sum(2)
+            total += table[:, codes[:, s]]
+        return total <= (self.reach + error[None, :] + SLACK) ** 2
 
 
 def _star(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -139,12 +137,15 @@ def link_vectors(
     ``cosine``. ``n_links`` counts the other rows linked directly; ``component_id`` is the least vec_id reachable by
     links, the row's own included; ``kept`` marks it. Vectors that are null, empty or zero, or hold null, NaN or
     infinite components, and those without label, link with nothing. Rows with equal label and components are one
-    class, compared once and counted as often as they occur. Rows with a null vec_id link with nothing.
-
-    Every class is put into the list of its nearest centroid and searches the lists within a proven margin, so
-    recall is complete (``Index.probes``). Lists are cut into blocks of ``BLOCK`` vectors by hash, and a task sees one
-    block of queries and one of coded vectors, however hot a list is; it returns a count for each query and a star
-    for each component, never the pairs.
+    class, compared once and counted as often as they occur. Rows with a null vec_id link with nothing and are kept. A
+    vec_id that occurs with several vectors names a row of its own each time. An empty table gives no rows; extra columns
+    are ignored.
+
+    Every class is put into the list of its nearest centroid, coded once with its error, and searches the lists within a
+    proven margin, so recall is complete (``Index.probes``). Lists are cut into blocks of ``BLOCK`` vectors by hash, and a
+    task sees one block of queries and one of codes, however hot a list is. The table lookups leave the few vectors that
+    may be linked; these alone fetch their exact components, block by block, for the cosines. A task returns a count for
+    each query and a star for each component, never the pairs.
     """
     spark = vectors.sparkSession
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
@@ -156,10 +157,15 @@ def link_vectors(
     # scaled by the largest component first, so that squares neither vanish nor overflow
     rows = rows.withColumn("v", F.when(F.coalesce(fine, F.lit(False)), F.transform("v", lambda x: x / largest)))
     rows = materialize(rows.withColumn("v", F.when(F.col("v").isNotNull(), F.transform("v", lambda x: x / F.sqrt(norm2)))))
-    classes = rows.where("v is not null").groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("m"))
+    classes = rows.where("v is not null").groupBy("label", "v").agg(F.min("vec_id").alias("vec"), F.count("*").alias("m"))
+    classes = materialize(classes.withColumn("h", F.xxhash64("label", "v")))
+    # of the classes that share their least vec_id all but one are nodes under a number of their own
+    twice = classes.groupBy(F.col("vec").alias("vec2")).agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi")
+    node = F.when(F.col("lo").isNull() | (F.col("h") == F.col("lo")), F.col("vec")).otherwise(F.shiftright("h", 2) + F.lit(1 << 62))
+    classes = classes.join(twice, F.col("vec") == F.col("vec2"), "left").select("label", "v", "vec", "m", node.alias("id"))
     classes = materialize(classes)
     lone = rows.where("v is null").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
-    n, dims = classes.agg(F.count("*"), F.max(F.size("v"))).first()
+    n, dims = classes.agg(F.count("*"), F.max(F.size("v"))).first()  # vectors of other lengths are filled up with zeros
     if not n:
         return lone.withColumn("kept", F.lit(True))
     cut = int(1e9 * min(1.0, train_rows / n))
@@ -171,54 +177,75 @@ def link_vectors(
     lists = int(min(MAX_LISTS, max(1, n // PER_LIST), len(x)))
     shared = spark.sparkContext.broadcast(Index.fit(x[np.lexsort(x.T)], lists, cosine))
 
-    @F.pandas_udf("array<int>")
-    def probes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("probes array<int>, codes binary, error double")
+    def place(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        index = shared.value
         for batch in batches:
-            dim = shared.value.centroids.shape[1]
-            yield pd.Series(shared.value.probes(np.array([np.pad(v, (0, dim - len(v))) for v in batch])), dtype=object)
+            x = index.stack(batch)
+            lists = index.probes(x)
+            codes, error = index.encode(x, np.array([p[0] for p in lists], int))
+            yield pd.DataFrame({"probes": lists, "codes": [c.tobytes() for c in codes], "error": error})
 
-    placed = materialize(classes.withColumn("d", F.size("v")).withColumn("probes", probes("v")))
+    placed = classes.withColumn("d", F.size("v")).withColumn("p", place("v")).select("label", "v", "vec", "m", "id", "d", "p.*")
+    placed = materialize(placed)
     asks = placed.select("label", "d", F.posexplode("probes").alias("pos", "at"))
     counts = asks.groupBy("label", "d", "at").agg(F.sum((F.col("pos") == 0).cast("long")).alias("nb"), F.count("*").alias("nq"))
-    counts = counts.where("nb > 0").withColumns({c: F.ceil(F.col(c) / BLOCK).cast("int") for c in ("nb", "nq")})
-    cell = ["label", "d", "at"]
+    counts = counts.where("nb > 0 and nq > 1").withColumns({c: F.ceil(F.col(c) / BLOCK).cast("int") for c in ("nb", "nq")})
+    list_key, cell = ["label", "d", "at"], ["label", "d", "at", "bb", "qb"]
     block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    base = placed.withColumn("at", F.element_at("probes", 1)).join(counts, cell)
-    base = base.select(*cell, block("nb").alias("bb"), every("nq").alias("qb"), F.lit(True).alias("base"), "id", "m", "v", "probes")
-    query = placed.withColumn("at", F.explode("probes")).join(counts, cell)
-    query = query.select(*cell, every("nb").alias("bb"), block("nq").alias("qb"), F.lit(False).alias("base"), "id", "m", "v", "probes")
+    base = placed.select("label", "d", F.element_at("probes", 1).alias("at"), "id", "codes", "error").join(counts, list_key)
+    base = base.select(*list_key, block("nb").alias("bb"), every("nq").alias("qb"), F.lit(True).alias("base"), "id", "codes", "error", F.lit(None).cast("array<float>").alias("q"))
+    query = placed.select("label", "d", F.explode("probes").alias("at"), "id", F.col("v").cast("array<float>").alias("q")).join(counts, list_key)
+    query = query.select(*list_key, every("nb").alias("bb"), block("nq").alias("qb"), F.lit(False).alias("base"), "id", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("error"), "q")
+
+    def look(group: pd.DataFrame) -> pd.DataFrame:
+        index, base = shared.value, group["base"].to_numpy()
+        b, q = group[base], group[~base]
+        kept = np.zeros(len(group), bool)
+        if len(b) and len(q):
+            codes = np.frombuffer(b"".join(b["codes"]), np.uint8).reshape(len(b), SUBSPACES)
+            near = index.near(index.stack(q["q"]), int(group["at"].iloc[0]), codes, b["error"].to_numpy())
+            near &= q["id"].to_numpy()[:, None] != b["id"].to_numpy()[None, :]
+            kept[np.flatnonzero(base)], kept[np.flatnonzero(~base)] = near.any(0), near.any(1)
+        return group.loc[kept, [*cell, "base", "id"]]
+
+    left = base.unionByName(query).groupBy(*cell).applyInPandas(look, base.select(*cell, "base", "id").schema)
+    left = materialize(left)
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
-        at = int(group["at"].iloc[0])
+        index, at = shared.value, int(group["at"].iloc[0])
         b, q = group[group["base"]], group[~group["base"]]
         out: list[tuple[int, int, int | None]] = []
-        if len(b) and len(q):
-            i, j = _linked(shared.value, q, b, at, cosine)
-            qi, bi = q["id"].to_numpy()[i], b["id"].to_numpy()[j]
-            i, j, qi, bi = (z[qi != bi] for z in (i, j, qi, bi))
-            if i.size:
-                ids, where = np.unique(qi, return_inverse=True)
-                sums = np.bincount(where, weights=b["m"].to_numpy()[j])
-                count = {int(k): int(c) for k, c in zip(ids, sums, strict=True)}
-                # the other direction counts here only where that vector doesn't search this query's own list
-                searched = np.zeros((len(b), len(shared.value.centroids)), bool)
-                for row, p in enumerate(b["probes"]):
-                    searched[row, p] = True
-                own = np.array([p[0] for p in q["probes"]])[i]
-                on = (own != at) & ~searched[j, own]
-                ids, where = np.unique(bi[on], return_inverse=True)
-                for k, c in zip(ids, np.bincount(where, weights=q["m"].to_numpy()[i[on]]), strict=True):
-                    count[int(k)] = count.get(int(k), 0) + int(c)
-                out += [(k, c, None) for k, c in count.items()]
-                out += [(a, 0, r) for a, r in _star(qi, bi)]
+        i, j = np.nonzero(index.stack(q["v"]) @ index.stack(b["v"]).T >= cosine)
+        qi, bi = q["id"].to_numpy()[i], b["id"].to_numpy()[j]
+        i, j, qi, bi = (z[qi != bi] for z in (i, j, qi, bi))
+        if i.size:
+            ids, where = np.unique(qi, return_inverse=True)
+            sums = np.bincount(where, weights=b["m"].to_numpy()[j])
+            count = {int(k): int(c) for k, c in zip(ids, sums, strict=True)}
+            # the other direction counts here only where that vector doesn't search this query's own list
+            searched = np.zeros((len(b), len(index.centroids)), bool)
+            for row, p in enumerate(b["probes"]):
+                searched[row, p] = True
+            own = np.array([p[0] for p in q["probes"]])[i]
+            on = (own != at) & ~searched[j, own]
+            ids, where = np.unique(bi[on], return_inverse=True)
+            for k, c in zip(ids, np.bincount(where, weights=q["m"].to_numpy()[i[on]]), strict=True):
+                count[int(k)] = count.get(int(k), 0) + int(c)
+            out += [(k, c, None) for k, c in count.items()]
+            out += [(a, 0, r) for a, r in _star(qi, bi)]
         return pd.DataFrame(out, columns=["id", "n", "root"]).astype({"id": "int64", "n": "int64", "root": "Int64"})
 
-    found = base.unionByName(query).groupBy(*cell, "bb", "qb").applyInPandas(search, "id bigint, n bigint, root bigint")
-    found = materialize(found)
+    exact = left.join(placed.select("id", "v", "m", "probes"), "id").groupBy(*cell).applyInPandas(search, "id bigint, n bigint, root bigint")
+    found = materialize(exact)
     roots = components(found.where("root is not null").select(F.col("id").alias("a"), F.col("root").alias("b")))
     sums = found.groupBy("id").agg(F.sum("n").alias("n"))
-    per = classes.join(sums, "id", "left").join(roots, F.col("id") == F.col("node"), "left").select(
-        F.col("label").alias("l"), F.col("v").alias("w"), (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
+    ids = classes.select("id", "vec", "m")
+    named = ids.join(roots, F.col("id") == F.col("node"), "left").select("id", "vec", "m", F.coalesce("root", "id").alias("root"))
+    least = named.groupBy(F.col("root").alias("r")).agg(F.min("vec").alias("component_id"))
+    per = named.join(least, F.col("root") == F.col("r")).join(sums, "id", "left")
+    per = per.select("id", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), "component_id")
+    per = classes.select("id", F.col("label").alias("l"), F.col("v").alias("w")).join(per, "id")
     linked = rows.where("v is not null").join(per, (F.col("label") == F.col("l")) & (F.col("v") == F.col("w"))).select("vec_id", "n_links", "component_id")
     return linked.unionByName(lone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
