@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.shared import materialize
 
-#: The per-source table is broadcast up to this many rows (about 100 bytes each), joined by shuffle beyond.
+#: The per-source table is broadcast up to this many rows (about 200 bytes each), joined by shuffle beyond.
 MAX_BROADCAST_SOURCES = 20_000
-#: Series of draws that a source chooses from.
-SEEDS = 16
+#: Seed of the documents' coins, and the values that a coin has.
+SEED, STEPS = 0, 4096
+#: A document is of a later tier for each of these multiples of its source's mean size that it is smaller than.
+TIERS = (4.0, 2.0, 1.0, 0.5, 0.25)
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -19,60 +21,86 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def ranked(per: DataFrame, by: str) -> DataFrame:
+    """``per`` with ``rank`` from 1 in order of ``by``, null last: ranges are ranked apart and moved by what comes before."""
+    n = int(per.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = materialize(per.repartitionByRange(n, F.col(by).asc_nulls_last()).withColumn("__range", F.spark_partition_id()))
+    counts = rows.groupBy("__range").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))  # one row for each range
+    counts = counts.select("__range", F.coalesce(before, F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(F.col(by).asc_nulls_last()))
+    return rows.join(F.broadcast(counts), "__range").withColumn("rank", own + F.col("before")).drop("__range", "before")
+
+
 def source_targets(
     sized: DataFrame, source: str = "source", size: str = "size", weights: tuple[int, ...] = (3, 1, 2),
     share: float = 1.5, cap: float = 2.0,
 ) -> DataFrame:
-    """One row per source: its size, weight, target and repetition rate.
+    """One row per source: its documents, size, weight, target and repetition rate.
 
     Sources in code-point order (null last) take the weights in turn and share ``share`` times all sizes. A target
     stops at ``cap`` times its source's size; the excess is shared anew by weight until none is above. That is the
-    level L with sum(min(cap * size, L * weight)) = total, found with running sums over the sources ordered by
-    size/weight: the first source whose level stays under its own cap fixes L. Works on one row per source only.
+    level L with sum(min(cap * size, L * weight)) = total: it rises from total / all weights as the sources that
+    would be above their cap leave, round by round, and each round is one aggregate over the sources.
     """
-    per = sized.groupBy(source).agg(F.sum(size).alias("source_size"))
-    turn = F.row_number().over(Window.orderBy(F.col(source).asc_nulls_last()))
-    per = per.withColumn("rank", turn)
+    per = ranked(sized.groupBy(source).agg(F.sum(size).alias("source_size"), F.count("*").alias("n_docs")), source)
     picks = F.array(*[F.lit(float(w)) for w in weights])
     per = per.withColumn("weight", F.element_at(picks, ((F.col("rank") - 1) % len(weights) + 1).cast("int")))
-    per = per.withColumn("limit", F.col("source_size") * F.lit(cap)).withColumn("ratio", F.col("limit") / F.col("weight"))
-    everything = Window.partitionBy()
-    before = Window.orderBy("ratio", "rank").rowsBetween(Window.unboundedPreceding, -1)
-    total = F.sum("source_size").over(everything) * F.lit(share)
-    left = total - F.coalesce(F.sum("limit").over(before), F.lit(0.0))
-    weight = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    per = per.withColumn("level", left / weight)
-    fixed = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "rank", "level"))).over(everything)
-    per = per.withColumn("water", fixed["level"])
-    target = F.when(F.col("water").isNull(), F.col("limit")).otherwise(F.least("limit", F.col("water") * F.col("weight")))
-    per = per.withColumn("target", target.cast("double"))
+    per = materialize(per.withColumn("limit", F.col("source_size") * F.lit(cap)))
+    total = float(per.agg(F.sum("source_size")).first()[0] or 0) * share
+    level, capped = 0.0, -1
+    while True:
+        full = F.col("limit") < F.lit(level) * F.col("weight")
+        n, full_size, open_weight = per.agg(F.count_if(full), F.sum(F.when(full, F.col("limit"))), F.sum(F.when(~full, F.col("weight")))).first()
+        if n == capped:
+            break
+        capped, level = n, (total - (full_size or 0.0)) / open_weight if open_weight else float("inf")
+    target = F.least("limit", F.lit(level) * F.col("weight")).cast("double")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    return per.select(source, "source_size", "weight", "target", rate.alias("rate"))
+    return per.withColumn("target", target).select(source, "n_docs", "source_size", "weight", "target", rate.alias("rate"))
 
 
-def coin(key: Column, seed: Column | int = 0) -> Column:
-    """A uniform number in [0, 1) from 52 bits of md5 over seed and key; the same seed and key always draw the same."""
-    seed = seed if isinstance(seed, Column) else F.lit(seed)
-    text = F.concat(seed.cast("string"), F.lit(":"), F.coalesce(key.cast("string"), F.lit("")))
-    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
+def coin(key: Column, text: Column, seed: int = SEED) -> Column:
+    """A whole number from 0 to ``STEPS`` - 1: 12 bits of md5 over seed, key and digest of the text; the same ones always draw the same."""
+    said = F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit(""))))
+    return F.conv(F.substring(F.md5(said), 1, 3), 16, 10).cast("int")
 
 
-def _copies(rate: Column, u: Column) -> Column:
-    return F.floor(rate) + (u < rate - F.floor(rate)).cast("long")
+def _tier(size: Column, n: Column, total: Column) -> Column:
+    """How many of TIERS x the mean size of the source the document is smaller than."""
+    out = F.lit(0)
+    for c in TIERS:
+        out = out + (size * n < F.lit(c) * total).cast("int")
+    return out
 
 
-def pick_seeds(sized: DataFrame, per: DataFrame, seeds: int = SEEDS) -> DataFrame:
-    """``per`` with ``seed``: of ``seeds`` seeds, the one whose draws bring the source's words nearest to its target.
+def draw_cuts(sized: DataFrame, per: DataFrame) -> DataFrame:
+    """``per`` with ``cuts``: for each tier of sizes, the coins below which a document gets its extra copy.
 
-    Each draw stays a Bernoulli draw with the fraction as its probability; the choice only tells series of draws apart
-    that came out well from those that didn't. Sums are partial per task, so a hot source is spread.
+    The largest documents draw with the fraction of the rate as it is. Each later tier's probability is what the
+    target still lacks over the words of this tier and the later ones. Its mean over the coins drawn before is the
+    fraction again, so every document has its copy with that probability (but for the rounding to 1 / ``STEPS``, and
+    where the large documents went so far that 0 or 1 bounds what is left), while what one tier draws too much the
+    smaller documents make good. Coins of a source are summed by tier and coin first: its row in the end gathers
+    ``STEPS`` sums a tier at most, however hot the source.
     """
-    both = sized.join(per, sized["source"].eqNullSafe(per["source"]), "left").select(per["source"], "key", "size", "rate", "target")
-    sums = both.groupBy("source", "target").agg(*[
-        F.sum(F.col("size") * _copies(F.col("rate"), coin(F.col("key"), k))).alias(f"w{k}") for k in range(seeds)])
-    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"w{k}") - F.col("target")).alias("off"), F.lit(k).alias("seed")) for k in range(seeds)]))
-    found = sums.select(F.col("source").alias("s"), best["seed"].alias("seed"))
-    return per.join(found, per["source"].eqNullSafe(found["s"])).drop("s")
+    both = sized.join(per, sized["source"].eqNullSafe(per["source"])).select(
+        per["source"], "coin", "size", _tier(F.col("size"), F.col("n_docs"), F.col("source_size")).alias("tier"))
+    sums = both.groupBy("source", "tier", "coin").agg(F.sum("size").alias("w"))
+    drawn = sums.groupBy(F.col("source").alias("s")).agg(F.collect_list(F.struct("tier", "coin", "w")).alias("h"))
+    words = lambda keep: F.aggregate(F.filter("h", keep), F.lit(0).cast("long"), lambda acc, x: acc + x["w"])
+    extra = F.col("target") - F.floor("rate") * F.col("source_size")
+
+    def step(acc: Column, t: Column) -> Column:
+        rest = words(lambda x: x["tier"] >= t)
+        p = F.when(rest > 0, F.least(F.greatest((extra - acc["taken"]) / rest, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+        cut = F.floor(p * STEPS).cast("int")
+        taken = words(lambda x: (x["tier"] == t) & (x["coin"] < cut))
+        return F.struct((acc["taken"] + taken).alias("taken"), F.concat(acc["cuts"], F.array(cut)).alias("cuts"))
+
+    start = F.struct(F.lit(0).cast("long").alias("taken"), F.array().cast("array<int>").alias("cuts"))
+    cuts = F.aggregate(F.sequence(F.lit(0), F.lit(len(TIERS))), start, step)["cuts"]
+    return per.join(drawn, per["source"].eqNullSafe(drawn["s"])).withColumn("cuts", cuts).drop("s", "h")
 
 
 def mix(
@@ -82,24 +110,27 @@ def mix(
     """Every document with its copies in the mix: all columns of ``docs`` and ``mix`` (size, source_size, target, rate, copies).
 
     A document of a source with rate r is emitted floor(r) times and once more if its hash-seeded coin is under the
-    fraction of r, so the decision needs neither a shuffle of the texts nor a sort inside a hot source; only word
-    counts are summed per source, with partial sums first. See ``pick_seeds`` for the seed of a source.
+    cut of its size (``draw_cuts``), so the decision needs neither a shuffle of the texts nor a sort inside a hot
+    source; only word counts are summed per source, with partial sums first.
 
-    Null or empty texts have size 0. A null source is a source of its own, the last. Repeated keys draw the same
-    coin. Sources without words have target and rate 0. An empty frame gives no rows. Extra columns are kept.
+    Null or empty texts have size 0. A null source is a source of its own, the last. Rows with equal key and text draw
+    the same coin, null keys by their texts. Sources without words have target and rate 0. An empty frame gives no
+    rows. Extra columns are kept; one named ``mix`` is replaced.
     """
-    sized = docs.select(F.col(source).alias("source"), F.col(key).alias("key"), word_count(F.col(text)).alias("size"))
+    sized = docs.select(F.col(source).alias("source"), coin(F.col(key), F.col(text)).alias("coin"), word_count(F.col(text)).alias("size"))
     sized = materialize(sized)
     per = materialize(source_targets(sized, weights=weights, share=share, cap=cap))
     small = per.count() <= MAX_BROADCAST_SOURCES
-    per = materialize(pick_seeds(sized, F.broadcast(per) if small else per))
-    per = per.select(F.struct(F.col("source").alias("s"), "source_size", "target", "rate", "seed").alias("__per"))
+    per = materialize(draw_cuts(sized, F.broadcast(per) if small else per))
+    per = per.select(F.struct(F.col("source").alias("s"), "n_docs", "source_size", "target", "rate", "cuts").alias("__per"))
     per = F.broadcast(per) if small else per
     out = docs.withColumn("__size", word_count(F.col(text))).join(per, F.col(source).eqNullSafe(F.col("__per.s")), "left")
-    rate = F.coalesce(F.col("__per.rate"), F.lit(0.0))
+    rate, size = F.coalesce(F.col("__per.rate"), F.lit(0.0)), F.col("__size")
+    cut = F.col("__per.cuts")[_tier(size, F.col("__per.n_docs"), F.col("__per.source_size"))]
+    copies = F.floor(rate) + F.coalesce((coin(F.col(key), F.col(text)) < cut).cast("long"), F.lit(0))
     return out.withColumn("mix", F.struct(
-        F.col("__size").alias("size"), F.col("__per.source_size").alias("source_size"), F.col("__per.target").alias("target"),
-        rate.alias("rate"), _copies(rate, coin(F.col(key), F.col("__per.seed"))).alias("copies"),
+        size.alias("size"), F.col("__per.source_size").alias("source_size"), F.col("__per.target").alias("target"),
+        rate.alias("rate"), copies.alias("copies"),
     )).drop("__size", "__per")
 
 

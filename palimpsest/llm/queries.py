@@ -134,25 +134,38 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM c GROUP BY conv_id
 """
 
+_TIER_SQL = " + ".join(f"(size * n_docs < {c}::DOUBLE * source_size)::INT" for c in mixing.TIERS)
+
+
+def _cut_sql(t: int) -> str:
+    """CTEs p{t}, w{t}: the cut of one tier of sizes and the words that are taken up to it."""
+    said = f"w{t - 1}" if t else "(SELECT source, source_size, target, rate, 0::BIGINT AS taken FROM rates)"
+    return f"""p{t} AS (SELECT s.source, s.source_size, s.target, s.rate, s.taken, coalesce(r.w, 0) AS rest,
+    CASE WHEN coalesce(r.w, 0) > 0 THEN floor(least(greatest((s.target - floor(s.rate) * s.source_size - s.taken) / r.w, 0.0), 1.0) * {mixing.STEPS})::INT ELSE 0 END AS cut
+  FROM {said} s LEFT JOIN (SELECT source, sum(size)::BIGINT AS w FROM drawn WHERE tier >= {t} GROUP BY 1) r ON s.source IS NOT DISTINCT FROM r.source),
+w{t} AS (SELECT p.source, p.source_size, p.target, p.rate, p.taken + coalesce((SELECT sum(d.size) FROM drawn d WHERE d.source IS NOT DISTINCT FROM p.source AND d.tier = {t} AND d.coin < p.cut), 0)::BIGINT AS taken FROM p{t} p)"""
+
+
 _MIX_SQL = r"""
-WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
-per AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY 1),
+WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    ('0x' || substr(md5('SEED:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 3))::INT AS coin FROM documents),
+per AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n_docs FROM sized GROUP BY 1),
 ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS r FROM per),
 weighed AS (SELECT *, ([3.0, 1.0, 2.0])[((r - 1) % 3 + 1)::INT]::DOUBLE AS w, source_size * 2.0::DOUBLE AS cap FROM ranked),
 level AS (SELECT *, cap / w AS ratio,
     ((sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS lv
   FROM weighed WINDOW b AS (ORDER BY cap / w, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 water AS (SELECT arg_min(lv, ratio * 1.0) AS lv FROM (SELECT * FROM level WHERE lv <= ratio ORDER BY ratio, r LIMIT 1)),
-targets AS (SELECT source, source_size, CASE WHEN water.lv IS NULL THEN cap ELSE least(cap, water.lv * w) END AS target FROM level LEFT JOIN water ON TRUE),
-rates AS (SELECT source, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM targets),
-coins AS (SELECT d.doc_id, d.source, d.size, k.seed, t.source_size, t.target, t.rate,
-    ('0x' || substr(md5(k.seed::VARCHAR || ':' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
-  FROM sized d JOIN rates t ON d.source IS NOT DISTINCT FROM t.source CROSS JOIN (SELECT unnest(range(16)) AS seed) k),
-drawn AS (SELECT *, (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM coins),
-best AS (SELECT source, seed FROM (
-    SELECT source, seed, row_number() OVER (PARTITION BY source ORDER BY abs(sum(taken) - any_value(target)), seed) AS r FROM drawn GROUP BY source, seed) WHERE r = 1)
-SELECT d.doc_id, d.size, d.source_size, d.target, d.taken FROM drawn d JOIN best b ON d.source IS NOT DISTINCT FROM b.source AND d.seed = b.seed
-"""
+targets AS (SELECT source, n_docs, source_size, CASE WHEN water.lv IS NULL THEN cap ELSE least(cap, water.lv * w) END AS target FROM level LEFT JOIN water ON TRUE),
+rates AS (SELECT source, n_docs, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM targets),
+drawn AS (SELECT d.doc_id, d.source, d.size, d.coin, t.source_size, t.target, t.rate, TIER AS tier
+  FROM sized d JOIN rates t ON d.source IS NOT DISTINCT FROM t.source),
+CUTS,
+cuts AS (ALL_CUTS)
+SELECT d.doc_id, d.size, d.source_size, d.target, (d.size * (floor(d.rate) + (d.coin < c.cut)::INT))::BIGINT AS taken
+FROM drawn d JOIN cuts c ON d.source IS NOT DISTINCT FROM c.source AND d.tier = c.tier
+""".replace("SEED", str(mixing.SEED)).replace("TIER", _TIER_SQL).replace("ALL_CUTS", " UNION ALL ".join(
+    f"SELECT source, {t} AS tier, cut FROM p{t}" for t in range(len(mixing.TIERS) + 1))).replace("CUTS", ", ".join(map(_cut_sql, range(len(mixing.TIERS) + 1))))
 
 _LINK_SQL = """
 WITH RECURSIVE ok AS (
