@@ -120,11 +120,29 @@ def calibrate(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
+def fit_sample(sample: list[tuple[str, int, np.ndarray, np.ndarray]], idf: np.ndarray, bits: int = BITS) -> tuple[list[str], np.ndarray, np.ndarray, float]:
+    """Languages, weights, biases and temperature from rows (language, fold, places, counts), in any order.
+
+    Fold 0 of five is held back for the temperature, the others fit the weights.
+    """
+    langs = sorted({r[0] for r in sample})
+    index = {x: i for i, x in enumerate(langs)}
+    sample = sorted(sample, key=lambda r: (r[0], r[1], len(r[2]), int(np.sum(r[3])), r[2].tobytes()))
+    data = [(np.asarray(at, np.int32), _unit(np.asarray(n, float), idf[at]), index[lang], part) for lang, part, at, n in sample]
+    w, bias = fit_ftrl([x[:3] for x in data if x[3]] or [x[:3] for x in data], 1 << bits, len(langs))
+    held = [x for x in data if not x[3]]
+    logits = np.array([v @ w[a] + bias for a, v, _, _ in held]).reshape(len(held), len(langs))
+    return langs, w, bias, calibrate(logits, np.array([x[2] for x in held], int))
+
+
 def train(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", train_rows: int = TRAIN_ROWS, bits: int = BITS) -> Model:
     """Fit on the rows of ``docs`` for which ``learn`` holds and text and language are not null.
 
     Document frequencies count all these rows, in one pass that also takes the n-gram counts of about ``train_rows``
-    rows, picked by a hash of ``key``; four fifths of them fit the weights, one fifth the temperature.
+    rows, picked by a hash of ``key``; four fifths of them fit the weights, one fifth the temperature. That bounded
+    sample is fitted in one task (at most 2 x ``train_rows`` x 2**``bits`` places and counts, however long the texts);
+    the driver sees document frequencies and weights, never texts or rows of the sample. Rows whose key is null fall
+    into one hash and are learned from or not as one.
     """
     small_batches(docs.sparkSession)
     base = docs.where(learn & F.col(text).isNotNull() & F.col(lang).isNotNull())
@@ -151,23 +169,31 @@ def train(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
         if at.size:
             yield pd.DataFrame([(None, None, at.astype(np.int32), df[at])], columns=["lang", "part", "at", "n"])
 
-    got = materialize(rows.mapInPandas(count, "lang string, part bigint, at array<int>, n array<bigint>"))
+    got = materialize(rows.mapInPandas(count, "lang string, part bigint, at array<int>, n array<int>"))
     df = np.zeros(1 << bits)
     sums = got.where("lang is null").select(F.explode(F.arrays_zip("at", "n")).alias("x")).groupBy("x.at").agg(F.sum("x.n").alias("n"))
     for r in sums.collect():  # one row for each of 2**bits places at most
         df[r["at"]] = r["n"]
     idf = np.log((1 + n) / (1 + df)) + 1
-    sample = got.where("lang is not null").limit(2 * train_rows).collect()
-    langs = sorted({r.lang for r in sample})
-    index = {x: i for i, x in enumerate(langs)}
-    sample.sort(key=lambda r: (r.lang, r.part, len(r.at), sum(r.n)))
-    data = [(np.array(r.at), _unit(np.array(r.n), idf[np.array(r.at, int)]) if r.at else np.zeros(0), index[r.lang], r.part) for r in sample]
-    data = [(a.astype(int), v, y, part) for a, v, y, part in data]
-    fit = [x[:3] for x in data if x[3]] or [x[:3] for x in data]
-    w, bias = fit_ftrl(fit, 1 << bits, len(langs))
-    held = [x for x in data if not x[3]]
-    logits = np.array([v @ w[a] + bias for a, v, _, _ in held]).reshape(len(held), len(langs))
-    return Model(langs, idf, w, bias, calibrate(logits, np.array([x[2] for x in held], int)), bits)
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sample = [(r.lang, r.part, r.at, r.n) for batch in batches for r in batch.itertuples(index=False)]
+        if sample:
+            langs, weights, bias, temperature = fit_sample(sample, idf, bits)
+            places = [np.flatnonzero(weights[:, k]) for k in range(len(langs))]
+            yield pd.DataFrame({
+                "lang": langs, "bias": bias, "temperature": temperature, "at": [p.astype(np.int32) for p in places],
+                "w": [weights[p, k] for k, p in enumerate(places)],
+            })
+
+    # one task holds the bounded sample; the driver gets the weights only
+    sample = got.where("lang is not null").limit(2 * train_rows)
+    fitted = sample.coalesce(1).mapInPandas(fit, "lang string, bias double, temperature double, at array<int>, w array<double>").collect()
+    fitted.sort(key=lambda r: r.lang)
+    w = np.zeros((1 << bits, len(fitted)))
+    for k, r in enumerate(fitted):
+        w[r["at"], k] = r["w"]
+    return Model([r.lang for r in fitted], idf, w, np.array([r.bias for r in fitted]), fitted[0].temperature if fitted else 1.0, bits)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", out: str = "lang_id") -> DataFrame:
