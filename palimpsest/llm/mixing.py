@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import materialize
+from palimpsest.llm.shared import Scratch, materialize
 
 #: The per-source table is broadcast up to this many rows (about 200 bytes each), joined by shuffle beyond.
 MAX_BROADCAST_SOURCES = 20_000
@@ -87,27 +87,29 @@ def draw_cuts(sized: DataFrame, per: DataFrame) -> DataFrame:
     both = sized.join(per, sized["source"].eqNullSafe(per["source"])).select(
         per["source"], "coin", "size", _tier(F.col("size"), F.col("n_docs"), F.col("source_size")).alias("tier"))
     sums = both.groupBy("source", "tier", "coin").agg(F.sum("size").alias("w"))
-    drawn = sums.groupBy(F.col("source").alias("s")).agg(F.collect_list(F.struct("tier", "coin", "w")).alias("h"))
-    words = lambda keep: F.aggregate(F.filter("h", keep), F.lit(0).cast("long"), lambda acc, x: acc + x["w"])
-    extra = F.col("target") - F.floor("rate") * F.col("source_size")
+    tiers = sums.groupBy("source", "tier").agg(F.sum("w").alias("words"), F.collect_list(F.struct("coin", "w")).alias("coins"))
+    drawn = tiers.groupBy(F.col("source").alias("s")).agg(F.sort_array(F.collect_list(F.struct("tier", "words", "coins"))).alias("tiers"))
 
     def step(acc: Column, t: Column) -> Column:
-        rest = words(lambda x: x["tier"] >= t)
-        p = F.when(rest > 0, F.least(F.greatest((extra - acc["taken"]) / rest, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
-        cut = F.floor(p * STEPS).cast("int")
-        taken = words(lambda x: (x["tier"] == t) & (x["coin"] < cut))
-        return F.struct((acc["taken"] + taken).alias("taken"), F.concat(acc["cuts"], F.array(cut)).alias("cuts"))
+        p = F.when(acc["rest"] > 0, F.least(F.greatest((acc["lack"] - acc["taken"]) / acc["rest"], F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+        words = lambda cut: F.aggregate(F.filter(t["coins"], lambda x: x["coin"] < cut), F.lit(0).cast("long"), lambda n, x: n + x["w"])
+        # an array of one binds the cut, which is else worked out again for each coin
+        return F.transform(F.array(F.floor(p * STEPS).cast("int")), lambda cut: F.struct(
+            acc["lack"].alias("lack"), (acc["taken"] + words(cut)).alias("taken"), (acc["rest"] - t["words"]).alias("rest"),
+            F.concat(acc["cuts"], F.array(F.struct(t["tier"].alias("tier"), cut.alias("cut")))).alias("cuts")))[0]
 
-    start = F.struct(F.lit(0).cast("long").alias("taken"), F.array().cast("array<int>").alias("cuts"))
-    cuts = F.aggregate(F.sequence(F.lit(0), F.lit(len(TIERS))), start, step)["cuts"]
-    return per.join(drawn, per["source"].eqNullSafe(drawn["s"])).withColumn("cuts", cuts).drop("s", "h")
+    start = F.struct(
+        (F.col("target") - F.floor("rate") * F.col("source_size")).alias("lack"), F.lit(0).cast("long").alias("taken"),
+        F.col("source_size").alias("rest"), F.array().cast("array<struct<tier:int,cut:int>>").alias("cuts"))
+    both = per.join(drawn, per["source"].eqNullSafe(drawn["s"]))
+    return both.withColumn("cuts", F.map_from_entries(F.aggregate("tiers", start, step)["cuts"])).drop("s", "tiers")
 
 
 def mix(
     docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (3, 1, 2),
-    share: float = 1.5, cap: float = 2.0,
+    share: float = 1.5, cap: float = 2.0, out: str = "mix",
 ) -> DataFrame:
-    """Every document with its copies in the mix: all columns of ``docs`` and ``mix`` (size, source_size, target, rate, copies).
+    """Every document with its copies in the mix: all columns of ``docs`` and ``out`` (size, source_size, target, rate, copies).
 
     A document of a source with rate r is emitted floor(r) times and once more if its hash-seeded coin is under the
     cut of its size (``draw_cuts``), so the decision needs neither a shuffle of the texts nor a sort inside a hot
@@ -115,26 +117,27 @@ def mix(
 
     Null or empty texts have size 0. A null source is a source of its own, the last. Rows with equal key and text draw
     the same coin, null keys by their texts. Sources without words have target and rate 0. An empty frame gives no
-    rows. Extra columns are kept; one named ``mix`` is replaced.
+    rows. Very long texts are counted whole. Extra columns are kept; one named ``out`` is replaced.
     """
     sized = docs.select(F.col(source).alias("source"), coin(F.col(key), F.col(text)).alias("coin"), word_count(F.col(text)).alias("size"))
-    sized = materialize(sized)
-    per = materialize(source_targets(sized, weights=weights, share=share, cap=cap))
-    small = per.count() <= MAX_BROADCAST_SOURCES
-    per = materialize(draw_cuts(sized, F.broadcast(per) if small else per))
+    with Scratch(docs.sparkSession) as tmp:
+        sized = tmp.write(sized)
+        per = tmp.write(source_targets(sized, weights=weights, share=share, cap=cap))
+        small = per.count() <= MAX_BROADCAST_SOURCES
+        per = materialize(draw_cuts(sized, F.broadcast(per) if small else per))
     per = per.select(F.struct(F.col("source").alias("s"), "n_docs", "source_size", "target", "rate", "cuts").alias("__per"))
     per = F.broadcast(per) if small else per
-    out = docs.withColumn("__size", word_count(F.col(text))).join(per, F.col(source).eqNullSafe(F.col("__per.s")), "left")
+    rows = docs.withColumn("__size", word_count(F.col(text))).join(per, F.col(source).eqNullSafe(F.col("__per.s")), "left")
     rate, size = F.coalesce(F.col("__per.rate"), F.lit(0.0)), F.col("__size")
     cut = F.col("__per.cuts")[_tier(size, F.col("__per.n_docs"), F.col("__per.source_size"))]
     copies = F.floor(rate) + F.coalesce((coin(F.col(key), F.col(text)) < cut).cast("long"), F.lit(0))
-    return out.withColumn("mix", F.struct(
+    return rows.withColumn(out, F.struct(
         size.alias("size"), F.col("__per.source_size").alias("source_size"), F.col("__per.target").alias("target"),
         rate.alias("rate"), copies.alias("copies"),
     )).drop("__size", "__per")
 
 
-def repeat_rows(mixed: DataFrame) -> DataFrame:
-    """The mix itself: every document as often as it has copies, numbered from 1 in ``mix_copy``."""
-    n = F.col("mix.copies").cast("int")
-    return mixed.where(n > 0).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), n))).drop("mix")
+def repeat_rows(mixed: DataFrame, mix: str = "mix", out: str = "mix_copy") -> DataFrame:
+    """The mix itself: every document as often as it has copies, numbered from 1 in ``out``."""
+    n = F.col(f"{mix}.copies").cast("int")
+    return mixed.where(n > 0).withColumn(out, F.explode(F.sequence(F.lit(1), n))).drop(mix)
