@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import components, materialize, mix64, shingle_hashes, small_batches, word_hashes
+from palimpsest.llm.shared import Scratch, components, materialize, mix64, pieces, shingle_hashes, word_hashes
 
 WIDTH, SIMILARITY = 5, 0.8
 #: 24 bands of 6 registers: a pair of similarity 0.8 shares a band with probability 0.9993.
@@ -19,7 +19,9 @@ REGISTERS = BANDS * ROWS
 #: Members of a bucket that one not linked with the bucket's lead is verified against first.
 PIVOTS = 4
 #: Buckets of so many members are paired by a join; larger ones are compared in blocks of so many by their sketches.
-SMALL_BUCKET, BLOCK = 16, 512
+SMALL_BUCKET, BLOCK = 16, 256
+#: Names of texts of a repeated doc_id beside its first one start here.
+OWN_NAMES = 1 << 62
 #: Classes of shingles that a sketch counts.
 CLASSES = 256
 _G = np.uint64(0x9E3779B97F4A7C15)
@@ -118,21 +120,20 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def sign(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, same, n, bands) of every document: digest of its words, number of shingles, band keys (empty if wordless)."""
-    small_batches(docs.sparkSession)
+    """(doc, tx, same, n, bands) of every row: hash of its text, digest of its words, number of shingles, band keys (empty if wordless)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in pieces(batches):
             words = [word_hashes(t) if t else np.empty(0, np.uint64) for t in batch["text"]]
             bags = [bag(w) for w in words]
             keys = band_keys(signatures(bags))
             yield pd.DataFrame({
-                "doc": batch["doc"].astype("Int64"), "same": [hashlib.blake2b(w.tobytes(), digest_size=16).digest() for w in words],
+                "doc": batch["doc"].astype("Int64"), "tx": batch["tx"], "same": [hashlib.blake2b(w.tobytes(), digest_size=16).digest() for w in words],
                 "n": [int(c.sum()) for _, c in bags], "bands": [k if len(b[0]) else k[:0] for k, b in zip(keys, bags, strict=True)],
             })
 
-    rows = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, "doc bigint, same binary, n bigint, bands array<bigint>")
+    rows = docs.select(F.col(key).cast("bigint").alias("doc"), F.xxhash64(text).alias("tx"), F.col(text).alias("text"))
+    return rows.mapInPandas(run, "doc bigint, tx bigint, same binary, n bigint, bands array<bigint>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -161,39 +162,95 @@ def sketch(b: tuple[np.ndarray, np.ndarray]) -> bytes:
 
 
 def _possible(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of members(band, h, rep, n, root, c) of one bucket and different roots that may overlap enough.
+    """Pairs (a, b) of members(band, h, rep, n, root, c, main, others) of one bucket and different roots that may overlap enough.
 
-    Two bags share at most the sum of the smaller counts of each class, so no pair is lost. A bucket of c members is
-    cut into blocks by hash and each pair of blocks is one group; only the pairs that pass leave it.
+    Two bags share at most the sum of the smaller counts of each class, so no pair is lost. Only members outside the
+    bucket's largest component (``main``) ask, and all members answer: ``others`` askers and c members are cut into
+    blocks by hash, and each pair of blocks is one group; only the pairs that pass leave it.
     """
-    small_batches(texts.sparkSession)
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in pieces(batches):
             yield pd.DataFrame({"doc": batch["doc"], "sketch": [sketch(bag(word_hashes(t))) for t in batch["text"]]})
 
     ids = members.select("rep").distinct()
     sketches = texts.join(ids, texts["doc"] == ids["rep"], "left_semi").select("doc", "text").mapInPandas(draw, "doc bigint, sketch binary")
-    own, blocks = F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"), F.ceil(F.col("c") / BLOCK).cast("int")
-    cells = members.withColumn("nb", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    cells = cells.join(sketches, F.col("rep") == F.col("doc")).select(
-        "band", "h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "n", "root", "sketch")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("rep"), blocks(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    drawn = members.join(sketches, F.col("rep") == F.col("doc"))
+    cells = lambda asks, i, j: (
+        "band", "h", i.alias("i"), j.alias("j"), F.lit(asks).alias("asks"), "rep", "n", "root", (F.col("root") == F.col("main")).alias("in_main"), "sketch")
+    answer = drawn.select(*cells(False, every("others"), own("c")))
+    ask = drawn.where("root <> main").select(*cells(True, own("others"), every("c")))
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        i, j = group["i"].iloc[0], group["j"].iloc[0]
-        x, y = group[group["own"] == i], group[group["own"] == j]
+        x, y = group[group["asks"]], group[~group["asks"]]
         counts = [np.frombuffer(b"".join(g["sketch"]), np.uint16).reshape(-1, CLASSES) for g in (x, y)]
         xr, yr, xn, yn, xd, yd = (g[c].to_numpy() for c in ("root", "n", "rep") for g in (x, y))
+        alone = y["in_main"].to_numpy()  # does not ask itself
         out = []
         for k in range(len(x)):
             most = np.minimum(counts[0][k], counts[1]).sum(1, dtype=np.int64)
             fits = (most * (1 + similarity) >= similarity * (xn[k] + yn) - 1e-6) | (np.maximum(xn[k], yn) > 65535)
-            fits &= (xr[k] != yr) & (np.minimum(xn[k], yn) >= similarity * np.maximum(xn[k], yn))
-            fits &= (xd[k] < yd) | (i != j)
+            fits &= (xr[k] != yr) & (np.minimum(xn[k], yn) >= similarity * np.maximum(xn[k], yn)) & (alone | (xd[k] < yd))
             out += [(min(xd[k], d), max(xd[k], d)) for d in yd[fits]]
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    return cells.groupBy("band", "h", "i", "j").applyInPandas(compare, "a bigint, b bigint")
+    return ask.unionByName(answer).groupBy("band", "h", "i", "j").applyInPandas(compare, "a bigint, b bigint")
+
+
+def _classes(docs: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
+    """One row per row of ``docs``: (doc, tx, class_id, kept); see ``near_duplicates``."""
+    signed = materialize(sign(docs, key, text))
+    # a doc_id with several texts: all but one are nodes under names of their own
+    several = signed.where("doc is not null").groupBy("doc").agg(F.min("same").alias("lo"), F.max("same").alias("hi")).where("lo <> hi")
+    several = materialize(several.select(F.col("doc").alias("doc2"), "lo"))
+    own_name = F.shiftright(F.xxhash64("doc", "same"), 2) + F.lit(OWN_NAMES + (OWN_NAMES >> 1))
+    node = F.when(F.col("doc").isNull(), F.lit(None)).when(F.col("lo").isNull() | (F.col("lo") == F.col("same")), F.col("doc")).otherwise(own_name)
+    named = signed.join(several, F.col("doc") == F.col("doc2"), "left").withColumn("node", node.cast("bigint")).drop("doc2", "lo")
+    reps = named.where("n > 0 and node is not null").groupBy("same").agg(
+        F.min(F.struct("node", "doc", "tx")).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    reps = materialize(reps.select("same", "first.*", "n", "bands").withColumnRenamed("node", "rep"))
+    with Scratch(docs.sparkSession) as tmp:
+        slots = reps.select("rep", "n", F.posexplode("bands").alias("band", "h"))
+        sizes = slots.groupBy("band", "h").agg(F.count("*").alias("c")).where("c > 1")
+        shared = tmp.write(slots.join(sizes.hint("merge"), ["band", "h"]))  # sorted at every size: a hot bucket can be split
+        # a document that meets many others is close to most of them: the best one of each hash class is a pivot of its bucket
+        score = shared.groupBy("rep").agg(F.sum("c").alias("score"))
+        top = F.max(F.struct("score", (-F.col("rep")).alias("m"), "n"))
+        pivots = shared.join(score, "rep").groupBy("band", "h", F.pmod(F.xxhash64("rep"), F.lit(PIVOTS)).alias("s")).agg(top.alias("top"))
+        pivots = tmp.write(pivots)
+        leads = pivots.groupBy("band", "h").agg(F.max("top").alias("top")).select("band", "h", (-F.col("top.m")).alias("lead"), F.col("top.n").alias("lead_n"))
+        close = lambda m, n: F.least(m, n) >= F.lit(similarity) * F.greatest(m, n)
+        stars = tmp.write(shared.join(leads, ["band", "h"]).select("band", "h", "rep", "n", "lead", "lead_n"))
+        pairs = stars.where((F.col("rep") != F.col("lead")) & close(F.col("n"), F.col("lead_n"))).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+        ids = reps.select("rep", F.col("doc").alias("doc2"), F.col("tx").alias("tx2")).join(stars.select("rep").distinct(), "rep", "left_semi")
+        texts = docs.select(F.col(key).cast("bigint").alias("doc"), F.xxhash64(text).alias("tx"), F.col(text).alias("text")).where("text is not null")
+        texts = texts.join(ids.hint("merge"), (F.col("doc") == F.col("doc2")) & (F.col("tx") == F.col("tx2")))
+        texts = tmp.write(texts.select(F.col("rep").alias("doc"), "text").dropDuplicates(["doc"]))
+        links = tmp.write(_verified(pairs, texts, similarity))
+        apart = stars.where("rep <> lead").join(links.select(F.col("a").alias("lead"), F.col("b").alias("rep")), ["lead", "rep"], "left_anti")
+        others = pivots.select("band", "h", (-F.col("top.m")).alias("pivot"), F.col("top.n").alias("pivot_n"))
+        pairs = apart.join(others, ["band", "h"]).where("pivot <> rep and pivot <> lead").where(close(F.col("n"), F.col("pivot_n")))
+        pairs = pairs.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+        links = tmp.write(links.unionByName(_verified(pairs, texts, similarity)))
+        roots = components(links)
+        of = lambda c, out: roots.select(F.col("node").alias(c), F.col("root").alias(out))
+        held = tmp.write(stars.join(of("rep", "root"), "rep", "left").select("band", "h", "rep", "n", F.coalesce("root", "rep").alias("root")))
+        per_root = held.groupBy("band", "h", "root").agg(F.count("*").alias("k"))
+        mixed = per_root.groupBy("band", "h").agg(F.count("*").alias("roots"), F.sum("k").alias("c"), F.max(F.struct("k", "root")).alias("m")).where("roots > 1")
+        mixed = mixed.select("band", "h", "c", F.col("m.root").alias("main"), (F.col("c") - F.col("m.k")).alias("others"))
+        held = tmp.write(held.join(mixed, ["band", "h"]))
+        few = held.where(F.col("c") <= SMALL_BUCKET).select("band", "h", "rep", "n", "root")
+        two = few.join(few.toDF("band", "h", "u", "un", "ur"), ["band", "h"]).where("root <> ur and rep < u").where(close(F.col("n"), F.col("un")))
+        more = two.select(F.col("rep").alias("a"), F.col("u").alias("b")).unionByName(_possible(held.where(F.col("c") > SMALL_BUCKET), texts, similarity))
+        more = tmp.write(_verified(more.distinct(), texts, similarity))
+        roots = components(links.unionByName(more)) if not more.isEmpty() else roots
+    of_same = reps.join(roots, reps["rep"] == roots["node"], "left").select("same", F.coalesce("root", "rep").alias("root"))
+    out = named.select("doc", "tx", "same", "n", "node").join(of_same, "same", "left")
+    cls = F.when(F.col("n") == 0, F.col("node")).otherwise(F.col("root"))
+    return out.select("doc", "tx", cls.alias("class_id"), F.coalesce(F.col("node") == cls, F.lit(True)).alias("kept"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -211,61 +268,26 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     no further check, so no bucket is expanded into all pairs and no link between components is lost.
 
     Null, empty and blank texts have no shingles, link with nothing and are kept. Null doc_ids have a null class and
-    are kept. Rows that repeat a doc_id count as one document. An empty table gives no rows; extra columns are ignored.
+    are kept. Rows with equal doc_id and words count as one document. Other texts of a repeated doc_id are documents of
+    their own: the one whose words have the least digest bears the doc_id, the others numbers of ``OWN_NAMES`` and more,
+    and so does a class that has no other member. An empty table gives no rows; extra columns are ignored.
     """
-    signed = materialize(sign(docs, key, text))
-    reps = signed.where("n > 0 and doc is not null").groupBy("same").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    reps = materialize(reps)
-    slots = reps.select("rep", "n", F.posexplode("bands").alias("band", "h"))
-    sizes = slots.groupBy("band", "h").agg(F.count("*").alias("c")).where("c > 1")
-    shared = materialize(slots.join(sizes.hint("merge"), ["band", "h"]))  # sorted at every size: a hot bucket can be split
-    # a document that meets many others is close to most of them: the best one of each hash class is a pivot of its bucket
-    score = shared.groupBy("rep").agg(F.sum("c").alias("score"))
-    top = F.max(F.struct("score", (-F.col("rep")).alias("m"), "n"))
-    pivots = shared.join(score, "rep").groupBy("band", "h", F.pmod(F.xxhash64("rep"), F.lit(PIVOTS)).alias("s")).agg(top.alias("top"))
-    pivots = materialize(pivots)
-    leads = pivots.groupBy("band", "h").agg(F.max("top").alias("top")).select("band", "h", (-F.col("top.m")).alias("lead"), F.col("top.n").alias("lead_n"))
-    close = lambda m, n: F.least(m, n) >= F.lit(similarity) * F.greatest(m, n)
-    stars = materialize(shared.join(leads, ["band", "h"]).select("band", "h", "rep", "n", "lead", "lead_n"))
-    pairs = stars.where((F.col("rep") != F.col("lead")) & close(F.col("n"), F.col("lead_n"))).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    ids = stars.select(F.col("rep").alias("id")).distinct()
-    texts = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text")).where("text is not null")
-    texts = materialize(texts.join(ids.hint("merge"), texts["doc"] == ids["id"], "left_semi").dropDuplicates(["doc"]))
-    links = materialize(_verified(pairs, texts, similarity))
-    apart = stars.where("rep <> lead").join(links.select(F.col("a").alias("lead"), F.col("b").alias("rep")), ["lead", "rep"], "left_anti")
-    others = pivots.select("band", "h", (-F.col("top.m")).alias("pivot"), F.col("top.n").alias("pivot_n"))
-    pairs = apart.join(others, ["band", "h"]).where("pivot <> rep and pivot <> lead").where(close(F.col("n"), F.col("pivot_n")))
-    pairs = pairs.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-    links = materialize(links.unionByName(_verified(pairs, texts, similarity)))
-    roots = materialize(components(links))
-    of = lambda c, out: roots.select(F.col("node").alias(c), F.col("root").alias(out))
-    held = materialize(stars.join(of("rep", "root"), "rep", "left").select("band", "h", "rep", "n", F.coalesce("root", "rep").alias("root")))
-    mixed = held.groupBy("band", "h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo <> hi")
-    held = materialize(held.join(mixed.select("band", "h", "c"), ["band", "h"]))
-    few = held.where(F.col("c") <= SMALL_BUCKET).select("band", "h", "rep", "n", "root")
-    two = few.join(few.toDF("band", "h", "u", "un", "ur"), ["band", "h"]).where("root <> ur and rep < u").where(close(F.col("n"), F.col("un")))
-    more = two.select(F.col("rep").alias("a"), F.col("u").alias("b")).unionByName(_possible(held.where(F.col("c") > SMALL_BUCKET), texts, similarity))
-    more = more.distinct()
-    more = materialize(_verified(more, texts, similarity))
-    roots = materialize(components(links.unionByName(more))) if more.count() else roots
-    named = reps.join(roots, reps["rep"] == roots["node"], "left").select("same", F.coalesce("root", "rep").alias("class_id"))
-    out = signed.join(named, "same", "left")
-    cls = F.when(F.col("doc").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc")).otherwise(F.col("class_id")).cast("bigint")
-    return out.select(F.col("doc").alias("doc_id"), cls.alias("class_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+    rows = _classes(docs, key, text, similarity)
+    return rows.select(F.col("doc").alias("doc_id"), "class_id", "kept")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one row of each class of ``near_duplicates``. Rows with the same doc_id and text count as one; those
-    of a doc_id that occurs with different texts are documents of their own, named by a hash of doc_id and text."""
-    digest = F.sha2(F.col(text), 256)
-    seen = docs.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key"))
-    several = seen.agg(F.min(digest).alias("lo"), F.max(digest).alias("hi"), F.count(text).alias("n"), F.count("*").alias("m"))
-    # written first: its size decides the join, and no text is shuffled for it while it is small
-    several = materialize(several.where("lo <> hi or (n > 0 and n < m)").select("__key"))
-    named = docs.where(F.col(key).isNotNull()).join(several, F.col(key) == F.col("__key"), "left")
-    named = named.withColumn("__node", F.when(F.col("__key").isNull(), F.col(key).cast("bigint")).otherwise(F.xxhash64(key, digest))).drop("__key")
-    kept = near_duplicates(named, "__node", text, similarity).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    some = named.join(kept, F.col("__node") == F.col("__kept"), "left_semi")
-    first = F.row_number().over(Window.partitionBy("__node").orderBy(F.xxhash64(text)))
-    some = some.withColumn("__n", first).where("__n = 1").drop("__n", "__node")
-    return some.unionByName(docs.where(F.col(key).isNull()))
+    """``docs`` with one row of each class of ``near_duplicates``; rows without doc_id all stay.
+
+    Of rows that agree in doc_id and words one stays, the one with the least hash of its columns.
+    """
+    rows = materialize(_classes(docs, key, text, similarity).where("kept and doc is not null"))
+    chosen = rows.groupBy("class_id").agg(F.min(F.struct("doc", "tx")).alias("k"), F.count("*").alias("n"))
+    chosen = materialize(chosen.select(F.struct(F.col("k.doc").alias("doc"), F.col("k.tx").alias("tx"), (F.col("n") > 1).alias("again")).alias("__chosen")))
+    some = docs.join(chosen, (F.col(key).cast("bigint") == F.col("__chosen.doc")) & (F.xxhash64(text) == F.col("__chosen.tx")))
+    one = some.where(~F.col("__chosen.again")).drop("__chosen")
+    if not chosen.where("__chosen.again").isEmpty():  # only rows of which there are several are sorted
+        order = F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind])
+        first = F.row_number().over(Window.partitionBy("__chosen").orderBy(order))
+        one = one.unionByName(some.where("__chosen.again").withColumn("__n", first).where("__n = 1").drop("__n", "__chosen"))
+    return one.unionByName(docs.where(F.col(key).isNull()))

@@ -42,15 +42,16 @@ def fold_events(events: DataFrame) -> DataFrame:
     ``edit`` replaces its text; ``regenerate`` empties it (its own text, if any, starts the new one). An edit or a
     regeneration also discards what was said before it at later turns. Events apply in order of ``seq``; ties go by
     kind (message first), role and text. A delta without message opens one. Null texts are empty; a null kind is a
-    message; null turns and null conversations are values of their own, sorted first. Repeated rows of kind message
-    are messages of their own. An empty log gives no rows; extra columns are ignored.
+    message, rows of any other kind are no events and go; null turns and null conversations are values of their own,
+    sorted first. Repeated rows of kind message are messages of their own. Very long texts are folded whole. An empty
+    log gives no rows; extra columns are ignored.
 
     No step needs one conversation in one task: later edits are looked up through minima of blocks of 4096 sequence
     numbers, and messages are folded per (conversation, turn).
     """
     kind = F.coalesce(F.lower("kind"), F.lit("message"))
     order = F.array_position(F.array(*map(F.lit, KINDS)), kind)
-    ev = events.select("conv_id", "seq", kind.alias("kind"), order.alias("ord"), "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    ev = events.select("conv_id", "seq", kind.alias("kind"), order.alias("ord"), "turn", "role", F.coalesce("text", F.lit("")).alias("text")).where("ord > 0")
     cut = F.when(F.col("kind").isin("edit", "regenerate"), F.col("turn"))
     ev = ev.withColumn("span", F.floor(F.col("seq") / 4096)).withColumn("cut", cut)
     cuts = ev.where("cut is not null").groupBy("conv_id", "span").agg(F.min("cut").alias("low"))

@@ -8,15 +8,15 @@ from collections.abc import Iterator
 import ahocorasick
 import pandas as pd
 from pyspark.core.broadcast import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import small_batches
+from palimpsest.llm.shared import materialize
 
 #: Edits (words put in, left out or replaced) that a copy may differ by, as a share of the item's words.
 ERROR_RATE = 0.15
-#: Items of one block: the piece automaton of a block is broadcast, a larger benchmark takes several.
-BLOCK_ITEMS = 20_000
+#: Items and characters of one block, about: a block's items are broadcast, a larger benchmark takes several.
+BLOCK_ITEMS, BLOCK_CHARS = 20_000, 16_000_000
 _GAP = re.compile(r"[\W_]+")
 
 
@@ -117,33 +117,31 @@ def _finder(block: Broadcast, error_rate: float):  # noqa: ANN202
     return find
 
 
-def matched_items(
-    docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    error_rate: float = ERROR_RATE, block_items: int = BLOCK_ITEMS,
-) -> Column:
-    """Column of ``docs``: sorted ids of the benchmark items that the text holds with at most
-    ``error_rate`` x words edits. See ``decontaminate``."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
-    blocks = -(-items.count() // block_items) or 1
-    found = []
-    for k in range(blocks):
-        rows = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k)
-        block = spark.sparkContext.broadcast([(r.i, r.t) for r in rows.collect()])
-        found.append(_finder(block, error_rate)(F.col(text)))
-    return F.array_sort(F.array_distinct(F.concat(*found))) if blocks > 1 else found[0]
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "bench_items", **options: object) -> DataFrame:
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "bench_items", item_id: str = "item_id", item_text: str = "text",
+    error_rate: float = ERROR_RATE, block_items: int = BLOCK_ITEMS, block_chars: int = BLOCK_CHARS,
+) -> DataFrame:
     """``docs`` with ``out``: the benchmark items that each document holds; a clean document has an empty list.
 
     An item of n words may be copied with e = floor(n x error_rate) word edits. Of any split into e + 1 pieces one
     then stands in the copy unchanged: an automaton finds such pieces in the whole text, and Myers' bit-parallel
     distance of the item to the words around a hit decides. Case, punctuation and white space don't count.
 
-    Items go out in blocks of a fixed number, so their total size is not bounded by one broadcast. Null and empty
-    texts hold nothing; null or wordless items match nothing; items with equal texts are all reported; repeated rows
+    A benchmark of up to ``block_items`` items and ``block_chars`` characters is broadcast; a larger one is cut into
+    blocks of about that size by hash, each of which takes a pass over the documents that ends in a written table, so
+    neither the driver nor a worker ever holds more than one block. Null and empty texts hold nothing, very long ones
+    are searched whole; null or wordless items match nothing; items with equal texts are all reported; repeated rows
     get equal answers; empty tables are allowed on either side; an extra column named ``out`` is replaced.
     """
-    return docs.withColumn(out, matched_items(docs, benchmark, text, **options))
+    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
+    n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("t")), F.lit(0))).first()
+    blocks = max(1, -(-n // block_items), -(-chars // block_chars))
+    for k in range(blocks):
+        rows = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
+        block = docs.sparkSession.sparkContext.broadcast([(r.i, r.t) for r in rows.collect()])
+        found = _finder(block, error_rate)(F.col(text))
+        docs = docs.withColumn(out, F.array_sort(F.array_distinct(F.concat(F.col(out), found))) if k else found)
+        if blocks > 1:
+            docs = materialize(docs)
+            block.destroy()
+    return docs

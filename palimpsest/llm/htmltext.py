@@ -12,8 +12,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import small_batches
-
 #: Elements whose text is never article text. Fixed values.
 SKIP = frozenset(
     "script style title noscript template svg iframe object canvas nav footer aside form button select option "
@@ -262,7 +260,6 @@ def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFram
     Null and empty pages give an empty text, repeated rows the same text, an empty table no rows. Very long and deeply
     nested pages take time in proportion to their length. An extra column named ``out`` is replaced.
     """
-    small_batches(pages.sparkSession)
 
     @F.pandas_udf("string")
     def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import materialize, small_batches
+from palimpsest.llm.shared import Scratch
 
 BITS = 14
 #: Labelled texts that the classifier is fitted and calibrated on, at most about (a hash picks them).
@@ -144,7 +144,6 @@ def train(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
     the driver sees document frequencies and weights, never texts or rows of the sample. Rows whose key is null fall
     into one hash and are learned from or not as one.
     """
-    small_batches(docs.sparkSession)
     base = docs.where(learn & F.col(text).isNotNull() & F.col(lang).isNotNull())
     n = base.count()
     if not n:
@@ -169,26 +168,27 @@ def train(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
         if at.size:
             yield pd.DataFrame([(None, None, at.astype(np.int32), df[at])], columns=["lang", "part", "at", "n"])
 
-    got = materialize(rows.mapInPandas(count, "lang string, part bigint, at array<int>, n array<int>"))
-    df = np.zeros(1 << bits)
-    sums = got.where("lang is null").select(F.explode(F.arrays_zip("at", "n")).alias("x")).groupBy("x.at").agg(F.sum("x.n").alias("n"))
-    for r in sums.collect():  # one row for each of 2**bits places at most
-        df[r["at"]] = r["n"]
-    idf = np.log((1 + n) / (1 + df)) + 1
-
-    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sample = [(r.lang, r.part, r.at, r.n) for batch in batches for r in batch.itertuples(index=False)]
-        if sample:
-            langs, weights, bias, temperature = fit_sample(sample, idf, bits)
-            places = [np.flatnonzero(weights[:, k]) for k in range(len(langs))]
-            yield pd.DataFrame({
-                "lang": langs, "bias": bias, "temperature": temperature, "at": [p.astype(np.int32) for p in places],
-                "w": [weights[p, k] for k, p in enumerate(places)],
-            })
-
-    # one task holds the bounded sample; the driver gets the weights only
-    sample = got.where("lang is not null").limit(2 * train_rows)
-    fitted = sample.coalesce(1).mapInPandas(fit, "lang string, bias double, temperature double, at array<int>, w array<double>").collect()
+    with Scratch(docs.sparkSession) as tmp:
+        got = tmp.write(rows.mapInPandas(count, "lang string, part bigint, at array<int>, n array<int>"))
+        df = np.zeros(1 << bits)
+        sums = got.where("lang is null").select(F.explode(F.arrays_zip("at", "n")).alias("x")).groupBy("x.at").agg(F.sum("x.n").alias("n"))
+        for r in sums.collect():  # one row for each of 2**bits places at most
+            df[r["at"]] = r["n"]
+        idf = np.log((1 + n) / (1 + df)) + 1
+
+        def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sample = [(r.lang, r.part, r.at, r.n) for batch in batches for r in batch.itertuples(index=False)]
+            if sample:
+                langs, weights, bias, temperature = fit_sample(sample, idf, bits)
+                places = [np.flatnonzero(weights[:, k]) for k in range(len(langs))]
+                yield pd.DataFrame({
+                    "lang": langs, "bias": bias, "temperature": temperature, "at": [p.astype(np.int32) for p in places],
+                    "w": [weights[p, k] for k, p in enumerate(places)],
+                })
+
+        # one task holds the bounded sample; the driver gets the weights only
+        sample = got.where("lang is not null").limit(2 * train_rows)
+        fitted = sample.coalesce(1).mapInPandas(fit, "lang string, bias double, temperature double, at array<int>, w array<double>").collect()
     fitted.sort(key=lambda r: r.lang)
     w = np.zeros((1 << bits, len(fitted)))
     for k, r in enumerate(fitted):
@@ -202,7 +202,6 @@ def identify(docs: DataFrame, model: Model, text: str = "text", out: str = "lang
     Null texts, texts without a letter, and a model that saw no rows give ``und`` with score 0. Repeated rows get
     equal answers; an empty table gives no rows; an extra column named ``out`` is replaced.
     """
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<lang:string,score:double>")

@@ -32,26 +32,27 @@ def boilerplate(docs: DataFrame, text: str = "text", host: str = "source", ratio
 
 
 def drop_boilerplate(
-    docs: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES
+    docs: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, out: str = "line_dedup",
 ) -> DataFrame:
-    """``docs`` with boilerplate lines taken out of ``text``, and ``line_dedup`` (n_lines, n_dropped).
+    """``docs`` with boilerplate lines taken out of ``text``, and ``out`` (n_lines, n_dropped).
 
     A line is boilerplate at a host if more than ``ratio`` of the host's pages, and at least ``min_pages``, hold it
     (compared without outer spaces). Blank lines stay. Null texts stay null with no lines; an empty text has one
     blank line. A null host is a host of its own. Every page counts, repeated rows too, so ties need no order. A
-    page made of boilerplate only becomes empty and stays. Extra columns are kept; an empty table gives no rows.
+    page made of boilerplate only becomes empty and stays. Very long texts are split whole. Extra columns are kept, one
+    named ``out`` is replaced; an empty table gives no rows.
     """
     known = materialize(boilerplate(docs, text, host, ratio, min_pages))
     n = known.agg(F.coalesce(F.sum(F.size("drop")), F.lit(0))).first()[0]
     known = known.select(F.struct(F.col("host").alias("k"), "drop").alias("__known"))
     known = F.broadcast(known) if n <= MAX_BROADCAST_HASHES else known
-    out = docs.join(known, F.col(host).eqNullSafe(F.col("__known.k")), "left")
+    found = docs.join(known, F.col(host).eqNullSafe(F.col("__known.k")), "left")
     lines = F.split(F.col(text), "\n")
-    out = out.withColumn("__kept", F.when(
+    found = found.withColumn("__kept", F.when(
         F.col("__known.drop").isNull(), lines
     ).otherwise(F.filter(lines, lambda x: ~((F.length(F.trim(x)) > 0) & F.array_contains(F.col("__known.drop"), _line_hash(x))))))
     n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines))
     n_kept = F.when(F.col(text).isNull(), 0).otherwise(F.size("__kept"))
-    out = out.withColumn("line_dedup", F.struct(n_lines.cast("long").alias("n_lines"), (n_lines - n_kept).cast("long").alias("n_dropped")))
-    kept = F.when(F.col("line_dedup.n_dropped") == 0, F.col(text)).otherwise(F.array_join("__kept", "\n"))
-    return out.withColumn(text, kept).drop("__kept", "__known")
+    found = found.withColumn(out, F.struct(n_lines.cast("long").alias("n_lines"), (n_lines - n_kept).cast("long").alias("n_dropped")))
+    kept = F.when(F.col(f"{out}.n_dropped") == 0, F.col(text)).otherwise(F.array_join("__kept", "\n"))
+    return found.withColumn(text, kept).drop("__kept", "__known")

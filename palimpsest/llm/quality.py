@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import materialize, small_batches
+from palimpsest.llm.shared import Scratch
 
 BITS, RANK, NEIGHBOURS = 11, 48, 15
 #: Labelled documents whose vectors are broadcast, at most about (a hash picks them): 2500 x 48 numbers.
@@ -131,7 +131,6 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id"
     fitted in one task (``train_rows`` x ``WIDTH`` numbers); the driver gets basis and vectors.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & learn)
     n = known.count()
     cut = int(1e9 * min(1.0, train_rows / max(n, 1)))
@@ -158,26 +157,27 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id"
             yield pd.DataFrame([(None, None, np.append(at, -1).astype(np.int32), np.append(df[at], n))], columns=["label", "k", "at", "n"])
 
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("text"))
-    got = materialize(rows.mapInPandas(count, "label int, k bigint, at array<int>, n array<bigint>"))
-    shared.destroy()
-    sums = got.where("label is null").select(F.explode(F.arrays_zip("at", "n")).alias("x")).groupBy("x.at").agg(F.sum("x.n").alias("n"))
-    df, total = np.zeros(WIDTH), 0
-    for r in sums.collect():  # one row for each place at most
-        if r["at"] < 0:
-            total = r["n"]
-        else:
-            df[r["at"]] = r["n"]
-    idf = np.log((1 + total) / (1 + df)) + 1
-
-    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sample = [(int(r.label), int(r.k), r.at, r.n) for batch in batches for r in batch.itertuples(index=False)]
-        if sample:
-            model = fit_sample(sample, idf)
-            yield pd.DataFrame({"part": "basis", "i": range(WIDTH), "v": list(model.basis), "label": 0.0})
-            yield pd.DataFrame({"part": "vector", "i": range(len(sample)), "v": list(model.vectors), "label": model.labels})
-
-    sample = got.where("label is not null").limit(2 * train_rows)
-    fitted = sample.coalesce(1).mapInPandas(fit, "part string, i int, v array<double>, label double").toArrow()
+    with Scratch(spark) as tmp:
+        got = tmp.write(rows.mapInPandas(count, "label int, k bigint, at array<int>, n array<bigint>"))
+        shared.destroy()
+        sums = got.where("label is null").select(F.explode(F.arrays_zip("at", "n")).alias("x")).groupBy("x.at").agg(F.sum("x.n").alias("n"))
+        df, total = np.zeros(WIDTH), 0
+        for r in sums.collect():  # one row for each place at most
+            if r["at"] < 0:
+                total = r["n"]
+            else:
+                df[r["at"]] = r["n"]
+        idf = np.log((1 + total) / (1 + df)) + 1
+
+        def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sample = [(int(r.label), int(r.k), r.at, r.n) for batch in batches for r in batch.itertuples(index=False)]
+            if sample:
+                model = fit_sample(sample, idf)
+                yield pd.DataFrame({"part": "basis", "i": range(WIDTH), "v": list(model.basis), "label": 0.0})
+                yield pd.DataFrame({"part": "vector", "i": range(len(sample)), "v": list(model.vectors), "label": model.labels})
+
+        sample = got.where("label is not null").limit(2 * train_rows)
+        fitted = sample.coalesce(1).mapInPandas(fit, "part string, i int, v array<double>, label double").toArrow()
     if not fitted.num_rows:
         return Model(idf, np.zeros((WIDTH, 1)), np.zeros((0, 1)), np.zeros(0))
     fitted = fitted.to_pandas()
@@ -193,7 +193,6 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "quality
     long texts count in parts of ``CHUNK`` code points, whole. Repeated rows get equal answers; an empty table gives no
     rows; an extra column named ``out`` is replaced.
     """
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

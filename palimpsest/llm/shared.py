@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch that a Python worker holds; whole texts can be long.
+#: Rows whose derived arrays a Python worker holds at once.
 ARROW_ROWS = 256
 
 
@@ -27,48 +29,72 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write a frame as Parquet into the shared folder and read it back: lineage ends there and survives lost executors."""
+    return _written(df)[0]
+
+
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/palimpsest/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+class Scratch:
+    """Tables as of ``materialize`` that are deleted when the block ends: nothing that outlives it may read them."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def write(self, df: DataFrame) -> DataFrame:
+        out, path = _written(df)
+        self.paths.append(path)
+        return out
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for name in self.paths:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound what one Arrow batch of whole texts holds in a Python worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def pieces(batches: Iterator[pd.DataFrame], rows: int = ARROW_ROWS) -> Iterator[pd.DataFrame]:
+    """Arrow batches cut to so many rows. A batch is bounded by bytes (Spark's 64 MB), what is worked out from it by rows."""
+    for batch in batches:
+        for start in range(0, len(batch), rows):
+            yield batch.iloc[start : start + rows]
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` by alternating large-star and small-star steps.
 
     Returns (node, root) for every node of an edge, root being the smallest node of its component. Each round is
-    two joins on the node and ends in a written table; nothing is collected but a checksum. Self loops, repeated
-    edges and an empty frame are allowed.
+    two joins on the node and ends in a written table; nothing is collected but a checksum. Rounds go on until
+    nothing changes. Self loops, repeated edges and an empty frame are allowed.
     """
-    cur = materialize(
-        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    )
-    before = None
-    for _ in range(max_rounds):
-        both = cur.select("u", "v").unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(
-            F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v"))
-        )).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        cur = materialize(small)
-        row = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(row) == before:
-            break
-        before = tuple(row)
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-        cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    )
+    with Scratch(edges.sparkSession) as tmp:
+        cur = tmp.write(
+            edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+        )
+        before = None
+        while True:
+            both = cur.select("u", "v").unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+            large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            large = large.where("u <> v").distinct()
+            low = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(low, "u").select(F.explode(F.array(
+                F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v"))
+            )).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+            cur = tmp.write(small)
+            row = tuple(cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+            if row == before:
+                break
+            before = row
+        return materialize(cur.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+            cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+        ))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
