@@ -1,4 +1,9 @@
-"""The corpus pipeline: language ID, line dedup, near-dedup, decontamination and mixing over ``documents``."""
+"""The corpus pipeline: language ID, line dedup, near-dedup, decontamination and mixing over ``documents``.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame whose columns are those of ``docs``, extra ones included,
+whatever their names (columns that begin with two underscores are the stages' own). The rows of a repeated doc_id are told
+apart by their texts. An empty table gives no rows. Very long texts are worked on whole.
+"""
 
 from __future__ import annotations
 
@@ -6,40 +11,53 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import bagminhash, decontaminate, langid, linededup, mixing
-from palimpsest.llm.shared import materialize
+from palimpsest.llm.shared import Scratch, materialize
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Calibrated probability below which the language of a document is not accepted.
 MIN_SCORE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language is recognised: not ``und``, and with a probability of ``MIN_SCORE`` at least."""
+    """Keep documents whose language is recognised: not ``und``, and with a probability of ``MIN_SCORE`` at least.
+
+    The classifier learns from the rows that have text and lang. Null, empty and letterless texts go; repeated rows stay
+    or go together; without any labelled row all go.
+    """
     model = langid.train(docs, F.lit(True))
-    found = langid.identify(docs, model)
-    return found.where((F.col("lang_id.lang") != "und") & (F.col("lang_id.score") >= MIN_SCORE)).select(*COLUMNS)
+    found = langid.identify(docs, model, out="__found")
+    return found.where((F.col("__found.lang") != "und") & (F.col("__found.score") >= MIN_SCORE)).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take boilerplate lines of each source out of the texts; every document stays."""
-    out = linededup.drop_boilerplate(docs)
-    return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
+    """Take boilerplate lines of each source out of the texts, and set n_chars anew; every document stays.
+
+    A null source is a source of its own; null texts stay null, with null n_chars.
+    """
+    out = linededup.drop_boilerplate(docs, out="__lines")
+    return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each near-duplicate class."""
-    return bagminhash.keep_one(docs).select(*COLUMNS)
+    """Keep one document of each near-duplicate class: the one with the least doc_id.
+
+    Null, empty and blank texts are no copies and stay, as do rows without doc_id; of rows that agree in doc_id and words
+    one stays.
+    """
+    return bagminhash.keep_one(docs).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents that hold no benchmark item."""
-    out = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return out.where(F.size("bench_items") == 0).select(*COLUMNS)
+    """Keep documents that hold no item of ``benchmark``; null and empty texts hold none, repeated rows go together."""
+    out = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), out="__items")
+    return out.where(F.size("__items") == 0).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each document as often as it is taken, with the number of the copy."""
-    return mixing.repeat_rows(mixing.mix(docs)).select(*COLUMNS, "mix_copy")
+    """The mix: each document as often as it is taken, with the number of the copy in ``mix_copy``.
+
+    Documents without words are taken by the rate of their source like others; a source without words is not taken.
+    """
+    return mixing.repeat_rows(mixing.mix(docs, out="__mix"), "__mix").select(*[c for c in docs.columns if c != "mix_copy"], "mix_copy")
 
 
 STAGES = [
@@ -47,13 +65,16 @@ STAGES = [
     ("decontamination", decontamination), ("mixing", mixture),
 ]
 
-#: Language ID, near-dedup and decontamination can't be said in SQL: the tests compare them with brute force.
+#: Language ID, near-dedup and decontamination can't be said in SQL: tests/llm/test_pipeline.py compares every stage with
+#: a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read back by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+    with Scratch(spark) as early:
+        for _, stage in STAGES[:-2]:
+            docs = early.write(stage(spark, docs, sf_dir))
+        docs = materialize(STAGES[-2][1](spark, docs, sf_dir))  # the mix still reads this one
     return STAGES[-1][1](spark, docs, sf_dir)
