@@ -44,7 +44,7 @@ def label_accuracy(cases: DataFrame, label: str = "expected") -> DataFrame:
 def cost_by_step(calls: DataFrame) -> DataFrame:
     """(step, cost_per_case, calls), dearest first."""
     n = calls.agg(F.countDistinct("case_id").alias("cases"))
-    per = calls.groupBy("step").agg(F.sum("cost").alias("cost"), F.count("*").alias("calls")).join(F.broadcast(n))
+    per = calls.groupBy("step").agg(F.sum("cost").alias("cost"), F.count("*").alias("calls")).crossJoin(F.broadcast(n))
     return per.select("step", F.round(F.col("cost") / F.col("cases"), 8).alias("cost_per_case"), "calls").orderBy(F.col("cost_per_case").desc(), "step")
 
 
@@ -52,7 +52,7 @@ def chain(calls: DataFrame, steps: tuple[str, ...] = RECALL_CHAIN) -> DataFrame:
     """(step, p50, chain_p50, share): medians of the chain's steps, their sum and each one's share of it."""
     rows = step_timings(calls.where(F.col("step").isin(*steps))).select("step", "p50")
     total = rows.agg(F.sum("p50").alias("chain_p50"))
-    return rows.join(F.broadcast(total)).select("step", "p50", F.round("chain_p50", 4).alias("chain_p50"), F.round(F.col("p50") / F.col("chain_p50"), 6).alias("share"))
+    return rows.crossJoin(F.broadcast(total)).select("step", "p50", F.round("chain_p50", 4).alias("chain_p50"), F.round(F.col("p50") / F.col("chain_p50"), 6).alias("share"))
 
 
 def rerank_anatomy(scores: DataFrame, calls: DataFrame, depths: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
@@ -68,7 +68,7 @@ def rerank_anatomy(scores: DataFrame, calls: DataFrame, depths: tuple[int, ...]
     half = nearest_rank(per.withColumn("all", F.lit(1)), ["all"], "judged", 0.5, "judged_p50").drop("all")
     fresh = calls.join(per.select("call_id"), "call_id", "left_semi").where(~F.col("cache_hit"))
     fit = line_fit(fresh.withColumn("all", F.lit(1)).withColumn("output_tokens", F.col("output_tokens").cast("double")), "all", "output_tokens", "latency_ms").drop("all")
-    return row.join(F.broadcast(half)).join(F.broadcast(fit))
+    return row.crossJoin(F.broadcast(half)).crossJoin(F.broadcast(fit))
 
 
 def headline(runs: DataFrame, cases: DataFrame, minimum: int) -> DataFrame:

@@ -42,7 +42,7 @@ def charged(tokens: Column, weight_: Column) -> Column:
 
 def spend(ledger: DataFrame, workspaces: DataFrame) -> DataFrame:
     """Cost and tokens of each owner's own calls; the system's calls don't count against an owner."""
-    own = ledger.where(~F.col("system")).join(F.broadcast(workspaces), "workspace_id")
+    own = ledger.where(~F.col("system")).join(workspaces, "workspace_id")
     tokens = F.col("input_tokens") + F.col("cached_tokens") + F.col("output_tokens")
     return own.groupBy("owner_id", "tier").agg(F.sum(cost(F.col("input_tokens"), F.col("output_tokens"), 0.25, 1.25)).alias("cost"), F.sum(tokens).alias("tokens"))
 

@@ -51,14 +51,19 @@ def lookup(hits: DataFrame, limit: int = 50) -> DataFrame:
 
 
 def numeric(field: str) -> Column:
-    """A field of an item as a decimal, or null: plain numbers only, a named dimension also by the value's unit."""
-    plain = lambda c: F.when(c.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), c.try_cast("decimal(38,10)"))
+    """A field of an item as a decimal, null unless it is a plain number.
+
+    The field is an attribute, or ``value``; a named dimension that no attribute states is the logged value if its unit
+    is one of the dimension's. What the attribute says counts even where it is no number.
+    """
     value = F.col("value_number").cast("decimal(38,10)")
     if field in ("value", "value.number"):
         return value
-    raw = plain(F.get_json_object("attributes", f"$.{field}"))
-    units = DIMENSION_UNITS.get(field)
-    return F.coalesce(raw, F.when(F.lower("value_unit").isin(*units), value)) if units else raw
+    name = field.removeprefix("attributes.")
+    raw = F.get_json_object("attributes", f"$.{name}")
+    plain = F.when(raw.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), raw.try_cast("decimal(38,10)"))
+    units = DIMENSION_UNITS.get(name.lower())
+    return F.when(raw.isNotNull(), plain).when(F.lower("value_unit").isin(*units), value) if units else plain
 
 
 def group_key(by: str, timezone: str = "UTC") -> Column:
@@ -74,14 +79,14 @@ def group_key(by: str, timezone: str = "UTC") -> Column:
 def aggregate(hits: DataFrame, op: str = "count", field: str | None = None, by: str | None = None, timezone: str = "UTC") -> DataFrame:
     """One row per counted item: (item_id, value, total, grp, grp_value, grp_count).
 
-    count, sum, min, max or avg over the whole and per group. Other ops than count leave rows out that hold no
+    count, sum, min, max or average (avg) over the whole and per group. Other ops than count leave rows out that hold no
     number. Both aggregates are group-bys joined back on a small side, so that no window sees all rows in one task.
     """
     rows = hits.withColumn("at", F.coalesce("occurred_start", "due_at", "mentioned_at"))
     rows = rows.withColumn("value", F.lit(1).cast("decimal(38,10)") if op == "count" else numeric(field))
     rows = rows.withColumn("grp", group_key(by, timezone) if by else F.lit(None).cast("string")).where("value is not null")
     rows = rows.select("item_id", "at", "value", "grp")
-    agg = F.count("value").cast("double") if op == "count" else getattr(F, op)("value").cast("double")
+    agg = F.count("value").cast("double") if op == "count" else getattr(F, {"average": "avg"}.get(op, op))("value").cast("double")
     total = rows.agg(agg.alias("total"))
     groups = rows.where("grp is not null").groupBy("grp").agg(agg.alias("grp_value"), F.count("*").alias("grp_count"), F.min(F.struct("at", "item_id")).alias("first"))
     return rows.join(groups, "grp", "left").crossJoin(F.broadcast(total)).select("item_id", F.col("value").cast("double").alias("value"), "total", "grp", "grp_value", "grp_count", "first")
@@ -128,26 +133,24 @@ def entity_tool(reached: DataFrame, items: DataFrame, item_entities: DataFrame,
     return top.withColumn("rank", F.row_number().over(W.orderBy(*live_rank())))
 
 
-def supersede_chain(seeds: DataFrame, links: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(item_id) of the seeds and all items joined to them by ``supersedes`` links, either way.
+def supersede_chain(seeds: DataFrame, links: DataFrame) -> DataFrame:
+    """(item_id) of the seeds and all items joined to them by ``supersedes`` links, either way, however long the chain.
 
-    Breadth first: each round is one join of the frontier with the edges, less what is known. Written out every few
-    rounds so that the plan stays short.
+    Breadth first: each round is one join of the frontier with the edges, less what is known, and is written out, so
+    the plan stays short. Rounds go on until one finds nothing.
     """
     from palimpsest.sources.storage import materialize
 
     edges = links.where("link_type = 'supersedes'")
     edges = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
     edges = materialize(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    known = materialize(seeds.select("item_id").distinct())
-    frontier = known
-    for _ in range(max_rounds):
+    known = frontier = materialize(seeds.select("item_id").distinct())
+    while True:
         new = frontier.join(edges, F.col("item_id") == F.col("a")).select(F.col("b").alias("item_id")).distinct()
         frontier = materialize(new.join(known, "item_id", "left_anti"))
         if frontier.isEmpty():
-            break
+            return known
         known = materialize(known.unionByName(frontier))
-    return known
 
 
 def because(chain: DataFrame, links: DataFrame, items: DataFrame, access: Access) -> DataFrame:
@@ -216,8 +219,9 @@ def due_soon(entries: DataFrame, items: DataFrame, now: datetime, hours: int = 2
     """One row: how many entries start within ``hours`` and a note that names the first of them."""
     soon = entries.where((F.col("start") >= F.lit(now)) & (F.col("start") < F.lit(now) + F.expr(f"INTERVAL '{hours}' HOUR")))
     rows = soon.join(items.select("item_id", "title"), "item_id")
-    got = rows.agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("start", "item_id", "title"))).alias("a"))
-    names = F.array_join(F.transform(F.slice("a", 1, shown), lambda x: x["title"]), ", ")
+    first = rows.orderBy("start", "item_id", "title").limit(shown).agg(F.array_sort(F.collect_list(F.struct("start", "item_id", "title"))).alias("a"))
+    names = F.array_join(F.transform("a", lambda x: x["title"]), ", ")
+    got = rows.agg(F.count("*").alias("n")).crossJoin(F.broadcast(first))
     return got.select("n", F.when(F.col("n") > shown, F.concat(names, F.lit(" and "), (F.col("n") - shown).cast("string"), F.lit(" more"))).otherwise(names).alias("note"))
 
 

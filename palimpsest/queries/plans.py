@@ -17,7 +17,7 @@ from palimpsest.operators import planning as pl
 from palimpsest.operators import ranking as rk
 from palimpsest.operators import tools as tl
 from palimpsest.operators.filters import Access, Filters
-from palimpsest.queries.reads import ALL, SCOPE
+from palimpsest.queries.reads import _DISTANCE, ALL, SCOPE
 from palimpsest.queries.registry import Tables, query
 from palimpsest.queries.rest import _LEX, _SCORED, _VEC, QUESTION, VECTOR, _scored
 from palimpsest.queries.words import known
@@ -38,24 +38,21 @@ def a_count(t: Tables) -> DataFrame:
     return _episodes(t).agg(F.count("*").alias("n"))
 
 
-def _register(op: str, sql: str) -> None:
+def _register(op: str) -> None:
     def f(t: Tables) -> DataFrame:
-        return _episodes(t).agg(F.expr(sql).cast("double").alias("total")).select(F.round("total", 2).alias("total"))
+        return tl.aggregate(_episodes(t), op, "distance").select(F.round("total", 2).alias("total")).distinct()
 
-    f.__name__, f.__doc__ = f"a_{op}", f"{sql} of the episodes in scope."
-    query(f"SELECT round({sql}, 2)::DOUBLE AS total FROM {_TASKS}")(f)
+    f.__name__, f.__doc__ = f"a_{op}", f"{op} of the distances of the episodes in scope."
+    query(f"SELECT round({op}(v), 2)::DOUBLE AS total FROM (SELECT {_DISTANCE} AS v FROM {_TASKS} i) HAVING count(v) > 0")(f)
 
 
-for _op, _sql in (("sum", "sum(value_number)"), ("min", "min(value_number)"), ("max", "max(value_number)"), ("avg", "avg(value_number)")):
-    _register(_op, _sql)
+for _op in ("sum", "min", "max", "avg"):
+    _register(_op)
 
 
-@query("SELECT item_id, CASE WHEN regexp_full_match(json_extract_string(attributes, '$.distance'), '-?[0-9]+(\\.[0-9]+)?') THEN json_extract_string(attributes, '$.distance')::DOUBLE "
-       "WHEN value_unit IN ('km', 'm', 'mi', 'mile', 'miles') AND json_extract_string(attributes, '$.distance') IS NULL THEN value_number END AS distance FROM items")
+@query(f"SELECT i.item_id, {_DISTANCE} AS distance FROM items i")
 def a_dimension(t: Tables) -> DataFrame:
-    raw = F.get_json_object("attributes", "$.distance")
-    got = F.when(raw.isNotNull(), F.when(raw.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), raw.try_cast("double"))).otherwise(F.when(F.col("value_unit").isin("km", "m", "mi", "mile", "miles"), F.col("value_number")))
-    return t["items"].select("item_id", got.alias("distance"))
+    return t["items"].select("item_id", tl.numeric("attributes.distance").cast("double").alias("distance"))
 
 
 @query(f"SELECT coalesce(subtype, '(none)') AS grp, count(*) AS n FROM {_TASKS} GROUP BY 1")
@@ -71,7 +68,7 @@ def a_sum_tokens(t: Tables) -> DataFrame:
 @query("SELECT sum(input_tokens * 25 + output_tokens * 125)::BIGINT AS cost_e8 FROM ledger l JOIN workspaces w ON l.workspace_id = w.workspace_id WHERE w.tier = 'guest' AND \"at\" >= TIMESTAMP '1997-01-01'")
 def a_guest_spend(t: Tables) -> DataFrame:
     guests = t["workspaces"].where("tier = 'guest'").select("workspace_id")
-    rows = t["ledger"].where(F.col("at") >= F.lit(datetime(1997, 1, 1))).join(F.broadcast(guests), "workspace_id", "left_semi")
+    rows = t["ledger"].where(F.col("at") >= F.lit(datetime(1997, 1, 1))).join(guests, "workspace_id", "left_semi")
     return rows.agg(F.sum(F.expr("input_tokens * 25 + output_tokens * 125")).alias("cost_e8"))
 
 
@@ -167,10 +164,10 @@ def z_merge_pins(t: Tables) -> DataFrame:
     return ev.merge_pins(pins).select("turn_id", "match", "state", "score")
 
 
-@query("SELECT case_id FROM (SELECT c_name AS case_id, c_mktsegment AS tag FROM customer) WHERE case_id = (SELECT min(c_name) FROM customer) OR tag = 'BUILDING'")
+@query("SELECT case_id FROM (SELECT c_name AS case_id, c_mktsegment AS tag FROM customer) WHERE case_id = 'Customer#000000000' OR tag = 'BUILDING'")
 def z_case_select(t: Tables) -> DataFrame:
     cases = t["customer"].select(F.col("c_name").alias("case_id"), F.array("c_mktsegment").alias("tags"))
-    return ev.select_cases(cases, [cases.agg(F.min("case_id")).first()[0], "BUILDING"]).select("case_id")
+    return ev.select_cases(cases, ["Customer#000000000", "BUILDING"]).select("case_id")
 
 
 @query("SELECT o_orderkey AS case_id FROM orders WHERE o_custkey % 40 = 7 AND o_orderkey % 3 = 0")
@@ -200,18 +197,13 @@ _CLEAN = "array_to_string(regexp_extract_all(lower({}), '[a-z0-9]+'), ' ')"
 
 
 @query(f"WITH e AS (SELECT c_custkey AS id, {_CLEAN.format('c_name')} AS name, 'c' || (c_custkey % 700) AS alias, c_custkey % 100 AS up FROM customer WHERE c_custkey % 17 <> 0), "
-       "m AS (SELECT o_orderkey AS mention_id, o_custkey, CASE o_orderkey % 3 WHEN 0 THEN 'me' WHEN 1 THEN 'c' || (o_custkey % 700) ELSE 'nobody' END AS said FROM orders WHERE o_orderkey % 20 < 3), "
+       "m AS (SELECT o_orderkey AS mention_id, o_custkey, CASE o_orderkey % 3 WHEN 0 THEN 'me' WHEN 1 THEN 'c' || (o_custkey % 700) ELSE 'nobody' END AS said FROM orders), "
        "h AS (SELECT m.mention_id, e.id, e.up FROM m JOIN e ON m.said = e.alias), p AS (SELECT mention_id, count(*) AS n, arg_max(id, up * 1000000000 - id) AS id FROM h GROUP BY 1) "
        "SELECT m.mention_id, CASE WHEN said = 'me' THEN 'self' WHEN p.n = 1 THEN 'matched' WHEN p.n > 1 THEN 'ambiguous' ELSE 'new' END AS outcome, p.id AS entity_id, CASE WHEN p.n > 0 THEN 'mention' END AS how, "
        "coalesce(p.n, 0) AS n_candidates FROM m LEFT JOIN p ON p.mention_id = m.mention_id")
 def c_resolve_entity(t: Tables) -> DataFrame:
-    return resolved(t, t["orders"].where("o_orderkey % 20 < 3"))
-
-
-def resolved(t: Tables, orders: DataFrame) -> DataFrame:
-    """The mentions that orders stand for, resolved to customers."""
-    said = orders.selectExpr("o_orderkey AS mention_id", "CASE o_orderkey % 3 WHEN 0 THEN 'Me' WHEN 1 THEN concat('the C', o_custkey % 700, \"'s\") ELSE 'Nobody' END AS mention",
-                                                              "CAST(NULL AS STRING) AS name", "CAST(NULL AS STRING) AS label", "'person' AS kind")
+    said = t["orders"].selectExpr("o_orderkey AS mention_id", "CASE o_orderkey % 3 WHEN 0 THEN 'Me' WHEN 1 THEN concat('the C', o_custkey % 700, \"'s\") ELSE 'Nobody' END AS mention",
+                                  "CAST(NULL AS STRING) AS name", "CAST(NULL AS STRING) AS label", "'person' AS kind")
     return en.resolve(said, _people(t))
 
 
@@ -276,10 +268,10 @@ def c_correction_bulk(t: Tables) -> DataFrame:
     return ky.refile(rk.lexical(t["keys"], QUESTION), t["items"], "health")
 
 
-@query("WITH hits AS (SELECT i.item_id AS message_id, t.trigger_id, t.item_id FROM items i JOIN triggers t ON t.entity_id = i.subject_entity_id WHERE t.state = 'pending' AND t.kind = 'person' AND i.item_id % 7 = 0) "
+@query("WITH hits AS (SELECT i.item_id AS message_id, t.trigger_id, t.item_id FROM items i JOIN triggers t ON t.entity_id = i.subject_entity_id WHERE t.state = 'pending' AND t.kind = 'person') "
        "SELECT min(message_id) AS message_id, trigger_id, item_id FROM hits GROUP BY 2, 3")
 def r_trigger_person(t: Tables) -> DataFrame:
-    said = t["items"].where("item_id % 7 = 0").select(F.col("item_id").alias("message_id"), F.col("subject_entity_id").alias("entity_id"))
+    said = t["items"].select(F.col("item_id").alias("message_id"), F.col("subject_entity_id").alias("entity_id"))
     return ky.fired_by_person(said.select("message_id"), said, t["triggers"])
 
 
@@ -432,7 +424,7 @@ def j_link_by_url(t: Tables) -> DataFrame:
 
 @query("SELECT l.turn_id, l.seq, w.owner_id FROM ledger l JOIN workspaces w ON w.workspace_id = l.workspace_id WHERE w.tier = 'owner'")
 def j_ledger_user(t: Tables) -> DataFrame:
-    return t["ledger"].join(F.broadcast(t["workspaces"].where("tier = 'owner'")), "workspace_id").select("turn_id", "seq", "owner_id")
+    return t["ledger"].join(t["workspaces"].where("tier = 'owner'"), "workspace_id").select("turn_id", "seq", "owner_id")
 
 
 @query("SELECT trigger_id FROM triggers WHERE state = 'pending' AND kind = 'time' AND fires_at <= TIMESTAMP '1998-03-10'")

@@ -187,11 +187,11 @@ def p_core_view(t: Tables) -> DataFrame:
     return ids(fl.core_view(t["items"], ALL))
 
 
-@query("SELECT i.item_id, coalesce(min(k.text) FILTER (WHERE k.key_kind = 'text'), i.title) AS shown, "
-       "coalesce((SELECT string_agg(e.entity_id::VARCHAR || ':' || e.role, ',' ORDER BY e.entity_id, e.role) FROM item_entities e WHERE e.item_id = i.item_id), '') AS ends "
-       f"FROM items i LEFT JOIN keys k ON k.item_id = i.item_id WHERE {SCOPE} AND i.item_id < 200 GROUP BY i.item_id, i.title")
+@query("WITH s AS (SELECT item_id, min(text) AS shown FROM keys WHERE key_kind = 'text' GROUP BY 1), "
+       "n AS (SELECT item_id, string_agg(entity_id::VARCHAR || ':' || role, ',' ORDER BY entity_id, role) AS ends FROM item_entities GROUP BY 1) "
+       f"SELECT i.item_id, coalesce(s.shown, i.title) AS shown, coalesce(n.ends, '') AS ends FROM items i LEFT JOIN s ON s.item_id = i.item_id LEFT JOIN n ON n.item_id = i.item_id WHERE {SCOPE}")
 def p_hydrate(t: Tables) -> DataFrame:
-    return hydrated(t, fl.scoped(t["items"], ALL).where("item_id < 200"))
+    return hydrated(t, fl.scoped(t["items"], ALL))
 
 
 def hydrated(t: Tables, hits: DataFrame) -> DataFrame:
@@ -282,8 +282,9 @@ def _counted(value: str, agg: str, grp: str) -> str:
             "count(*) OVER (PARTITION BY grp) AS grp_count FROM k")
 
 
-_DISTANCE = ("coalesce(CASE WHEN regexp_full_match(json_extract_string(i.attributes, '$.distance'), '-?[0-9]+(\\.[0-9]+)?') THEN json_extract_string(i.attributes, '$.distance')::DOUBLE END, "
-             "CASE WHEN i.value_unit IN ('km', 'm', 'mi', 'mile', 'miles') THEN i.value_number END)")
+_RAW = "json_extract_string(i.attributes, '$.distance')"
+_DISTANCE = (f"CASE WHEN {_RAW} IS NOT NULL THEN CASE WHEN regexp_full_match({_RAW}, '-?[0-9]+(\\.[0-9]+)?') THEN {_RAW}::DOUBLE END "
+             "WHEN lower(i.value_unit) IN ('km', 'm', 'mi', 'mile', 'miles') THEN i.value_number END")
 
 
 def _agg(t: Tables, op: str, field: str | None, by: str) -> DataFrame:

@@ -276,7 +276,7 @@ def a_global_spend(t: Tables) -> DataFrame:
 
 @query("SELECT w.tier, sum(input_tokens + output_tokens)::BIGINT AS used, greatest(0, 40000000 - sum(input_tokens + output_tokens))::BIGINT AS remaining FROM ledger l JOIN workspaces w ON l.workspace_id = w.workspace_id GROUP BY 1")
 def a_quota(t: Tables) -> DataFrame:
-    used = t["ledger"].join(F.broadcast(t["workspaces"]), "workspace_id").groupBy("tier").agg(F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("used"))
+    used = t["ledger"].join(t["workspaces"], "workspace_id").groupBy("tier").agg(F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("used"))
     return used.withColumn("remaining", F.greatest(F.lit(0), F.lit(40_000_000) - F.col("used")).cast("bigint"))
 
 
@@ -341,19 +341,19 @@ def z_run_compare(t: Tables) -> DataFrame:
        "s AS (SELECT *, CASE WHEN cost >= 150 THEN 'blocked' WHEN cost >= 120 THEN 'warned' ELSE 'fine' END AS state FROM d) "
        "SELECT owner_id, day, state, state = 'warned' AND row_number() OVER (PARTITION BY owner_id, state, substr(day, 1, 7) ORDER BY day) = 1 AS say FROM s")
 def z_spend_gate(t: Tables) -> DataFrame:
-    rows = t["ledger"].join(F.broadcast(t["workspaces"]), "workspace_id")
+    rows = t["ledger"].join(t["workspaces"], "workspace_id")
     day = rows.groupBy("owner_id", F.date_format("at", "yyyy-MM-dd").alias("day")).agg(F.round(F.sum("latency_ms") / 100, 2).alias("cost"))
     return me.gate(day, 150.0).select("owner_id", "day", "state", "say")
 
 
 # ---------------------------------------------------------------- write path
 
-_OPS = "SELECT CAST(floor(l_orderkey / 2) AS BIGINT) AS turn_id, l_linenumber AS seq, (l_orderkey * 3 + l_linenumber) % 15000 AS item_id, CASE l_returnflag WHEN 'A' THEN 'done' WHEN 'N' THEN 'superseded' ELSE 'cancelled' END AS state FROM lineitem WHERE l_orderkey < 3000"
+_OPS = "SELECT CAST(floor(l_orderkey / 2) AS BIGINT) AS turn_id, l_linenumber AS seq, l_orderkey + l_linenumber AS item_id, CASE l_returnflag WHEN 'A' THEN 'done' WHEN 'N' THEN 'superseded' ELSE 'cancelled' END AS state FROM lineitem"
 
 
 def _ops(t: Tables) -> DataFrame:
-    return t["lineitem"].where("l_orderkey < 3000").selectExpr("CAST(floor(l_orderkey / 2) AS BIGINT) AS turn_id", "l_linenumber AS seq", "(l_orderkey * 3 + l_linenumber) % 15000 AS item_id",
-                                                              "CASE l_returnflag WHEN 'A' THEN 'done' WHEN 'N' THEN 'superseded' ELSE 'cancelled' END AS state")
+    return t["lineitem"].selectExpr("CAST(floor(l_orderkey / 2) AS BIGINT) AS turn_id", "l_linenumber AS seq", "l_orderkey + l_linenumber AS item_id",
+                                    "CASE l_returnflag WHEN 'A' THEN 'done' WHEN 'N' THEN 'superseded' ELSE 'cancelled' END AS state")
 
 
 _LEGAL = "((i.kind IN ('fact', 'preference') AND o.state = 'superseded') OR (i.kind = 'plan' AND o.state = 'cancelled') OR (i.kind = 'task' AND o.state = 'done'))"
@@ -393,12 +393,12 @@ def c_core_budget(t: Tables) -> DataFrame:
 @query("WITH live AS (SELECT * FROM items WHERE valid_to IS NULL AND status = 'active'), "
        "f AS (SELECT subject_entity_id, predicate, arg_max(item_id, struct_pack(a := valid_from, b := item_id)) AS id, arg_max(value_number, struct_pack(a := valid_from, b := item_id)) AS v FROM live WHERE kind IN ('fact', 'preference') GROUP BY 1, 2), "
        "w AS (SELECT subject_entity_id, min(item_id) AS wish FROM live WHERE kind = 'intention' AND state IN ('wanted', 'active') GROUP BY 1), "
-       "n AS (SELECT * FROM items WHERE item_id % 4 = 1), "
+       "n AS (SELECT * FROM items), "
        "r AS (SELECT n.item_id, n.kind IN ('fact', 'preference') AND f.id IS NOT NULL AS fact, f.v = n.value_number AS same, n.kind = 'episode' AND w.wish IS NOT NULL AS meets, f.id, w.wish "
        "FROM n LEFT JOIN f ON f.subject_entity_id = n.subject_entity_id AND f.predicate = n.predicate LEFT JOIN w ON w.subject_entity_id = n.subject_entity_id) "
        "SELECT item_id, CASE WHEN fact AND same THEN 'no_op' WHEN fact THEN 'supersede' WHEN meets THEN 'fulfil' ELSE 'create' END AS decision, CASE WHEN fact THEN id WHEN meets THEN wish END AS target FROM r")
 def c_reconcile(t: Tables) -> DataFrame:
-    return wr.reconcile(t["items"].where("item_id % 4 = 1"), t["items"])
+    return wr.reconcile(t["items"], t["items"])
 
 
 @query("SELECT item_id, CASE WHEN sensitivity = 'secret' THEN 'deny' WHEN in_core AND item_id % 6 = 0 THEN 'hold' WHEN sensitivity = 'sensitive' AND NOT confirmed THEN 'hold' WHEN state IN ('superseded', 'cancelled', 'dropped') THEN 'flag' ELSE 'allow' END AS verdict FROM items")

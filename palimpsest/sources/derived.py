@@ -14,9 +14,6 @@ BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"
 
 MODEL: dict[str, str] = {}
 
-#: The text of ``keys``: a prefix of the document.
-CUT_TEXT = "substr(d.text, 1, 2000)"
-
 MODEL["items"] = """
 SELECT o_orderkey AS item_id, CAST(o_custkey % 4 AS INT) AS workspace_id,
   CASE o_orderkey % 7 WHEN 0 THEN 'fact' WHEN 1 THEN 'episode' WHEN 2 THEN 'plan' WHEN 3 THEN 'task' WHEN 4 THEN 'intention'
@@ -110,15 +107,13 @@ SELECT event_id, CAST(user_id AS BIGINT) AS turn_id, CAST(ts AS TIMESTAMP) AS at
 
 MODEL["keys"] = """
 SELECT d.doc_id AS key_id, CAST(floor(d.doc_id / 2.0) AS BIGINT) AS item_id, CASE WHEN d.doc_id % 3 = 0 THEN 'chunk' ELSE 'text' END AS key_kind,
-  substr(d.text, 1, 2000) AS text, e.embedding AS embedding
+  d.text AS text, e.embedding AS embedding
 FROM {documents} d LEFT JOIN {embeddings} e ON e.vec_id = d.doc_id
 """
 
-#: ``keys`` with the whole text of each document.
-MODEL["whole_keys"] = MODEL["keys"].replace(CUT_TEXT, "d.text")
-
 MODEL["said"] = """
-SELECT conv_id AS turn_id, turn AS seq, role, text FROM {conversations}
+SELECT c.conv_id AS turn_id, c.turn AS seq, c.role AS role, c.text AS text, e.embedding AS embedding
+FROM {conversations} c LEFT JOIN {embeddings} e ON e.vec_id = c.conv_id * 4 + c.turn
 """
 
 
