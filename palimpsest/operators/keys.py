@@ -6,20 +6,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import content_hash, fold_space, render_item, split_said
+from palimpsest.functions.text import content_hash, fold_space, past_tense, render_item, split_said
 from palimpsest.operators.filters import Access, scoped
-from palimpsest.operators.ranking import cosine
+from palimpsest.operators.ranking import cosine_to
 from palimpsest.sources.storage import replace_sets
 
-DERIVED = ("text", "verbal")
+DERIVED = ("text", "verbal", "change")
 SNIPPET_CHARS = 1200
 
 
-def render(items: DataFrame) -> DataFrame:
-    """(item_id, key_kind, text, hash) of the derived keys of items: their text, and a sentence that says what they are."""
+def render_change(items: DataFrame, links: DataFrame) -> DataFrame:
+    """(item_id, text) of items that superseded another: what they say now and, in the past tense, what they replaced.
+
+    A plan that moved names both dates. Of several replaced items the one with the least id counts.
+    """
+    old = links.where("link_type = 'supersedes'").groupBy(F.col("src").alias("item_id")).agg(F.min("dst").alias("old_id"))
+    was = items.select(F.col("item_id").alias("old_id"), F.col("text").alias("old_text"), F.col("occurred_start").alias("old_start"))
+    rows = items.join(old, "item_id").join(was, "old_id")
+    clause = lambda c: F.regexp_replace(fold_space(c), r"[.\s]+$", "")
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    moved = (F.col("kind") == "plan") & F.col("old_start").isNotNull() & F.col("occurred_start").isNotNull()
+    said = F.when(moved, F.concat(F.lcase(F.substring("title", 1, 1)), F.substring(clause(F.col("title")), 2, 1 << 30), F.lit(" moved from "), day("old_start"), F.lit(" to "), day("occurred_start"))).otherwise(
+        F.concat(clause(F.col("text")), F.lit("; before that, "), past_tense(clause(F.col("old_text")))))
+    return rows.select("item_id", F.concat(F.lit("Changed on "), day("mentioned_at"), F.lit(": "), said, F.lit(".")).alias("text"))
+
+
+def render(items: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """(item_id, key_kind, text, hash) of the derived keys of items: their text, a sentence that says what they are, and, with links, what they changed."""
     sentence = render_item(F.col("kind"), F.col("state"), F.lit(None).cast("string"), F.col("predicate"), F.col("text"))
     both = F.array(F.struct(F.lit("text").alias("key_kind"), F.col("text").alias("text")), F.struct(F.lit("verbal").alias("key_kind"), sentence.alias("text")))
-    return items.select("item_id", F.explode(both).alias("k")).select("item_id", "k.*").withColumn("hash", content_hash(F.col("text")))
+    rows = items.select("item_id", F.explode(both).alias("k")).select("item_id", "k.*")
+    if links is not None:
+        rows = rows.unionByName(render_change(items, links).select("item_id", F.lit("change").alias("key_kind"), "text"))
+    return rows.withColumn("hash", content_hash(F.col("text")))
 
 
 def vector_cache(keys: DataFrame) -> DataFrame:
@@ -28,9 +47,9 @@ def vector_cache(keys: DataFrame) -> DataFrame:
     return known.groupBy(content_hash(F.col("text")).alias("hash")).agg(F.min_by("embedding", "key_id").alias("embedding"))
 
 
-def rebuild(touched: DataFrame, items: DataFrame, keys: DataFrame) -> DataFrame:
+def rebuild(touched: DataFrame, items: DataFrame, keys: DataFrame, links: DataFrame) -> DataFrame:
     """Derived keys of the touched items(item_id), a vector coming from any stored key with the same text."""
-    now = render(items.join(touched.select("item_id").distinct(), "item_id", "left_semi"))
+    now = render(items, links).join(touched.select("item_id").distinct(), "item_id", "left_semi")
     return now.join(vector_cache(keys), "hash", "left").select("item_id", "key_kind", "text", "hash", "embedding")
 
 
@@ -53,9 +72,8 @@ def fill_vectors(keys: DataFrame, late: DataFrame) -> DataFrame:
 
 def similar(keys: DataFrame, items: DataFrame, access: Access, vector: list[float], limit: int = 10) -> DataFrame:
     """(item_id, score): the items nearest to a vector by the best of their keys."""
-    q = F.array(*[F.lit(float(x)) for x in vector])
     rows = keys.where("embedding is not null").join(scoped(items, access).select("item_id"), "item_id", "left_semi")
-    best = rows.groupBy("item_id").agg(F.max(F.round(cosine(F.col("embedding"), q), 6)).alias("score"))
+    best = rows.groupBy("item_id").agg(F.max(F.round(cosine_to(F.col("embedding"), vector), 6)).alias("score"))
     return best.orderBy(F.col("score").desc(), "item_id").limit(limit)
 
 
@@ -89,6 +107,5 @@ def fired_by_person(messages: DataFrame, mentions: DataFrame, triggers: DataFram
 def fired_by_topic(vector: list[float], triggers: DataFrame, keys: DataFrame, floor: float) -> DataFrame:
     """(trigger_id, item_id, score): pending topic triggers with a key at ``floor`` or nearer to the message's vector."""
     waiting = triggers.where("state = 'pending' AND kind = 'topic'").select("trigger_id", "item_id")
-    q = F.array(*[F.lit(float(x)) for x in vector])
-    near = keys.where("embedding is not null").select("item_id", F.round(cosine(F.col("embedding"), q), 6).alias("score"))
+    near = keys.where("embedding is not null").select("item_id", F.round(cosine_to(F.col("embedding"), vector), 6).alias("score"))
     return waiting.join(near, "item_id").groupBy("trigger_id", "item_id").agg(F.max("score").alias("score")).where(F.col("score") >= floor)

@@ -8,6 +8,7 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import words
@@ -117,3 +118,11 @@ def booked(plans: DataFrame, window: str) -> DataFrame:
     due = plans.where((F.col("shape") == "situational") & F.col(window).isNotNull())
     return due.select("question_id", F.lit("time_window").alias("shape"), F.concat(F.lit("What is already planned "), F.col(window), F.lit("?")).alias("question"),
                       F.concat(F.lit("plans "), F.col(window)).alias("topic"))
+
+
+def unread(questions: DataFrame, items: DataFrame, shown: int = 5) -> DataFrame:
+    """(question_id, item_id): for each situational question(question_id, workspace_id, shape) the newest saved, unread resources of its workspace."""
+    rows = items.where("kind = 'resource' AND state = 'saved' AND status = 'active' AND sensitivity = 'normal'")
+    newest = F.row_number().over(W.partitionBy("workspace_id").orderBy(F.col("created_at").desc(), F.col("item_id").desc()))
+    rows = rows.withColumn("__n", newest).where(F.col("__n") <= shown).select("workspace_id", "item_id")
+    return questions.where("shape = 'situational'").join(rows, "workspace_id").select("question_id", "item_id")

@@ -1,34 +1,71 @@
 """Search and ranking: lexical and dense halves, reciprocal rank fusion, demotion, selection and relaxation.
 
-The lexical score is this engine's own: the share of a text's words that are question words. Dense search is exact.
+The lexical score is BM25 over word stems, texts being measured in characters. Stems and the weight of words that most
+texts hold come from rules and counts, not from lists. Dense search is exact.
 """
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import words
 from palimpsest.operators.filters import Access, Filters, apply
 from palimpsest.schema import ANSWER_TOP, COUNT_CHECK, HISTORY_DEMOTION, HISTORY_STATES, LIST_MAX, POOL, RERANK_MIN, RRF_K, SOFT_EXTRAS
+from palimpsest.sources.storage import materialize
+
+
+#: Saturation and length of BM25, and the endings that a stem leaves off, longest first.
+K1, B = 1.2, 0.75
+ENDINGS = ("ing", "ed", "es", "s")
+
+
+def stem(word: str) -> str:
+    """A word without its ending, if three letters stay."""
+    return next((word[: -len(e)] for e in ENDINGS if word.endswith(e) and len(word) >= len(e) + 3), word)
+
+
+def question_stems(question: str) -> list[str]:
+    """Distinct stems of a question's words, in order."""
+    return list(dict.fromkeys(map(stem, re.findall(r"[a-z0-9]+", question.lower()))))
+
 
+def stem_pattern(stems: list[str]) -> str:
+    """A pattern that finds words of these stems, with any ending, in lower-case text; group 1 is the stem. Words are ASCII."""
+    return r"(?<![a-z0-9_])(" + "|".join(sorted(stems, key=len, reverse=True)) + ")(?:" + "|".join(ENDINGS) + r")?(?![a-z0-9_])"
 
-def question_words(question: str) -> list[str]:
-    """Distinct lower-case words of a question, in order."""
-    import re
 
-    return list(dict.fromkeys(re.findall(r"[a-z0-9]+", question.lower())))
+def lexical_scores(rows: DataFrame, question: str, text: str = "text") -> DataFrame:
+    """``rows`` without their text, with ``score`` by BM25, those that hold no stem of the question left out.
+
+    A stem that more than half of the texts hold doesn't count, unless all that occur are such. Whole texts are read
+    once: what is kept of them for the counts and the scores is their length and the counts of the question's stems.
+    """
+    stems = question_stems(question)
+    columns = [c for c in rows.columns if c != text]
+    if not stems:
+        return rows.select(*columns, F.lit(0.0).alias("score")).limit(0)
+    found = rows.withColumn("__found", F.regexp_extract_all(F.lower(text), F.lit(stem_pattern(stems)), 1)).where(F.col(text).isNotNull())
+    times = lambda x: F.size(F.filter("__found", lambda w: w == F.lit(x)))
+    tf = F.array(*map(times, stems))
+    counted = materialize(found.select(*columns, F.length(text).alias("__chars"), tf.alias("__tf")))
+    stats = counted.agg(F.count("*").alias("__n"), F.avg("__chars").alias("__mean"), *[F.count_if(F.col("__tf")[i] > 0).alias(f"__df{i}") for i in range(len(stems))])
+    some = lambda i: (F.col(f"__df{i}") > 0) & (F.col(f"__df{i}") * 2 <= F.col("__n"))
+    rare = reduce(lambda x, y: x | y, map(some, range(len(stems))))
+    idf = [F.when(F.col("__rare") & ~some(i), 0.0).otherwise(F.log(1 + (F.col("__n") - F.col(f"__df{i}") + 0.5) / (F.col(f"__df{i}") + 0.5))) for i in range(len(stems))]
+    stats = stats.withColumn("__rare", rare).select("__mean", F.array(*idf).alias("__idf"))
+    norm = K1 * (1 - B + B * F.col("__chars") / F.col("__mean"))
+    parts = [F.col("__idf")[i] * F.col("__tf")[i] * (K1 + 1) / (F.col("__tf")[i] + norm) for i in range(len(stems))]
+    scored = counted.crossJoin(F.broadcast(stats)).withColumn("score", F.round(reduce(lambda x, y: x + y, parts), 6))
+    return scored.select(*columns, "score").where("score > 0")
 
 
 def lexical(keys: DataFrame, question: str, pool: int = POOL) -> DataFrame:
-    """(key_id, item_id, key_kind, score) of the best ``pool`` keys that hold a question word."""
-    terms = question_words(question)
-    if not terms:
-        return keys.select("key_id", "item_id", "key_kind", F.lit(0.0).alias("score")).limit(0)
-    said = words(F.col("text"))
-    hits = F.size(F.filter(said, lambda w: w.isin(*terms)))
-    rows = keys.select("key_id", "item_id", "key_kind", F.round(hits / F.greatest(F.size(said), F.lit(1)), 9).alias("score")).where("score > 0")
+    """(key_id, item_id, key_kind, score) of the best ``pool`` keys that hold a word of the question."""
+    rows = lexical_scores(keys.select("key_id", "item_id", "key_kind", "text"), question)
     return rows.orderBy(F.col("score").desc(), "item_id", "key_id").limit(pool)
 
 
@@ -37,10 +74,18 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
+def cosine_to(a: Column, vector: list[float]) -> Column:
+    """Cosine to a fixed vector, whose length is known: one fold over the column."""
+    q = F.array(*[F.lit(float(x)) for x in vector])
+    both = F.zip_with(a, q, lambda p, w: F.struct((p.cast("double") * w).alias("d"), (p.cast("double") * p.cast("double")).alias("n")))
+    start = F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("n"))
+    norm2 = sum(float(x) * float(x) for x in vector)
+    return F.aggregate(both, start, lambda s, x: F.struct((s["d"] + x["d"]).alias("d"), (s["n"] + x["n"]).alias("n")), lambda s: s["d"] / F.sqrt(s["n"] * norm2))
+
+
 def dense(keys: DataFrame, vector: list[float], pool: int = POOL) -> DataFrame:
     """(key_id, item_id, key_kind, score) of the ``pool`` keys nearest to a vector by cosine, over all vectors."""
-    q = F.array(*[F.lit(float(x)) for x in vector])
-    rows = keys.where("embedding is not null").select("key_id", "item_id", "key_kind", F.round(cosine(F.col("embedding"), q), 6).alias("score"))
+    rows = keys.where("embedding is not null").select("key_id", "item_id", "key_kind", F.round(cosine_to(F.col("embedding"), vector), 6).alias("score"))
     return rows.orderBy(F.col("score").desc(), "item_id", "key_id").limit(pool)
 
 
@@ -86,9 +131,10 @@ def select_ranked(rows: DataFrame, top: int = ANSWER_TOP, floor: float = RERANK_
 
 def select_list(rows: DataFrame, cap: int = LIST_MAX, extras: int = SOFT_EXTRAS) -> DataFrame:
     """Rows(question_id, item_id, soft, place) of a list answer: the first ``cap`` filtered hits and up to ``extras`` soft ones; ``more`` counts the rest."""
-    n = F.row_number().over(W.partitionBy("question_id", "soft").orderBy("place", "item_id"))
+    n = F.row_number().over(W.partitionBy("question_id").orderBy("place", "item_id"))
+    first = lambda soft, k: rows.where(F.col("soft") if soft else ~F.col("soft")).withColumn("n", n).where(F.col("n") <= k)
     total = rows.where(~F.col("soft")).groupBy("question_id").agg(F.count("*").alias("total"))
-    out = rows.withColumn("n", n).where(F.col("n") <= F.when(F.col("soft"), extras).otherwise(cap)).join(total, "question_id", "left")
+    out = first(False, cap).unionByName(first(True, extras)).join(total, "question_id", "left")
     return out.select("question_id", "item_id", "soft", F.greatest(F.lit(0), F.coalesce("total", F.lit(0)) - cap).alias("more"))
 
 
@@ -115,14 +161,62 @@ def relax(items: DataFrame, filters: Filters, access: Access, item_entities: Dat
     return out.join(F.broadcast(out.agg(F.min("step").alias("step"))), "step").select("item_id", "step")
 
 
-def conversation(said: DataFrame, question: str, role: str | None = None, exclude: int | None = None, limit: int = 10) -> DataFrame:
-    """Best snippet of each (turn, role) of what was said, by lexical score, best first."""
+def conversation(said: DataFrame, question: str, vector: list[float], role: str | None = None, exclude: int | None = None, limit: int = 10, k: int = RRF_K) -> DataFrame:
+    """(turn_id, role, seq, rrf): the best snippet of each (turn, role) of what was said, by both halves of search, best first."""
     rows = said.where(F.col("role") == role) if role else said
     rows = rows if exclude is None else rows.where(F.col("turn_id") != exclude)
-    key = rows.select(F.xxhash64("turn_id", "seq").alias("key_id"), F.col("turn_id").alias("item_id"), F.col("role").alias("key_kind"), "text", "seq")
-    terms = question_words(question)
-    w = words(F.col("text"))
-    scored = key.withColumn("score", F.round(F.size(F.filter(w, lambda x: x.isin(*terms))) / F.greatest(F.size(w), F.lit(1)), 9)).where("score > 0")
-    best = scored.groupBy("item_id", "key_kind").agg(F.max(F.struct("score", (-F.col("seq")).alias("m"))).alias("b"))
-    best = best.select(F.col("item_id").alias("turn_id"), F.col("key_kind").alias("role"), F.col("b.score").alias("score"), (-F.col("b.m")).alias("seq"))
-    return best.orderBy(F.col("score").desc(), "turn_id", "role").limit(limit)
+    order = [F.col("score").desc(), "turn_id", "seq", "role"]
+    place = lambda df, name: df.orderBy(*order).limit(POOL).select("turn_id", "role", "seq", F.row_number().over(W.orderBy(*order)).alias(name))
+    lex = place(lexical_scores(rows.select("turn_id", "role", "seq", "text"), question), "l")
+    den = place(rows.where("embedding is not null").select("turn_id", "role", "seq", F.round(cosine_to(F.col("embedding"), vector), 6).alias("score")), "d")
+    part = lambda r: F.coalesce(F.lit(1.0) / (F.lit(k) + F.col(r)), F.lit(0.0))
+    both = lex.join(den, ["turn_id", "role", "seq"], "full").withColumn("rrf", F.round(part("l") + part("d"), 9))
+    best = both.groupBy("turn_id", "role").agg(F.max(F.struct("rrf", (-F.col("seq")).alias("m"))).alias("b"))
+    best = best.select("turn_id", "role", (-F.col("b.m")).alias("seq"), F.col("b.rrf").alias("rrf"))
+    return best.orderBy(F.col("rrf").desc(), F.col("turn_id").desc(), "role").limit(limit)
+
+
+def when() -> Column:
+    """The moment that an item is ordered by: when it happened, else from when it holds, is due, was told."""
+    return F.coalesce("occurred_start", "valid_from", "due_at", "mentioned_at")
+
+
+def fused_order(fused: DataFrame, items: DataFrame) -> DataFrame:
+    """``fused`` with ``place``: best first, then the later moment, then the title, then the id."""
+    rows = fused.join(items.select("item_id", when().alias("__when"), F.lower("title").alias("__title")), "item_id")
+    order = W.partitionBy("question_id").orderBy(F.col("fused").desc(), F.col("__when").desc(), "__title", "item_id")
+    return rows.withColumn("place", F.row_number().over(order)).drop("__when", "__title")
+
+
+def reranked(rows: DataFrame) -> DataFrame:
+    """Rows(question_id, item_id, score, place) in order of a judge's score, ties by their fused place, with ``rank``."""
+    return rows.withColumn("rank", F.row_number().over(W.partitionBy("question_id").orderBy(F.col("score").desc(), "place", "item_id")))
+
+
+def in_period(start: Column, end: Column) -> Column:
+    """Whether an item happened, is due or was told in [start, end); an open end doesn't bound."""
+    inside = lambda c: F.coalesce((start.isNull() | (F.col(c) >= start)) & (end.isNull() | (F.col(c) < end)) & F.col(c).isNotNull(), F.lit(False))
+    return inside("occurred_start") | inside("due_at") | inside("mentioned_at")
+
+
+def current_first(rows: DataFrame) -> DataFrame:
+    """Rows(question_id, demoted) without the demoted ones of a question that has others."""
+    fresh = rows.groupBy("question_id").agg(F.bool_or(~F.col("demoted")).alias("__fresh"))
+    return rows.join(fresh, "question_id").where(~F.col("__fresh") | ~F.col("demoted")).drop("__fresh")
+
+
+def passage_floor(score: Column, passage: Column, demoted: Column, floor: float = 0.4) -> Column:
+    """A judge's score within 0 to 1; a current passage gets ``floor`` at least."""
+    clamped = F.least(F.lit(1.0), F.greatest(F.lit(0.0), score))
+    return F.when(passage & ~demoted, F.greatest(clamped, F.lit(floor))).otherwise(clamped)
+
+
+def closest(items: DataFrame, at: Column, by: str) -> DataFrame:
+    """(by, item_id): of each group the item that happened nearest to an instant; ties go to the least id."""
+    far = F.struct(F.abs(F.unix_timestamp("occurred_start") - F.unix_timestamp(at)), F.col("item_id"))
+    return items.where("occurred_start IS NOT NULL").groupBy(by).agg(F.min_by("item_id", far).alias("item_id"))
+
+
+def dedupe_ordered(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key in order, as a list that keeps its order would."""
+    return rows.withColumn("__n", F.row_number().over(W.partitionBy(*key).orderBy(*order))).where("__n = 1").drop("__n")

@@ -50,10 +50,16 @@ def undo(log: DataFrame, turn_id: int) -> DataFrame:
 
 
 def core_budget(core: DataFrame, budget: int = CORE_BUDGET) -> DataFrame:
-    """(workspace_id, item_id, tokens, held): items in order until the workspace's budget of tokens is spent."""
-    rows = core.select("workspace_id", "item_id", "created_at", F.ceil(F.length("text") / 4).alias("tokens"))
-    run = F.sum("tokens").over(W.partitionBy("workspace_id").orderBy("created_at", "item_id"))
-    return rows.withColumn("held", run > budget).drop("created_at")
+    """(workspace_id, item_id, tokens, held): items in order until the workspace's budget of tokens is spent.
+
+    The running sum is that of the months before plus that within the month, so a large workspace is not one task.
+    """
+    rows = core.select("workspace_id", "item_id", "created_at", F.ceil(F.length("text") / 4).alias("tokens"), F.trunc("created_at", "month").alias("month"))
+    months = rows.groupBy("workspace_id", "month").agg(F.sum("tokens").alias("spent"))
+    before = F.sum("spent").over(W.partitionBy("workspace_id").orderBy("month").rowsBetween(W.unboundedPreceding, -1))
+    months = months.select("workspace_id", "month", F.coalesce(before, F.lit(0)).alias("before"))
+    within = F.sum("tokens").over(W.partitionBy("workspace_id", "month").orderBy("created_at", "item_id"))
+    return rows.join(months, ["workspace_id", "month"]).withColumn("held", F.col("before") + within > budget).drop("created_at", "month", "before")
 
 
 def reconcile(new: DataFrame, stored: DataFrame) -> DataFrame:
@@ -69,19 +75,33 @@ def reconcile(new: DataFrame, stored: DataFrame) -> DataFrame:
     return rows.select("item_id", decision.alias("decision"), target.alias("target"))
 
 
-#: Rules by severity: a change that matches several gets the most severe verdict. Fixed values.
-VERDICTS = {"allow": 0, "flag": 1, "hold": 2, "deny": 3}
+#: Origins that are the user's own, and operations that text read from elsewhere may propose. Fixed values.
+USER_ORIGINS, CONTENT_OPS = ("user_message", "undo", "confirm", "ui_edit"), ("create", "link", "upsert_entity")
+#: Verdicts by severity: of the rules that apply the first of the most severe ones counts. Fixed values.
+VERDICTS = {"allowed": 0, "held": 1, "blocked": 2}
 
 
-def policy(ops: DataFrame) -> DataFrame:
-    """(item_id, verdict, rule) of ops(item_id, kind, state, sensitivity, confirmed, in_core, trust): the worst of the rules that match."""
-    rules = [("secret_text", F.col("sensitivity") == "secret", "deny"), ("untrusted_core", F.col("in_core") & (F.col("trust") < 1), "hold"),
-             ("untrusted_rule", F.col("kind").isin("rule", "pattern") & (F.col("trust") < 1), "hold"), ("sensitive_unconfirmed", (F.col("sensitivity") == "sensitive") & ~F.col("confirmed"), "hold"),
-             ("closed_state", F.col("state").isin("superseded", "cancelled", "dropped"), "flag")]
-    hits = F.array(F.struct(F.lit(0).alias("s"), F.lit("").alias("rule"), F.lit("allow").alias("v")), *[
-        F.when(c, F.struct(F.lit(VERDICTS[v]).alias("s"), F.lit(name).alias("rule"), F.lit(v).alias("v"))) for name, c, v in rules])
+def policy(ops: DataFrame, threshold: int = BULK_THRESHOLD) -> DataFrame:
+    """``ops`` with ``verdict`` and ``rule``.
+
+    Columns: op, target, kind, origin, trust, sensitivity, modality, confidence, core_write, creates_trigger,
+    edits_existing, layer_only, fills_own_item, and of the turn confirmed, turn_kind, edited_items.
+    """
+    c = F.col
+    content = (c("trust") == "content") & ~(~c("core_write") & (c("op") == "update") & c("fills_own_item") & ~c("creates_trigger"))
+    oversteps = (c("kind") == "rule") | c("creates_trigger") | ~c("op").isin(*CONTENT_OPS)
+    inferred = ((c("kind") == "pattern") | ((c("confidence") < 1) & (c("turn_kind") == "system"))) & (c("target") == "item") & ~c("op").isin("delete", "unlink", "unrelate")
+    edits = ~c("confirmed") & ~c("layer_only") & c("edits_existing")
+    rules = [
+        ("P-SECRET-1", c("sensitivity") == "secret", "blocked"), ("P-TRUST-1", content & c("core_write"), "held"), ("P-TRUST-1", content & ~c("core_write") & oversteps, "blocked"),
+        ("P-MOD-1", (c("modality") == "hypothetical") & (((c("op") == "create") & (c("kind") != "note")) | c("core_write")), "blocked"),
+        ("P-INFER-1", inferred & ~c("confirmed") & ~c("layer_only"), "held"), ("P-SENS-1", c("core_write") & (c("sensitivity") == "sensitive") & ~c("confirmed"), "held"),
+        ("P-CORE-1", c("core_write") & ~c("confirmed") & ~c("origin").isin(*USER_ORIGINS), "held"),
+        ("P-BULK-1", edits & (((c("op") == "delete") & ~c("origin").isin("undo", "system")) | (c("edited_items") > threshold)), "held")]
+    hits = F.array(F.struct(F.lit(0).alias("s"), F.lit(-len(rules)).alias("i"), F.lit("P-DEFAULT").alias("rule"), F.lit("allowed").alias("v")), *[
+        F.when(cond, F.struct(F.lit(VERDICTS[v]).alias("s"), F.lit(-i).alias("i"), F.lit(name).alias("rule"), F.lit(v).alias("v"))) for i, (name, cond, v) in enumerate(rules)])
     worst = F.array_max(F.array_compact(hits))
-    return ops.select("item_id", worst["v"].alias("verdict"), worst["rule"].alias("rule"))
+    return ops.withColumn("__worst", worst).withColumn("verdict", F.col("__worst.v")).withColumn("rule", F.col("__worst.rule")).drop("__worst")
 
 
 def frequent(access: DataFrame, since: Column, least: int = FREQUENT_MIN) -> DataFrame:

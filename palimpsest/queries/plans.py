@@ -215,10 +215,30 @@ def x_match_entities(t: Tables) -> DataFrame:
 _HASH = "sha256(trim(regexp_replace({}, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' '))"
 
 
-@query(f"SELECT i.item_id, 'text' AS key_kind, {_HASH.format('i.text')} AS hash FROM items i WHERE i.item_id % 100 = 1")
+_SAID = "regexp_replace(coalesce(i.text, ''), '[. \\t\\n]+$', '')"
+_VERBAL = (f"CASE i.kind WHEN 'fact' THEN 'You ' || replace(i.predicate, '_', ' ') || ': ' || {_SAID} || CASE WHEN i.state = 'superseded' THEN ' (no longer)' ELSE '' END || '.' "
+           f"WHEN 'preference' THEN 'You' || CASE WHEN i.state = 'superseded' THEN ' used to prefer: ' ELSE ' prefers: ' END || {_SAID} || '.' WHEN 'episode' THEN 'It happened: ' || {_SAID} || '.' "
+           f"WHEN 'plan' THEN CASE i.state WHEN 'cancelled' THEN 'Cancelled: ' WHEN 'moved' THEN 'Moved: ' WHEN 'happened' THEN 'Happened: ' ELSE 'Planned: ' END || {_SAID} || '.' "
+           f"WHEN 'task' THEN CASE i.state WHEN 'done' THEN 'Done: ' WHEN 'dropped' THEN 'Dropped: ' ELSE 'To do: ' END || {_SAID} || '.' "
+           f"WHEN 'intention' THEN 'You' || CASE i.state WHEN 'fulfilled' THEN ' did: ' WHEN 'dropped' THEN ' gave up on: ' ELSE ' wants to: ' END || {_SAID} || '.' "
+           f"ELSE CASE WHEN i.state = 'consumed' THEN 'Read or watched: ' ELSE 'Saved: ' END || {_SAID} || '.' END")
+_CHANGED = ("SELECT i.item_id, 'change' AS key_kind, 'Changed on ' || strftime(i.mentioned_at, '%Y-%m-%d') || ': ' || CASE WHEN i.kind = 'plan' AND o.occurred_start IS NOT NULL AND i.occurred_start IS NOT NULL "
+            "THEN lower(substr(i.title, 1, 1)) || substr(i.title, 2) || ' moved from ' || strftime(o.occurred_start, '%Y-%m-%d') || ' to ' || strftime(i.occurred_start, '%Y-%m-%d') "
+            "ELSE i.text || '; before that, ' || o.text END || '.' AS text FROM items i JOIN (SELECT src, min(dst) AS dst FROM links WHERE link_type = 'supersedes' GROUP BY 1) l ON l.src = i.item_id JOIN items o ON o.item_id = l.dst")
+
+
+@query(f"SELECT i.item_id, {_VERBAL} AS sentence FROM items i")
+def x_render_verbal(t: Tables) -> DataFrame:
+    return t["items"].select("item_id", tx.render_item(F.col("kind"), F.col("state"), F.lit(None).cast("string"), F.col("predicate"), F.col("text")).alias("sentence"))
+
+
+@query(f"WITH k AS (SELECT i.item_id, 'text' AS key_kind, i.text FROM items i UNION ALL SELECT i.item_id, 'verbal', {_VERBAL} FROM items i UNION ALL {_CHANGED}), "
+       f"c AS (SELECT {_HASH.format('text')} AS hash, min(key_id) AS from_key FROM (SELECT key_id, text, embedding FROM keys UNION ALL SELECT -item_id - 1, text, [1.0] FROM items WHERE item_id % 3 = 0) WHERE embedding IS NOT NULL GROUP BY 1) "
+       f"SELECT k.item_id, k.key_kind, k.text, {_HASH.format('k.text')} AS hash, c.hash IS NOT NULL AS has_vector FROM k LEFT JOIN c ON c.hash = {_HASH.format('k.text')}")
 def c_keys_rebuild(t: Tables) -> DataFrame:
-    out = ky.rebuild(t["items"].where("item_id % 100 = 1").select("item_id"), t["items"], t["keys"])
-    return out.where("key_kind = 'text'").select("item_id", "key_kind", "hash")
+    stored = t["keys"].select("key_id", "text", "embedding").unionByName(t["items"].where("item_id % 3 = 0").select((-F.col("item_id") - 1).alias("key_id"), "text", F.array(F.lit(1.0).cast("float")).alias("embedding")))
+    out = ky.rebuild(t["items"].select("item_id"), t["items"], stored, t["links"])
+    return out.select("item_id", "key_kind", "text", "hash", F.col("embedding").isNotNull().alias("has_vector"))
 
 
 @query("SELECT item_id, item_id % 100 = 0 AS changed FROM items")
@@ -367,21 +387,17 @@ def r_snippet(t: Tables) -> DataFrame:
 
 @query(f"WITH s AS ({_SCORED}) SELECT question_id, item_id, CASE WHEN soft AND NOT demoted AND score < 0.4 THEN 0.4 ELSE least(1, greatest(0, score)) END::DOUBLE AS score FROM s")
 def r_passage_floor(t: Tables) -> DataFrame:
-    clamped = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score")))
-    lifted = F.when(F.col("soft") & ~F.col("demoted"), F.greatest(clamped, F.lit(0.4))).otherwise(clamped)
-    return _scored(t).select("question_id", "item_id", lifted.alias("score"))
+    return _scored(t).select("question_id", "item_id", rk.passage_floor(F.col("score"), F.col("soft"), F.col("demoted")).alias("score"))
 
 
 @query(f"WITH s AS ({_SCORED}), f AS (SELECT *, bool_or(NOT demoted) OVER (PARTITION BY question_id) AS fresh FROM s) SELECT question_id, item_id FROM f WHERE NOT fresh OR NOT demoted")
 def r_current_first(t: Tables) -> DataFrame:
-    fresh = _scored(t).groupBy("question_id").agg(F.bool_or(~F.col("demoted")).alias("fresh"))
-    return _scored(t).join(fresh, "question_id").where("NOT fresh OR NOT demoted").select("question_id", "item_id")
+    return rk.current_first(_scored(t)).select("question_id", "item_id")
 
 
 @query("SELECT workspace_id, arg_min(item_id, abs(epoch(occurred_start)::BIGINT - 889488000) * 1000000 + item_id) AS item_id FROM items WHERE occurred_start IS NOT NULL GROUP BY 1")
 def r_closest(t: Tables) -> DataFrame:
-    far = F.struct(F.abs(F.unix_timestamp("occurred_start") - 889488000), F.col("item_id"))
-    return t["items"].where("occurred_start IS NOT NULL").groupBy("workspace_id").agg(F.min_by("item_id", far).alias("item_id"))
+    return rk.closest(t["items"], F.lit(datetime(1998, 3, 10)), "workspace_id")
 
 
 @query(f"WITH h AS ({_LEX}), b AS (SELECT item_id, max(score) AS s FROM h GROUP BY 1), e AS (SELECT i.item_id, i.occurred_start, i.rrule, b.s FROM items i JOIN b ON b.item_id = i.item_id WHERE {SCOPE} AND i.kind IN ('plan', 'episode') ORDER BY s DESC, i.item_id LIMIT 5) "
@@ -403,6 +419,35 @@ def s_core_order(t: Tables) -> DataFrame:
     return fl.scoped(t["items"], ALL).where("in_core").orderBy("created_at", F.lower("title"), "item_id").limit(100).select("item_id")
 
 
+@query(f"WITH s AS ({_SCORED}) SELECT question_id, s.item_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, coalesce(i.occurred_start, i.valid_from, i.due_at, i.mentioned_at) DESC, lower(i.title), s.item_id) AS place FROM s JOIN items i ON i.item_id = s.item_id")
+def s_fused_order(t: Tables) -> DataFrame:
+    return rk.fused_order(_scored(t).select("question_id", "item_id", F.col("score").alias("fused")), t["items"]).select("question_id", "item_id", F.col("place").cast("bigint").alias("place"))
+
+
+@query(f"WITH s AS ({_SCORED}) SELECT question_id, item_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, place, item_id) AS rank FROM s")
+def s_rerank_order(t: Tables) -> DataFrame:
+    return rk.reranked(_scored(t)).select("question_id", "item_id", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("SELECT item_id, coalesce(occurred_start >= TIMESTAMP '1997-01-01' AND occurred_start < TIMESTAMP '1998-01-01', FALSE) OR coalesce(due_at >= TIMESTAMP '1997-01-01' AND due_at < TIMESTAMP '1998-01-01', FALSE) "
+       "OR coalesce(mentioned_at >= TIMESTAMP '1997-01-01' AND mentioned_at < TIMESTAMP '1998-01-01', FALSE) AS inside FROM items")
+def r_in_window(t: Tables) -> DataFrame:
+    return t["items"].select("item_id", rk.in_period(F.lit(datetime(1997, 1, 1)), F.lit(datetime(1998, 1, 1))).alias("inside"))
+
+
+@query("SELECT o_custkey, o_orderpriority, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey) AS n FROM orders) WHERE n = 1")
+def u_dedupe_ordered(t: Tables) -> DataFrame:
+    return rk.dedupe_ordered(t["orders"], ["o_custkey", "o_orderpriority"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderpriority", "o_orderkey")
+
+
+@query("SELECT item_id, 'Which ' || coalesce(subtype, 'one') || CASE kind WHEN 'episode' THEN ' Logged run' WHEN 'plan' THEN ' Planned' WHEN 'task' THEN ' To do' WHEN 'fact' THEN ' Fact' WHEN 'preference' THEN ' Prefers' WHEN 'intention' THEN ' Wish list' ELSE ' Saved' END "
+       "|| ' ' || strftime(mentioned_at, '%B %Y') || CASE WHEN date_trunc('month', mentioned_at) <> date_trunc('month', mentioned_at + INTERVAL 20 DAY - INTERVAL 1 MICROSECOND) THEN ' ' || strftime(mentioned_at + INTERVAL 20 DAY, '%B %Y') ELSE '' END || ' Goa work' AS text FROM items")
+def x_soft_query(t: Tables) -> DataFrame:
+    text = tx.soft_query(F.concat(F.lit("Which  "), F.coalesce("subtype", F.lit("one"))), F.array("kind"), F.when(F.col("kind") == "episode", "run"), F.array(F.lit("Goa")), F.lit("work"),
+                         F.col("mentioned_at"), F.col("mentioned_at") + F.expr("INTERVAL '20' DAY"))
+    return t["items"].select("item_id", text.alias("text"))
+
+
 # ---------------------------------------------------------------- joins, links and jobs
 
 @query("SELECT trigger_id FROM triggers WHERE state = 'pending' AND item_id IN (SELECT item_id FROM items WHERE status = 'active')")
@@ -446,9 +491,32 @@ def st_model_call_ledger(t: Tables) -> DataFrame:
     return t.spark.read.parquet(f"{base}/ledger").select("event_id", "value")
 
 
-@query("SELECT page_id FROM pages WHERE url IS NOT NULL ORDER BY page_id LIMIT 50")
+_JOB = ("page_id AS link_id", "CASE page_id % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'done' WHEN 2 THEN 'failed' ELSE 'pending' END AS status", "TIMESTAMP '1998-03-09 00:00:00' + make_dt_interval(0, 0, CAST(page_id % 2000 AS INT), 0) AS pending_since")
+
+
+@query("SELECT page_id AS link_id FROM pages WHERE page_id % 4 IN (0, 3) AND TIMESTAMP '1998-03-09' + to_minutes((page_id % 2000)::INT) < TIMESTAMP '1998-03-10 00:00:00' ORDER BY TIMESTAMP '1998-03-09' + to_minutes((page_id % 2000)::INT), page_id LIMIT 50")
 def st_requeue(t: Tables) -> DataFrame:
-    return t["pages"].where("url IS NOT NULL").orderBy("page_id").limit(50).select("page_id")
+    return st.pending_since(t["pages"].selectExpr(*_JOB), F.lit(datetime(1998, 3, 10))).select("link_id")
+
+
+@query("SELECT count(*) AS n FROM pages WHERE url IS NOT NULL AND page_id % 3 = 1")
+def a_count_sources(t: Tables) -> DataFrame:
+    return st.count_sources(t["pages"].where("url IS NOT NULL").selectExpr("page_id AS source_id", "page_id % 3 AS workspace_id"), 1)
+
+
+@query("SELECT p.page_id AS question_id, i.item_id FROM (SELECT page_id, page_id % 4 AS w FROM pages WHERE page_id % 2 = 0) p JOIN (SELECT item_id, workspace_id, row_number() OVER (PARTITION BY workspace_id ORDER BY created_at DESC, item_id DESC) AS n FROM items "
+       "WHERE kind = 'resource' AND state = 'saved' AND status = 'active' AND sensitivity = 'normal') i ON i.workspace_id = p.w AND i.n <= 5")
+def q_expand_unread(t: Tables) -> DataFrame:
+    asked = t["pages"].selectExpr("page_id AS question_id", "page_id % 4 AS workspace_id", "CASE WHEN page_id % 2 = 0 THEN 'situational' ELSE 'list' END AS shape")
+    return pl.unread(asked, t["items"])
+
+
+@query("SELECT 'item' AS what, count(*) AS n FROM items WHERE workspace_id = 2 AND status = 'active' AND sensitivity = 'normal' UNION ALL SELECT 'entity', count(*) FROM entities WHERE status = 'active' "
+       "UNION ALL SELECT 'turn', count(DISTINCT turn_id) FROM said UNION ALL SELECT 'upcoming', count(*) FROM items WHERE workspace_id = 2 AND status = 'active' AND sensitivity = 'normal' AND coalesce(due_at, occurred_start) >= TIMESTAMP '1998-03-10'")
+def z_public_reads(t: Tables) -> DataFrame:
+    views = st.public_reads(t["items"], t["entities"], t["said"], 2, F.lit(datetime(1998, 3, 10)))
+    parts = [df.agg(F.lit(name).alias("what"), F.count("*").alias("n")) for name, df in views.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 @query("SELECT * FROM turn_events WHERE turn_id = 5 ORDER BY \"at\", event_id".replace("*", "event_id, turn_id, kind"))

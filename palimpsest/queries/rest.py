@@ -21,17 +21,28 @@ from palimpsest.streaming import jobs
 
 QUESTION = "What is the thing that they said on the day"
 VECTOR = [((i * 37) % 19 - 9) / 10 for i in range(64)]
-_TERMS = "('what', 'is', 'the', 'thing', 'that', 'they', 'said', 'on', 'day')"
 
 
-# ---------------------------------------------------------------- ranking
+def lexical_sql(source: str, columns: str, text: str = "k.text") -> str:
+    """BM25 over the rows of ``source`` (alias k): the columns and ``score``, those above 0."""
+    stems = rk.question_stems(QUESTION)
+    pattern = rk.stem_pattern(stems).replace("(?<![a-z0-9_])", r"\b").replace("(?![a-z0-9_])", r"\b")  # the same in DuckDB, whose words are ASCII
+    tf = ", ".join(f"len(list_filter(w, lambda x: x = '{x}')) AS tf{i}" for i, x in enumerate(stems))
+    df = ", ".join(f"count(*) FILTER (WHERE tf{i} > 0) OVER () AS df{i}" for i in range(len(stems)))
+    some = [f"(df{i} > 0 AND df{i} * 2 <= n)" for i in range(len(stems))]
+    idf = [f"CASE WHEN ({' OR '.join(some)}) AND NOT {some[i]} THEN 0.0::DOUBLE ELSE ln(1 + (n - df{i} + 0.5::DOUBLE) / (df{i} + 0.5::DOUBLE)) END" for i in range(len(stems))]
+    norm = f"{rk.K1}::DOUBLE * ({1 - rk.B}::DOUBLE + {rk.B}::DOUBLE * chars / mean)"
+    total = " + ".join(f"{idf[i]} * tf{i} * {rk.K1 + 1}::DOUBLE / (tf{i} + {norm})" for i in range(len(stems)))
+    names = columns.replace("k.", "")
+    return (f"SELECT {names}, score FROM (SELECT {names}, round({total}, 6) AS score FROM (SELECT *, count(*) OVER () AS n, avg(chars) OVER () AS mean, {df} FROM (SELECT {names}, chars, {tf} FROM "
+            f"(SELECT {columns}, length({text}) AS chars, regexp_extract_all(lower({text}), '{pattern}', 1) AS w FROM {source} WHERE {text} IS NOT NULL)))) WHERE score > 0")
 
-def _lex(source: str, key: str = "k.text") -> str:
-    w = f"regexp_extract_all(lower({key}), '[a-z0-9]+')"
-    return f"round(len(list_filter({w}, lambda w: w IN {_TERMS})) / greatest(len({w}), 1), 9) AS score FROM {source}"
 
+def _lex(source: str) -> str:
+    return lexical_sql(source, "k.key_id, k.item_id, k.key_kind") + " ORDER BY score DESC, item_id, key_id LIMIT 200"
 
-_LEX = f"SELECT key_id, item_id, key_kind, score FROM (SELECT k.key_id, k.item_id, k.key_kind, {_lex('keys k')}) WHERE score > 0 ORDER BY score DESC, item_id, key_id LIMIT 200"
+
+_LEX = _lex("keys k")
 _VEC = "[" + ", ".join(f"{x}::DOUBLE" for x in VECTOR) + "]"
 _DENSE = (f"SELECT key_id, item_id, key_kind, round(list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), {_VEC}), 6) AS score FROM keys "
           "WHERE embedding IS NOT NULL ORDER BY score DESC, item_id, key_id LIMIT 200")
@@ -69,15 +80,21 @@ def j_full_rrf(t: Tables) -> DataFrame:
 _ELIGIBLE = f"(SELECT * FROM keys WHERE item_id IN (SELECT i.item_id FROM items i WHERE {SCOPE} AND i.kind IN ('task', 'plan', 'resource')))"
 
 
-@query(f"WITH {_side('lx', _LEX.replace('keys k', _ELIGIBLE + ' k'))}, {_side('dn', _DENSE.replace('FROM keys', 'FROM ' + _ELIGIBLE))} {_RRF}")
+@query(f"WITH {_side('lx', _lex(_ELIGIBLE + ' k'))}, {_side('dn', _DENSE.replace('FROM keys', 'FROM ' + _ELIGIBLE))} {_RRF}")
 def t_search(t: Tables) -> DataFrame:
     return rk.search(t["keys"], t["items"], QUESTION, VECTOR, Filters(kinds=("task", "plan", "resource")), ALL)
 
 
-@query("SELECT turn_id, role, score, seq FROM (SELECT turn_id, role, score, seq, row_number() OVER (PARTITION BY turn_id, role ORDER BY score DESC, seq) AS n FROM "
-       f"(SELECT k.turn_id, k.role, k.seq, {_lex('said k')} WHERE k.turn_id <> 3) WHERE score > 0) WHERE n = 1 ORDER BY score DESC, turn_id, role LIMIT 10")
+_ORDER = "score DESC, turn_id, seq, role"
+
+
+@query("WITH lx AS (SELECT turn_id, role, seq, row_number() OVER (ORDER BY " + _ORDER + ") AS l FROM (" + lexical_sql("(SELECT * FROM said WHERE turn_id <> 3) k", "k.turn_id, k.role, k.seq") + f" ORDER BY {_ORDER} LIMIT 200)), "
+       f"dn AS (SELECT turn_id, role, seq, row_number() OVER (ORDER BY {_ORDER}) AS d FROM (SELECT turn_id, role, seq, round(list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), {_VEC}), 6) AS score FROM said WHERE turn_id <> 3 AND embedding IS NOT NULL ORDER BY {_ORDER} LIMIT 200)), "
+       "b AS (SELECT coalesce(lx.turn_id, dn.turn_id) AS turn_id, coalesce(lx.role, dn.role) AS role, coalesce(lx.seq, dn.seq) AS seq, round(coalesce(1.0::DOUBLE / (60 + l), 0) + coalesce(1.0::DOUBLE / (60 + d), 0), 9) AS rrf "
+       "FROM lx FULL JOIN dn ON lx.turn_id = dn.turn_id AND lx.role = dn.role AND lx.seq = dn.seq), "
+       "f AS (SELECT *, row_number() OVER (PARTITION BY turn_id, role ORDER BY rrf DESC, seq) AS n FROM b) SELECT turn_id, role, seq, rrf FROM f WHERE n = 1 ORDER BY rrf DESC, turn_id DESC, role LIMIT 10")
 def t_conversation(t: Tables) -> DataFrame:
-    return rk.conversation(t["said"], QUESTION, exclude=3)
+    return rk.conversation(t["said"], QUESTION, VECTOR, exclude=3)
 
 
 _CHANNELS = "(SELECT 'lookup' AS channel, item_id, item_id % 50 + 1 AS rank FROM items UNION ALL SELECT 'search', item_id, item_id % 30 + 1 FROM items WHERE item_id % 3 = 0)"
@@ -158,12 +175,12 @@ def x_content_hash(t: Tables) -> DataFrame:
 
 @query()
 def x_chunk(t: Tables) -> DataFrame:
-    return tx.chunks(t["documents"].select("doc_id", "text")).select("doc_id", "position", "chunk")
+    return tx.chunks(t["documents"].select("doc_id", "text"), max_chunks=None).select("doc_id", "position", "chunk")
 
 
-@query("SELECT doc_id, ceil(length(text) / 4)::INT AS tokens FROM documents")
+@query("SELECT doc_id, ceil(length(text) / 4)::INT AS by_chars, round_even(len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')) * 1.33::DOUBLE, 0)::INT AS tokens FROM documents")
 def x_est_tokens(t: Tables) -> DataFrame:
-    return t["documents"].select("doc_id", tx.tokens_by_chars(F.col("text")).alias("tokens"))
+    return t["documents"].select("doc_id", tx.tokens_by_chars(F.col("text")).alias("by_chars"), tx.estimate_tokens(F.col("text")).alias("tokens"))
 
 
 @query()
@@ -189,11 +206,6 @@ def x_citations(t: Tables) -> DataFrame:
     return rows.select("answer", "c.text", F.array_join(F.transform("c.used", lambda x: x.cast("string")), ",").alias("used"), "c.unknown")
 
 
-@query()
-def x_render_verbal(t: Tables) -> DataFrame:
-    return t["items"].select("item_id", tx.render_item(F.col("kind"), F.col("state"), F.lit(None).cast("string"), F.col("predicate"), F.col("text")).alias("sentence"))
-
-
 @query()
 def x_mentions(t: Tables) -> DataFrame:
     names = t["nation"].selectExpr("n_nationkey AS entity_id", "n_name AS name")
@@ -201,10 +213,14 @@ def x_mentions(t: Tables) -> DataFrame:
     return tx.mentions(said, names)
 
 
-@query("SELECT turn_id, seq, regexp_matches(lower(text), '\\b(today|tomorrow|yesterday|ago)\\b') AS stale FROM said WHERE NOT regexp_matches(lower(text), 'tonight|now|currently|this |next |last ')")
+_STALE = "(yesterday|tomorrow|today|tonight|ago|(last|next|this|coming|past)[ \\t\\n\\r\\f\\v]+(week|month|year|weekend|monday|tuesday|wednesday|thursday|friday|saturday|sunday))"
+_DATED = "text || CASE item_id % 6 WHEN 0 THEN ' next  Monday' WHEN 1 THEN ' now' WHEN 2 THEN ' two days ago' WHEN 3 THEN ' currently nextweek' ELSE ' Tonight!' END"
+
+
+@query("SELECT turn_id, seq, regexp_matches(lower(text), '\\b" + _STALE + "\\b') AS stale FROM said UNION ALL SELECT item_id, -1, regexp_matches(lower(" + _DATED + "), '\\b" + _STALE + "\\b') FROM items")
 def x_relative_words(t: Tables) -> DataFrame:
-    rows = t["said"].where(~F.lower("text").rlike("tonight|now|currently|this |next |last "))
-    return rows.select("turn_id", "seq", F.lower("text").rlike(r"\b(today|tomorrow|yesterday|ago)\b").alias("stale"))
+    dated = t["items"].selectExpr("item_id AS turn_id", "-1 AS seq", f"{_DATED} AS text")
+    return t["said"].select("turn_id", "seq", "text").unionByName(dated).select("turn_id", "seq", tx.has_relative_words(F.col("text")).alias("stale"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k')::INT AS k FROM turn_events")
@@ -401,9 +417,26 @@ def c_reconcile(t: Tables) -> DataFrame:
     return wr.reconcile(t["items"], t["items"])
 
 
-@query("SELECT item_id, CASE WHEN sensitivity = 'secret' THEN 'deny' WHEN in_core AND item_id % 6 = 0 THEN 'hold' WHEN sensitivity = 'sensitive' AND NOT confirmed THEN 'hold' WHEN state IN ('superseded', 'cancelled', 'dropped') THEN 'flag' ELSE 'allow' END AS verdict FROM items")
+_FACTS = {
+    "op": "CASE item_id % 5 WHEN 0 THEN 'create' WHEN 1 THEN 'update' WHEN 2 THEN 'delete' WHEN 3 THEN 'link' ELSE 'set_state' END", "target": "CASE WHEN item_id % 11 = 3 THEN 'link' ELSE 'item' END",
+    "kind": "CASE WHEN item_id % 17 = 1 THEN 'rule' WHEN item_id % 17 = 2 THEN 'pattern' WHEN item_id % 17 = 3 THEN 'note' ELSE kind END", "origin": "CASE item_id % 4 WHEN 0 THEN 'user_message' WHEN 1 THEN 'content' WHEN 2 THEN 'undo' ELSE 'system' END",
+    "trust": "CASE WHEN item_id % 4 = 1 THEN 'content' ELSE 'user' END", "sensitivity": "sensitivity", "modality": "CASE WHEN item_id % 19 = 0 THEN 'hypothetical' ELSE 'asserted' END",
+    "confidence": "CASE WHEN item_id % 3 = 0 THEN 0.5 ELSE 1.0 END", "core_write": "in_core", "creates_trigger": "item_id % 23 = 0", "edits_existing": "item_id % 5 IN (1, 2, 4)", "layer_only": "item_id % 29 = 0",
+    "fills_own_item": "item_id % 8 = 1", "confirmed": "confirmed AND item_id % 7 = 0", "turn_kind": "CASE WHEN item_id % 2 = 0 THEN 'system' ELSE 'user' END", "edited_items": "subject_entity_id % 9"}
+_POLICY = ("WITH o AS (SELECT item_id, " + ", ".join(f"{e} AS {c}" for c, e in _FACTS.items()) + " FROM items), r AS (SELECT item_id, unnest(["
+           "CASE WHEN sensitivity = 'secret' THEN {'s': 2, 'i': 0, 'r': 'P-SECRET-1'} END, "
+           "CASE WHEN trust = 'content' AND core_write THEN {'s': 1, 'i': -1, 'r': 'P-TRUST-1'} WHEN trust = 'content' AND NOT (op = 'update' AND fills_own_item AND NOT creates_trigger) AND (kind = 'rule' OR creates_trigger OR op NOT IN ('create', 'link', 'upsert_entity')) THEN {'s': 2, 'i': -1, 'r': 'P-TRUST-1'} END, "
+           "CASE WHEN modality = 'hypothetical' AND ((op = 'create' AND kind <> 'note') OR core_write) THEN {'s': 2, 'i': -2, 'r': 'P-MOD-1'} END, "
+           "CASE WHEN NOT confirmed AND NOT layer_only AND op NOT IN ('delete', 'unlink', 'unrelate') AND target = 'item' AND (kind = 'pattern' OR (confidence < 1 AND turn_kind = 'system')) THEN {'s': 1, 'i': -3, 'r': 'P-INFER-1'} END, "
+           "CASE WHEN core_write AND sensitivity = 'sensitive' AND NOT confirmed THEN {'s': 1, 'i': -4, 'r': 'P-SENS-1'} END, "
+           "CASE WHEN core_write AND NOT confirmed AND origin NOT IN ('user_message', 'undo', 'confirm', 'ui_edit') THEN {'s': 1, 'i': -5, 'r': 'P-CORE-1'} END, "
+           "CASE WHEN NOT confirmed AND NOT layer_only AND edits_existing AND ((op = 'delete' AND origin NOT IN ('undo', 'system')) OR edited_items > 5) THEN {'s': 1, 'i': -6, 'r': 'P-BULK-1'} END, "
+           "{'s': 0, 'i': -9, 'r': 'P-DEFAULT'}]) AS h FROM o) SELECT item_id, CASE max(h).s WHEN 0 THEN 'allowed' WHEN 1 THEN 'held' ELSE 'blocked' END AS verdict, max(h).r AS rule FROM r WHERE h IS NOT NULL GROUP BY 1")
+
+
+@query(_POLICY)
 def c_policy(t: Tables) -> DataFrame:
-    return wr.policy(t["items"].withColumn("trust", F.when(F.col("item_id") % 6 == 0, 0).otherwise(1))).select("item_id", "verdict")
+    return wr.policy(t["items"].selectExpr("item_id", *[f"{e} AS {c}" for c, e in _FACTS.items()])).select("item_id", "verdict", "rule")
 
 
 _NOW = "TIMESTAMP '1998-03-10'"

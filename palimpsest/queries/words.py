@@ -217,10 +217,15 @@ def x_neutralise(t: Tables) -> DataFrame:
     return _asked(t, _QUOTED).withColumn("text", wo.neutralise(F.col("raw")))
 
 
-@query("SELECT turn_id, seq, '<<<DATA:' || substr(sha256(text), 1, 12) || ' label=page 1>>>' || chr(10) || text || chr(10) || '<<<END DATA:' || substr(sha256(text), 1, 12) || '>>>' AS block, TRUE AS fine "
-       "FROM said WHERE text IS NOT NULL AND NOT regexp_matches(text, '<{2,}|>{3,}')")
+_MARKED = "text || CASE turn_id % 3 WHEN 0 THEN ' <<<' WHEN 1 THEN ' >>>>' ELSE '' END"
+# in DuckDB: the marks that _MARKED adds; the texts themselves have none
+_CLEAN_SQL = "text || CASE turn_id % 3 WHEN 0 THEN ' ‹‹‹' WHEN 1 THEN ' ››››' ELSE '' END"
+
+
+@query(f"SELECT turn_id, seq, '<<<DATA:' || substr(sha256(c), 1, 12) || ' label=page 1>>>' || chr(10) || c || chr(10) || '<<<END DATA:' || substr(sha256(c), 1, 12) || '>>>' AS block, TRUE AS fine "
+       f"FROM (SELECT turn_id, seq, {_CLEAN_SQL} AS c FROM said WHERE text IS NOT NULL)")
 def x_data_block(t: Tables) -> DataFrame:
-    rows = t["said"].where("text IS NOT NULL").where(~F.col("text").rlike("<{2,}|>{3,}")).withColumn("block", wo.data_block(F.lit("Page 1!"), F.col("text")))
+    rows = t["said"].where("text IS NOT NULL").selectExpr("turn_id", "seq", f"{_MARKED} AS text").withColumn("block", wo.data_block(F.lit("Page 1!"), F.col("text")))
     return rows.select("turn_id", "seq", "block", wo.well_formed(F.col("block")).alias("fine"))
 
 
@@ -321,7 +326,24 @@ def x_render_change(t: Tables) -> DataFrame:
 
 # ---------------------------------------------------------------- time
 
-_WINDOWS = [("last week", "1998-03-02 00:00", "1998-03-09 00:00"), ("the last 7 days", "1998-03-03 09:30", "1998-03-10 09:30"), ("next 2 weeks", "1998-03-10 09:30", "1998-03-24 09:30"),
+@query("SELECT event_id, epoch_us(ts) // 1000000 AS \"at\" FROM events UNION ALL SELECT -event_id - 1, 889522200 - (event_id % 50) * 60 FROM events")
+def d_exact_instant(t: Tables) -> DataFrame:
+    ts = F.col("ts")
+    said = F.when(F.col("event_id") % 3 == 0, F.date_format(ts, "yyyy-MM-dd HH:mm:ss")).when(F.col("event_id") % 3 == 1, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(
+        F.concat(F.date_format(ts + F.expr("INTERVAL '5:30' HOUR TO MINUTE"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+05:30")))
+    rows = t["events"].select("event_id", said.alias("said")).unionByName(t["events"].selectExpr("-event_id - 1 AS event_id", "concat(event_id % 50, ' minutes ago') AS said"))
+    return rows.select("event_id", F.unix_timestamp(tm.exact_instant(F.col("said"), F.lit(NOW))).alias("at"))
+
+
+_LEADS = [("30 minutes before", 30), ("an hour before", 60), ("2 days", 2880), ("a couple of hours", 120), ("soon", None)]
+
+
+@query(known("raw, lead", _LEADS))
+def d_lead(t: Tables) -> DataFrame:
+    return _asked(t, _LEADS, "raw").withColumn("lead", tm.lead_minutes(F.col("raw")))
+
+
+_WINDOWS = [("12 march", "1998-03-12 00:00", "1998-03-13 00:00"), ("december", "1997-12-01 00:00", "1998-01-01 00:00"), ("last week", "1998-03-02 00:00", "1998-03-09 00:00"), ("the last 7 days", "1998-03-03 09:30", "1998-03-10 09:30"), ("next 2 weeks", "1998-03-10 09:30", "1998-03-24 09:30"),
             ("since 1998-02-01", "1998-02-01 00:00", "1998-03-10 09:30"), ("before 1998-02-01", None, "1998-02-01 00:00"), ("after 1998-02-01", "1998-02-02 00:00", None),
             ("until 1998-04-01", None, "1998-04-02 00:00"), ("between 1998-02-01 and 1998-02-03", "1998-02-01 00:00", "1998-02-04 00:00"), ("yesterday evening", "1998-03-09 17:00", "1998-03-09 21:00"),
             ("tonight", "1998-03-10 21:00", "1998-03-11 05:00"), ("recently", "1998-02-08 09:30", "1998-03-10 09:30"), ("upcoming", "1998-03-10 09:30", "1998-04-09 09:30"), ("ever", None, None),

@@ -148,3 +148,20 @@ def run_cases(spark: SparkSession, path: str) -> DataFrame:
     schema = ("run_id string, suite string, mode string, status string, started_at string, cases array<struct<id:string,"
               "passed:boolean,latency_ms:double,cost_usd:double,scores:map<string,double>,calls:array<struct<step:string,cost_usd:double,latency_ms:double,cache_hit:boolean>>>>")
     return spark.read.schema(schema).json(path, multiLine=True).select("run_id", "suite", "mode", "status", F.explode("cases").alias("case"))
+
+
+def pending_since(jobs: DataFrame, before: Column, limit: int = 50) -> DataFrame:
+    """Jobs(link_id, status, pending_since) that wait since before an instant, oldest first: what a sweep takes up again."""
+    return jobs.where((F.col("status") == "pending") & (F.col("pending_since") < before)).orderBy("pending_since", "link_id").limit(limit)
+
+
+def count_sources(sources: DataFrame, workspace_id: int) -> DataFrame:
+    """One row: how many sources a workspace has."""
+    return sources.where(F.col("workspace_id") == workspace_id).agg(F.count("*").alias("n"))
+
+
+def public_reads(items: DataFrame, entities: DataFrame, said: DataFrame, workspace_id: int, now: Column) -> dict[str, DataFrame]:
+    """What a reader of a workspace sees: its active items of normal sensitivity, active entities, turns, and what is still to come."""
+    mine = items.where((F.col("workspace_id") == workspace_id) & (F.col("status") == "active") & (F.col("sensitivity") == "normal"))
+    ahead = mine.withColumn("at", F.coalesce("due_at", "occurred_start")).where(F.col("at") >= now)
+    return {"item": mine, "entity": entities.where("status = 'active'"), "turn": said.select("turn_id").distinct(), "upcoming": ahead}
