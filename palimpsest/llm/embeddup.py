@@ -142,8 +142,8 @@ def link_vectors(
     are ignored.
 
     Every class is put into the list of its nearest centroid, coded once with its error, and searches the lists within a
-    proven margin, so recall is complete (``Index.probes``). Lists are cut into blocks of ``BLOCK`` vectors by hash, and a
-    task sees one block of queries and one of codes, however hot a list is. The table lookups leave the few vectors that
+    proven margin, so recall is complete (``Index.probes``). Lists are cut into blocks of ``BLOCK`` vectors by hash, and
+    pairs of blocks are dealt to tasks one by one, however hot a list is. The table lookups leave the few vectors that
     may be linked; these alone fetch their exact components, block by block, for the cosines. A task returns a count for
     each query and a star for each component, never the pairs.
     """
@@ -211,7 +211,7 @@ def link_vectors(
                 kept[np.flatnonzero(base)], kept[np.flatnonzero(~base)] = near.any(0), near.any(1)
             return group.loc[kept, [*cell, "base", "id"]]
 
-        left = base.unionByName(query).groupBy(*cell).applyInPandas(look, base.select(*cell, "base", "id").schema)
+        left = base.unionByName(query).repartition(*cell).groupBy(*cell).applyInPandas(look, base.select(*cell, "base", "id").schema)
         left = tmp.write(left)
 
         def search(group: pd.DataFrame) -> pd.DataFrame:
@@ -238,7 +238,7 @@ def link_vectors(
                 out += [(a, 0, r) for a, r in _star(qi, bi)]
             return pd.DataFrame(out, columns=["id", "n", "root"]).astype({"id": "int64", "n": "int64", "root": "Int64"})
 
-        exact = left.join(placed.select("id", "v", "m", "probes"), "id").groupBy(*cell).applyInPandas(search, "id bigint, n bigint, root bigint")
+        exact = left.join(placed.select("id", "v", "m", "probes"), "id").repartition(*cell).groupBy(*cell).applyInPandas(search, "id bigint, n bigint, root bigint")
         found = materialize(exact)
         roots = components(found.where("root is not null").select(F.col("id").alias("a"), F.col("root").alias("b")))
     sums = found.groupBy("id").agg(F.sum("n").alias("n"))
