@@ -197,7 +197,8 @@ def _possible(members: DataFrame, texts: DataFrame, similarity: float) -> DataFr
             out += [(min(xd[k], d), max(xd[k], d)) for d in yd[fits]]
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    return ask.unionByName(answer).groupBy("band", "h", "i", "j").applyInPandas(compare, "a bigint, b bigint")
+    # dealt by pair of blocks: a bucket's own partitioning would put all of it into one task
+    return ask.unionByName(answer).repartition("band", "h", "i", "j").groupBy("band", "h", "i", "j").applyInPandas(compare, "a bigint, b bigint")
 
 
 def _classes(docs: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
