@@ -13,6 +13,8 @@ MAX_BROADCAST_SOURCES = 20_000
 SEED, STEPS = 0, 4096
 #: A document is of a later tier for each of these multiples of its source's mean size that it is smaller than.
 TIERS = (4.0, 2.0, 1.0, 0.5, 0.25)
+#: Standard deviations of a surplus that the probabilities of smaller documents leave room for.
+DEVIATIONS = 4.0
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -24,12 +26,12 @@ def word_count(text: Column) -> Column:
 def ranked(per: DataFrame, by: str) -> DataFrame:
     """``per`` with ``rank`` from 1 in order of ``by``, null last: ranges are ranked apart and moved by what comes before."""
     n = int(per.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = materialize(per.repartitionByRange(n, F.col(by).asc_nulls_last()).withColumn("__range", F.spark_partition_id()))
-    counts = rows.groupBy("__range").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))  # one row for each range
-    counts = counts.select("__range", F.coalesce(before, F.lit(0)).alias("before"))
-    own = F.row_number().over(Window.partitionBy("__range").orderBy(F.col(by).asc_nulls_last()))
-    return rows.join(F.broadcast(counts), "__range").withColumn("rank", own + F.col("before")).drop("__range", "before")
+    rows = materialize(per.repartitionByRange(n, F.col(by).asc_nulls_last()).withColumn("__palimpsest_range", F.spark_partition_id()))
+    counts = rows.groupBy("__palimpsest_range").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("__palimpsest_range").rowsBetween(Window.unboundedPreceding, -1))  # one row for each range
+    counts = counts.select("__palimpsest_range", F.coalesce(before, F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("__palimpsest_range").orderBy(F.col(by).asc_nulls_last()))
+    return rows.join(F.broadcast(counts), "__palimpsest_range").withColumn("rank", own + F.col("before")).drop("__palimpsest_range", "before")
 
 
 def source_targets(
@@ -77,30 +79,42 @@ def _tier(size: Column, n: Column, total: Column) -> Column:
 def draw_cuts(sized: DataFrame, per: DataFrame) -> DataFrame:
     """``per`` with ``cuts``: for each tier of sizes, the coins below which a document gets its extra copy.
 
-    The largest documents draw with the fraction of the rate as it is. Each later tier's probability is what the
-    target still lacks over the words of this tier and the later ones. Its mean over the coins drawn before is the
-    fraction again, so every document has its copy with that probability (but for the rounding to 1 / ``STEPS``, and
-    where the large documents went so far that 0 or 1 bounds what is left), while what one tier draws too much the
-    smaller documents make good. Coins of a source are summed by tier and coin first: its row in the end gathers
-    ``STEPS`` sums a tier at most, however hot the source.
+    The largest documents draw with the fraction f of the rate. A later tier's probability is f less a share of what the
+    tiers before it took beyond f of their words, spread over the words of this tier and the later ones: smaller
+    documents make good what larger ones draw too much or too little. That surplus is zero on average, and the share is
+    fixed before any coin falls, so small that the probability stays within 0 and 1 for every surplus that can occur (or
+    that is within DEVIATIONS standard deviations): so every document has its copy with probability f, up to the
+    rounding to 1 / ``STEPS`` and to rarer surpluses. Coins of a source are summed by tier and coin first: its row in
+    the end gathers ``STEPS`` sums a tier at most, however hot the source.
     """
     both = sized.join(per, sized["source"].eqNullSafe(per["source"])).select(
         per["source"], "coin", "size", _tier(F.col("size"), F.col("n_docs"), F.col("source_size")).alias("tier"))
-    sums = both.groupBy("source", "tier", "coin").agg(F.sum("size").alias("w"))
-    tiers = sums.groupBy("source", "tier").agg(F.sum("w").alias("words"), F.collect_list(F.struct("coin", "w")).alias("coins"))
-    drawn = tiers.groupBy(F.col("source").alias("s")).agg(F.sort_array(F.collect_list(F.struct("tier", "words", "coins"))).alias("tiers"))
+    square = F.sum(F.col("size").cast("decimal(20,0)") * F.col("size")).cast("decimal(38,0)")
+    sums = both.groupBy("source", "tier", "coin").agg(F.sum("size").alias("w"), square.alias("q"))
+    tiers = sums.groupBy("source", "tier").agg(F.sum("w").alias("words"), F.sum("q").cast("double").alias("squares"), F.collect_list(F.struct("coin", "w")).alias("coins"))
+    drawn = tiers.groupBy(F.col("source").alias("s")).agg(F.sort_array(F.collect_list(F.struct("tier", "words", "squares", "coins"))).alias("tiers"))
+    fraction = F.col("rate") - F.floor("rate")
 
     def step(acc: Column, t: Column) -> Column:
-        p = F.when(acc["rest"] > 0, F.least(F.greatest((acc["lack"] - acc["taken"]) / acc["rest"], F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+        f, rest, spread = acc["f"], acc["rest"], F.lit(DEVIATIONS) * F.sqrt(acc["var"])
+        share = F.when((acc["var"] > 0) & (rest > 0), F.least(
+            F.lit(1.0), f * rest / F.least((F.lit(1.0) - f) * acc["before"], spread), (F.lit(1.0) - f) * rest / F.least(f * acc["before"], spread))).otherwise(0.0)
         words = lambda cut: F.aggregate(F.filter(t["coins"], lambda x: x["coin"] < cut), F.lit(0).cast("long"), lambda n, x: n + x["w"])
-        # an array of one binds the cut, which is else worked out again for each coin
-        return F.transform(F.array(F.floor(p * STEPS).cast("int")), lambda cut: F.struct(
-            acc["lack"].alias("lack"), (acc["taken"] + words(cut)).alias("taken"), (acc["rest"] - t["words"]).alias("rest"),
-            F.concat(acc["cuts"], F.array(F.struct(t["tier"].alias("tier"), cut.alias("cut")))).alias("cuts")))[0]
-
-    start = F.struct(
-        (F.col("target") - F.floor("rate") * F.col("source_size")).alias("lack"), F.lit(0).cast("long").alias("taken"),
-        F.col("source_size").alias("rest"), F.array().cast("array<struct<tier:int,cut:int>>").alias("cuts"))
+
+        # an array of one binds a value, which is else worked out again wherever it is named
+        def with_share(share: Column) -> Column:
+            p = F.when(share > 0, F.greatest(F.least(f - share * (acc["taken"] - f * acc["before"]) / rest, F.lit(1.0)), F.lit(0.0))).otherwise(f)
+            kept = F.when(rest > 0, F.lit(1.0) - share * t["words"] / rest).otherwise(1.0)
+            return F.transform(F.array(F.floor(p * STEPS + 0.5).cast("int")), lambda cut: F.struct(
+                f.alias("f"), (acc["taken"] + words(cut)).alias("taken"), (acc["before"] + t["words"]).alias("before"), (rest - t["words"]).alias("rest"),
+                (acc["var"] * kept * kept + f * (F.lit(1.0) - f) * t["squares"]).alias("var"),
+                F.concat(acc["cuts"], F.array(F.struct(t["tier"].alias("tier"), cut.alias("cut")))).alias("cuts")))[0]
+
+        return F.transform(F.array(share), with_share)[0]
+
+    zero = F.lit(0).cast("long")
+    start = F.struct(fraction.alias("f"), zero.alias("taken"), zero.alias("before"), F.col("source_size").alias("rest"), F.lit(0.0).alias("var"),
+                     F.array().cast("array<struct<tier:int,cut:int>>").alias("cuts"))
     both = per.join(drawn, per["source"].eqNullSafe(drawn["s"]))
     return both.withColumn("cuts", F.map_from_entries(F.aggregate("tiers", start, step)["cuts"])).drop("s", "tiers")
 
@@ -125,16 +139,16 @@ def mix(
         per = tmp.write(source_targets(sized, weights=weights, share=share, cap=cap))
         small = per.count() <= MAX_BROADCAST_SOURCES
         per = materialize(draw_cuts(sized, F.broadcast(per) if small else per))
-    per = per.select(F.struct(F.col("source").alias("s"), "n_docs", "source_size", "target", "rate", "cuts").alias("__per"))
+    per = per.select(F.struct(F.col("source").alias("s"), "n_docs", "source_size", "target", "rate", "cuts").alias("__palimpsest_per"))
     per = F.broadcast(per) if small else per
-    rows = docs.withColumn("__size", word_count(F.col(text))).join(per, F.col(source).eqNullSafe(F.col("__per.s")), "left")
-    rate, size = F.coalesce(F.col("__per.rate"), F.lit(0.0)), F.col("__size")
-    cut = F.col("__per.cuts")[_tier(size, F.col("__per.n_docs"), F.col("__per.source_size"))]
+    rows = docs.withColumn("__palimpsest_size", word_count(F.col(text))).join(per, F.col(source).eqNullSafe(F.col("__palimpsest_per.s")), "left")
+    rate, size = F.coalesce(F.col("__palimpsest_per.rate"), F.lit(0.0)), F.col("__palimpsest_size")
+    cut = F.col("__palimpsest_per.cuts")[_tier(size, F.col("__palimpsest_per.n_docs"), F.col("__palimpsest_per.source_size"))]
     copies = F.floor(rate) + F.coalesce((coin(F.col(key), F.col(text)) < cut).cast("long"), F.lit(0))
     return rows.withColumn(out, F.struct(
-        size.alias("size"), F.col("__per.source_size").alias("source_size"), F.col("__per.target").alias("target"),
+        size.alias("size"), F.col("__palimpsest_per.source_size").alias("source_size"), F.col("__palimpsest_per.target").alias("target"),
         rate.alias("rate"), copies.alias("copies"),
-    )).drop("__size", "__per")
+    )).drop("__palimpsest_size", "__palimpsest_per")
 
 
 def repeat_rows(mixed: DataFrame, mix: str = "mix", out: str = "mix_copy") -> DataFrame:

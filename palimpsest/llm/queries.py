@@ -138,12 +138,16 @@ _TIER_SQL = " + ".join(f"(size * n_docs < {c}::DOUBLE * source_size)::INT" for c
 
 
 def _cut_sql(t: int) -> str:
-    """CTEs p{t}, w{t}: the cut of one tier of sizes and the words that are taken up to it."""
-    said = f"w{t - 1}" if t else "(SELECT source, source_size, target, rate, 0::BIGINT AS taken FROM rates)"
-    return f"""p{t} AS (SELECT s.source, s.source_size, s.target, s.rate, s.taken, coalesce(r.w, 0) AS rest,
-    CASE WHEN coalesce(r.w, 0) > 0 THEN floor(least(greatest((s.target - floor(s.rate) * s.source_size - s.taken) / r.w, 0.0), 1.0) * {mixing.STEPS})::INT ELSE 0 END AS cut
-  FROM {said} s LEFT JOIN (SELECT source, sum(size)::BIGINT AS w FROM drawn WHERE tier >= {t} GROUP BY 1) r ON s.source IS NOT DISTINCT FROM r.source),
-w{t} AS (SELECT p.source, p.source_size, p.target, p.rate, p.taken + coalesce((SELECT sum(d.size) FROM drawn d WHERE d.source IS NOT DISTINCT FROM p.source AND d.tier = {t} AND d.coin < p.cut), 0)::BIGINT AS taken FROM p{t} p)"""
+    """CTEs s{t}, c{t}, w{t}: the share of the surplus, the cut of one tier of sizes, and what has been taken up to it; a source without this tier goes on unchanged."""
+    said = f"w{t - 1}" if t else "(SELECT source, rate - floor(rate) AS f, 0::BIGINT AS taken, 0::BIGINT AS before, source_size AS rest, 0.0::DOUBLE AS var FROM rates)"
+    spread = f"({mixing.DEVIATIONS}::DOUBLE * sqrt(var))"
+    return f"""s{t} AS (SELECT s.*, coalesce(r.words, 0) AS words, coalesce(r.squares, 0)::DOUBLE AS squares,
+    CASE WHEN var > 0 AND rest > 0 THEN least(1.0::DOUBLE, f * rest / least((1.0::DOUBLE - f) * before, {spread}), (1.0::DOUBLE - f) * rest / least(f * before, {spread})) ELSE 0.0::DOUBLE END AS share
+  FROM {said} s LEFT JOIN (SELECT source, sum(size)::BIGINT AS words, sum(size::HUGEINT * size)::DOUBLE AS squares FROM drawn WHERE tier = {t} GROUP BY 1) r ON s.source IS NOT DISTINCT FROM r.source),
+c{t} AS (SELECT *, floor(CASE WHEN share > 0 THEN greatest(least(f - share * (taken - f * before) / rest, 1.0::DOUBLE), 0.0::DOUBLE) ELSE f END * {mixing.STEPS} + 0.5)::INT AS cut,
+    CASE WHEN rest > 0 THEN 1.0::DOUBLE - share * words / rest ELSE 1.0::DOUBLE END AS kept FROM s{t}),
+w{t} AS (SELECT source, f, taken + coalesce((SELECT sum(d.size) FROM drawn d WHERE d.source IS NOT DISTINCT FROM c.source AND d.tier = {t} AND d.coin < c.cut), 0)::BIGINT AS taken,
+    (before + words)::BIGINT AS before, (rest - words)::BIGINT AS rest, var * kept * kept + f * (1.0::DOUBLE - f) * squares AS var FROM c{t} c)"""
 
 
 _MIX_SQL = r"""
@@ -165,7 +169,7 @@ cuts AS (ALL_CUTS)
 SELECT d.doc_id, d.size, d.source_size, d.target, (d.size * (floor(d.rate) + (d.coin < c.cut)::INT))::BIGINT AS taken
 FROM drawn d JOIN cuts c ON d.source IS NOT DISTINCT FROM c.source AND d.tier = c.tier
 """.replace("SEED", str(mixing.SEED)).replace("TIER", _TIER_SQL).replace("ALL_CUTS", " UNION ALL ".join(
-    f"SELECT source, {t} AS tier, cut FROM p{t}" for t in range(len(mixing.TIERS) + 1))).replace("CUTS", ", ".join(map(_cut_sql, range(len(mixing.TIERS) + 1))))
+    f"SELECT source, {t} AS tier, cut FROM c{t}" for t in range(len(mixing.TIERS) + 1))).replace("CUTS", ", ".join(map(_cut_sql, range(len(mixing.TIERS) + 1))))
 
 _LINK_SQL = """
 WITH RECURSIVE ok AS (
