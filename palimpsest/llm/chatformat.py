@@ -56,7 +56,7 @@ def fold_events(events: DataFrame) -> DataFrame:
     ev = ev.withColumn("span", F.floor(F.col("seq") / 4096)).withColumn("cut", cut)
     cuts = ev.where("cut is not null").groupBy("conv_id", "span").agg(F.min("cut").alias("low"))
     ev = _after_cuts(ev, cuts)
-    within = Window.partitionBy("conv_id", "turn").orderBy("seq", "ord", "role", "text")
+    within = Window.partitionBy("conv_id", "turn").orderBy("seq", "ord", "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ev = ev.withColumn("msg", F.sum((F.col("kind") == "message").cast("long")).over(within))
     got = ev.groupBy("conv_id", "turn", "msg").agg(F.sort_array(F.collect_list(F.struct("seq", "ord", "role", "text"))).alias("e"))
     # position of the last event that sets the text, counted from the end
