@@ -201,7 +201,9 @@ def regions(lines: list[Line], sigma: float, cut: float, small: float) -> list[t
     linked = np.minimum([x.linked for x in lines], chars)
     ratio = np.minimum((chars - linked) / np.maximum([x.tags for x in lines], 1), LONG)
     smooth = _smoothed(ratio, sigma)
-    at = np.flatnonzero(smooth >= cut * np.average(smooth, weights=np.minimum(chars, LONG)))
+    good = smooth >= cut * np.average(smooth, weights=np.minimum(chars, LONG))
+    said = linked <= 0.5 * chars  # lines that are mostly links can stand within a cluster, but make none
+    at = np.flatnonzero(good & said) if (good & said).any() else np.flatnonzero(good)
     all_chars, all_linked = np.append(0, np.cumsum(chars)), np.append(0, np.cumsum(linked))
     between = lambda a, b: all_linked[b] - all_linked[a] > 0.5 * (all_chars[b] - all_chars[a])
     found = [[at[0], at[0] + 1]]
