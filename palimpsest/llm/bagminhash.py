@@ -250,7 +250,7 @@ def _classes(docs: DataFrame, key: str, text: str, similarity: float) -> DataFra
         roots = components(links.unionByName(more)) if not more.isEmpty() else roots
     of_same = reps.join(roots, reps["rep"] == roots["node"], "left").select("same", F.coalesce("root", "rep").alias("root"))
     out = named.select("doc", "tx", "same", "n", "node").join(of_same, "same", "left")
-    cls = F.when(F.col("n") == 0, F.col("node")).otherwise(F.col("root"))
+    cls = F.when((F.col("n") == 0) | F.col("node").isNull(), F.col("node")).otherwise(F.col("root"))
     return out.select("doc", "tx", cls.alias("class_id"), F.coalesce(F.col("node") == cls, F.lit(True)).alias("kept"))
 
 
@@ -284,11 +284,11 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", similarit
     """
     rows = materialize(_classes(docs, key, text, similarity).where("kept and doc is not null"))
     chosen = rows.groupBy("class_id").agg(F.min(F.struct("doc", "tx")).alias("k"), F.count("*").alias("n"))
-    chosen = materialize(chosen.select(F.struct(F.col("k.doc").alias("doc"), F.col("k.tx").alias("tx"), (F.col("n") > 1).alias("again")).alias("__chosen")))
-    some = docs.join(chosen, (F.col(key).cast("bigint") == F.col("__chosen.doc")) & (F.xxhash64(text) == F.col("__chosen.tx")))
-    one = some.where(~F.col("__chosen.again")).drop("__chosen")
-    if not chosen.where("__chosen.again").isEmpty():  # only rows of which there are several are sorted
+    chosen = materialize(chosen.select(F.struct(F.col("k.doc").alias("doc"), F.col("k.tx").alias("tx"), (F.col("n") > 1).alias("again")).alias("__palimpsest_chosen")))
+    some = docs.join(chosen, (F.col(key).cast("bigint") == F.col("__palimpsest_chosen.doc")) & (F.xxhash64(text) == F.col("__palimpsest_chosen.tx")))
+    one = some.where(~F.col("__palimpsest_chosen.again")).drop("__palimpsest_chosen")
+    if not chosen.where("__palimpsest_chosen.again").isEmpty():  # only rows of which there are several are sorted
         order = F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind])
-        first = F.row_number().over(Window.partitionBy("__chosen").orderBy(order))
-        one = one.unionByName(some.where("__chosen.again").withColumn("__n", first).where("__n = 1").drop("__n", "__chosen"))
+        first = F.row_number().over(Window.partitionBy("__palimpsest_chosen").orderBy(order))
+        one = one.unionByName(some.where("__palimpsest_chosen.again").withColumn("__palimpsest_n", first).where("__palimpsest_n = 1").drop("__palimpsest_n", "__palimpsest_chosen"))
     return one.unionByName(docs.where(F.col(key).isNull()))

@@ -44,15 +44,15 @@ def drop_boilerplate(
     """
     known = materialize(boilerplate(docs, text, host, ratio, min_pages))
     n = known.agg(F.coalesce(F.sum(F.size("drop")), F.lit(0))).first()[0]
-    known = known.select(F.struct(F.col("host").alias("k"), "drop").alias("__known"))
+    known = known.select(F.struct(F.col("host").alias("k"), "drop").alias("__palimpsest_known"))
     known = F.broadcast(known) if n <= MAX_BROADCAST_HASHES else known
-    found = docs.join(known, F.col(host).eqNullSafe(F.col("__known.k")), "left")
+    found = docs.join(known, F.col(host).eqNullSafe(F.col("__palimpsest_known.k")), "left")
     lines = F.split(F.col(text), "\n")
-    found = found.withColumn("__kept", F.when(
-        F.col("__known.drop").isNull(), lines
-    ).otherwise(F.filter(lines, lambda x: ~((F.length(F.trim(x)) > 0) & F.array_contains(F.col("__known.drop"), _line_hash(x))))))
+    found = found.withColumn("__palimpsest_kept", F.when(
+        F.col("__palimpsest_known.drop").isNull(), lines
+    ).otherwise(F.filter(lines, lambda x: ~((F.length(F.trim(x)) > 0) & F.array_contains(F.col("__palimpsest_known.drop"), _line_hash(x))))))
     n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines))
-    n_kept = F.when(F.col(text).isNull(), 0).otherwise(F.size("__kept"))
+    n_kept = F.when(F.col(text).isNull(), 0).otherwise(F.size("__palimpsest_kept"))
     found = found.withColumn(out, F.struct(n_lines.cast("long").alias("n_lines"), (n_lines - n_kept).cast("long").alias("n_dropped")))
-    kept = F.when(F.col(f"{out}.n_dropped") == 0, F.col(text)).otherwise(F.array_join("__kept", "\n"))
-    return found.withColumn(text, kept).drop("__kept", "__known")
+    kept = F.when(F.col(f"{out}.n_dropped") == 0, F.col(text)).otherwise(F.array_join("__palimpsest_kept", "\n"))
+    return found.withColumn(text, kept).drop("__palimpsest_kept", "__palimpsest_known")
