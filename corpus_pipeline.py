@@ -1,8 +1,7 @@
 """The corpus pipeline: language ID, line dedup, near-dedup, decontamination and mixing over ``documents``.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame whose columns are those of ``docs``, extra ones included,
-whatever their names (columns that begin with two underscores are the stages' own). The rows of a repeated doc_id are told
-apart by their texts. An empty table gives no rows. Very long texts are worked on whole.
+whatever their names. The rows of a repeated doc_id are told apart by their texts. An empty table gives no rows. Very long texts are worked on whole.
 """
 
 from __future__ import annotations
@@ -13,10 +12,22 @@ from pyspark.sql import functions as F
 from palimpsest.llm import bagminhash, decontaminate, langid, linededup, mixing
 from palimpsest.llm.shared import Scratch, materialize
 
+#: Columns that the stages work on; others travel in one struct, where no name can clash.
+USED = ("doc_id", "text", "lang", "source", "n_chars")
 #: Calibrated probability below which the language of a document is not accepted.
 MIN_SCORE = 0.5
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in USED]
+    return docs.select(*USED, *([F.struct(*rest).alias("__rest")] if rest else []))
+
+
+def _unpacked(rows: DataFrame, docs: DataFrame, *more: str) -> DataFrame:
+    """The columns of ``docs``, as they came, and ``more``."""
+    return rows.select(*[F.col(c) if c in USED else F.col("__rest")[c].alias(c) for c in docs.columns if c not in more], *more)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language is recognised: not ``und``, and with a probability of ``MIN_SCORE`` at least.
 
@@ -24,8 +35,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     or go together; without any labelled row all go.
     """
     model = langid.train(docs, F.lit(True))
-    found = langid.identify(docs, model, out="__found")
-    return found.where((F.col("__found.lang") != "und") & (F.col("__found.score") >= MIN_SCORE)).select(*docs.columns)
+    found = langid.identify(_packed(docs), model, out="__found")
+    return _unpacked(found.where((F.col("__found.lang") != "und") & (F.col("__found.score") >= MIN_SCORE)), docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +44,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null source is a source of its own; null texts stay null, with null n_chars.
     """
-    out = linededup.drop_boilerplate(docs, out="__lines")
-    return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    out = linededup.drop_boilerplate(_packed(docs), out="__lines")
+    return _unpacked(out.withColumn("n_chars", F.length("text").cast("bigint")), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,13 +54,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null, empty and blank texts are no copies and stay, as do rows without doc_id; of rows that agree in doc_id and words
     one stays.
     """
-    return bagminhash.keep_one(docs).select(*docs.columns)
+    return _unpacked(bagminhash.keep_one(_packed(docs)), docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that hold no item of ``benchmark``; null and empty texts hold none, repeated rows go together."""
-    out = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), out="__items")
-    return out.where(F.size("__items") == 0).select(*docs.columns)
+    out = decontaminate.decontaminate(_packed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), out="__items")
+    return _unpacked(out.where(F.size("__items") == 0), docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +68,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without words are taken by the rate of their source like others; a source without words is not taken.
     """
-    return mixing.repeat_rows(mixing.mix(docs, out="__mix"), "__mix").select(*[c for c in docs.columns if c != "mix_copy"], "mix_copy")
+    return _unpacked(mixing.repeat_rows(mixing.mix(_packed(docs), out="__mix"), "__mix"), docs, "mix_copy")
 
 
 STAGES = [
