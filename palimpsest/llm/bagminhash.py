@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import Scratch, components, materialize, mix64, pieces, shingle_hashes, word_hashes
+from palimpsest.llm.shared import Scratch, bound_batches, components, materialize, mix64, pieces, shingle_hashes, word_hashes
 
 WIDTH, SIMILARITY = 5, 0.8
 #: 24 bands of 6 registers: a pair of similarity 0.8 shares a band with probability 0.9993.
@@ -203,6 +203,7 @@ def _possible(members: DataFrame, texts: DataFrame, similarity: float) -> DataFr
 
 def _classes(docs: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
     """One row per row of ``docs``: (doc, tx, class_id, kept); see ``near_duplicates``."""
+    bound_batches(docs.sparkSession)
     signed = materialize(sign(docs, key, text))
     # a doc_id with several texts: all but one are nodes under names of their own
     several = signed.where("doc is not null").groupBy("doc").agg(F.min("same").alias("lo"), F.max("same").alias("hi")).where("lo <> hi")

@@ -11,7 +11,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import materialize
+from palimpsest.llm.shared import bound_batches, materialize
 
 #: Edits (words put in, left out or replaced) that a copy may differ by, as a share of the item's words.
 ERROR_RATE = 0.15
@@ -134,6 +134,7 @@ def decontaminate(
     get equal answers; empty tables are allowed on either side; an extra column named ``out`` is replaced.
     """
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
+    bound_batches(docs.sparkSession)
     n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("t")), F.lit(0))).first()
     blocks = max(1, -(-n // block_items), -(-chars // block_chars))
     for k in range(blocks):

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.shared import bound_batches
+
 #: Elements whose text is never article text. Fixed values.
 SKIP = frozenset(
     "script style title noscript template svg iframe object canvas nav footer aside form button select option "
@@ -263,6 +265,8 @@ def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFram
     nested pages take time in proportion to their length. An extra column named ``out`` is replaced.
     """
 
+    bound_batches(pages.sparkSession)
+
     @F.pandas_udf("string")
     def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import Scratch
+from palimpsest.llm.shared import Scratch, bound_batches
 
 BITS = 14
 #: Labelled texts that the classifier is fitted and calibrated on, at most about (a hash picks them).
@@ -144,6 +144,7 @@ def train(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
     the driver sees document frequencies and weights, never texts or rows of the sample. Rows whose key is null fall
     into one hash and are learned from or not as one.
     """
+    bound_batches(docs.sparkSession)
     base = docs.where(learn & F.col(text).isNotNull() & F.col(lang).isNotNull())
     n = base.count()
     if not n:
@@ -202,6 +203,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", out: str = "lang
     Null texts, texts without a letter, and a model that saw no rows give ``und`` with score 0. Repeated rows get
     equal answers; an empty table gives no rows; an extra column named ``out`` is replaced.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<lang:string,score:double>")

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import Scratch
+from palimpsest.llm.shared import Scratch, bound_batches
 
 BITS, RANK, NEIGHBOURS = 11, 48, 15
 #: Labelled documents whose vectors are broadcast, at most about (a hash picks them): 2500 x 48 numbers.
@@ -131,6 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id"
     fitted in one task (``train_rows`` x ``WIDTH`` numbers); the driver gets basis and vectors.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & learn)
     n = known.count()
     cut = int(1e9 * min(1.0, train_rows / max(n, 1)))
@@ -193,6 +194,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "quality
     long texts count in parts of ``CHUNK`` code points, whole. Repeated rows get equal answers; an empty table gives no
     rows; an extra column named ``out`` is replaced.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

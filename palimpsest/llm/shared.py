@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows whose derived arrays a Python worker holds at once.
+#: Bytes of one Arrow batch that goes to a Python worker, and rows whose derived arrays it holds at once.
+ARROW_BYTES = 2 << 20
 ARROW_ROWS = 256
 
 
@@ -59,8 +60,18 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bound_batches(spark: SparkSession, size: int = ARROW_BYTES) -> None:
+    """Bound the bytes of one Arrow batch, unless the session's bound is lower: batches of long texts get fewer rows.
+
+    The plan reads this setting when it runs, so it stays set; batches of short rows are as before.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) != f"{size}b" and int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))) > size:
+        spark.conf.set(name, f"{size}b")
+
+
 def pieces(batches: Iterator[pd.DataFrame], rows: int = ARROW_ROWS) -> Iterator[pd.DataFrame]:
-    """Arrow batches cut to so many rows. A batch is bounded by bytes (Spark's 64 MB), what is worked out from it by rows."""
+    """Arrow batches cut to so many rows. A batch is bounded by bytes (``bound_batches``), what is worked out from it by rows."""
     for batch in batches:
         for start in range(0, len(batch), rows):
             yield batch.iloc[start : start + rows]
