@@ -15,6 +15,10 @@ MAX_URL_CHARS, MAX_HOST_CHARS = 2048, 253
 TRACKING = r"(?i)^(utm_.*|fbclid|gclid|dclid|msclkid|mc_cid|mc_eid|igshid|ref_src|spm|_hsenc|_hsmi)$"
 YOUTUBE = ("youtube.com", "m.youtube.com", "music.youtube.com", "youtu.be", "youtube-nocookie.com")
 VIMEO = ("vimeo.com", "player.vimeo.com")
+# How a URL begins in running text, and the paths that show one video. Fixed values.
+URL_IN_TEXT = r"(?i)\b(?:[a-z][a-z0-9+.-]{1,15}://|www\.)[^\s<>\"'`]+"
+TUBE_PATH = r"^/(watch|shorts/|live/|embed/|v/)"
+VIMEO_PATH = r"^/(?:video/|channels/[^/]+/|groups/[^/]+/videos/)?\d+"
 # IPv4 ranges by the rule that refuses them, first hit first. Fixed values.
 REFUSED_V4: tuple[tuple[str, str], ...] = (
     ("loopback", "127.0.0.0/8"), ("reserved_address", "0.0.0.0/32"), ("link_local", "169.254.0.0/16"), ("multicast", "224.0.0.0/4"),
@@ -41,7 +45,7 @@ def find_urls(text: Column) -> Column:
     A closing bracket stays if one inside the URL opens it. One character of the trailing run of punctuation is
     dropped a step, so the fold is as long as that run.
     """
-    found = F.regexp_extract_all(text, F.lit(r"(?i)\b(?:[a-z][a-z0-9+.-]{1,15}://|www\.)[^\s<>\"'`]+"), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(URL_IN_TEXT), F.lit(0))
     many = lambda u, ch: F.length(u) - F.length(F.replace(u, F.lit(ch), F.lit("")))
 
     def trim(u: Column) -> Column:
@@ -92,8 +96,8 @@ def canonical(url: Column) -> Column:
 def video_site(url: Column) -> Column:
     """``youtube`` or ``vimeo`` for a link to a video of theirs, else null."""
     name, path = site(host(url)), _part(url, 3)
-    tube = name.isin(*YOUTUBE) & (((name == "youtu.be") & (F.trim(path, F.lit("/")) != "")) | path.rlike(r"^/(watch|shorts/|live/|embed/|v/)"))
-    return F.when(tube, "youtube").when(name.isin(*VIMEO) & path.rlike(r"^/(?:video/|channels/[^/]+/|groups/[^/]+/videos/)?\d+"), "vimeo")
+    tube = name.isin(*YOUTUBE) & (((name == "youtu.be") & (F.trim(path, F.lit("/")) != "")) | path.rlike(TUBE_PATH))
+    return F.when(tube, "youtube").when(name.isin(*VIMEO) & path.rlike(VIMEO_PATH), "vimeo")
 
 
 def ipv4_number(name: Column) -> Column:

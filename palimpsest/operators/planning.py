@@ -38,6 +38,13 @@ STATE_ALIASES = {
 }
 
 
+# What is said of a plan that may not run. Fixed values.
+SAID = {
+    "none": "a plan needs at least one sub-query", "blank": "question and topic are required", "count": "a count needs an aggregate", "field": "the aggregate needs a field",
+    "set": "a set question needs a set operation", "shared": "shared_with needs an entity", "hops": "relation paths are at most 2 hops", "time": "time not in the question: ", "slug": "not a slug: ",
+}
+
+
 def _named(key: Column, table: dict[str, str]) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
 
@@ -65,20 +72,20 @@ def validate(plans: DataFrame, heard: DataFrame) -> DataFrame:
     bad = lambda test, words_: F.when(F.coalesce(test, F.lit(False)), F.concat(where, F.lit(words_)))
     blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
     single = F.array_compact(F.array(
-        bad(blank(F.col("question")) | blank(F.col("topic")), "question and topic are required"),
-        bad((F.col("shape") == "count") & F.col("op").isNull(), "a count needs an aggregate"),
-        bad((F.col("op") != "count") & blank(F.col("field")), "the aggregate needs a field"),
-        bad((F.col("shape") == "set") & F.col("set_op").isNull(), "a set question needs a set operation"),
-        bad((F.col("set_op") == "shared_with") & blank(F.col("set_entity")), "shared_with needs an entity"),
-        bad(F.col("hops") > 2, "relation paths are at most 2 hops")))
-    copied = F.transform(F.filter("times", lambda x: ~F.coalesce(F.col("said"), F.lit("")).contains(spoken(x)) | blank(x)), lambda x: F.concat(where, F.lit("time not in the question: "), x))
-    slugs = F.transform(F.filter("slugs", lambda x: ~F.lower(x).rlike(r"^[a-z0-9][a-z0-9_\- /]*$")), lambda x: F.concat(where, F.lit("not a slug: "), x))
+        bad(blank(F.col("question")) | blank(F.col("topic")), SAID["blank"]),
+        bad((F.col("shape") == "count") & F.col("op").isNull(), SAID["count"]),
+        bad((F.col("op") != "count") & blank(F.col("field")), SAID["field"]),
+        bad((F.col("shape") == "set") & F.col("set_op").isNull(), SAID["set"]),
+        bad((F.col("set_op") == "shared_with") & blank(F.col("set_entity")), SAID["shared"]),
+        bad(F.col("hops") > 2, SAID["hops"])))
+    copied = F.transform(F.filter("times", lambda x: ~F.coalesce(F.col("said"), F.lit("")).contains(spoken(x)) | blank(x)), lambda x: F.concat(where, F.lit(SAID["time"]), x))
+    slugs = F.transform(F.filter("slugs", lambda x: ~F.lower(x).rlike(r"^[a-z0-9][a-z0-9_\- /]*$")), lambda x: F.concat(where, F.lit(SAID["slug"]), x))
     none = F.array().cast("array<string>")
     rows = rows.select("question_id", F.concat(single, F.coalesce(copied, none), F.coalesce(slugs, none)).alias("e"))
     per = rows.groupBy("question_id").agg(F.count("*").alias("k"), F.array_sort(F.flatten(F.collect_list("e"))).alias("e"))
     many = F.when(F.col("k") > MAX_SUB_QUERIES, F.array(F.lit(f"at most {MAX_SUB_QUERIES} sub-queries"))).otherwise(none)
     out = heard.select("question_id").distinct().join(per, "question_id", "left")
-    return out.select("question_id", F.when(F.col("k").isNull(), F.array(F.lit("a plan needs at least one sub-query"))).otherwise(F.concat(many, F.col("e"))).alias("errors"))
+    return out.select("question_id", F.when(F.col("k").isNull(), F.array(F.lit(SAID["none"]))).otherwise(F.concat(many, F.col("e"))).alias("errors"))
 
 
 def fallback(plans: DataFrame, errors: DataFrame, messages: DataFrame) -> DataFrame:

@@ -142,11 +142,13 @@ def a_chain_sum(t: Tables) -> DataFrame:
 @query(f"WITH s AS ({_SCORED}), p AS (SELECT question_id, count(*) AS judged, max(CASE WHEN score >= 0.5 THEN place ELSE 0 END) AS deepest FROM s GROUP BY 1) "
        "SELECT count(*) AS calls, count(*) FILTER (WHERE judged = 1) AS single, count(*) FILTER (WHERE judged = 1 AND deepest > 0) AS single_kept, "
        "count(*) FILTER (WHERE deepest > 5) AS beyond_5, count(*) FILTER (WHERE deepest > 10) AS beyond_10, count(*) FILTER (WHERE deepest > 20) AS beyond_20, "
-       "list_sort(list(judged))[round_even(0.5 * (count(*) - 1), 0)::INT + 1] AS judged_p50 FROM p")
+       "list_sort(list(judged))[round_even(0.5 * (count(*) - 1), 0)::INT + 1] AS judged_p50, "
+       "(SELECT round(regr_slope(latency_ms, output_tokens::DOUBLE), 3) FROM ledger WHERE NOT cache_hit AND turn_id IN (SELECT question_id FROM p)) AS slope, "
+       "(SELECT round(regr_intercept(latency_ms, output_tokens::DOUBLE), 1) FROM ledger WHERE NOT cache_hit AND turn_id IN (SELECT question_id FROM p)) AS intercept FROM p")
 def a_rerank_anatomy(t: Tables) -> DataFrame:
     scores = _scored(t).select(F.col("question_id").alias("call_id"), "place", "score")
     calls = t["ledger"].select(F.col("turn_id").alias("call_id"), "output_tokens", "latency_ms", "cache_hit")
-    return ev.rerank_anatomy(scores, calls).drop("slope", "intercept")
+    return ev.rerank_anatomy(scores, calls).withColumns({"slope": F.round("slope", 3), "intercept": F.round("intercept", 1)})
 
 
 @query("WITH c AS (SELECT o_custkey % 40 AS run_id, count(*) FILTER (WHERE o_orderkey % 3 <> 0) AS passed, count(*) AS cases FROM orders GROUP BY 1), "
@@ -519,6 +521,30 @@ def z_public_reads(t: Tables) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
+@query("SELECT t.trigger_id, t.item_id, e.event_id FROM events e JOIN triggers t ON t.entity_id = e.user_id WHERE t.state = 'pending' AND t.kind = 'person'")
+def st_triggers(t: Tables) -> DataFrame:
+    return jobs.run_available(jobs.fired(jobs.read_events(t.spark, f"{t.sf_dir}/events.parquet"), t["triggers"]))
+
+
+@query("SELECT o_custkey % 40 AS run_id, count(*) AS cases, count(*) FILTER (WHERE o_orderkey % 3 <> 0) AS passed, sum(o_orderkey % 100)::BIGINT AS latency, count(*) AS calls FROM orders GROUP BY 1")
+def src_json_runs(t: Tables) -> DataFrame:
+    """Runs written as JSON files, one a run, and read back case by case."""
+    case = ("struct(CAST(o_orderkey AS STRING) AS id, o_orderkey % 3 <> 0 AS passed, CAST(o_orderkey % 100 AS DOUBLE) AS latency_ms, 0.5D AS cost_usd, map('hit', 1D) AS scores, "
+            "array(struct('plan' AS step, 0.1D AS cost_usd, 2D AS latency_ms, false AS cache_hit)) AS calls)")
+    runs = t["orders"].selectExpr("CAST(o_custkey % 40 AS STRING) AS run_id", f"{case} AS c").groupBy("run_id").agg(F.collect_list("c").alias("cases"))
+    path = f"{st.shared_dir(t.spark)}/palimpsest/runs-{datetime.now().strftime('%H%M%S%f')}"
+    runs.selectExpr("run_id", "'recall' AS suite", "'live' AS mode", "'complete' AS status", "'1998-03-10' AS started_at", "cases").repartition(4, "run_id").write.json(path)
+    rows = st.run_cases(t.spark, path, multiline=False)
+    return rows.groupBy(F.col("run_id").cast("bigint").alias("run_id")).agg(F.count("*").alias("cases"), F.count_if("case.passed").alias("passed"), F.sum("case.latency_ms").cast("bigint").alias("latency"), F.sum(F.size("case.calls")).alias("calls"))
+
+
+@query("SELECT 'item' AS what, item_id AS id FROM (SELECT item_id FROM items WHERE workspace_id = 2 AND status = 'active' AND sensitivity = 'normal' ORDER BY created_at DESC, item_id DESC LIMIT 20) "
+       "UNION ALL SELECT 'end', entity_id FROM (SELECT DISTINCT entity_id FROM item_entities WHERE item_id IN (SELECT item_id FROM items WHERE workspace_id = 2 AND status = 'active' AND sensitivity = 'normal'))")
+def scan_reader(t: Tables) -> DataFrame:
+    reader = st.Reader(fl.scoped(t["items"], Access(2)), t["links"], t["item_entities"])
+    return reader.newest(20).select(F.lit("item").alias("what"), F.col("item_id").alias("id")).unionByName(reader.ends().select(F.lit("end").alias("what"), F.col("entity_id").alias("id")).distinct())
+
+
 @query("SELECT * FROM turn_events WHERE turn_id = 5 ORDER BY \"at\", event_id".replace("*", "event_id, turn_id, kind"))
 def src_events_replay(t: Tables) -> DataFrame:
     return t["turn_events"].where("turn_id = 5").orderBy("at", "event_id").select("event_id", "turn_id", "kind")

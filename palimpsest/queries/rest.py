@@ -225,7 +225,7 @@ def x_relative_words(t: Tables) -> DataFrame:
 
 @query("SELECT event_id, json_extract_string(props, '$.k')::INT AS k FROM turn_events")
 def x_json_get(t: Tables) -> DataFrame:
-    return t["turn_events"].select("event_id", F.get_json_object("props", "$.k").try_cast("int").alias("k"))
+    return t["turn_events"].select("event_id", tx.json_get(F.col("props"), "k", "int").alias("k"))
 
 
 @query("SELECT b.item_id, b.state AS before, a.state AS after FROM items b JOIN (SELECT item_id, CASE WHEN item_id % 50 = 0 THEN 'gone' ELSE state END AS state FROM items) a ON a.item_id = b.item_id WHERE a.state <> b.state")

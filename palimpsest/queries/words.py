@@ -17,6 +17,7 @@ from palimpsest.operators import metrics as me
 from palimpsest.queries.registry import Tables, query
 
 NOW = datetime(1998, 3, 10, 9, 30)
+_minute = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm")
 
 
 def known(columns: str, rows: list[tuple]) -> str:
@@ -249,26 +250,50 @@ def x_redact_key(t: Tables) -> DataFrame:
 
 @query("SELECT event_id, event_id + 1 AS entity_id, json_extract_string(props, '$.k')::INT AS k FROM turn_events")
 def x_json_set(t: Tables) -> DataFrame:
-    m = F.map_zip_with(F.from_json("props", "map<string,string>"), F.create_map(F.lit("entity_id"), (F.col("event_id") + 1).cast("string")), lambda k, old, new: F.coalesce(new, old))
-    rows = t["turn_events"].withColumn("j", F.to_json(m))
+    rows = t["turn_events"].withColumn("j", tx.json_set(F.col("props"), "entity_id", F.col("event_id") + 1))
     return rows.select("event_id", F.get_json_object("j", "$.entity_id").cast("bigint").alias("entity_id"), F.get_json_object("j", "$.k").cast("int").alias("k"))
 
 
 @query("SELECT event_id, epoch_us(\"at\") // 1000 AS ms, TRUE AS v7 FROM turn_events")
 def x_uuid_v7(t: Tables) -> DataFrame:
-    """Time-ordered ids: 48 bits of the instant in ms, then version, variant and bits of a hash of the row."""
-    h = F.sha2(F.col("event_id").cast("string"), 256)
-    ms = F.lower(F.lpad(F.hex(F.unix_millis("at")), 12, "0"))
-    uid = F.concat(F.substring(ms, 1, 8), F.lit("-"), F.substring(ms, 9, 4), F.lit("-7"), F.substring(h, 1, 3), F.lit("-8"), F.substring(h, 4, 3), F.lit("-"), F.substring(h, 7, 12))
-    rows = t["turn_events"].withColumn("uid", uid)
-    back = F.conv(F.concat(F.substring("uid", 1, 8), F.substring("uid", 10, 4)), 16, 10).cast("bigint")
+    rows = t["turn_events"].withColumn("uid", tx.uuid_v7(F.col("at"), F.col("event_id")))
+    back = tx.uuid_millis(F.col("uid"))
     return rows.select("event_id", back.alias("ms"), F.col("uid").rlike("^[0-9a-f]{8}-[0-9a-f]{4}-7[0-9a-f]{3}-8[0-9a-f]{3}-[0-9a-f]{12}$").alias("v7"))
 
 
-@query("SELECT term, aliases FROM (VALUES ('spouse_of', 3), ('lives_in', 2), ('friend_of', 1)) v(term, aliases)")
+_SPELT = [("spouse_of", "lives_in", "husband_of", "based_in", "coworker_of", "managed_by", "part_of"), ("spouse_of", "lives_in", "spouse_of", "lives_in", "colleague_of", "reports_to", "member_of")]
+
+
+@query("SELECT c_custkey, ([" + ", ".join(f"'{x}'" for x in _SPELT[1]) + "])[c_custkey % 7 + 1] AS chosen, TRUE AS reused FROM customer UNION ALL SELECT -s_suppkey - 1, 'knows_' || s_suppkey, FALSE FROM supplier")
 def x_builtin_vocab(t: Tables) -> DataFrame:
-    rows = [(k, len(v)) for k, v in tx.BUILTIN_TERMS["relation"].items() if k in ("spouse_of", "lives_in", "friend_of")]
-    return t.spark.createDataFrame(rows, "term string, aliases int")
+    spelt = "array(" + ", ".join(f"'{x.replace('_', ' ').upper()}'" for x in _SPELT[0]) + ")"
+    said = t["customer"].selectExpr("c_custkey", f"element_at({spelt}, CAST(c_custkey % 7 + 1 AS INT)) AS proposed").unionByName(t["supplier"].selectExpr("-s_suppkey - 1 AS c_custkey", "concat('knows-', s_suppkey) AS proposed"))
+    stored = t.spark.createDataFrame([], "slug string, aliases array<string>")
+    return tx.normalise(said, stored, "relation").select("c_custkey", "chosen", "reused")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, 'ran ' || l_linenumber || ' km in ' || l_quantity::INT || CASE WHEN l_quantity = 1 THEN ' minute' ELSE ' minutes' END || ', ' || l_suppkey || ' kg' AS text FROM lineitem")
+def x_units_rows(t: Tables) -> DataFrame:
+    said = F.concat(F.lit("ran "), F.col("l_linenumber"), F.lit("kms in "), F.col("l_quantity").cast("int"), F.lit(" mins, "), F.col("l_suppkey"), F.lit("kg"))
+    return t["lineitem"].select("l_orderkey", "l_linenumber", "l_partkey", tx.with_units(said).alias("text"))
+
+
+@query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'I lived in ' || c_mktsegment WHEN 1 THEN c_name || ' was here and is well' ELSE c_name || ' worked at night' END AS text FROM customer")
+def x_past_tense_rows(t: Tables) -> DataFrame:
+    return t["customer"].select("c_custkey", tx.past_tense(F.expr("CASE c_custkey % 3 WHEN 0 THEN 'I live in ' || c_mktsegment WHEN 1 THEN c_name || ' is here and is well' ELSE c_name || ' works at night' END")).alias("text"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate::DATE + (o_orderkey % 40)::INT, '%Y-%m-%d') AS day FROM orders")
+def d_resolve_rows(t: Tables) -> DataFrame:
+    said = F.concat(F.lit("in "), (F.col("o_orderkey") % 40).cast("string"), F.lit(" days"))
+    got = tm.resolve_time(said, F.col("o_orderdate").cast("timestamp"))
+    return t["orders"].select("o_orderkey", F.date_format(got["start"], "yyyy-MM-dd").alias("day"))
+
+
+@query("SELECT o_orderkey, '1998-03-10 09:30' AS \"end\", strftime(TIMESTAMP '1998-03-10 09:30:00' - to_days((o_orderkey % 90 + 1)::INT), '%Y-%m-%d %H:%M') AS start FROM orders")
+def d_window_rows(t: Tables) -> DataFrame:
+    rows = wi.recall_windows(t["orders"].selectExpr("o_orderkey", "concat('the past ', o_orderkey % 90 + 1, ' days') AS raw"), NOW, "raw")
+    return rows.select("o_orderkey", _minute("window.start").alias("start"), _minute("window.end").alias("end"))
 
 
 @query("SELECT turn_id, seq, CASE provider WHEN 'alpha' THEN (input_tokens * 25 + cached_tokens * 5 + output_tokens * 125) ELSE (input_tokens * 300 + cached_tokens * 30 + output_tokens * 1500) END AS cost_e8 FROM ledger")
@@ -348,7 +373,6 @@ _WINDOWS = [("12 march", "1998-03-12 00:00", "1998-03-13 00:00"), ("december", "
             ("until 1998-04-01", None, "1998-04-02 00:00"), ("between 1998-02-01 and 1998-02-03", "1998-02-01 00:00", "1998-02-04 00:00"), ("yesterday evening", "1998-03-09 17:00", "1998-03-09 21:00"),
             ("tonight", "1998-03-10 21:00", "1998-03-11 05:00"), ("recently", "1998-02-08 09:30", "1998-03-10 09:30"), ("upcoming", "1998-03-10 09:30", "1998-04-09 09:30"), ("ever", None, None),
             ("whenever suits", None, None)]
-_minute = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm")
 
 
 @query(known('raw, start, "end"', _WINDOWS))

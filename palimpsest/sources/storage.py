@@ -34,6 +34,28 @@ def by_ids(df: DataFrame, ids: list[int], key: str = "item_id") -> DataFrame:
     return df.where(F.col(key).isin(*ids)) if ids else df.limit(0)
 
 
+class Reader:
+    """What one scope may read: its items, and of links and ends only those that touch them."""
+
+    def __init__(self, items: DataFrame, links: DataFrame, item_entities: DataFrame) -> None:
+        self.items, self._links, self._ends = items, links, item_entities
+
+    def by_ids(self, ids: list[int]) -> DataFrame:
+        return by_ids(self.items, ids)
+
+    def newest(self, limit: int = 200) -> DataFrame:
+        return newest(self.items, limit)
+
+    def page(self, before: int | None, limit: int) -> DataFrame:
+        return page_before(self.items, "item_id", before, limit)
+
+    def links(self) -> DataFrame:
+        return touching(self._links, self.items.select(F.col("item_id").alias("node")))
+
+    def ends(self) -> DataFrame:
+        return self._ends.join(self.items.select("item_id"), "item_id", "left_semi")
+
+
 def newest(df: DataFrame, limit: int = 200) -> DataFrame:
     return df.orderBy(F.col("created_at").desc(), F.col("item_id").desc()).limit(limit)
 
@@ -143,11 +165,11 @@ def seed_time(text: Column, now: Column, timezone: str) -> Column:
     return F.when(days != "", F.to_utc_timestamp(local, timezone)).when(text.endswith("Z"), iso).otherwise(F.to_utc_timestamp(iso, timezone))
 
 
-def run_cases(spark: SparkSession, path: str) -> DataFrame:
-    """Cases of evaluation runs kept as JSON files, one row a case, with the fields of their run."""
+def run_cases(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """Cases of evaluation runs kept as JSON files, one row a case, with the fields of their run; a file is one run, or one a line."""
     schema = ("run_id string, suite string, mode string, status string, started_at string, cases array<struct<id:string,"
               "passed:boolean,latency_ms:double,cost_usd:double,scores:map<string,double>,calls:array<struct<step:string,cost_usd:double,latency_ms:double,cache_hit:boolean>>>>")
-    return spark.read.schema(schema).json(path, multiLine=True).select("run_id", "suite", "mode", "status", F.explode("cases").alias("case"))
+    return spark.read.schema(schema).json(path, multiLine=multiline).select("run_id", "suite", "mode", "status", F.explode("cases").alias("case"))
 
 
 def pending_since(jobs: DataFrame, before: Column, limit: int = 50) -> DataFrame:

@@ -57,6 +57,12 @@ def first_seen(events: DataFrame) -> DataFrame:
     return events.withWatermark("ts", "40 days").dropDuplicatesWithinWatermark(["user_id", "event_type"])
 
 
+def fired(events: DataFrame, triggers: DataFrame) -> DataFrame:
+    """(trigger_id, item_id, event_id): events as they stream in, joined with the pending person triggers of their user."""
+    waiting = triggers.where("state = 'pending' AND kind = 'person'").select("trigger_id", "item_id", F.col("entity_id").alias("user_id"))
+    return events.select("event_id", "user_id").join(waiting, "user_id").select("trigger_id", "item_id", "event_id")
+
+
 def token_bucket(events: DataFrame, rate_per_hour: float = 0.05, capacity: float = 2.0) -> DataFrame:
     """(user_id, allowed, refused): each event takes a token; tokens refill evenly up to the capacity; state is kept per user."""
 
