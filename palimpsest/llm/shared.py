@@ -66,7 +66,8 @@ def bound_batches(spark: SparkSession, size: int = ARROW_BYTES) -> None:
     The plan reads this setting when it runs, so it stays set; batches of short rows are as before.
     """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name) != f"{size}b" and int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))) > size:
+    now = spark.conf.get(name).removesuffix("b")  # a user's own bound in other units stays
+    if now.isdigit() and int(now) > size:
         spark.conf.set(name, f"{size}b")
 
 
