@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -14,12 +13,16 @@ from pyspark.sql import functions as F
 from palimpsest.llm.shared import Scratch, components, materialize
 
 COSINE = 0.98
-#: Vectors that centroids and codebooks are fitted on, at most about (a hash picks them); every vector is indexed.
-TRAIN_ROWS = 8_000
-#: Vectors for each inverted list aimed at, lists at most, subspaces and codewords of a residual, vectors of a block.
-PER_LIST, MAX_LISTS, SUBSPACES, CODES, BLOCK = 400, 4096, 8, 64, 1024
-#: Vectors whose distances to all lists are held at once.
-PROBE_ROWS = 256
+#: Vectors that centroids and codebooks are fitted on, about: so many, or four a list if that is more (a hash picks them,
+#: one task fits them); every vector is indexed.
+TRAIN_ROWS, TRAIN_PER_LIST = 8_000, 4
+#: Vectors for each inverted list aimed at, lists at most (their centroids are broadcast: 32 MB at 64 dimensions), subspaces
+#: and codewords of a residual, vectors of a block.
+PER_LIST, MAX_LISTS, SUBSPACES, CODES, BLOCK = 400, 65_536, 8, 64, 1024
+#: Lists that are fitted at once; more are fitted within clusters of the sample.
+FLAT_LISTS = 1_024
+#: Distances that are held at once.
+CELLS = 1 << 22
 #: What rounding to single precision can add to a distance of unit vectors, with room to spare.
 SLACK = 1e-5
 
@@ -28,10 +31,20 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def reach_of(cosine: float) -> float:
+    """The largest distance of two unit vectors with that cosine."""
+    return float(np.sqrt(max(0.0, 2 - 2 * cosine))) + 1e-9
+
+
+def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    half, rows = 0.5 * (c**2).sum(1), max(1, CELLS // len(c))
+    return np.concatenate([(x[i : i + rows] @ c.T - half).argmax(1) for i in range(0, len(x), rows)] or [np.zeros(0, int)])
+
+
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
-        a = (x @ c.T - 0.5 * (c**2).sum(1)).argmax(1)
+        a = _nearest(x, c)
         n = np.bincount(a, minlength=len(c))
         sums = np.zeros_like(c)
         np.add.at(sums, a, x)
@@ -39,6 +52,15 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
     return c
 
 
+def _coarse(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """``k`` centroids, about; many of them are those of clusters within clusters, so the work is rows x root of k."""
+    if k <= FLAT_LISTS:
+        return _kmeans(x, k, rng)
+    top = _kmeans(x, int(np.sqrt(k)), rng)
+    a = _nearest(x, top)
+    return np.vstack([_kmeans(own, max(1, round(k * len(own) / len(x))), rng) for own in (x[a == i] for i in range(len(top))) if len(own)])
+
+
 @dataclass
 class Index:
     """Coarse centroids and codebooks of residuals, both of fixed size."""
@@ -52,17 +74,12 @@ class Index:
         rng = np.random.default_rng(seed)
         pad = -sample.shape[1] % SUBSPACES
         x = np.pad(_unit(sample), ((0, 0), (0, pad)))
-        c = _kmeans(x, lists, rng)
-        res = x - c[(x @ c.T - 0.5 * (c**2).sum(1)).argmax(1)]
+        c = _coarse(x, lists, rng)
+        res = x - c[_nearest(x, c)]
         parts = res.reshape(len(x), SUBSPACES, -1)
         books = [_kmeans(parts[:, s], CODES, rng) for s in range(SUBSPACES)]
         n = min(map(len, books))
-        return cls(c, np.array([b[:n] for b in books]), float(np.sqrt(max(0.0, 2 - 2 * cosine))) + 1e-9)
-
-    @cached_property
-    def between(self) -> np.ndarray:
-        """Distances of the centroids, (lists, lists); worked out once a process, a row at a time."""
-        return np.array([np.sqrt(((self.centroids - c) ** 2).sum(1)) for c in self.centroids])
+        return cls(c, np.array([b[:n] for b in books]), reach_of(cosine))
 
     def stack(self, vectors: pd.Series) -> np.ndarray:
         """Vectors as rows in double precision, filled up with zeros to the width of the centroids."""
@@ -79,10 +96,14 @@ class Index:
         lists within that gap finds every link from one side or the other.
         """
         out: list[np.ndarray] = []
-        for s in range(0, len(x), PROBE_ROWS):
-            d2 = (self.centroids**2).sum(1) - 2 * x[s : s + PROBE_ROWS] @ self.centroids.T
+        c, c2 = self.centroids, (self.centroids**2).sum(1)
+        rows = max(1, min(256, CELLS // len(c)))
+        for s in range(0, len(x), rows):
+            d2 = c2 - 2 * x[s : s + rows] @ c.T
             own, at = d2.argmin(1), np.arange(len(d2))
-            near = d2 - d2[at, own][:, None] <= self.reach * self.between[own] + 1e-9
+            lists, back = np.unique(own, return_inverse=True)
+            between = np.sqrt(np.maximum(c2[lists, None] - 2 * c[lists] @ c.T + c2, 0.0))
+            near = d2 - d2[at, own][:, None] <= self.reach * between[back] + 1e-7
             near[at, own] = False
             out += [np.concatenate([[o], np.flatnonzero(n)]).astype(np.int32) for o, n in zip(own, near, strict=True)]
         return out
@@ -168,14 +189,25 @@ def link_vectors(
     n, dims = classes.agg(F.count("*"), F.max(F.size("v"))).first()  # vectors of other lengths are filled up with zeros
     if not n:
         return lone.withColumn("kept", F.lit(True))
-    cut = int(1e9 * min(1.0, train_rows / n))
-    sample = classes.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000_000)) < F.lit(max(cut, 1))).select("v").limit(2 * train_rows).collect()
-    sample = sample or classes.select("v").limit(1).collect()
-    x = np.zeros((len(sample), dims))
-    for i, r in enumerate(sample):
-        x[i, : len(r.v)] = r.v
-    lists = int(min(MAX_LISTS, max(1, n // PER_LIST), len(x)))
-    shared = spark.sparkContext.broadcast(Index.fit(x[np.lexsort(x.T)], lists, cosine))
+    lists = int(min(MAX_LISTS, max(1, n // PER_LIST)))
+    wanted = max(train_rows, TRAIN_PER_LIST * lists)
+    cut = int(1e9 * min(1.0, wanted / n))
+    sample = classes.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000_000)) < F.lit(max(cut, 1))).select("v").limit(2 * wanted)
+    sample = classes.select("v").limit(1) if sample.isEmpty() else sample
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vectors = pd.concat([batch["v"] for batch in batches])
+        x = np.zeros((len(vectors), dims))
+        for row, v in zip(x, vectors, strict=True):
+            row[: len(v)] = v
+        index = Index.fit(x[np.lexsort(x.T)], min(lists, len(x)), cosine)
+        yield pd.DataFrame({"book": -1, "v": list(index.centroids)})
+        for s, book in enumerate(index.books):
+            yield pd.DataFrame({"book": s, "v": list(book)})
+
+    fitted = sample.coalesce(1).mapInPandas(fit, "book int, v array<double>").toArrow().to_pandas()
+    centroids, *books = (np.vstack(fitted["v"][fitted["book"] == s].to_numpy()) for s in range(-1, SUBSPACES))
+    shared = spark.sparkContext.broadcast(Index(centroids, np.array(books), reach_of(cosine)))
 
     @F.pandas_udf("probes array<int>, codes binary, error double")
     def place(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -226,11 +258,10 @@ def link_vectors(
                 sums = np.bincount(where, weights=b["m"].to_numpy()[j])
                 count = {int(k): int(c) for k, c in zip(ids, sums, strict=True)}
                 # the other direction counts here only where that vector doesn't search this query's own list
-                searched = np.zeros((len(b), len(index.centroids)), bool)
-                for row, p in enumerate(b["probes"]):
-                    searched[row, p] = True
-                own = np.array([p[0] for p in q["probes"]])[i]
-                on = (own != at) & ~searched[j, own]
+                n_lists = len(index.centroids)
+                searched = np.concatenate([row * n_lists + p.astype(np.int64) for row, p in enumerate(b["probes"])])
+                own = np.array([p[0] for p in q["probes"]], np.int64)[i]
+                on = (own != at) & ~np.isin(j * n_lists + own, searched)
                 ids, where = np.unique(bi[on], return_inverse=True)
                 for k, c in zip(ids, np.bincount(where, weights=q["m"].to_numpy()[i[on]]), strict=True):
                     count[int(k)] = count.get(int(k), 0) + int(c)

@@ -290,8 +290,9 @@ def test_links_in_many_blocks_and_lists_are_all_found(spark, monkeypatch):
     assert near.sum() > 100 and got == dict(enumerate(near.sum(1).tolist()))
 
 
-@pytest.mark.parametrize("dims", [3, 8, 64])
-def test_codes_never_hide_a_link(dims):
+@pytest.mark.parametrize(("dims", "flat"), [(3, 1024), (8, 1024), (64, 1024), (64, 4)])
+def test_codes_never_hide_a_link(monkeypatch, dims, flat):
+    monkeypatch.setattr(embeddup, "FLAT_LISTS", flat)
     rng = np.random.default_rng(dims)
     x = embeddup._unit(rng.normal(size=(2000, dims)))
     y = embeddup._unit(x + rng.normal(size=x.shape) * 0.15 / np.sqrt(dims))
