@@ -18,7 +18,7 @@ COSINE = 0.98
 TRAIN_ROWS, TRAIN_PER_LIST = 8_000, 4
 #: Vectors for each inverted list aimed at, lists at most (their centroids are broadcast: 32 MB at 64 dimensions), subspaces
 #: and codewords of a residual, vectors of a block.
-PER_LIST, MAX_LISTS, SUBSPACES, CODES, BLOCK = 400, 65_536, 8, 64, 1024
+PER_LIST, MAX_LISTS, SUBSPACES, CODES, BLOCK = 400, 65_536, 8, 64, 512
 #: Lists that are fitted at once; more are fitted within clusters of the sample.
 FLAT_LISTS = 1_024
 #: Distances that are held at once.
