@@ -19,7 +19,7 @@ REGISTERS = BANDS * ROWS
 #: Members of a bucket that one not linked with the bucket's lead is verified against first.
 PIVOTS = 4
 #: Buckets of so many members are paired by a join; larger ones are compared in blocks of so many by their sketches.
-SMALL_BUCKET, BLOCK = 16, 256
+SMALL_BUCKET, BLOCK = 16, 128
 #: Names of texts of a repeated doc_id beside its first one start here.
 OWN_NAMES = 1 << 62
 #: Classes of shingles that a sketch counts.
