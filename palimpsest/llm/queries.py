@@ -1,4 +1,4 @@
-"""The thin queries op1 to op10 over whole tables, and the SQL that says the same where SQL can."""
+"""The thin queries op1 to op13 over whole tables, and the SQL that says the same where SQL can."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bagminhash, chatformat, decontaminate, embeddup, htmltext, langid, linededup, mixing, quality, urlfilter
+from palimpsest.llm import bagminhash, chatformat, decontaminate, embeddup, fim, htmltext, langid, linededup, mixing, quality, substrings, urlfilter
 
 #: Host and path rules of the URL query: (verdict, host/path).
 URL_RULES = [
@@ -95,8 +95,25 @@ def op10_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict", F.round("block_score", 6).alias("block_score"))
 
 
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: units, form, lengths, and digests of the output and of the text rebuilt from it."""
+    out = fim.transform(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda c: F.sha2(c, 256)
+    return out.select(
+        "doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars", digest(F.col("fim.output")).alias("output_sha256"),
+        digest(fim.restore(F.col("fim.output"), F.col("fim.form"))).alias("restored_sha256"),
+    )
+
+
+def op13_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its words, how many of them repeat 13 words of an earlier document, and the digest of the rest."""
+    out = substrings.drop_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "substring_dedup.n_words", "substring_dedup.n_removed", F.sha2("substring_dedup.text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_decontaminate, op2_langid, op3_linededup, op4_quality, op5_htmltext, op6_minhash, op7_chatformat, op8_mixing, op9_embeddup, op10_urlfilter,
+    op12_fim, op13_substrings,
 )}
 
 _LINE_SQL = f"""
@@ -184,6 +201,33 @@ SELECT e.vec_id, coalesce(n.n_links, 0)::BIGINT AS n_links, c.component_id, e.ve
 FROM embeddings e JOIN comp c ON c.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id
 """
 
+_FIM_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || doc_id::VARCHAR) AS h,
+                  regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents),
+h AS (SELECT *, len(u)::BIGINT AS n, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+             ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM d),
+f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+                  WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+c AS (SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS p, coalesce(array_to_string(u[a + 1:b], ''), '') AS m, coalesce(array_to_string(u[b + 1:n], ''), '') AS s FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM c
+"""
+
+_SUBSTRING_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+wins AS (SELECT rid, doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+firsts AS (SELECT s, min(doc_id) AS least FROM wins GROUP BY s),
+gone AS (SELECT DISTINCT rid, i + j AS i FROM (SELECT rid, i FROM wins JOIN firsts USING (s) WHERE least < doc_id), range(0, 13) r(j)),
+said AS (SELECT rid, i, w[i] AS word FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+kept AS (SELECT rid, count(g.i) AS n_removed, string_agg(s.word, ' ' ORDER BY i) FILTER (WHERE g.i IS NULL) AS text FROM said s LEFT JOIN gone g USING (rid, i) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op3_linededup": _LINE_SQL, "op7_chatformat": _CHAT_SQL, "op8_mixing": _MIX_SQL, "op9_embeddup": _LINK_SQL,
+    "op12_fim": _FIM_SQL, "op13_substrings": _SUBSTRING_SQL,
 }
