@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bagminhash, chatformat, decontaminate, embeddup, fim, htmltext, langid, linededup, mixing, quality, substrings, urlfilter
+from palimpsest.llm import bagminhash, chatformat, chatrepair, decontaminate, embeddup, fim, htmltext, langid, linededup, mixing, quality, substrings, urlfilter
 
 #: Host and path rules of the URL query: (verdict, host/path).
 URL_RULES = [
@@ -95,6 +95,11 @@ def op10_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict", F.round("block_score", 6).alias("block_score"))
 
 
+def op11_chatrepair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per conversation, after damage: faults, the cheapest repair, and the digest of the repaired text."""
+    return chatrepair.digests(chatrepair.damage(_table(spark, sf_dir, "conversations")))
+
+
 def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: units, form, lengths, and digests of the output and of the text rebuilt from it."""
     out = fim.transform(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -113,7 +118,7 @@ def op13_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_decontaminate, op2_langid, op3_linededup, op4_quality, op5_htmltext, op6_minhash, op7_chatformat, op8_mixing, op9_embeddup, op10_urlfilter,
-    op12_fim, op13_substrings,
+    op11_chatrepair, op12_fim, op13_substrings,
 )}
 
 _LINE_SQL = f"""
@@ -201,6 +206,43 @@ SELECT e.vec_id, coalesce(n.n_links, 0)::BIGINT AS n_links, c.component_id, e.ve
 FROM embeddings e JOIN comp c ON c.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id
 """
 
+_REPAIR_SQL = r"""
+WITH RECURSIVE crc(i, c) AS (SELECT range, list_reduce([range] || range(8), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(3988292384, x // 2) ELSE x // 2 END) FROM range(256)),
+crcs AS (SELECT list(c ORDER BY i) AS t FROM crc),
+raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS s FROM conversations),
+drawn AS (SELECT r.*, xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(string_split(s, ''), lambda x: ascii(x)::BIGINT),
+    lambda c, b: xor(t[(xor(c, b) % 256) + 1], c // 256))) % 20 AS k FROM raw r, crcs),
+hit AS (SELECT conv_id, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM drawn, range(0, CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END) WHERE k <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM hit),
+judged AS (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS dup,
+    NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS open, lag(role) OVER (PARTITION BY conv_id ORDER BY i) AS prev FROM placed),
+rows_ AS (SELECT *, blank OR dup AS must, open AND NOT blank AND NOT dup AS trunc, left(role, 1) AS ini FROM judged),
+facts AS (SELECT conv_id, CASE WHEN max(turn) IS NULL THEN 0 ELSE max(turn) - min(turn) + 1 - count(DISTINCT turn) END AS gaps, count(*) FILTER (WHERE blank) AS blank,
+    count(*) FILTER (WHERE dup AND NOT blank) AS duplicate, count(*) FILTER (WHERE trunc) AS truncated,
+    count(*) FILTER (WHERE prev IS NOT NULL AND left(prev, 1) || ini NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM rows_ GROUP BY conv_id),
+step(conv_id, i, z, s, u, a) AS (
+  SELECT conv_id, 0::BIGINT, {'c': 0, 'l': ''}, {'c': 1000000, 'l': ''}, {'c': 1000000, 'l': ''}, {'c': 1000000, 'l': ''} FROM facts
+  UNION ALL
+  SELECT conv_id, i, {'c': z.c + 4, 'l': z.l || 'D'},
+    list_min([{'c': s.c + 4, 'l': s.l || 'D'}, CASE WHEN NOT must AND ini = 's' THEN {'c': z.c + t, 'l': z.l || 'K'} END]),
+    list_min([{'c': u.c + 4, 'l': u.l || 'D'}] || CASE WHEN must THEN [] ELSE [{'c': x.c + CASE ini WHEN 'u' THEN t ELSE t + 3 END, 'l': x.l || CASE ini WHEN 'u' THEN 'K' ELSE 'R' END} for x in [z, s, a]] END),
+    list_min([{'c': a.c + 4, 'l': a.l || 'D'}, CASE WHEN NOT must THEN {'c': u.c + CASE ini WHEN 'a' THEN t ELSE t + 3 END, 'l': u.l || CASE ini WHEN 'a' THEN 'K' ELSE 'R' END} END])
+  FROM (SELECT p.conv_id, r.i, z, s, must, ini, CASE WHEN trunc THEN 3 ELSE 0 END AS t,
+      list_min([u] || [{'c': x.c + 3, 'l': x.l || 'I'} for x in [z, s, a]]) AS u, list_min([a, {'c': u.c + 3, 'l': u.l || 'I'}] || [{'c': x.c + 6, 'l': x.l || 'II'} for x in [z, s]]) AS a
+    FROM step p JOIN rows_ r ON p.conv_id IS NOT DISTINCT FROM r.conv_id AND r.i = p.i + 1)),
+best AS (SELECT f.conv_id, list_min([z, a, {'c': u.c + 3, 'l': u.l || 'I'}] || [{'c': x.c + 6, 'l': x.l || 'II'} for x in [z, s]]) AS b FROM facts f JOIN step p ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND p.i = f.n),
+letters AS (SELECT conv_id, j, b.l[j] AS l FROM (SELECT conv_id, b, unnest(range(1, length(b.l) + 1)) AS j FROM best)),
+edits AS (SELECT *, count(*) FILTER (WHERE l <> 'I') OVER w AS i, count(*) FILTER (WHERE l <> 'D') OVER w AS k FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY j)),
+outs AS (SELECT e.*, r.role, r.text, max(CASE WHEN e.k = 1 AND l = 'K' AND ini = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY e.conv_id) AS sys
+    FROM edits e LEFT JOIN rows_ r ON e.conv_id IS NOT DISTINCT FROM r.conv_id AND e.i = r.i AND l <> 'I' WHERE l <> 'D'),
+mended AS (SELECT conv_id, string_agg(CASE WHEN l = 'K' THEN role WHEN (k - sys) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY j) AS said FROM outs GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(b.c, 0)::BIGINT AS cost, coalesce(b.l, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN facts f ON o.conv_id IS NOT DISTINCT FROM f.conv_id
+  LEFT JOIN best b ON o.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN mended m ON o.conv_id IS NOT DISTINCT FROM m.conv_id
+"""
+
 _FIM_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || doc_id::VARCHAR) AS h,
                   regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents),
@@ -229,5 +271,5 @@ FROM d LEFT JOIN kept USING (rid)
 
 ORACLE_SQL: dict[str, str] = {
     "op3_linededup": _LINE_SQL, "op7_chatformat": _CHAT_SQL, "op8_mixing": _MIX_SQL, "op9_embeddup": _LINK_SQL,
-    "op12_fim": _FIM_SQL, "op13_substrings": _SUBSTRING_SQL,
+    "op11_chatrepair": _REPAIR_SQL, "op12_fim": _FIM_SQL, "op13_substrings": _SUBSTRING_SQL,
 }
