@@ -18,9 +18,9 @@ from palimpsest.llm.shared import bound_batches, materialize, mix64
 
 WIDTH = 13
 #: Least bytes of text of one chunk of documents, and least window hashes that one bucket holds, about; see ``sizes``.
-CHUNK_BYTES, BUCKET_HASHES = 12 << 20, 512 << 10
+CHUNK_BYTES, BUCKET_HASHES = 6 << 20, 512 << 10
 #: Bytes that are hashed at once.
-SLICE = 1 << 20
+SLICE = 1 << 18
 #: Odd, so they have inverses modulo 2^64: bytes of a word, words of a window, words of a window for its bucket. Fixed values.
 BASES = (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _SPACE = np.zeros(256, bool)
@@ -42,6 +42,17 @@ class _Powers:
 
 
 _POWERS = [_Powers(b) for b in BASES]
+#: Windows that are hashed at once.
+STRETCH = 1 << 16
+
+
+def windows(word: np.ndarray, width: int, powers: _Powers) -> np.ndarray:
+    """Hashes of all windows of ``width`` words, stretch by stretch: running sums and powers stay short."""
+    out = np.empty(max(word.size - width + 1, 0), np.uint64)
+    for i in range(0, out.size, STRETCH):
+        at = np.arange(min(STRETCH, out.size - i))
+        out[i : i + at.size] = runs(word[i : i + at.size + width - 1], at, at + width, powers)
+    return out
 
 
 def runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: _Powers) -> np.ndarray:
@@ -74,9 +85,9 @@ def words(raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         after = np.concatenate([word[1:], [False]]) & ~cut[1:]
         starts, ends = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
         hashes.append(runs(_BYTE[part], starts, ends, _POWERS[0]))
-        owner.append(np.searchsorted(edges, starts + at, "right") - 1)
+        owner.append((np.searchsorted(edges, starts + at, "right") - 1).astype(np.int32))
         at = stop
-    return (np.concatenate(hashes), np.concatenate(owner)) if hashes else (np.empty(0, np.uint64), np.empty(0, np.int64))
+    return (np.concatenate(hashes), np.concatenate(owner)) if hashes else (np.empty(0, np.uint64), np.empty(0, np.int32))
 
 
 class Windows:
@@ -88,30 +99,31 @@ class Windows:
     def __init__(self, table: pa.Table, text: int, buckets: int, width: int = WIDTH) -> None:
         known = table["id"].is_valid().to_numpy()
         ids = pc.fill_null(table["id"], 0).to_numpy()
-        hashes, owners, self.texts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], []
+        hashes, owners, self.texts = [np.empty(0, np.uint64)], [np.empty(0, np.int32)], []
         for batch in table["row"].chunks:  # batch by batch: what is worked out from bytes stays small
             column = pc.fill_null(batch.field(text), "").cast(pa.large_string())
             offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
             raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
             h, owner = words(raw, offsets - offsets[0])
             hashes.append(h)
-            owners.append(owner + len(self.texts))
-            self.texts += column.cast(pa.large_binary()).to_pylist()
+            owners.append(owner + np.int32(sum(map(len, self.texts))))
+            self.texts.append(column)
         word, self.owner, self.width = np.concatenate(hashes), np.concatenate(owners), width
-        at = np.arange(max(word.size - width + 1, 0))
-        at = at[(self.owner[at] == self.owner[at + width - 1]) & known[self.owner[at]]]
-        self.at, self.hash = at, runs(word, at, at + width, _POWERS[1])
-        bucket = ((runs(word, at, at + width, _POWERS[2]) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
-        own = ids[self.owner[at]]
-        by_id = np.argsort(own, kind="stable")
+        n = max(word.size - width + 1, 0)
+        self.at = np.flatnonzero((self.owner[:n] == self.owner[word.size - n :]) & known[self.owner[:n]]).astype(np.int32)
+        self.hash = windows(word, width, _POWERS[1])[self.at]
+        bucket = ((windows(word, width, _POWERS[2])[self.at] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+        own = ids[self.owner[self.at]]
+        by_id = np.argsort(own, kind="stable").astype(np.int32)
         self.order = by_id[np.argsort(self.hash[by_id], kind="stable")]
         h, b = self.hash[self.order], bucket[self.order]
         new = np.ones(self.order.size, bool)
         new[1:] = (h[1:] != h[:-1]) | (b[1:] != b[:-1])
-        self.kind = np.cumsum(new) - 1
+        del h, b, by_id, word
+        self.kind = np.cumsum(new, dtype=np.int32) - np.int32(1)
         first = self.order[new]  # of each kind of window, one in the least id
         self.later = own[self.order] > own[first][self.kind]
-        self.asked = np.lexsort((own[first], bucket[first]))  # kinds as they ask: by bucket, then id
+        self.asked = np.lexsort((own[first], bucket[first])).astype(np.int32)  # kinds as they ask: by bucket, then id
         self.asks = first[self.asked]
         self.ids, self.buckets = own[self.asks], bucket[self.asks]
 
@@ -122,7 +134,8 @@ class Windows:
         heads = np.flatnonzero(new)
         counts = np.diff(heads, append=self.asks.size).astype(np.int32)
         found, at = np.unique(self.buckets, return_index=True)
-        for b, i, j in zip(found, at, np.append(at[1:], self.asks.size), strict=True):
+        at = np.append(at, self.asks.size)
+        for b, i, j in zip(found, at[:-1], at[1:], strict=True):
             x, y = np.searchsorted(heads, [i, j])
             yield int(b), self.hash[self.asks[i:j]].tobytes(), int(y - x), _packed(np.diff(self.ids[heads[x:y]], prepend=0)), _packed(counts[x:y])
 
@@ -130,7 +143,8 @@ class Windows:
         """Of each word of the chunk, whether a window covers it that starts in a document with a smaller id, too."""
         yes = np.zeros(self.asks.size, bool)
         found, at = np.unique(self.buckets, return_index=True)
-        for b, i, j in zip(found, at, np.append(at[1:], self.asks.size), strict=True):
+        at = np.append(at, self.asks.size)
+        for b, i, j in zip(found, at[:-1], at[1:], strict=True):
             yes[self.asked[i:j]] = np.unpackbits(np.frombuffer(answers[int(b)], np.uint8), count=j - i).astype(bool)
         gone = self.at[self.order[yes[self.kind] | self.later]]
         n = self.owner.size
@@ -138,7 +152,7 @@ class Windows:
 
     def results(self, covered: np.ndarray) -> pa.StructArray:
         """n_words, n_removed, spans and text of each document of the chunk; the text of one without is empty."""
-        n = len(self.texts)
+        n = sum(map(len, self.texts))
         ends = np.searchsorted(self.owner, np.arange(n), "right")
         starts = np.append(0, ends[:-1]) if n else ends
         head = covered & ~(np.append(False, covered[:-1]) & (self.owner == np.append(-1, self.owner[:-1])))
@@ -149,7 +163,7 @@ class Windows:
         offsets = np.append(0, np.searchsorted(self.owner[at], np.arange(n), "right"))
         running = np.append(0, np.cumsum(covered))
         removed = running[ends] - running[starts]
-        texts = [b" ".join(compress(t.split(), ~covered[a:b]) if r else t.split()) for t, a, b, r in zip(self.texts, starts, ends, removed, strict=True)]
+        texts = [b" ".join(compress(t.split(), ~covered[a:b]) if r else t.split()) for t, a, b, r in zip((t.as_buffer().to_pybytes() for column in self.texts for t in column), starts, ends, removed, strict=True)]
         return pa.StructArray.from_arrays(
             [pa.array(ends - starts, pa.int64()), pa.array(removed, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spans), pa.array(texts, pa.binary()).cast(pa.string())],
             ["n_words", "n_removed", "spans", "text"],
