@@ -1,72 +1,22 @@
 """Search and ranking: lexical and dense halves, reciprocal rank fusion, demotion, selection and relaxation.
 
-The lexical score is BM25 over word stems, texts being measured in characters. Stems and the weight of words that most
-texts hold come from rules and counts, not from lists. Dense search is exact.
+The lexical half is cover density over a positional index of stems (``lexicon``). Dense search is exact.
 """
 
 from __future__ import annotations
 
-import re
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.operators.filters import Access, Filters, apply
+from palimpsest.operators.lexicon import Lexicon, best
 from palimpsest.schema import ANSWER_TOP, COUNT_CHECK, HISTORY_DEMOTION, HISTORY_STATES, LIST_MAX, POOL, RERANK_MIN, RRF_K, SOFT_EXTRAS
-from palimpsest.sources.storage import materialize
-
-
-#: Saturation and length of BM25, and the endings that a stem leaves off, longest first.
-K1, B = 1.2, 0.75
-ENDINGS = ("ing", "ed", "es", "s")
-
-
-def stem(word: str) -> str:
-    """A word without its ending, if three letters stay."""
-    return next((word[: -len(e)] for e in ENDINGS if word.endswith(e) and len(word) >= len(e) + 3), word)
-
-
-def question_stems(question: str) -> list[str]:
-    """Distinct stems of a question's words, in order."""
-    return list(dict.fromkeys(map(stem, re.findall(r"[a-z0-9]+", question.lower()))))
 
 
-def stem_pattern(stems: list[str]) -> str:
-    """A pattern that finds words of these stems, with any ending, in lower-case text; group 1 is the stem. Words are ASCII."""
-    return r"(?<![a-z0-9_])(" + "|".join(sorted(stems, key=len, reverse=True)) + ")(?:" + "|".join(ENDINGS) + r")?(?![a-z0-9_])"
-
-
-def lexical_scores(rows: DataFrame, question: str, text: str = "text") -> DataFrame:
-    """``rows`` without their text, with ``score`` by BM25, those that hold no stem of the question left out.
-
-    A stem that more than half of the texts hold doesn't count, unless all that occur are such. Whole texts are read
-    once: what is kept of them for the counts and the scores is their length and the counts of the question's stems.
-    """
-    stems = question_stems(question)
-    columns = [c for c in rows.columns if c != text]
-    if not stems:
-        return rows.select(*columns, F.lit(0.0).alias("score")).limit(0)
-    found = rows.withColumn("__found", F.regexp_extract_all(F.lower(text), F.lit(stem_pattern(stems)), 1)).where(F.col(text).isNotNull())
-    times = lambda x: F.size(F.filter("__found", lambda w: w == F.lit(x)))
-    tf = F.array(*map(times, stems))
-    counted = materialize(found.select(*columns, F.length(text).alias("__chars"), tf.alias("__tf")))
-    stats = counted.agg(F.count("*").alias("__n"), F.avg("__chars").alias("__mean"), *[F.count_if(F.col("__tf")[i] > 0).alias(f"__df{i}") for i in range(len(stems))])
-    some = lambda i: (F.col(f"__df{i}") > 0) & (F.col(f"__df{i}") * 2 <= F.col("__n"))
-    rare = reduce(lambda x, y: x | y, map(some, range(len(stems))))
-    idf = [F.when(F.col("__rare") & ~some(i), 0.0).otherwise(F.log(1 + (F.col("__n") - F.col(f"__df{i}") + 0.5) / (F.col(f"__df{i}") + 0.5))) for i in range(len(stems))]
-    stats = stats.withColumn("__rare", rare).select("__mean", F.array(*idf).alias("__idf"))
-    norm = K1 * (1 - B + B * F.col("__chars") / F.col("__mean"))
-    parts = [F.col("__idf")[i] * F.col("__tf")[i] * (K1 + 1) / (F.col("__tf")[i] + norm) for i in range(len(stems))]
-    scored = counted.crossJoin(F.broadcast(stats)).withColumn("score", F.round(reduce(lambda x, y: x + y, parts), 6))
-    return scored.select(*columns, "score").where("score > 0")
-
-
-def lexical(keys: DataFrame, question: str, pool: int = POOL) -> DataFrame:
-    """(key_id, item_id, key_kind, score) of the best ``pool`` keys that hold a word of the question."""
-    rows = lexical_scores(keys.select("key_id", "item_id", "key_kind", "text"), question)
-    return rows.orderBy(F.col("score").desc(), "item_id", "key_id").limit(pool)
+def lexical(scores: DataFrame, pool: int = POOL) -> DataFrame:
+    """The best ``pool`` of scored keys (key_id, item_id, key_kind, score)."""
+    return best(scores, ["item_id", "key_id"], pool)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -106,10 +56,11 @@ def rrf_pair(lex: DataFrame, den: DataFrame, limit: int = 50, k: int = RRF_K) ->
     return both.select("item_id", F.round(part("l") + part("d"), 9).alias("rrf"), key.alias("key_id")).orderBy(F.col("rrf").desc(), "item_id").limit(limit)
 
 
-def search(keys: DataFrame, items: DataFrame, question: str, vector: list[float], filters: Filters, access: Access, limit: int = 50) -> DataFrame:
-    """Hybrid search over the keys of eligible items; filters come before the pools are cut."""
-    eligible = keys.join(apply(items, filters, access).select("item_id"), "item_id", "left_semi")
-    return rrf_pair(collapse(lexical(eligible, question)), collapse(dense(eligible, vector)), limit)
+def search(keys: DataFrame, index: Lexicon, items: DataFrame, question: str, vector: list[float], filters: Filters, access: Access, limit: int = 50) -> DataFrame:
+    """Hybrid search over the keys of eligible items and the index of their texts; filters come before the pools are cut."""
+    eligible = apply(items, filters, access).select("item_id")
+    words, vectors = (x.join(eligible, "item_id", "left_semi") for x in (index.scores(question), keys))
+    return rrf_pair(collapse(lexical(words)), collapse(dense(vectors, vector)), limit)
 
 
 def fuse(hits: DataFrame, items: DataFrame, shape: str, k: int = RRF_K, demotion: float = HISTORY_DEMOTION) -> DataFrame:
@@ -161,14 +112,16 @@ def relax(items: DataFrame, filters: Filters, access: Access, item_entities: Dat
     return out.join(F.broadcast(out.agg(F.min("step").alias("step"))), "step").select("item_id", "step")
 
 
-def conversation(said: DataFrame, question: str, vector: list[float], role: str | None = None, exclude: int | None = None, limit: int = 10, k: int = RRF_K) -> DataFrame:
+def conversation(said: DataFrame, index: Lexicon, question: str, vector: list[float], role: str | None = None, exclude: int | None = None, limit: int = 10, k: int = RRF_K) -> DataFrame:
     """(turn_id, role, seq, rrf): the best snippet of each (turn, role) of what was said, by both halves of search, best first."""
-    rows = said.where(F.col("role") == role) if role else said
-    rows = rows if exclude is None else rows.where(F.col("turn_id") != exclude)
+    def asked(rows: DataFrame) -> DataFrame:
+        rows = rows.where(F.col("role") == role) if role else rows
+        return rows if exclude is None else rows.where(F.col("turn_id") != exclude)
+
     order = [F.col("score").desc(), "turn_id", "seq", "role"]
     place = lambda df, name: df.orderBy(*order).limit(POOL).select("turn_id", "role", "seq", F.row_number().over(W.orderBy(*order)).alias(name))
-    lex = place(lexical_scores(rows.select("turn_id", "role", "seq", "text"), question), "l")
-    den = place(rows.where("embedding is not null").select("turn_id", "role", "seq", F.round(cosine_to(F.col("embedding"), vector), 6).alias("score")), "d")
+    lex = place(asked(index.scores(question)), "l")
+    den = place(asked(said).where("embedding is not null").select("turn_id", "role", "seq", F.round(cosine_to(F.col("embedding"), vector), 6).alias("score")), "d")
     part = lambda r: F.coalesce(F.lit(1.0) / (F.lit(k) + F.col(r)), F.lit(0.0))
     both = lex.join(den, ["turn_id", "role", "seq"], "full").withColumn("rrf", F.round(part("l") + part("d"), 9))
     best = both.groupBy("turn_id", "role").agg(F.max(F.struct("rrf", (-F.col("seq")).alias("m"))).alias("b"))

@@ -19,7 +19,7 @@ from palimpsest.operators import tools as tl
 from palimpsest.operators.filters import Access, Filters
 from palimpsest.queries.reads import _DISTANCE, ALL, SCOPE
 from palimpsest.queries.registry import Tables, query
-from palimpsest.queries.rest import _LEX, _SCORED, _VEC, QUESTION, VECTOR, _scored
+from palimpsest.queries.rest import _LEX, _SCORED, _VEC, VECTOR, _scored, lexical
 from palimpsest.queries.words import known
 from palimpsest.sources import storage as st
 from palimpsest.streaming import jobs
@@ -287,7 +287,7 @@ def c_conv_backfill(t: Tables) -> DataFrame:
 
 @query(f"WITH h AS ({_LEX}), b AS (SELECT item_id, max(score) AS s FROM h GROUP BY 1 ORDER BY s DESC, item_id LIMIT 50) SELECT i.item_id, i.category AS before, 'health' AS after FROM items i JOIN b ON b.item_id = i.item_id WHERE i.category <> 'health'")
 def c_correction_bulk(t: Tables) -> DataFrame:
-    return ky.refile(rk.lexical(t["keys"], QUESTION), t["items"], "health")
+    return ky.refile(lexical(t), t["items"], "health")
 
 
 @query("WITH hits AS (SELECT i.item_id AS message_id, t.trigger_id, t.item_id FROM items i JOIN triggers t ON t.entity_id = i.subject_entity_id WHERE t.state = 'pending' AND t.kind = 'person') "
@@ -369,7 +369,7 @@ def q_expand_booked(t: Tables) -> DataFrame:
 @query()
 def q_history_seed(t: Tables) -> DataFrame:
     """History of a question that names no predicate: the three best lexical items seed the chain."""
-    seeds = rk.collapse(rk.lexical(t["keys"], QUESTION)).where("rank <= 3").select("item_id")
+    seeds = rk.collapse(lexical(t)).where("rank <= 3").select("item_id")
     return tl.history(seeds, t["links"], t["items"], Access(sensitive=True)).select("what", "item_id")
 
 
@@ -381,10 +381,10 @@ def r_tsquery(t: Tables) -> DataFrame:
     return rows.withColumn("q", F.array_join(F.array_distinct(tx.words(F.col("raw"))), "|"))
 
 
-@query(f"SELECT key_id, CASE WHEN key_kind = 'chunk' THEN left(text, 240) END AS snippet FROM keys WHERE key_id IN (SELECT key_id FROM ({_LEX}))")
+@query(f"SELECT key_id, CASE WHEN key_kind = 'chunk' THEN text END AS snippet FROM keys WHERE key_id IN (SELECT key_id FROM ({_LEX}))")
 def r_snippet(t: Tables) -> DataFrame:
-    hits = rk.lexical(t["keys"], QUESTION).select("key_id")
-    return t["keys"].join(F.broadcast(hits), "key_id", "left_semi").select("key_id", F.when(F.col("key_kind") == "chunk", F.substring("text", 1, 240)).alias("snippet"))
+    hits = lexical(t).select("key_id")
+    return t["keys"].join(hits, "key_id", "left_semi").select("key_id", F.when(F.col("key_kind") == "chunk", F.col("text")).alias("snippet"))
 
 
 @query(f"WITH s AS ({_SCORED}) SELECT question_id, item_id, CASE WHEN soft AND NOT demoted AND score < 0.4 THEN 0.4 ELSE least(1, greatest(0, score)) END::DOUBLE AS score FROM s")
@@ -405,7 +405,7 @@ def r_closest(t: Tables) -> DataFrame:
 @query(f"WITH h AS ({_LEX}), b AS (SELECT item_id, max(score) AS s FROM h GROUP BY 1), e AS (SELECT i.item_id, i.occurred_start, i.rrule, b.s FROM items i JOIN b ON b.item_id = i.item_id WHERE {SCOPE} AND i.kind IN ('plan', 'episode') ORDER BY s DESC, i.item_id LIMIT 5) "
        "SELECT item_id FROM e WHERE occurred_start IS NOT NULL AND rrule IS NULL ORDER BY s DESC, item_id LIMIT 1")
 def r_anchor(t: Tables) -> DataFrame:
-    best = rk.lexical(t["keys"], QUESTION).groupBy("item_id").agg(F.max("score").alias("s"))
+    best = lexical(t).groupBy("item_id").agg(F.max("score").alias("s"))
     dated = fl.apply(t["items"], Filters(kinds=("plan", "episode")), ALL).join(F.broadcast(best), "item_id").orderBy(F.col("s").desc(), "item_id").limit(5)
     return dated.where("occurred_start IS NOT NULL AND rrule IS NULL").orderBy(F.col("s").desc(), "item_id").limit(1).select("item_id")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -11,35 +12,41 @@ from pyspark.sql import functions as F
 from palimpsest.functions import text as tx
 from palimpsest.functions import times as tm
 from palimpsest.operators import filters as fl
+from palimpsest.operators import lexicon as lx
 from palimpsest.operators import metrics as me
 from palimpsest.operators import ranking as rk
 from palimpsest.operators import writes as wr
 from palimpsest.operators.filters import Access, Filters
+from palimpsest.queries import stem_sql as ss
 from palimpsest.queries.reads import ALL, SCOPE
 from palimpsest.queries.registry import Tables, query
+from palimpsest.sources.storage import shared_dir
 from palimpsest.streaming import jobs
 
-QUESTION = "What is the thing that they said on the day"
+QUESTION = "What is the thing that they reread on the day of the rations"
+NEAR = "things with er by the thor"
 VECTOR = [((i * 37) % 19 - 9) / 10 for i in range(64)]
 
 
-def lexical_sql(source: str, columns: str, text: str = "k.text") -> str:
-    """BM25 over the rows of ``source`` (alias k): the columns and ``score``, those above 0."""
-    stems = rk.question_stems(QUESTION)
-    pattern = rk.stem_pattern(stems).replace("(?<![a-z0-9_])", r"\b").replace("(?![a-z0-9_])", r"\b")  # the same in DuckDB, whose words are ASCII
-    tf = ", ".join(f"len(list_filter(w, lambda x: x = '{x}')) AS tf{i}" for i, x in enumerate(stems))
-    df = ", ".join(f"count(*) FILTER (WHERE tf{i} > 0) OVER () AS df{i}" for i in range(len(stems)))
-    some = [f"(df{i} > 0 AND df{i} * 2 <= n)" for i in range(len(stems))]
-    idf = [f"CASE WHEN ({' OR '.join(some)}) AND NOT {some[i]} THEN 0.0::DOUBLE ELSE ln(1 + (n - df{i} + 0.5::DOUBLE) / (df{i} + 0.5::DOUBLE)) END" for i in range(len(stems))]
-    norm = f"{rk.K1}::DOUBLE * ({1 - rk.B}::DOUBLE + {rk.B}::DOUBLE * chars / mean)"
-    total = " + ".join(f"{idf[i]} * tf{i} * {rk.K1 + 1}::DOUBLE / (tf{i} + {norm})" for i in range(len(stems)))
-    names = columns.replace("k.", "")
-    return (f"SELECT {names}, score FROM (SELECT {names}, round({total}, 6) AS score FROM (SELECT *, count(*) OVER () AS n, avg(chars) OVER () AS mean, {df} FROM (SELECT {names}, chars, {tf} FROM "
-            f"(SELECT {columns}, length({text}) AS chars, regexp_extract_all(lower({text}), '{pattern}', 1) AS w FROM {source} WHERE {text} IS NOT NULL)))) WHERE score > 0")
+#: Folders of the indexes of this session, by table.
+_INDEXES: dict[tuple[str, str, str], lx.Lexicon] = {}
+_KEYS = {"keys": ["key_id"], "said": ["turn_id", "role", "seq"]}
+
+
+def index_of(t: Tables, name: str) -> lx.Lexicon:
+    """The stem index of the texts of a table, written once a session."""
+    at = (t.spark.sparkContext.applicationId, t.sf_dir, name)
+    if at not in _INDEXES:
+        _INDEXES[at] = lx.Lexicon.create(t[name].drop("embedding"), f"{shared_dir(t.spark)}/palimpsest/{uuid.uuid4().hex}", _KEYS[name])
+    return _INDEXES[at]
+
+
+def lexical(t: Tables) -> DataFrame:
+    return rk.lexical(index_of(t, "keys").scores(QUESTION))
 
 
 def _lex(source: str) -> str:
-    return lexical_sql(source, "k.key_id, k.item_id, k.key_kind") + " ORDER BY score DESC, item_id, key_id LIMIT 200"
+    return ss.scores(source, "k.key_id, k.item_id, k.key_kind", QUESTION) + " ORDER BY score DESC, item_id, key_id LIMIT 200"
 
 
 _LEX = _lex("keys k")
@@ -50,7 +57,38 @@ _DENSE = (f"SELECT key_id, item_id, key_kind, round(list_cosine_similarity(list_
 
 @query(_LEX)
 def r_lexical(t: Tables) -> DataFrame:
-    return rk.lexical(t["keys"], QUESTION)
+    return lexical(t)
+
+
+@query(ss.scores("keys k", "k.key_id, k.item_id, k.key_kind", QUESTION))
+def r_lexical_all(t: Tables) -> DataFrame:
+    """Every key that the question meets, no pool cut."""
+    return index_of(t, "keys").scores(QUESTION)
+
+
+@query(ss.near("keys k", "k.key_id, k.item_id, k.key_kind", NEAR))
+def r_lexical_near(t: Tables) -> DataFrame:
+    """Every key that holds all words of a question, ranked by how close together they stand."""
+    return index_of(t, "keys").scores(NEAR, every=True)
+
+
+_POOLS = ("WITH q AS (SELECT item_id AS question_id, regexp_extract_all(lower(text), '[\\pL\\pN]+') AS l FROM benchmark), qw AS (SELECT DISTINCT question_id, unnest(l) AS w FROM q), "
+          "kw AS (SELECT key_id, item_id, key_kind, unnest(regexp_extract_all(lower(text), '[\\pL\\pN]+')) AS w FROM keys), kc AS (SELECT key_id, item_id, key_kind, w, count(*) AS n FROM kw GROUP BY ALL), "
+          f"s AS ({ss.stems('SELECT w FROM kc UNION SELECT w FROM qw')}), qs AS (SELECT DISTINCT question_id, stem FROM qw JOIN s ON s.word = qw.w), ks AS (SELECT key_id, item_id, key_kind, stem, sum(n) AS n FROM kc JOIN s ON s.word = kc.w GROUP BY ALL), "
+          "m AS (SELECT question_id, key_id, item_id, key_kind, round(sum(n) / (sum(n) + 10.0::DOUBLE), 6) AS score FROM qs JOIN ks USING (stem) GROUP BY ALL) "
+          "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, key_id) AS place FROM m) WHERE place <= 200")
+
+
+@query(_POOLS)
+def r_lexical_many(t: Tables) -> DataFrame:
+    """The pools of many questions at once: every benchmark text asks."""
+    return lx.scores_of_all(index_of(t, "keys"), t["benchmark"].select(F.col("item_id").alias("question_id"), "text"))
+
+
+@query(f"SELECT word, stem FROM ({ss.stems("SELECT unnest(regexp_extract_all(lower(text), '[\\pL\\pN]+')) AS w FROM documents")})")
+def x_stem(t: Tables) -> DataFrame:
+    """The stem of every word of the documents."""
+    return lx.vocabulary(t["documents"])
 
 
 @query(_DENSE)
@@ -69,12 +107,12 @@ _RRF = ("SELECT coalesce(a.item_id, b.item_id) AS item_id, round(coalesce(1.0 /
 
 @query(f"WITH {_side('lx', _LEX)} SELECT item_id, key_id, rank FROM lx")
 def r_collapse(t: Tables) -> DataFrame:
-    return rk.collapse(rk.lexical(t["keys"], QUESTION)).select("item_id", "key_id", F.col("rank").cast("bigint").alias("rank"))
+    return rk.collapse(lexical(t)).select("item_id", "key_id", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(f"WITH {_side('lx', _LEX)}, {_side('dn', _DENSE)} {_RRF}")
 def j_full_rrf(t: Tables) -> DataFrame:
-    return rk.rrf_pair(rk.collapse(rk.lexical(t["keys"], QUESTION)), rk.collapse(rk.dense(t["keys"], VECTOR)))
+    return rk.rrf_pair(rk.collapse(lexical(t)), rk.collapse(rk.dense(t["keys"], VECTOR)))
 
 
 _ELIGIBLE = f"(SELECT * FROM keys WHERE item_id IN (SELECT i.item_id FROM items i WHERE {SCOPE} AND i.kind IN ('task', 'plan', 'resource')))"
@@ -82,19 +120,19 @@ _ELIGIBLE = f"(SELECT * FROM keys WHERE item_id IN (SELECT i.item_id FROM items
 
 @query(f"WITH {_side('lx', _lex(_ELIGIBLE + ' k'))}, {_side('dn', _DENSE.replace('FROM keys', 'FROM ' + _ELIGIBLE))} {_RRF}")
 def t_search(t: Tables) -> DataFrame:
-    return rk.search(t["keys"], t["items"], QUESTION, VECTOR, Filters(kinds=("task", "plan", "resource")), ALL)
+    return rk.search(t["keys"], index_of(t, "keys"), t["items"], QUESTION, VECTOR, Filters(kinds=("task", "plan", "resource")), ALL)
 
 
 _ORDER = "score DESC, turn_id, seq, role"
 
 
-@query("WITH lx AS (SELECT turn_id, role, seq, row_number() OVER (ORDER BY " + _ORDER + ") AS l FROM (" + lexical_sql("(SELECT * FROM said WHERE turn_id <> 3) k", "k.turn_id, k.role, k.seq") + f" ORDER BY {_ORDER} LIMIT 200)), "
+@query("WITH lx AS (SELECT turn_id, role, seq, row_number() OVER (ORDER BY " + _ORDER + ") AS l FROM (" + ss.scores("(SELECT * FROM said WHERE turn_id <> 3) k", "k.turn_id, k.role, k.seq", QUESTION) + f" ORDER BY {_ORDER} LIMIT 200)), "
        f"dn AS (SELECT turn_id, role, seq, row_number() OVER (ORDER BY {_ORDER}) AS d FROM (SELECT turn_id, role, seq, round(list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), {_VEC}), 6) AS score FROM said WHERE turn_id <> 3 AND embedding IS NOT NULL ORDER BY {_ORDER} LIMIT 200)), "
        "b AS (SELECT coalesce(lx.turn_id, dn.turn_id) AS turn_id, coalesce(lx.role, dn.role) AS role, coalesce(lx.seq, dn.seq) AS seq, round(coalesce(1.0::DOUBLE / (60 + l), 0) + coalesce(1.0::DOUBLE / (60 + d), 0), 9) AS rrf "
        "FROM lx FULL JOIN dn ON lx.turn_id = dn.turn_id AND lx.role = dn.role AND lx.seq = dn.seq), "
        "f AS (SELECT *, row_number() OVER (PARTITION BY turn_id, role ORDER BY rrf DESC, seq) AS n FROM b) SELECT turn_id, role, seq, rrf FROM f WHERE n = 1 ORDER BY rrf DESC, turn_id DESC, role LIMIT 10")
 def t_conversation(t: Tables) -> DataFrame:
-    return rk.conversation(t["said"], QUESTION, VECTOR, exclude=3)
+    return rk.conversation(t["said"], index_of(t, "said"), QUESTION, VECTOR, exclude=3)
 
 
 _CHANNELS = "(SELECT 'lookup' AS channel, item_id, item_id % 50 + 1 AS rank FROM items UNION ALL SELECT 'search', item_id, item_id % 30 + 1 FROM items WHERE item_id % 3 = 0)"

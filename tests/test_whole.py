@@ -1,46 +1,20 @@
-import math
-import re
-
 import pandas as pd
 from pyspark.sql import functions as F
 
 from palimpsest.operators import filters as fl
-from palimpsest.operators import ranking as rk
 from palimpsest.queries.all_queries import QUERIES
-from palimpsest.queries.rest import QUESTION
 from palimpsest.sources.derived import load
 
 SF = "/root/testdata/sf0.001"
 
 
-def words(text):
-    return re.findall("[a-z0-9]+", text.lower())
-
-
-def bm25(texts, question):
-    """Scores by the textbook, over stems, lengths in characters; stems of more than half of the texts count only if there are no others."""
-    stems = list(dict.fromkeys(map(rk.stem, words(question))))
-    forms = {x: {x, *(x + e for e in rk.ENDINGS)} for x in stems}
-    tf = [{x: sum(w in forms[x] and not any(w in forms[y] and len(y) > len(x) for y in stems) for w in words(t)) for x in stems} for t in texts]
-    df = {x: sum(t[x] > 0 for t in tf) for x in stems}
-    rare = [x for x in stems if 0 < df[x] * 2 <= len(texts)] or [x for x in stems if df[x]]
-    mean = sum(map(len, texts)) / len(texts)
-    out = {}
-    for i, t in enumerate(tf):
-        norm = rk.K1 * (1 - rk.B + rk.B * len(texts[i]) / mean)
-        s = sum(math.log(1 + (len(texts) - df[x] + 0.5) / (df[x] + 0.5)) * t[x] * (rk.K1 + 1) / (t[x] + norm) for x in rare)
-        if s > 0:
-            out[i] = round(s, 6)
-    return out
-
-
 def test_a_question_word_after_2000_characters_is_found(spark, tmp_path):
-    texts = ["zebra " * 400 + "thing", "zebra " * 400 + "nothing", "thing zebra"]
+    texts = ["zebra " * 400 + "thing", "zebra " * 400 + "nothing", "things zebra, thing"]
     rows = [(i, t, "en", "a", len(t)) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(0, [1.0], 0)], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {r.key_id: r.score for r in QUERIES["r_lexical"](spark, str(tmp_path)).collect()}
-    assert got == bm25(texts, QUESTION) and set(got) == {0, 2}
+    assert got == {0: round(1 / 11, 6), 2: round(2 / 12, 6)}  # places over places and ten
     # equal prefixes are not equal texts, and the longest text of an item is told beyond the prefix
     assert QUERIES["r_embed_cache"](spark, str(tmp_path)).count() == 0
     assert {r.item_id: r.key_id for r in QUERIES["w_distinct_on"](spark, str(tmp_path)).collect()} == {0: 1, 1: 2}
