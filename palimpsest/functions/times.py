@@ -1,92 +1,20 @@
-"""Dates, times and recurrence as column expressions: local wall clock in, UTC instants out."""
+"""Dates and times as column expressions: local wall clock in, UTC instants out."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WEEKDAYS = ("MO", "TU", "WE", "TH", "FR", "SA", "SU")
+from palimpsest.functions.recurrence import WEEKDAYS
+
 _DAY_NAMES = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
 _MONTH_NAMES = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 #: Hours that parts of the day stand for. Fixed values.
 DAY_PARTS = {"morning": 9, "noon": 12, "afternoon": 15, "evening": 19, "night": 21, "midnight": 0}
 
 
-def _part(rule: Column, name: str) -> Column:
-    got = F.regexp_extract(rule, rf"(?:^|;){name}=([^;]+)", 1)
-    return F.when(got != "", got)
-
-
-def rrule_valid(rule: Column) -> Column:
-    """Whether a rule has a known frequency and only well-formed known parts."""
-    part = (r"(FREQ=(DAILY|WEEKLY|MONTHLY|YEARLY)|INTERVAL=[1-9]\d*|COUNT=[1-9]\d*|UNTIL=\d{8}(T\d{6}Z?)?"
-            r"|BYDAY=(MO|TU|WE|TH|FR|SA|SU)(,(MO|TU|WE|TH|FR|SA|SU))*|BYMONTHDAY=([1-9]|[12]\d|3[01])(,([1-9]|[12]\d|3[01]))*)")
-    return F.coalesce(rule.rlike(rf"^{part}(;{part})*$") & rule.rlike("(^|;)FREQ="), F.lit(False))
-
-
-def _weekday(d: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, WEEKDAYS)), F.weekday(d) + 1)
-
-
-def expand_rrules(items: DataFrame, start: datetime | None, end: datetime, timezone: str = "UTC", limit: int | None = None) -> DataFrame:
-    """``items`` once per occurrence that overlaps [start, end), with ``start`` and ``end`` of the occurrence.
-
-    Candidate days come from ``sequence`` in local time, from the first day on (or, without COUNT, from the window's
-    start), and keep the first day's wall clock, so an hour stays an hour across clock changes. An occurrence lasts as
-    long as its precision says. Items without rule or start give nothing.
-    """
-    from palimpsest.operators.tools import default_length
-
-    local = F.from_utc_timestamp("occurred_start", timezone)
-    df = items.where(rrule_valid(F.col("rrule")) & F.col("occurred_start").isNotNull())
-    df = df.withColumns({
-        "__day0": F.to_date(local), "__sec": F.unix_timestamp(local) - F.unix_timestamp(F.date_trunc("day", local)),
-        "__hours": default_length(F.col("precision")), "__freq": _part(F.col("rrule"), "FREQ"),
-        "__every": F.coalesce(_part(F.col("rrule"), "INTERVAL").cast("int"), F.lit(1)), "__count": _part(F.col("rrule"), "COUNT").cast("int"),
-        "__until": F.to_date(F.substring(_part(F.col("rrule"), "UNTIL"), 1, 8), "yyyyMMdd"), "__byday": _part(F.col("rrule"), "BYDAY"),
-        "__bymonthday": _part(F.col("rrule"), "BYMONTHDAY"),
-    })
-    last = F.to_date(F.from_utc_timestamp(F.lit(end), timezone))
-    last = F.least(last, F.coalesce("__until", last))
-    first = F.col("__day0")
-    if start is not None:
-        from_window = F.date_sub(F.to_date(F.from_utc_timestamp(F.lit(start), timezone)), (F.ceil(F.col("__hours") / 24) + 1).cast("int"))
-        first = F.when(F.col("__count").isNotNull(), first).otherwise(F.greatest(first, from_window))
-    df = df.withColumn("__d", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<date>"))))
-    d, day0, every = F.col("__d"), F.col("__day0"), F.col("__every")
-    by_day = F.col("__byday").isNull() | F.array_contains(F.split("__byday", ","), _weekday(d))
-    weeks = F.datediff(F.trunc(d, "week"), F.trunc(day0, "week")) / 7
-    months = (F.year(d) - F.year(day0)) * 12 + F.month(d) - F.month(day0)
-    month_day = F.when(F.col("__bymonthday").isNull(), F.when(F.col("__byday").isNull(), F.day(d) == F.day(day0)).otherwise(True)).otherwise(
-        F.array_contains(F.split("__bymonthday", ","), F.day(d).cast("string")))
-    fits = (
-        F.when(F.col("__freq") == "DAILY", (F.datediff(d, day0) % every == 0) & by_day)
-        .when(F.col("__freq") == "WEEKLY", (weeks % every == 0) & F.when(F.col("__byday").isNull(), F.weekday(d) == F.weekday(day0)).otherwise(by_day))
-        .when(F.col("__freq") == "MONTHLY", (months % every == 0) & month_day & by_day)
-        .otherwise(((F.year(d) - F.year(day0)) % every == 0) & (F.month(d) == F.month(day0)) & (F.day(d) == F.day(day0)))
-    )
-    df = df.where(fits)
-    nth = F.row_number().over(W.partitionBy("item_id").orderBy("__d"))
-    df = df.withColumn("__nth", nth).where(F.col("__count").isNull() | (F.col("__nth") <= F.col("__count")))
-    at = F.to_utc_timestamp(F.timestamp_seconds(F.unix_timestamp(F.col("__d").cast("timestamp")) + F.col("__sec")), timezone)
-    df = df.withColumn("start", at).withColumn("end", F.timestamp_seconds(F.unix_timestamp("start") + F.col("__hours") * 3600))
-    df = df.where(F.col("start") < F.lit(end))
-    if start is not None:
-        df = df.where(F.col("end") > F.lit(start))
-    if limit:
-        df = df.withColumn("__k", F.row_number().over(W.partitionBy("item_id").orderBy("start"))).where(F.col("__k") <= limit)
-    return df.drop(*[c for c in df.columns if c.startswith("__")])
-
-
-def next_occurrence(items: DataFrame, now: datetime, horizon: datetime, timezone: str = "UTC") -> DataFrame:
-    """The occurrence of each routine that runs at or comes next after ``now``."""
-    return expand_rrules(items, now, horizon, timezone, limit=1)
-
-
 def local_day(at: Column, timezone: str) -> Column:
     return F.to_date(F.from_utc_timestamp(at, timezone))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.functions.times import expand_rrules
+from palimpsest.functions.recurrence import expand_rrules
 from palimpsest.operators.filters import Access, Filters, Window, apply, entity_items, in_window, live_rank, point_in, scoped
 from palimpsest.schema import DIMENSION_UNITS, LENGTH_HOURS
 

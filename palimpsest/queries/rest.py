@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from palimpsest.functions import recurrence as rc
 from palimpsest.functions import text as tx
 from palimpsest.functions import times as tm
 from palimpsest.operators import filters as fl
@@ -303,7 +304,7 @@ def d_trunc_tz(t: Tables) -> DataFrame:
 def d_length(t: Tables) -> DataFrame:
     from palimpsest.operators.tools import default_length
 
-    return t["items"].select("item_id", default_length(F.col("precision")).alias("hours"), tm.rrule_valid(F.col("rrule")).alias("valid"))
+    return t["items"].select("item_id", default_length(F.col("precision")).alias("hours"), rc.rrule_valid(F.col("rrule")).alias("valid"))
 
 
 @query("SELECT item_id, CASE WHEN precision = 'datetime' THEN epoch(due_at)::BIGINT - 1800 ELSE epoch(date_trunc('day', due_at))::BIGINT + 32400 - 1800 END AS at FROM items WHERE due_at IS NOT NULL".replace(" AS at", ' AS "at"'))

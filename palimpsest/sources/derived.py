@@ -49,6 +49,29 @@ SELECT o_orderkey AS item_id, CAST(o_custkey % 4 AS INT) AS workspace_id,
 FROM {orders}
 """
 
+MODEL["routines"] = """
+SELECT o_orderkey AS item_id,
+  CASE o_orderkey % 16
+    WHEN 0 THEN 'FREQ=MONTHLY;BYDAY=1MO'
+    WHEN 1 THEN 'FREQ=MONTHLY;BYMONTHDAY=-1'
+    WHEN 2 THEN 'FREQ=YEARLY;BYMONTH=3;BYDAY=-1SU'
+    WHEN 3 THEN 'FREQ=DAILY;BYHOUR=7,19;BYMINUTE=30'
+    WHEN 4 THEN 'FREQ=MONTHLY;BYDAY=MO,TU,WE,TH,FR;BYSETPOS=-1'
+    WHEN 5 THEN 'FREQ=WEEKLY;INTERVAL=2;WKST=SU;BYDAY=SU,MO'
+    WHEN 6 THEN 'FREQ=MONTHLY;INTERVAL=3;BYMONTHDAY=15,-2'
+    WHEN 7 THEN 'FREQ=YEARLY;BYYEARDAY=100,-270'
+    WHEN 8 THEN 'FREQ=WEEKLY;COUNT=300;BYDAY=TU,TH'
+    WHEN 9 THEN 'FREQ=YEARLY;BYWEEKNO=12;BYDAY=WE'
+    WHEN 10 THEN 'FREQ=DAILY;INTERVAL=5;UNTIL=19980401T000000'
+    WHEN 11 THEN 'FREQ=MONTHLY'
+    WHEN 12 THEN 'FREQ=YEARLY;BYDAY=13MO'
+    WHEN 13 THEN 'FREQ=HOURLY;INTERVAL=9;BYDAY=SA'
+    WHEN 14 THEN 'FREQ=MONTHLY;BYDAY=2FR,-1FR;COUNT=70'
+    WHEN 15 THEN 'FREQ=WEEKLY;WKST=SU;INTERVAL=3' END AS rrule,
+  CAST(o_orderdate AS TIMESTAMP) + (o_orderkey % 24) * INTERVAL '1' HOUR AS occurred_start, CASE WHEN o_orderkey % 2 = 0 THEN 'day' ELSE 'datetime' END AS precision
+FROM {orders}
+"""
+
 MODEL["entities"] = """
 SELECT c_custkey AS entity_id, 'person' AS kind, c_name AS name, CASE WHEN c_custkey % 17 = 0 THEN 'archived' ELSE 'active' END AS status FROM {customer}
 UNION ALL SELECT 10000000 + s_suppkey, 'organisation', s_name, 'active' FROM {supplier}

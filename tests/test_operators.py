@@ -3,8 +3,8 @@ from datetime import datetime
 import pandas as pd
 from pyspark.sql import functions as F
 
+from palimpsest.functions import recurrence as rc
 from palimpsest.functions import text as tx
-from palimpsest.functions import times as tm
 from palimpsest.operators import filters as fl
 from palimpsest.operators import metrics as me
 from palimpsest.operators import ranking as rk
@@ -58,7 +58,7 @@ def test_nearest_rank_rounds_half_to_even(spark):
 
 def test_routines_keep_their_hour_across_a_clock_change(spark):
     items = spark.createDataFrame([(1, datetime(2026, 3, 27, 8), "FREQ=DAILY", "datetime")], "item_id bigint, occurred_start timestamp, rrule string, precision string")
-    out = tm.expand_rrules(items, datetime(2026, 3, 28), datetime(2026, 3, 31), "Europe/Berlin")
+    out = rc.expand_rrules(items, datetime(2026, 3, 28), datetime(2026, 3, 31), "Europe/Berlin")
     hours = [r.h for r in out.orderBy("start").select(F.hour(F.from_utc_timestamp("start", "Europe/Berlin")).alias("h")).collect()]
     assert set(hours) == {9}
 
