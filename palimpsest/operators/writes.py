@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from palimpsest.functions.text import adds_detail
+from palimpsest.operators.nearest import nearest
 from palimpsest.schema import BULK_THRESHOLD, CORE_BUDGET, FREQUENT_MIN, STATES
 
 
@@ -62,17 +64,102 @@ def core_budget(core: DataFrame, budget: int = CORE_BUDGET) -> DataFrame:
     return rows.join(months, ["workspace_id", "month"]).withColumn("held", F.col("before") + within > budget).drop("created_at", "month", "before")
 
 
-def reconcile(new: DataFrame, stored: DataFrame) -> DataFrame:
-    """A decision for each new item: no_op if one with the same subject and predicate says the same, supersede if it says
-    another thing, fulfil if an episode meets a wish about the same subject, else create. Earlier rules win."""
-    live = stored.where("valid_to is null and status = 'active'")
-    facts = live.where("kind in ('fact', 'preference')").groupBy("subject_entity_id", "predicate").agg(F.max_by(F.struct("item_id", "value_number"), F.struct("valid_from", "item_id")).alias("f"))
-    wishes = live.where("kind = 'intention' and state in ('wanted', 'active')").groupBy("subject_entity_id").agg(F.min("item_id").alias("wish"))
-    rows = new.join(facts, ["subject_entity_id", "predicate"], "left").join(wishes, "subject_entity_id", "left")
-    fact = F.col("kind").isin("fact", "preference") & F.col("f").isNotNull()
-    decision = F.when(fact & (F.col("f.value_number") == F.col("value_number")), "no_op").when(fact, "supersede").when((F.col("kind") == "episode") & F.col("wish").isNotNull(), "fulfil").otherwise("create")
-    target = F.when(fact, F.col("f.item_id")).when(decision == "fulfil", F.col("wish"))
-    return rows.select("item_id", decision.alias("decision"), target.alias("target"))
+#: Roles and kinds of the things that an item is about; similarity from which an item may be the same one, and how many are looked at. Fixed values.
+THING_ROLES, THING_KINDS = ("about", "at", "part_of"), ("work", "thing", "place", "topic", "project")
+SAME_AT, SIMILAR, RELATED = 0.85, 5, 5
+
+
+def _newest(rows: DataFrame, key: list[str], n: int) -> DataFrame:
+    """The ``n`` newest rows of each key with ``n``; Spark cuts groups before they are shuffled."""
+    place = F.row_number().over(W.partitionBy(*key).orderBy(F.col("created_at").desc(), F.col("item_id").desc()))
+    return rows.withColumn("n", place).where(F.col("n") <= n)
+
+
+def _first(hits: DataFrame, *order: Column | str) -> DataFrame:
+    """Of each draft the first hit."""
+    return hits.withColumn("__n", F.row_number().over(W.partitionBy("draft_id").orderBy(*order))).where("__n = 1").drop("__n")
+
+
+def similar_items(drafts: DataFrame, stored: DataFrame, keys: DataFrame, k: int = SIMILAR, floor: float = SAME_AT) -> DataFrame:
+    """(draft_id, item_id, score, place) of the ``k`` active items nearest to each draft(draft_id, embedding) that reach ``floor``."""
+    live = keys.where("embedding is not null").join(stored.where("status = 'active'").select("item_id"), "item_id", "left_semi")
+    found = nearest(drafts.select(F.col("draft_id").alias("question_id"), F.col("embedding").alias("vector")), live.select(F.col("item_id").alias("id"), F.col("embedding").alias("vector")), k)
+    return found.where(F.col("score") >= floor).select(F.col("question_id").alias("draft_id"), F.col("id").alias("item_id"), "score", "place")
+
+
+def reconcile(drafts: DataFrame, draft_entities: DataFrame, stored: DataFrame, item_entities: DataFrame, keys: DataFrame, choices: DataFrame | None = None) -> DataFrame:
+    """(draft_id, decision, target, score, rule) of new items against the stored ones; the first rule that meets decides.
+
+    Drafts(draft_id, kind, subtype, subject_entity_id, predicate, value_number, attributes, occurred_start, precision, embedding) may be stored
+    under their own id already, which is never their target; draft_entities(draft_id, entity_id, role, kind) are the entities they name.
+    A fact or preference meets the newest current one of its kind, subject and predicate: ``no_op`` if both say the same, else ``supersede``. An
+    episode fulfils the newest open wish for one of its things, of the first thing that has one; or is the one of the same time, precision,
+    subtype and entities (``no_op``); it never merges otherwise. An intention meets an open wish of its subtype for one of its things:
+    ``add_detail`` if it has attributes that the wish lacks, else ``no_op``. For a plan, scheduled plans of its subtype with a shared entity, up
+    to five, are candidates; else, for any draft, the five nearest active items at 0.85 or above that are no episodes and not about
+    other things. Among candidates choices(draft_id, decision, index) decide; without a choice the item is new.
+    """
+    about = F.col("role").isin(*THING_ROLES)
+    live = stored.where("status = 'active'")
+    entities = draft_entities.select("draft_id", "entity_id", "role", "kind").distinct()
+    things = entities.where(about & F.col("kind").isin(*THING_KINDS)).select("draft_id", "entity_id").distinct()
+    subjects = live.where("subject_entity_id is not null").select("item_id", F.col("subject_entity_id").alias("entity_id"))
+    held = item_entities.select("item_id", "entity_id").unionByName(subjects).distinct().join(live, "item_id")
+
+    other = lambda x: x["item_id"] != drafts["draft_id"]
+    # facts
+    facts = _newest(live.where("kind in ('fact', 'preference') and valid_to is null").select("kind", "subject_entity_id", "predicate", "item_id", "created_at", "value_number"), ["kind", "subject_entity_id", "predicate"], 2)
+    on = (drafts["kind"] == facts["kind"]) & (drafts["subject_entity_id"] == facts["subject_entity_id"]) & (drafts["predicate"] == facts["predicate"]) & other(facts)
+    fact = drafts.join(facts, on).select("draft_id", facts["item_id"], "n", drafts["value_number"].eqNullSafe(facts["value_number"]).alias("equal"))
+    fact = _first(fact, "n").select("draft_id", F.struct(F.when(F.col("equal"), "no_op").otherwise("supersede").alias("decision"), F.col("item_id").alias("target"), F.lit(1.0).alias("score"), F.when(F.col("equal"), "same fact").otherwise("new value").alias("rule")).alias("fact"))
+    # wishes
+    open_ = held.where("kind = 'intention' and state in ('wanted', 'active')").select("entity_id", "subtype", "item_id", "created_at", "attributes")
+    wish = _newest(open_, ["entity_id"], 1)
+    meets = things.join(drafts.where("kind = 'episode'").select("draft_id"), "draft_id").join(wish, "entity_id")
+    fulfil = _first(meets, "entity_id").select("draft_id", F.struct(F.lit("fulfil").alias("decision"), F.col("item_id").alias("target"), F.lit(1.0).alias("score"), F.lit("wish met").alias("rule")).alias("fulfil"))
+    wishes = _newest(open_, ["entity_id", "subtype"], 2)
+    asked = things.join(drafts.where("kind = 'intention'").select("draft_id", F.col("subtype").alias("s"), F.col("attributes").alias("now")), "draft_id")
+    again = asked.join(wishes, (asked["entity_id"] == wishes["entity_id"]) & asked["s"].eqNullSafe(wishes["subtype"]) & (asked["draft_id"] != wishes["item_id"])).select("draft_id", asked["entity_id"], "n", "item_id", "now", "attributes")
+    more = adds_detail(F.from_json("attributes", "map<string,string>"), F.from_json("now", "map<string,string>"))
+    again = _first(again, "entity_id", "n").select("draft_id", F.struct(F.when(more, "add_detail").otherwise("no_op").alias("decision"), F.col("item_id").alias("target"), F.lit(1.0).alias("score"), F.lit("same wish").alias("rule")).alias("again"))
+    # episodes: the entities of each as one value
+    whole = lambda rows, key: rows.groupBy(key).agg(F.array_sort(F.collect_set("entity_id")).alias("e"))
+    told = live.where("kind = 'episode' and occurred_start is not null").select("item_id", "occurred_start", "precision", "subtype", "created_at").join(whole(item_entities, "item_id"), "item_id", "left")
+    told = _newest(told.withColumn("e", F.coalesce("e", F.array().cast("array<bigint>"))), ["occurred_start", "precision", "subtype", "e"], 2)
+    mine = drafts.where("kind = 'episode' and occurred_start is not null").join(whole(entities, "draft_id"), "draft_id", "left").select("draft_id", "occurred_start", "precision", "subtype", F.coalesce("e", F.array().cast("array<bigint>")).alias("e"))
+    equal = [mine[c].eqNullSafe(told[c]) for c in ("occurred_start", "precision", "subtype", "e")]
+    twin = mine.join(told, [*equal, mine["draft_id"] != told["item_id"]]).select("draft_id", "item_id", "n")
+    twin = _first(twin, "n").select("draft_id", F.struct(F.lit("no_op").alias("decision"), F.col("item_id").alias("target"), F.lit(1.0).alias("score"), F.lit("same episode").alias("rule")).alias("twin"))
+    # plans
+    plans = _newest(held.where("kind = 'plan' and state = 'scheduled'").select("entity_id", "subtype", "item_id", "created_at"), ["entity_id", "subtype"], RELATED + 1)
+    planned = entities.where("kind <> 'self'").select("draft_id", "entity_id").distinct().join(drafts.where("kind = 'plan'").select("draft_id", F.col("subtype").alias("s")), "draft_id")
+    related = planned.join(plans, (planned["entity_id"] == plans["entity_id"]) & planned["s"].eqNullSafe(plans["subtype"]) & (planned["draft_id"] != plans["item_id"])).select("draft_id", planned["entity_id"], "n", "item_id")
+    related = related.groupBy("draft_id", "item_id").agg(F.min(F.struct("entity_id", "n")).alias("o"))
+    listed = lambda rows, order, score: rows.groupBy("draft_id").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("item_id").alias("target"), score.alias("score")))).alias("c"))
+    related = listed(related, "o", F.lit(None).cast("double")).select("draft_id", F.transform(F.slice("c", 1, RELATED), lambda x: F.struct(x["target"].alias("target"), x["score"].alias("score"))).alias("related"))
+    # similar items
+    theirs = item_entities.where(about).groupBy("item_id").agg(F.collect_set("entity_id").alias("theirs"))
+    ours = things.groupBy("draft_id").agg(F.collect_set("entity_id").alias("ours"))
+    near = similar_items(drafts.where("kind <> 'episode'"), stored, keys).join(live.where("kind <> 'episode'").select("item_id"), "item_id").where("item_id <> draft_id")
+    near = near.join(theirs, "item_id", "left").join(ours, "draft_id", "left").where(F.col("theirs").isNull() | F.col("ours").isNull() | F.arrays_overlap("theirs", "ours"))
+    near = listed(near, "place", F.col("score")).select("draft_id", F.transform("c", lambda x: F.struct(x["target"].alias("target"), x["score"].alias("score"))).alias("near"))
+
+    out = drafts.select("draft_id", "kind")
+    for part in (fact, fulfil, again, twin, related, near):
+        out = out.join(part, "draft_id", "left")
+    if choices is None:
+        out = out.withColumns({"choice": F.lit(None).cast("string"), "index": F.lit(None).cast("int")})
+    else:
+        out = out.join(choices.groupBy("draft_id").agg(F.min(F.struct(F.col("decision").alias("choice"), "index")).alias("x")).select("draft_id", "x.*"), "draft_id", "left")
+    plan = F.col("related").isNotNull()
+    candidates = F.when(plan, F.col("related")).otherwise(F.col("near"))
+    why = F.when(plan, "plan for the same thing").otherwise("similar")
+    chosen = F.when((F.col("choice") != "new") & (F.col("index") >= 0), F.get(candidates, F.col("index")))
+    nothing = lambda rule: F.struct(F.lit("new").alias("decision"), F.lit(None).cast("bigint").alias("target"), F.lit(None).cast("double").alias("score"), rule.alias("rule"))
+    asked = F.when(chosen.isNotNull(), F.struct(F.col("choice").alias("decision"), chosen["target"].alias("target"), chosen["score"].alias("score"), why.alias("rule"))).otherwise(
+        nothing(F.when(candidates.isNull(), "nothing similar").otherwise(why)))
+    result = F.coalesce("fact", F.when(F.col("kind") == "episode", F.coalesce("fulfil", "twin", nothing(F.lit("episodes never merge")))), "again", asked)
+    return out.select("draft_id", result.alias("r")).select("draft_id", "r.*")
 
 
 #: Origins that are the user's own, and operations that text read from elsewhere may propose. Fixed values.

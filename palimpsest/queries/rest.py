@@ -15,6 +15,7 @@ from palimpsest.functions import times as tm
 from palimpsest.operators import filters as fl
 from palimpsest.operators import lexicon as lx
 from palimpsest.operators import metrics as me
+from palimpsest.operators import nearest as ne
 from palimpsest.operators import ranking as rk
 from palimpsest.operators import writes as wr
 from palimpsest.operators.filters import Access, Filters
@@ -445,15 +446,54 @@ def c_core_budget(t: Tables) -> DataFrame:
     return wr.core_budget(t["items"].where("in_core"))
 
 
-@query("WITH live AS (SELECT * FROM items WHERE valid_to IS NULL AND status = 'active'), "
-       "f AS (SELECT subject_entity_id, predicate, arg_max(item_id, struct_pack(a := valid_from, b := item_id)) AS id, arg_max(value_number, struct_pack(a := valid_from, b := item_id)) AS v FROM live WHERE kind IN ('fact', 'preference') GROUP BY 1, 2), "
-       "w AS (SELECT subject_entity_id, min(item_id) AS wish FROM live WHERE kind = 'intention' AND state IN ('wanted', 'active') GROUP BY 1), "
-       "n AS (SELECT * FROM items), "
-       "r AS (SELECT n.item_id, n.kind IN ('fact', 'preference') AND f.id IS NOT NULL AS fact, f.v = n.value_number AS same, n.kind = 'episode' AND w.wish IS NOT NULL AS meets, f.id, w.wish "
-       "FROM n LEFT JOIN f ON f.subject_entity_id = n.subject_entity_id AND f.predicate = n.predicate LEFT JOIN w ON w.subject_entity_id = n.subject_entity_id) "
-       "SELECT item_id, CASE WHEN fact AND same THEN 'no_op' WHEN fact THEN 'supersede' WHEN meets THEN 'fulfil' ELSE 'create' END AS decision, CASE WHEN fact THEN id WHEN meets THEN wish END AS target FROM r")
+_UNIT = "list_transform({0}, lambda x: x::DOUBLE)"
+_NEAR = ("v AS (SELECT vec_id, " + _UNIT.format("embedding") + " AS u FROM embeddings WHERE vec_id < 500), "
+         "near AS (SELECT v.vec_id, k.item_id, max(round(list_cosine_similarity(v.u, " + _UNIT.format("k.embedding") + "), 6)) AS score FROM v, keys k JOIN items i ON i.item_id = k.item_id AND i.status = 'active' WHERE k.embedding IS NOT NULL GROUP BY 1, 2), "
+         "top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, item_id) AS place FROM near) WHERE place <= 5) ")
+_PICK = "row_number() OVER (PARTITION BY draft_id ORDER BY {0}) = 1"
+_SET = "(SELECT {0} AS id, list_sort(list(DISTINCT entity_id)) AS e FROM ends GROUP BY 1)"
+
+
+@query("WITH live AS (SELECT * FROM items WHERE status = 'active'), mine AS (SELECT DISTINCT item_id AS draft_id, entity_id FROM ends), "
+       "things AS (SELECT DISTINCT item_id AS draft_id, entity_id FROM ends WHERE role IN ('about', 'at', 'part_of') AND kind IN ('work', 'thing', 'place', 'topic', 'project')), "
+       "held AS (SELECT DISTINCT x.entity_id, l.* FROM (SELECT item_id, entity_id FROM ends UNION SELECT item_id, subject_entity_id FROM items) x JOIN live l ON l.item_id = x.item_id), "
+       "fact AS (SELECT draft_id, id, same FROM (SELECT d.draft_id, l.item_id AS id, d.value_number = l.value_number AS same, l.created_at AS c FROM drafts d JOIN live l ON l.kind = d.kind AND l.subject_entity_id = d.subject_entity_id AND l.predicate = d.predicate "
+       f"AND l.item_id <> d.draft_id WHERE d.kind IN ('fact', 'preference') AND l.valid_to IS NULL) QUALIFY {_PICK.format('c DESC, id DESC')}), "
+       "wish AS (SELECT * FROM held WHERE kind = 'intention' AND state IN ('wanted', 'active')), "
+       f"ful AS (SELECT d.draft_id, w.item_id AS id FROM drafts d JOIN things t ON t.draft_id = d.draft_id JOIN wish w ON w.entity_id = t.entity_id WHERE d.kind = 'episode' QUALIFY row_number() OVER (PARTITION BY d.draft_id ORDER BY t.entity_id, w.created_at DESC, w.item_id DESC) = 1), "
+       "again AS (SELECT d.draft_id, w.item_id AS id, len([k for k in json_keys(d.attributes) if (d.attributes::JSON ->> k) IS DISTINCT FROM (w.attributes::JSON ->> k)]) > 0 AS more FROM drafts d JOIN things t ON t.draft_id = d.draft_id "
+       "JOIN wish w ON w.entity_id = t.entity_id AND w.subtype IS NOT DISTINCT FROM d.subtype AND w.item_id <> d.draft_id WHERE d.kind = 'intention' QUALIFY row_number() OVER (PARTITION BY d.draft_id ORDER BY t.entity_id, w.created_at DESC, w.item_id DESC) = 1), "
+       f"twin AS (SELECT d.draft_id, l.item_id AS id FROM drafts d LEFT JOIN {_SET.format('item_id')} a ON a.id = d.draft_id JOIN live l ON l.kind = 'episode' AND l.occurred_start = d.occurred_start AND l.precision = d.precision AND l.subtype IS NOT DISTINCT FROM d.subtype "
+       f"AND l.item_id <> d.draft_id LEFT JOIN {_SET.format('item_id')} b ON b.id = l.item_id WHERE d.kind = 'episode' AND a.e IS NOT DISTINCT FROM b.e QUALIFY row_number() OVER (PARTITION BY d.draft_id ORDER BY l.created_at DESC, l.item_id DESC) = 1), "
+       "plan1 AS (SELECT d.draft_id, m.entity_id, p.item_id, row_number() OVER (PARTITION BY d.draft_id, m.entity_id ORDER BY p.created_at DESC, p.item_id DESC) AS n FROM drafts d JOIN mine m ON m.draft_id = d.draft_id "
+       "JOIN held p ON p.kind = 'plan' AND p.state = 'scheduled' AND p.entity_id = m.entity_id AND p.subtype IS NOT DISTINCT FROM d.subtype AND p.item_id <> d.draft_id WHERE d.kind = 'plan'), "
+       "plan2 AS (SELECT draft_id, item_id, min(struct_pack(e := entity_id, n := n)) AS o FROM plan1 GROUP BY 1, 2), related AS (SELECT draft_id, list(item_id ORDER BY o)[1:5] AS c FROM plan2 GROUP BY 1), " + _NEAR + ", "
+       "sim AS (SELECT d.draft_id, t.item_id, t.score, t.place FROM drafts d JOIN top t ON t.vec_id = d.draft_id % 500 JOIN live l ON l.item_id = t.item_id AND l.kind <> 'episode' WHERE d.kind <> 'episode' AND t.score >= 0.85 AND t.item_id <> d.draft_id AND NOT ("
+       "EXISTS (SELECT 1 FROM things g WHERE g.draft_id = d.draft_id) AND EXISTS (SELECT 1 FROM ends x WHERE x.item_id = t.item_id AND x.role IN ('about', 'at', 'part_of')) "
+       "AND NOT EXISTS (SELECT 1 FROM things g JOIN ends x ON x.entity_id = g.entity_id WHERE g.draft_id = d.draft_id AND x.item_id = t.item_id AND x.role IN ('about', 'at', 'part_of')))), "
+       "close AS (SELECT draft_id, list(item_id ORDER BY place) AS c, list(score ORDER BY place) AS s FROM sim GROUP BY 1), "
+       "r AS (SELECT d.draft_id, d.kind, f.id AS fid, f.same, u.id AS uid, g.id AS gid, g.more, w.id AS wid, p.c IS NOT NULL AS plan, coalesce(p.c, s.c) AS c, CASE WHEN p.c IS NULL THEN s.s END AS s, d.draft_id % 3 + 1 AS ix, d.draft_id % 4 AS ch "
+       "FROM drafts d LEFT JOIN fact f USING (draft_id) LEFT JOIN ful u USING (draft_id) LEFT JOIN again g USING (draft_id) LEFT JOIN twin w USING (draft_id) LEFT JOIN related p USING (draft_id) LEFT JOIN close s USING (draft_id)) "
+       "SELECT draft_id, CASE WHEN fid IS NOT NULL THEN CASE WHEN same THEN 'no_op' ELSE 'supersede' END WHEN kind = 'episode' THEN CASE WHEN uid IS NOT NULL THEN 'fulfil' WHEN wid IS NOT NULL THEN 'no_op' ELSE 'new' END "
+       "WHEN gid IS NOT NULL THEN CASE WHEN more THEN 'add_detail' ELSE 'no_op' END WHEN ch > 0 AND c[ix] IS NOT NULL THEN ['no_op', 'add_detail', 'supersede'][ch] ELSE 'new' END AS decision, "
+       "CASE WHEN fid IS NOT NULL THEN fid WHEN kind = 'episode' THEN coalesce(uid, wid) WHEN gid IS NOT NULL THEN gid WHEN ch > 0 THEN c[ix] END AS target, "
+       "CASE WHEN fid IS NOT NULL THEN 1.0 WHEN kind = 'episode' THEN CASE WHEN uid IS NOT NULL OR wid IS NOT NULL THEN 1.0 END WHEN gid IS NOT NULL THEN 1.0 WHEN ch > 0 THEN s[ix] END::DOUBLE AS score, "
+       "CASE WHEN fid IS NOT NULL THEN CASE WHEN same THEN 'same fact' ELSE 'new value' END WHEN kind = 'episode' THEN CASE WHEN uid IS NOT NULL THEN 'wish met' WHEN wid IS NOT NULL THEN 'same episode' ELSE 'episodes never merge' END "
+       "WHEN gid IS NOT NULL THEN 'same wish' WHEN c IS NULL THEN 'nothing similar' WHEN plan THEN 'plan for the same thing' ELSE 'similar' END AS rule FROM r")
 def c_reconcile(t: Tables) -> DataFrame:
-    return wr.reconcile(t["items"], t["items"])
+    """A decision for every item as if it came anew, among all others."""
+    drafts = t["drafts"]
+    decision = F.element_at(F.array(*map(F.lit, ("new", "no_op", "add_detail", "supersede"))), (F.col("draft_id") % 4 + 1).cast("int"))
+    choices = drafts.select("draft_id", decision.alias("decision"), (F.col("draft_id") % 3).cast("int").alias("index"))
+    return wr.reconcile(drafts, t["ends"].withColumnRenamed("item_id", "draft_id"), t["items"], t["ends"], t["keys"], choices)
+
+
+@query("WITH " + _NEAR + "SELECT vec_id AS question_id, item_id AS id, score, place FROM top WHERE score >= 0.5")
+def r_similar_many(t: Tables) -> DataFrame:
+    """The five items nearest to each of many vectors, in one plan."""
+    live = t["keys"].where("embedding IS NOT NULL").join(t["items"].where("status = 'active'").select("item_id"), "item_id", "left_semi")
+    asked = t["embeddings"].where("vec_id < 500").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vector"))
+    return ne.nearest(asked, live.select(F.col("item_id").alias("id"), F.col("embedding").alias("vector")), 5).where("score >= 0.5")
 
 
 _FACTS = {

@@ -90,6 +90,16 @@ SELECT o_orderkey AS item_id, o_custkey AS entity_id, 'about' AS role FROM {orde
 UNION ALL SELECT l_orderkey, 10000000 + l_suppkey, CASE WHEN l_linenumber % 2 = 0 THEN 'with' ELSE 'at' END FROM {lineitem} WHERE l_linenumber <= 2
 """
 
+MODEL["ends"] = """
+SELECT i.item_id, i.entity_id, i.role, e.kind FROM {item_entities} i JOIN {entities} e ON e.entity_id = i.entity_id
+UNION ALL SELECT o_orderkey, 20000000 + o_custkey % 25, 'at', 'place' FROM {orders} WHERE o_orderkey % 3 = 1
+"""
+
+MODEL["drafts"] = """
+SELECT i.item_id AS draft_id, i.kind, i.subtype, i.subject_entity_id, i.predicate, i.value_number, i.attributes, i.occurred_start, i.precision, e.embedding
+FROM {items} i LEFT JOIN {embeddings} e ON e.vec_id = i.item_id % 500
+"""
+
 MODEL["links"] = """
 SELECT item_id AS src, 'supersedes' AS link_type, prev AS dst FROM (
   SELECT o_orderkey AS item_id, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS prev FROM {orders}) t
@@ -160,6 +170,7 @@ def oracle(sql: str) -> str:
         for n in MODEL:
             if n not in used and re.search(rf"\b{n}\b", text):
                 body = MODEL[n]
+                need(" ".join(x for x in _names(body) if x in MODEL))
                 for base in _names(body):
                     body = body.replace("{" + base + "}", base)
                 used[n] = body.replace("{{", "{").replace("}}", "}")
