@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -23,6 +24,7 @@ from palimpsest.queries.rest import _LEX, _SCORED, _VEC, VECTOR, _scored, lexica
 from palimpsest.queries.words import known
 from palimpsest.sources import storage as st
 from palimpsest.streaming import jobs
+from palimpsest.streaming import state as sst
 
 # ---------------------------------------------------------------- aggregates
 
@@ -521,9 +523,22 @@ def z_public_reads(t: Tables) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-@query("SELECT t.trigger_id, t.item_id, e.event_id FROM events e JOIN triggers t ON t.entity_id = e.user_id WHERE t.state = 'pending' AND t.kind = 'person'")
+_FIRED = ("WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), m AS (SELECT e.event_id, e.ts, e.user_id, v.v FROM events e LEFT JOIN v ON v.vec_id = e.event_id % 500), "
+          "w AS (SELECT * FROM triggers WHERE state = 'pending'), k AS (SELECT w.trigger_id, w.item_id, x.vec_id AS ask, round(max(list_cosine_similarity(x.v, list_transform(k.embedding, lambda x: x::DOUBLE))), 6) AS score FROM w JOIN keys k ON k.item_id = w.item_id AND k.embedding IS NOT NULL, v x WHERE w.kind = 'topic' AND x.vec_id < 500 GROUP BY ALL), "
+          "h AS (SELECT w.trigger_id, w.item_id, m.event_id AS message_id, m.ts, 'person' AS why, NULL::DOUBLE AS score FROM w JOIN m ON m.user_id = w.entity_id WHERE w.kind = 'person' "
+          "UNION ALL SELECT k.trigger_id, k.item_id, m.event_id, m.ts, 'topic', k.score FROM k JOIN m ON m.event_id % 500 = k.ask WHERE k.score >= 0.6) "
+          "SELECT trigger_id, item_id, message_id, why, score FROM h QUALIFY row_number() OVER (PARTITION BY trigger_id ORDER BY ts, message_id) = 1")
+
+
+@query(_FIRED)
 def st_triggers(t: Tables) -> DataFrame:
-    return jobs.run_available(jobs.fired(jobs.read_events(t.spark, f"{t.sf_dir}/events.parquet"), t["triggers"]))
+    """What events fire: persons whose events they are, topics near the event's vector; each trigger once."""
+    base = f"{st.shared_dir(t.spark)}/palimpsest/triggers-{uuid.uuid4().hex}"
+    events = jobs.read_events(t.spark, f"{t.sf_dir}/events.parquet")
+    vectors = t["embeddings"].where("vec_id < 500").select(F.col("vec_id").alias("v"), F.col("embedding").alias("vector"))
+    stream = events.join(vectors, F.col("event_id") % 500 == F.col("v"), "left").select(F.col("event_id").alias("message_id"), F.col("ts").alias("at"), "user_id", "vector")
+    cues = t["triggers"].where("kind = 'topic'").join(t["keys"].where("embedding IS NOT NULL"), "item_id").select("trigger_id", F.col("embedding").alias("vector"))
+    return sst.fire_once(stream, lambda rows: rows.select("message_id", F.col("user_id").cast("bigint").alias("entity_id")), t["triggers"], cues, base)
 
 
 @query("SELECT o_custkey % 40 AS run_id, count(*) AS cases, count(*) FILTER (WHERE o_orderkey % 3 <> 0) AS passed, sum(o_orderkey % 100)::BIGINT AS latency, count(*) AS calls FROM orders GROUP BY 1")

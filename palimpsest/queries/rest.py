@@ -24,6 +24,7 @@ from palimpsest.queries.reads import ALL, SCOPE
 from palimpsest.queries.registry import Tables, query
 from palimpsest.sources.storage import shared_dir
 from palimpsest.streaming import jobs
+from palimpsest.streaming import state as sst
 
 QUESTION = "What is the thing that they reread on the day of the rations"
 NEAR = "things with er by the thor"
@@ -540,11 +541,37 @@ def _events(t: Tables) -> DataFrame:
 
 
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
-def st_spend_counters(t: Tables) -> DataFrame:
+def st_daily_counts(t: Tables) -> DataFrame:
     out = jobs.run_available(jobs.daily_counts(_events(t)), "complete")
     return out.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
+#: When the counters of every other owner are set to what the ledger says.
+_RESET = "TIMESTAMP '2001-10-20 00:00:00'"
+_CALLS = ("SELECT l_suppkey % 10 AS owner_id, CAST(l_shipdate AS TIMESTAMP) AS seen, CASE l_linestatus WHEN 'O' THEN 'alpha' ELSE 'beta' END AS provider, CAST(l_quantity AS BIGINT) * 300 + l_linenumber * 375 AS cost, "
+          f"(l_linenumber = 3 AND CAST(l_shipdate AS TIMESTAMP) < {_RESET}) AS lost FROM lineitem")
+
+
+@query(f"WITH c AS ({_CALLS}), x AS (SELECT owner_id, seen, cost, unnest([{{'s': 'day', 'n': strftime(seen, '%Y-%m-%d')}}, {{'s': 'month', 'n': strftime(seen, '%Y-%m')}}, {{'s': 'provider', 'n': provider}}]) AS k, lost FROM c), "
+       f"y AS (SELECT owner_id, k.s AS scope, k.n AS name, sum(cost) AS amount, CASE WHEN owner_id % 2 = 0 THEN greatest(max(seen), {_RESET}) ELSE max(seen) END AS latest FROM x WHERE CASE WHEN owner_id % 2 = 1 THEN NOT lost WHEN k.s = 'day' THEN seen >= {_RESET} WHEN k.s = 'month' THEN seen >= date_trunc('month', {_RESET}) ELSE TRUE END GROUP BY 1, 2, 3), "
+       f"e AS (SELECT owner_id, CASE WHEN owner_id % 2 = 0 THEN greatest(max(latest), {_RESET}) ELSE max(latest) END AS e FROM y GROUP BY 1) "
+       "SELECT owner_id, scope, name, amount::BIGINT AS amount FROM y JOIN e USING (owner_id) WHERE scope = 'provider' OR epoch(e) - epoch(latest) < CASE scope WHEN 'day' THEN 3 ELSE 40 END * 86400")
+def st_spend_counters(t: Tables) -> DataFrame:
+    """Counters of calls as they stream in; some were lost before the counters of every other owner are reset from the ledger."""
+    base = f"{shared_dir(t.spark)}/palimpsest/spend-{uuid.uuid4().hex}"
+    sql = _CALLS.replace("FROM lineitem", "FROM {lineitem}")
+    at = F.expr(_RESET)
+    ledger = t.spark.sql(sql, lineitem=t["lineitem"]).withColumnRenamed("seen", "at").where((F.col("owner_id") % 2 == 0) & (F.col("at") < at))
+    parts = [("month", F.date_format("at", "yyyy-MM"), F.trunc("at", "month") == F.trunc(at, "month")), ("provider", F.col("provider"), F.lit(True))]
+    sums = [ledger.where(when).groupBy("owner_id", F.lit(s).alias("scope"), name.alias("name")).agg(F.sum("cost").alias("amount")) for s, name, when in parts]
+    totals = sums[0].unionByName(sums[1]).groupBy("owner_id").agg(F.collect_list(F.struct("scope", "name", "amount")).alias("totals"))
+    resets = totals.select(F.lit("reset").alias("kind"), "owner_id", at.alias("at"), F.lit(None).cast("string").alias("provider"), F.lit(None).cast("bigint").alias("cost"), "totals")
+    resets.write.parquet(f"{base}/resets")
+    calls = t.spark.sql(sql, lineitem=jobs.read_table(t.spark, f"{t.sf_dir}/lineitem.parquet")).withColumnRenamed("seen", "at").where("NOT lost")
+    stream = calls.select(F.lit("call").alias("kind"), "owner_id", "at", "provider", "cost").unionByName(jobs.read_table(t.spark, f"{base}/resets"), allowMissingColumns=True)
+    return sst.spend_counters(stream, base).where("scope <> 'reset'").select("owner_id", "scope", "name", "amount")
+
+
 @query("SELECT user_id, event_type, count(*) > 0 AS seen FROM events GROUP BY 1, 2")
 def st_once(t: Tables) -> DataFrame:
     return jobs.run_available(jobs.first_seen(_events(t))).select("user_id", "event_type", F.lit(True).alias("seen"))
@@ -552,9 +579,12 @@ def st_once(t: Tables) -> DataFrame:
 
 @query("SELECT event_id, user_id AS turn_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events")
 def st_turn_events(t: Tables) -> DataFrame:
-    rows = jobs.run_available(_events(t).select("event_id", "user_id", "ts"))
-    n = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
-    return rows.select("event_id", F.col("user_id").alias("turn_id"), n.cast("bigint").alias("seq"))
+    """Events numbered within their turn while they stream; a last event of another turn moves the watermark past all others."""
+    base = f"{shared_dir(t.spark)}/palimpsest/turns-{uuid.uuid4().hex}"
+    events = _events(t).select(F.col("user_id").cast("bigint").alias("turn_id"), "event_id", "ts")
+    t["turn_events"].agg(F.lit(-1).cast("bigint").alias("turn_id"), F.lit(-1).cast("bigint").alias("event_id"), (F.max("at") + F.expr("INTERVAL 2 DAYS")).alias("ts")).write.parquet(f"{base}/close")
+    sst.run_job(sst.numbered(events.unionByName(jobs.read_table(t.spark, f"{base}/close"))), base)
+    return t.spark.read.parquet(f"{base}/out").where("turn_id >= 0").select("event_id", "turn_id", "seq")
 
 
 @query()

@@ -17,10 +17,14 @@ from palimpsest.sources.storage import shared_dir
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """The event table as a stream; its name may be a file or a folder."""
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("recursiveFileLookup", "true")
-    events = stream.parquet(f"{path.rstrip('/')}*")
-    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+    """The event table as a stream."""
+    return read_table(spark, path).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A table as a stream; its name may be a file or a folder."""
+    stream = spark.readStream.schema(spark.read.option("recursiveFileLookup", "true").parquet(path).schema).option("recursiveFileLookup", "true")
+    return stream.parquet(f"{path.rstrip('/')}*")
 
 
 def run_available(stream: DataFrame, mode: str = "append", batch: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
@@ -57,12 +61,6 @@ def first_seen(events: DataFrame) -> DataFrame:
     return events.withWatermark("ts", "40 days").dropDuplicatesWithinWatermark(["user_id", "event_type"])
 
 
-def fired(events: DataFrame, triggers: DataFrame) -> DataFrame:
-    """(trigger_id, item_id, event_id): events as they stream in, joined with the pending person triggers of their user."""
-    waiting = triggers.where("state = 'pending' AND kind = 'person'").select("trigger_id", "item_id", F.col("entity_id").alias("user_id"))
-    return events.select("event_id", "user_id").join(waiting, "user_id").select("trigger_id", "item_id", "event_id")
-
-
 def token_bucket(events: DataFrame, rate_per_hour: float = 0.05, capacity: float = 2.0) -> DataFrame:
     """(user_id, allowed, refused): each event takes a token; tokens refill evenly up to the capacity; state is kept per user."""
 
