@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -34,18 +35,25 @@ SCOPES = HOLDERS | frozenset("ul ol dl tr nav header footer aside form".split())
 BARRIERS = frozenset("article main body html".split())
 SIBLINGS = frozenset("li td th tr dd dt option".split())
 HEADINGS = frozenset("h1 h2 h3".split())
+TITLES = HEADINGS | {"h4", "h5", "h6"}
 #: Characters a tag that count at most, so that long lines don't outweigh others. Fixed value.
 LONG = 200
 #: Lines before a region in which its headline is looked for.
 LEAD = 5
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words of class or id attributes that mark what surrounds an article. Fixed values.
-MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie "
-    "cookies copyright disclaimer disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice "
-    "notices overlay pagination pager popup promo promotion recommended related replies reply respond share sharing "
-    "sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget".split()
+#: Elements whose class or id can say what they are: those that hold blocks. Fixed values.
+NAMED = frozenset("div section ul ol dl header details fieldset center table".split())
+#: Words of class or id attributes by what they say of such an element: adverts and reader comments never are article text, page
+#: furniture is none unless a section has a headline and prose, what else may be a box is none without these. Fixed values.
+ADVERTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored comment comments disqus respond replies".split())
+FURNITURE = frozenset(
+    "breadcrumb breadcrumbs consent cookie cookies footer gdpr login masthead nav navbar navigation newsletter pagination share sharing sidebar "
+    "signup social subscribe subscription toolbar topbar".split()
 )
+BOXES = frozenset("banner copyright disclaimer menu modal notice notices overlay pager popup promo promotion recommended related reply skip widget".split())
+#: Characters outside links that make a line prose. Fixed value.
+PROSE = 60
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 
 
@@ -53,9 +61,10 @@ class Line(NamedTuple):
     text: str
     tags: int  # tags since the line before
     linked: int  # characters inside links
-    holder: int  # region element that it stands in directly
+    holder: int  # region element that it stands in directly, below 0 if that is the page
     whole: int  # outermost article or main around it, or 0
     heading: bool
+    title: bool  # a headline of any level
 
 
 class _Lines(HTMLParser):
@@ -67,7 +76,7 @@ class _Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool]] = []  # (tag, skipped)
+        self.stack: list[tuple[str, bool, int]] = []  # (tag, skipped, first line of a doubtful block)
         self.open: Counter[str] = Counter()
         self.scopes: list[Counter[str]] = [Counter()]  # open elements by name since the last of SCOPES
         self.barriers: list[Counter[str]] = [Counter()]  # the same since the last of BARRIERS
@@ -77,32 +86,40 @@ class _Lines(HTMLParser):
         self.lines: list[Line] = []
         self.buffer: list[str] = []
         self.linked = 0
-        self.heading = False
+        self.heading = self.title = False
         self.tags = 0
 
     def end_line(self) -> None:
         text = " ".join("".join(self.buffer).split())
         self.buffer.clear()
         if text:
-            self.lines.append(Line(text, self.tags, self.linked, self.holders[-1], self.wholes[-1], self.heading))
+            self.lines.append(Line(text, self.tags, self.linked, self.holders[-1], self.wholes[-1], self.heading, self.title))
             self.tags = 0
         self.linked = 0
 
-    def _unwanted(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def _unwanted(self, tag: str, got: dict[str, str | None]) -> bool:
         inside = self.wholes[-1] > 0
         if tag in SKIP or tag == "header" and not inside:
             return True
-        got = dict(attrs)
         if "hidden" in got or (got.get("aria-hidden") or "").lower() == "true" or (got.get("role") or "").lower() in ROLES:
             return True
-        if "display:none" in (got.get("style") or "").replace(" ", "").lower():
-            return True
-        words = f"{got.get('class') or ''} {got.get('id') or ''}".lower()
-        words = words.replace("-", " ").replace("_", " ").split()
-        return tag not in ("html", "body", "article", "main") and any(w in MARKS or (w == "header" and not inside) for w in words)
-
-    def _push(self, tag: str, skipped: bool) -> None:
-        self.stack.append((tag, skipped))
+        return "display:none" in (got.get("style") or "").replace(" ", "").lower()
+
+    def _named(self, tag: str, got: dict[str, str | None]) -> str:
+        """What the names of a block say: ``out``, ``doubt`` (its text decides when it ends), or nothing."""
+        if tag not in NAMED and not (tag == "p" and got):
+            return ""
+        words = {w.lower() for w in _WORDS.findall(f"{got.get('class') or ''} {got.get('id') or ''}")}
+        if words & ADVERTS:
+            return "out" if tag in NAMED or len(words) == 1 else ""
+        if tag == "p":
+            return ""
+        if words & FURNITURE or "header" in words and not self.wholes[-1]:
+            return "doubt" if tag == "section" else "out"
+        return "doubt" if words & BOXES else ""
+
+    def _push(self, tag: str, skipped: bool, doubt: bool = False) -> None:
+        self.stack.append((tag, skipped, len(self.lines) if doubt else -1))
         self.skipped += skipped
         self.open[tag] += 1
         self.barriers[-1][tag] += 1
@@ -113,14 +130,16 @@ class _Lines(HTMLParser):
             self.scopes.append(Counter())
         if tag in REGIONS:
             self.ids += 1
-            self.holders.append(self.ids)
+            self.holders.append(-self.ids if tag in ("html", "body") else self.ids)
         if tag in ("article", "main"):
             self.wholes.append(self.wholes[-1] or self.ids)
 
     def _pop_to(self, tag: str) -> None:
         """Close elements up to the innermost open one of that name."""
         while True:
-            last, skipped = self.stack.pop()
+            last, skipped, start = self.stack.pop()
+            if start >= 0:
+                self._decide(start)
             if last in BARRIERS:
                 self.barriers.pop()
             if last in SCOPES:
@@ -136,6 +155,19 @@ class _Lines(HTMLParser):
             if last == tag:
                 return
 
+    def _decide(self, start: int) -> None:
+        """Drop the lines of a doubtful block that ends here, unless it has a headline and prose."""
+        self.end_line()
+        own = self.lines[start:]
+        if not (any(x.title for x in own) and any(len(x.text) - x.linked >= PROSE for x in own)):
+            del self.lines[start:]
+
+    def finish(self) -> None:
+        self.end_line()
+        for _, _, start in reversed(self.stack):
+            if start >= 0:
+                self._decide(start)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "br":
             self.buffer.append(" ")
@@ -152,10 +184,12 @@ class _Lines(HTMLParser):
                 self._pop_to(tag)
             elif tag in ("td", "th") and self.stack and self.stack[-1][0] in ("td", "th"):
                 self._pop_to(self.stack[-1][0])
-            self.heading = tag in HEADINGS
+            self.heading, self.title = tag in HEADINGS, tag in TITLES
         self.tags += 1
         if tag not in VOID:
-            self._push(tag, self._unwanted(tag, attrs))
+            got = dict(attrs)
+            named = self._named(tag, got)
+            self._push(tag, self._unwanted(tag, got) or named == "out", named == "doubt")
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -166,7 +200,7 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in BREAKS:
             self.end_line()
-            self.heading = False
+            self.heading = self.title = False
         # a stray end tag doesn't close what holds it
         if (self.open if tag in HOLDERS else self.barriers[-1])[tag] > 0:
             self._pop_to(tag)
@@ -196,7 +230,7 @@ def regions(lines: list[Line], sigma: float, cut: float, small: float) -> list[t
 
     Content lines are those whose ratio, smoothed over their neighbours, is above ``cut`` times the length-weighted
     mean. Two of them belong to one cluster unless most of what stands between is links; clusters under ``small`` of
-    the largest one go. A cluster also takes the lines next to it in its holder as far as they aren't mostly links,
+    the largest one go; of the element that the largest one stands in all lines stay that aren't mostly links. A cluster also takes the lines next to it in its holder as far as they aren't mostly links,
     and a headline just before it.
     """
     chars = np.array([len(x.text) for x in lines], float)
@@ -215,6 +249,7 @@ def regions(lines: list[Line], sigma: float, cut: float, small: float) -> list[t
         else:
             found[-1][1] = i + 1
     size = [all_chars[b] - all_chars[a] for a, b in found]
+    home = lines[found[int(np.argmax(size))][0]].holder  # what stands beside the largest cluster in its own element stays
     found = [x for x, n in zip(found, size, strict=True) if n >= small * max(size)]
     out: list[tuple[int, int]] = []
     for a, b in found:
@@ -227,7 +262,9 @@ def regions(lines: list[Line], sigma: float, cut: float, small: float) -> list[t
         if out and a <= out[-1][1]:
             a, b = out[-1][0], max(b, out.pop()[1])
         out.append((int(a), int(b)))
-    return out
+    covered = {i for a, b in out for i in range(a, b)}
+    out += [(i, i + 1) for i in range(len(lines)) if home > 0 and lines[i].holder == home and said[i] and i not in covered]
+    return sorted(out)
 
 
 def main_text(html: str | None, sigma: float = 1.5, cut: float = 0.35, small: float = 0.1) -> str:
@@ -244,7 +281,7 @@ def main_text(html: str | None, sigma: float = 1.5, cut: float = 0.35, small: fl
     parser = _Lines()
     parser.feed(html)
     parser.close()
-    parser.end_line()
+    parser.finish()
     lines = parser.lines
     if not lines:
         return ""
@@ -254,7 +291,10 @@ def main_text(html: str | None, sigma: float = 1.5, cut: float = 0.35, small: fl
         for x in lines[a:b]:
             size[x.whole] += len(x.text)
     if 2 * (size.total() - size[0]) >= size.total():
-        return "\n".join(x.text for x in lines if x.whole and size[x.whole])
+        whole = [i for i, x in enumerate(lines) if x.whole and size[x.whole]]
+        lead = whole[0] - 1
+        headed = any(lines[i].heading for i in whole) or lead < 0 or not lines[lead].heading
+        return "\n".join(lines[i].text for i in ([] if headed else [lead]) + whole)
     return "\n".join(x.text for a, b in runs for x in lines[a:b])
 
 

@@ -132,6 +132,31 @@ def test_clusters_choose_the_region_without_names():
         assert htmltext.main_text(page) == want, htmltext.main_text(page)
 
 
+PROSE = "A paragraph of prose that goes on for a while, long enough to be taken for a part of the story."
+
+
+@pytest.mark.parametrize("part, want", [
+    ('<pre><span class="hljs-comment"># set x</span> y</pre>', ["# set x y"]), ('<section id="related-work"><h2>Related work</h2><p>' + PROSE + "</p></section>", ["Related work", PROSE]),
+    ('<figure class="banner"><img><figcaption>cap</figcaption></figure>', ["cap"]), ('<p>see <span class="popup">the popup</span></p>', ["see the popup"]), ('<p class="social">Social words.</p>', ["Social words."]),
+    ('<section class="social-history"><h3>Social history</h3><p>' + PROSE + "</p></section>", ["Social history", PROSE]), ('<div class="notice-board"><h4>The board</h4><p>' + PROSE + "</p></div>", ["The board", PROSE]),
+    ('<div id="userComments"><h3>All</h3><p>' + PROSE + "</p></div>", []), ('<ol class="commentsList"><li>' + PROSE + "</li></ol>", []), ('<div class="ad">buy</div>', []), ('<p class="ad">buy</p>', []),
+    ('<div class="cookieNotice">we use them</div>', []), ('<div class="related"><h3>Related</h3><ul><li><a>x</a></li></ul></div>', []), ('<div class="newsletter"><h3>Sign up</h3><p>' + PROSE + "</p></div>", []),
+    ('<div class="popup">over <div class="related">inner</div></div>', []), ('<div class="popup">never closed', []),
+])
+def test_names_only_count_on_blocks_without_story(part, want):
+    first, last = f"{PROSE} {PROSE}", f"{PROSE} End."
+    page = f"<body><nav><a>home</a></nav><article><h1>T</h1><p>{first}</p>{part}<p>{last}</p></article><footer>f</footer></body>"
+    got = htmltext.main_text(page).split("\n")
+    assert got == ["T", first, *want, last] if "never" not in part else got == ["T", first]
+
+
+def test_what_ends_or_heads_the_story_stays():
+    page = f"<body><ul><li><a>m</a></li></ul><div><h1>T</h1><p>{PROSE * 9}</p><ul><li><a>one</a></li><li><a>two and more</a></li></ul><p>Closing words.</p></div><p>Imprint</p></body>"
+    assert htmltext.main_text(page) == "\n".join(["T", PROSE * 9, "Closing words."])
+    assert htmltext.main_text(f"<body><p>x</p><h1>Head</h1><article><p>{PROSE}</p></article></body>") == f"Head\n{PROSE}"
+    assert htmltext.main_text(f"<body><h1>Site</h1><article><h2>Own</h2><p>{PROSE}</p></article></body>") == f"Own\n{PROSE}"
+
+
 def test_html_time_is_linear():
     import time
     def took(n):
