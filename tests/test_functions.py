@@ -65,3 +65,15 @@ def test_plan_limits(spark):
     rows = [(1, n, "list", "q", "t", None, None, None, None, [], [], 0) for n in range(7)]
     out = planning.validate(spark.createDataFrame(rows, planning.PLAN_SCHEMA), spark.createDataFrame([(1, "q")], "question_id long, text string"))
     assert out.first().errors == ["at most 6 sub-queries"]
+
+
+def test_unknown_declarations_and_deep_nesting_of_pages():
+    import time
+    words = "word " * 50
+    for odd in ("<![foo[x]]>", "<![foo", "<!x>", "<?php echo 1 ?>", "<!-- open"):
+        assert pages.read_page(f"<article><p>a {words}</p>{odd}></article>")["text"].startswith("a word")
+    began = time.perf_counter()
+    got = pages.read_page("<article>" * 20_000 + f"<p>{words}</p>" + "</b></article>" * 20_000)
+    assert time.perf_counter() - began < 1.5 and got["text"] == words.strip() and got["method"] == "article"
+    nested = pages.read_page(f"<main><p>{words}</p><article><p>{words * 3}</p></article><p>{'<a>link</a> ' * 400}</p></main>")
+    assert nested["method"] == "article" and nested["words"] == 150
