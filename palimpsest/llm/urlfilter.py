@@ -39,7 +39,10 @@ def host_path(url: Column) -> tuple[Column, Column]:
 
 
 def match_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
-    """(rule, verdict) of the longest rule that fits, else null. Rules are (verdict, host/path)."""
+    """(rule, verdict) of the longest rule that fits, else null. Rules are (verdict, host/path).
+
+    Of equally long ones the later by code points wins, of a rule that is listed twice the last in the list.
+    """
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
     for verdict, rule in sorted(rules, key=lambda r: (len(r[1]), r[1])):
         at, _, rest = rule.partition("/")
@@ -55,14 +58,14 @@ def join_rules(urls: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     long as a path of these hosts' rules: equal keys throughout, so a host with many rules meets no rule in vain.
     """
     spark = urls.sparkSession
-    table = spark.createDataFrame([(r.partition("/")[0], "/" + r.partition("/")[2], r, v) for v, r in rules], "r_host string, r_path string, rule string, verdict string")
+    table = spark.createDataFrame([(r.partition("/")[0], "/" + r.partition("/")[2], r, i, v) for i, (v, r) in enumerate(rules)], "r_host string, r_path string, rule string, i int, verdict string")
     lengths = table.groupBy("r_host").agg(F.collect_set(F.length("r_path")).alias("lengths"))
     labels = F.split("host", r"\.")
     above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     pairs = urls.select("host", "path").distinct().withColumn("r_host", F.explode(above)).join(lengths, "r_host")
     pairs = pairs.withColumn("n", F.explode(F.filter("lengths", lambda n: n <= F.length("path")))).withColumn("r_path", F.substring(F.col("path"), F.lit(1), F.col("n")))
     best = pairs.join(table, ["r_host", "r_path"]).groupBy(F.col("host").alias("h"), F.col("path").alias("p")).agg(
-        F.max(F.struct(F.length("rule").alias("n"), "rule", "verdict")).alias("__best"))
+        F.max(F.struct(F.length("rule").alias("n"), "rule", "i", "verdict")).alias("__best"))
     hit = F.when(F.col("__best").isNotNull(), F.struct(F.col("__best.rule").alias("rule"), F.col("__best.verdict").alias("verdict")))
     return urls.join(best, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left").withColumn("__hit", hit).drop("h", "p", "__best")
 

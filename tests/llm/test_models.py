@@ -162,6 +162,7 @@ def test_rules_by_join_are_rules_by_expression(spark, monkeypatch):
     hosts = ["com", "net", "a.com", "b.a.com", "x.net", "", "a.b.c.d.net"]
     paths = ["", "a", "a/", "a/b", "b/c/d", "ab"]
     rules = [(rng.choice(["allow", "block"]), r) for r in {f"{rng.choice(hosts)}/{rng.choice(paths)}" for _ in range(60)}]
+    rules += [({"allow": "block", "block": "allow"}[v], r) for v, r in rng.sample(rules, 15)]  # listed twice, the last counts
     urls = [(i, f"http://{rng.choice(['', 'w.', 'b.'])}{rng.choice(hosts)}{rng.choice(['', '/'])}{rng.choice(paths)}?q") for i in range(300)] + [(999, None), (1000, "no scheme")]
     df = spark.createDataFrame(urls, URL)
     none = df.where("false").withColumn("label", F.lit(1.0))
@@ -170,8 +171,8 @@ def test_rules_by_join_are_rules_by_expression(spark, monkeypatch):
     monkeypatch.setattr(urlfilter, "MAX_RULES", 3)
     assert sorted(map(key, urlfilter.judge(df, none, rules).collect())) == one
     for _, h, p, rule, verdict in one:
-        fits = [(len(r), r, v) for v, r in rules if (h == r.partition("/")[0] or h.endswith("." + r.partition("/")[0])) and p.startswith("/" + r.partition("/")[2])]
-        assert (rule, verdict) == (max(fits)[1:] if fits else (None, "allow"))
+        fits = [(len(r), r, i, v) for i, (v, r) in enumerate(rules) if (h == r.partition("/")[0] or h.endswith("." + r.partition("/")[0])) and p.startswith("/" + r.partition("/")[2])]
+        assert (rule, verdict) == ((max(fits)[1], max(fits)[3]) if fits else (None, "allow"))
 
 
 def test_url_query_is_brute_force_but_for_the_trees(spark):
