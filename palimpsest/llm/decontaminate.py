@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import pandas as pd
@@ -128,8 +129,8 @@ def decontaminate(
     distance of the item to the words around a hit decides. Case, punctuation and white space don't count.
 
     A benchmark of up to ``block_items`` items and ``block_chars`` characters is broadcast; a larger one is cut into
-    blocks of about that size by hash, each of which takes a pass over the documents that ends in a written table, so
-    neither the driver nor a worker ever holds more than one block. Null and empty texts hold nothing, very long ones
+    blocks of about that size by hash, each of which takes a pass over the documents and leaves a table of the texts (by digest)
+    that hold some of it, so neither the driver nor a worker ever holds more than one block, and documents are shuffled once. Null and empty texts hold nothing, very long ones
     are searched whole; null or wordless items match nothing; items with equal texts are all reported; repeated rows
     get equal answers; empty tables are allowed on either side; an extra column named ``out`` is replaced.
     """
@@ -137,12 +138,16 @@ def decontaminate(
     bound_batches(docs.sparkSession)
     n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("t")), F.lit(0))).first()
     blocks = max(1, -(-n // block_items), -(-chars // block_chars))
+    broadcast = lambda rows: docs.sparkSession.sparkContext.broadcast([(r.i, r.t) for r in rows.collect()])
+    if blocks == 1:
+        return docs.withColumn(out, _finder(broadcast(items), error_rate)(F.col(text)))
+    hits = []
     for k in range(blocks):
-        rows = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
-        block = docs.sparkSession.sparkContext.broadcast([(r.i, r.t) for r in rows.collect()])
-        found = _finder(block, error_rate)(F.col(text))
-        docs = docs.withColumn(out, F.array_sort(F.array_distinct(F.concat(F.col(out), found))) if k else found)
-        if blocks > 1:
-            docs = materialize(docs)
-            block.destroy()
-    return docs
+        block = broadcast(items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k))
+        found = docs.select(F.md5(text).alias("__text"), _finder(block, error_rate)(F.col(text)).alias("__held")).where(F.size("__held") > 0)
+        hits.append(materialize(found.groupBy("__text").agg(F.first("__held").alias("__held"))))
+        block.destroy()
+    held = reduce(DataFrame.unionByName, hits).groupBy("__text").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("__held")))).alias("__held"))
+    kept = [docs[c] for c in docs.columns if c != out]
+    joined = docs.join(held, F.md5(docs[text]) == held["__text"], "left")
+    return joined.select(*kept, F.coalesce(held["__held"], F.array().cast("array<bigint>")).alias(out))

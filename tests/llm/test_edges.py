@@ -57,6 +57,8 @@ def test_benchmark_in_blocks_is_the_benchmark_whole(spark):
     docs = frame(spark, [(d, f"before {items[d][1]} after", None, None) for d in range(40)] + ODD)
     one = {(r.doc_id, r.text): r.bench_items for r in decontaminate.decontaminate(docs, bench).collect()}
     many = {(r.doc_id, r.text): r.bench_items for r in decontaminate.decontaminate(docs, bench, block_chars=400).collect()}
+    clash = decontaminate.decontaminate(docs.selectExpr("*", "text AS __text", "doc_id AS __held"), bench, block_chars=400)
+    assert clash.columns == [*docs.columns, "__text", "__held", "bench_items"] and clash.count() == docs.count()
     assert one == many and all(d in one[d, f"before {items[d][1]} after"] for d in range(40))
 
 
