@@ -179,12 +179,12 @@ def link_vectors(
     rows = rows.withColumn("v", F.when(F.coalesce(fine, F.lit(False)), F.transform("v", lambda x: x / largest)))
     rows = materialize(rows.withColumn("v", F.when(F.col("v").isNotNull(), F.transform("v", lambda x: x / F.sqrt(norm2)))))
     classes = rows.where("v is not null").groupBy("label", "v").agg(F.min("vec_id").alias("vec"), F.count("*").alias("m"))
-    classes = materialize(classes.withColumn("h", F.xxhash64("label", "v")))
-    # of the classes that share their least vec_id all but one are nodes under a number of their own
-    twice = classes.groupBy(F.col("vec").alias("vec2")).agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi")
-    node = F.when(F.col("lo").isNull() | (F.col("h") == F.col("lo")), F.col("vec")).otherwise(F.shiftright("h", 2) + F.lit(1 << 62))
-    classes = classes.join(twice, F.col("vec") == F.col("vec2"), "left").select("label", "v", "vec", "m", node.alias("id"))
-    classes = materialize(classes)
+    with Scratch(spark) as first:
+        classes = first.write(classes.withColumn("h", F.xxhash64("label", "v")))
+        # of the classes that share their least vec_id all but one are nodes under a number of their own
+        twice = classes.groupBy(F.col("vec").alias("vec2")).agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi")
+        node = F.when(F.col("lo").isNull() | (F.col("h") == F.col("lo")), F.col("vec")).otherwise(F.shiftright("h", 2) + F.lit(1 << 62))
+        classes = materialize(classes.join(twice, F.col("vec") == F.col("vec2"), "left").select("label", "v", "vec", "m", node.alias("id")))
     lone = rows.where("v is null").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     n, dims = classes.agg(F.count("*"), F.max(F.size("v"))).first()  # vectors of other lengths are filled up with zeros
     if not n:
