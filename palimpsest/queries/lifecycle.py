@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.operators import lifecycle as lc
+from palimpsest.operators import validity as va
 from palimpsest.queries.registry import Tables, query
 from palimpsest.sources import storage as st
+from palimpsest.sources.storage import shared_dir
+from palimpsest.streaming import jobs
 
 #: Unique numbers of operations: two lines of an order can bear one number.
 _SEQ = "(l_orderkey % 8 * 8 + l_linenumber) * 100000000000000 + l_partkey * 100000000 + l_suppkey * 100 + CAST(l_quantity AS BIGINT) AS seq"
@@ -231,3 +237,51 @@ def c_relation_fix(t: Tables) -> DataFrame:
 @query("SELECT item_id, entity_id, role FROM item_entities UNION ALL SELECT l_orderkey, l_partkey, 'made' FROM lineitem")
 def sink_insert(t: Tables) -> DataFrame:
     return st.insert(t["item_entities"], t["lineitem"].selectExpr("l_orderkey AS item_id", "l_partkey AS entity_id", "'made' AS role"))
+
+
+# ---------------------------------------------------------------- facts with two times
+
+def _timeline_sql(known: str = "TRUE") -> str:
+    """Intervals between all starts and ends of a key, the last learnt fact of each, neighbours of one fact joined."""
+    return (f"f AS (SELECT * FROM facts WHERE {known}), t AS (SELECT subject_id, predicate, valid_from AS t FROM f UNION SELECT subject_id, predicate, valid_to FROM f WHERE valid_to IS NOT NULL), "
+            "s AS (SELECT *, lead(t) OVER (PARTITION BY subject_id, predicate ORDER BY t) AS z FROM t), "
+            "w AS (SELECT s.subject_id, s.predicate, s.t, s.z, arg_max(f.fact_id, struct_pack(a := f.learnt_at, b := f.fact_id)) AS fact_id, max(f.learnt_at) AS learnt_at FROM s JOIN f ON f.subject_id = s.subject_id AND f.predicate = s.predicate "
+            "AND f.valid_from <= s.t AND (f.valid_to IS NULL OR f.valid_to > s.t) GROUP BY 1, 2, 3, 4), "
+            "b AS (SELECT *, CASE WHEN lag(fact_id) OVER k = fact_id AND lag(z) OVER k = t THEN 0 ELSE 1 END AS new FROM w WINDOW k AS (PARTITION BY subject_id, predicate ORDER BY t)), "
+            "g AS (SELECT *, sum(new) OVER (PARTITION BY subject_id, predicate ORDER BY t) AS n FROM b), "
+            "line AS (SELECT subject_id, predicate, fact_id, min(t) AS valid_from, arg_max(z, t) FILTER (WHERE z IS NOT NULL) AS z, bool_or(z IS NULL) AS open, max(learnt_at) AS learnt_at FROM g GROUP BY subject_id, predicate, n, fact_id) ")
+
+
+_LINES = "SELECT subject_id, predicate, fact_id, epoch(valid_from)::BIGINT AS valid_from, CASE WHEN NOT open THEN epoch(z)::BIGINT END AS valid_to, epoch(learnt_at)::BIGINT AS learnt_at FROM line"
+
+
+def _seconds(lines: DataFrame) -> DataFrame:
+    return lines.select("subject_id", "predicate", "fact_id", *[F.unix_seconds(c).alias(c) for c in ("valid_from", "valid_to", "learnt_at")])
+
+
+@query(f"WITH {_timeline_sql()} {_LINES}")
+def v_timeline(t: Tables) -> DataFrame:
+    """What holds when, of all facts."""
+    return _seconds(va.timeline(t["facts"]))
+
+
+@query("WITH " + _timeline_sql("learnt_at <= TIMESTAMP '1997-01-01'") + _LINES)
+def v_timeline_known(t: Tables) -> DataFrame:
+    """What held when, as it was known at the start of a year."""
+    return _seconds(va.timeline(t["facts"], datetime(1997, 1, 1)))
+
+
+@query("SELECT subject_id, predicate, arg_max(fact_id, struct_pack(a := learnt_at, b := fact_id)) AS fact_id FROM facts WHERE learnt_at <= TIMESTAMP '1998-06-01' AND valid_from <= TIMESTAMP '1996-03-01' AND (valid_to IS NULL OR valid_to > TIMESTAMP '1996-03-01') GROUP BY 1, 2")
+def v_as_of(t: Tables) -> DataFrame:
+    """What held at one time, as it was known at another."""
+    return va.as_of(t["facts"], datetime(1996, 3, 1), datetime(1998, 6, 1))
+
+
+@query(f"WITH {_timeline_sql()} {_LINES}")
+def st_late_data(t: Tables) -> DataFrame:
+    """The same timeline from a stream that brings half of the facts, with those learnt last among them, before the others."""
+    base = f"{shared_dir(t.spark)}/palimpsest/late-{uuid.uuid4().hex}"
+    for half in (1, 0):
+        t["facts"].where(F.col("fact_id") % 2 == half).write.parquet(f"{base}/in/half{half}")
+        lines = va.late_facts(jobs.read_table(t.spark, f"{base}/in"), f"{base}/job")
+    return _seconds(lines)

@@ -100,6 +100,13 @@ SELECT i.item_id AS draft_id, i.kind, i.subtype, i.subject_entity_id, i.predicat
 FROM {items} i LEFT JOIN {embeddings} e ON e.vec_id = i.item_id % 500
 """
 
+MODEL["facts"] = """
+SELECT o_orderkey AS fact_id, o_custkey % 100 AS subject_id, 'p' || CAST(o_orderkey % 5 AS STRING) AS predicate, CAST(o_orderdate AS TIMESTAMP) AS valid_from,
+  CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderdate AS TIMESTAMP) + (o_orderkey * 13 % 400 + 1) * INTERVAL '1' DAY END AS valid_to,
+  CAST(o_orderdate AS TIMESTAMP) + (o_orderkey * 37 % 900) * INTERVAL '1' DAY AS learnt_at
+FROM {orders}
+"""
+
 MODEL["links"] = """
 SELECT item_id AS src, 'supersedes' AS link_type, prev AS dst FROM (
   SELECT o_orderkey AS item_id, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS prev FROM {orders}) t
