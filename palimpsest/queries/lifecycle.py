@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators import lifecycle as lc
 from palimpsest.operators import validity as va
+from palimpsest.queries.reads import stored
 from palimpsest.queries.registry import Tables, query
 from palimpsest.sources import storage as st
 from palimpsest.sources.storage import shared_dir
@@ -236,7 +237,11 @@ def c_relation_fix(t: Tables) -> DataFrame:
 
 @query("SELECT item_id, entity_id, role FROM item_entities UNION ALL SELECT l_orderkey, l_partkey, 'made' FROM lineitem")
 def sink_insert(t: Tables) -> DataFrame:
-    return st.insert(t["item_entities"], t["lineitem"].selectExpr("l_orderkey AS item_id", "l_partkey AS entity_id", "'made' AS role"))
+    table = stored(t, t["item_entities"], ["item_id"])
+    new = t["lineitem"].selectExpr("l_orderkey AS item_id", "l_partkey AS entity_id", "'made' AS role")
+    table.insert(new, 1)
+    table.insert(new, 1)  # a batch that comes again is there once
+    return table.read()
 
 
 # ---------------------------------------------------------------- facts with two times

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -13,6 +14,7 @@ from palimpsest.operators import tools as tl
 from palimpsest.operators.filters import Access, Filters, Window
 from palimpsest.queries.registry import Tables, query
 from palimpsest.sources import storage as st
+from palimpsest.sources.buckets import BucketTable
 
 ALL = Access()
 NOW = datetime(1998, 3, 10, 9, 30)
@@ -60,26 +62,36 @@ def page_keyset(t: Tables) -> DataFrame:
     return ids(st.page_before(t["items"], "item_id", 5000, 50))
 
 
+def stored(t: Tables, rows: DataFrame, key: list[str]) -> BucketTable:
+    """A table in buckets that a query writes to."""
+    return BucketTable.create(rows, f"{st.shared_dir(t.spark)}/palimpsest/table-{uuid.uuid4().hex}", key, 16)
+
+
 @query("SELECT * FROM entities WHERE kind = 'place' UNION ALL SELECT entity_id, kind, upper(name), status FROM entities WHERE kind <> 'place' "
        "AND entity_id NOT IN (SELECT entity_id FROM entities WHERE kind = 'place')")
 def sink_upsert(t: Tables) -> DataFrame:
-    known = t["entities"].where("kind = 'place'")
-    return st.upsert_missing(known, t["entities"].withColumn("name", F.upper("name")), ["entity_id"])
+    table = stored(t, t["entities"].where("kind = 'place'"), ["entity_id"])
+    table.upsert_missing(t["entities"].withColumn("name", F.upper("name")), 1)
+    return table.read()
 
 
 @query("SELECT item_id, entity_id, role FROM item_entities WHERE item_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 10 = 0) "
        "UNION ALL SELECT o_orderkey, o_custkey, 'by' FROM orders WHERE o_orderkey % 10 = 0")
 def sink_replace_set(t: Tables) -> DataFrame:
     new = t["orders"].where("o_orderkey % 10 = 0").selectExpr("o_orderkey AS item_id", "o_custkey AS entity_id", "'by' AS role")
-    return st.replace_sets(t["item_entities"], new, ["item_id"])
+    table = stored(t, t["item_entities"], ["item_id"])
+    table.replace_sets(new, 1)
+    return table.read()
 
 
 @query("WITH c AS (SELECT item_id, count(*) AS n FROM access GROUP BY 1) SELECT a.item_id, c.n AS access_count, "
        "CASE WHEN a.item_id % 2 = 0 THEN 'new' ELSE 'old' END AS title FROM (SELECT DISTINCT item_id FROM access) a JOIN c ON a.item_id = c.item_id")
 def sink_replace(t: Tables) -> DataFrame:
-    stored = st.access_counters(t["access"]).select("item_id", "access_count", F.lit("old").alias("title"))
-    new = stored.where("item_id % 2 = 0").select("item_id", F.lit(0).cast("bigint").alias("access_count"), F.lit("new").alias("title"))
-    return st.replace_rows(stored, new, "item_id", ["access_count"])
+    before = st.access_counters(t["access"]).select("item_id", "access_count", F.lit("old").alias("title"))
+    new = before.where("item_id % 2 = 0").select("item_id", F.lit(0).cast("bigint").alias("access_count"), F.lit("new").alias("title"))
+    table = stored(t, before, ["item_id"])
+    table.replace_rows(new, 1, ["access_count"])
+    return table.read()
 
 
 @query("SELECT l.turn_id, l.seq, w.owner_id, (l.system OR coalesce(o.o_orderpriority = '5-LOW', FALSE)) AS system FROM ledger l "

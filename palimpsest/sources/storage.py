@@ -73,14 +73,6 @@ def touching(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return a.unionByName(edges.join(n, F.col("dst") == F.col("node"), "left_semi")).distinct()
 
 
-def insert(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """Append rows to a stored set of Parquet files, and read the set back; rows are not compared with what is there."""
-    path = f"{shared_dir(stored.sparkSession)}/palimpsest/{uuid.uuid4().hex}"
-    for rows in (stored, new.select(*stored.columns)):
-        rows.write.mode("append").parquet(path)
-    return stored.sparkSession.read.schema(stored.schema).parquet(path)
-
-
 def upsert_missing(stored: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """Insert what is not there by key, leave what is; of new rows with one key the least stays."""
     first = new.withColumn("__n", F.row_number().over(W.partitionBy(*key).orderBy(*[c for c in new.columns if c not in key])))
