@@ -22,6 +22,7 @@ from palimpsest.queries.reads import _DISTANCE, ALL, SCOPE
 from palimpsest.queries.registry import Tables, query
 from palimpsest.queries.rest import _LEX, _SCORED, _VEC, VECTOR, _scored, lexical
 from palimpsest.queries.words import known
+from palimpsest.sources import files
 from palimpsest.sources import storage as st
 from palimpsest.streaming import jobs
 from palimpsest.streaming import state as sst
@@ -549,8 +550,9 @@ def src_json_runs(t: Tables) -> DataFrame:
     runs = t["orders"].selectExpr("CAST(o_custkey % 40 AS STRING) AS run_id", f"{case} AS c").groupBy("run_id").agg(F.collect_list("c").alias("cases"))
     path = f"{st.shared_dir(t.spark)}/palimpsest/runs-{datetime.now().strftime('%H%M%S%f')}"
     runs.selectExpr("run_id", "'recall' AS suite", "'live' AS mode", "'complete' AS status", "'1998-03-10' AS started_at", "cases").repartition(4, "run_id").write.json(path)
-    rows = st.run_cases(t.spark, path, multiline=False)
-    return rows.groupBy(F.col("run_id").cast("bigint").alias("run_id")).agg(F.count("*").alias("cases"), F.count_if("case.passed").alias("passed"), F.sum("case.latency_ms").cast("bigint").alias("latency"), F.sum(F.size("case.calls")).alias("calls"))
+    files.register(t.spark)
+    rows = t.spark.read.format("run_files").option("lines", "true").load(path)
+    return rows.groupBy(F.col("run_id").cast("bigint").alias("run_id")).agg(F.count("*").alias("cases"), F.count_if("passed").alias("passed"), F.sum("latency_ms").cast("bigint").alias("latency"), F.sum("calls").alias("calls"))
 
 
 @query("SELECT 'item' AS what, item_id AS id FROM (SELECT item_id FROM items WHERE workspace_id = 2 AND status = 'active' AND sensitivity = 'normal' ORDER BY created_at DESC, item_id DESC LIMIT 20) "

@@ -13,6 +13,7 @@ from palimpsest.operators import filters as fl
 from palimpsest.operators import tools as tl
 from palimpsest.operators.filters import Access, Filters, Window
 from palimpsest.queries.registry import Tables, query
+from palimpsest.sources import files
 from palimpsest.sources import storage as st
 from palimpsest.sources.buckets import BucketTable
 
@@ -121,11 +122,17 @@ def sink_purge(t: Tables) -> DataFrame:
     return count("items").unionByName(count("ledger"))
 
 
-@query("SELECT 'run_' || (i + 1)::VARCHAR AS key, strftime(TIMESTAMP '2026-01-05' + to_days((i * 3)::INT), '%Y-%m-%d') AS day, "
-       "(['5', '7', '10'])[(i % 3 + 1)::INT] AS distance FROM (SELECT unnest(range(40)) AS i)")
+@query("SELECT 'run' || c_custkey || '_' || (i + 1) AS key, strftime(TIMESTAMP '2026-01-05' + to_days((i * (c_custkey % 5 + 1))::INT), '%Y-%m-%d') AS day, (['5', '7', '10'])[(i % 3 + 1)::INT] AS distance, c_name AS who "
+       "FROM (SELECT c_custkey, c_name, unnest(range(c_custkey % 9)) AS i FROM customer)")
 def src_yaml_spec(t: Tables) -> DataFrame:
-    out = st.series(t.spark, "run", 40, "2026-01-05", 3, {"distance": ["5", "7", "10"]})
-    return out.select("key", F.date_format("at", "yyyy-MM-dd").alias("day"), "distance")
+    """Specifications written as files of lines, one series for each customer, and read back row by row."""
+    spec = F.to_json(F.expr("named_struct('name', concat('run', c_custkey), 'count', c_custkey % 9, 'start', '2026-01-05', 'every_days', c_custkey % 5 + 1, "
+                            "'fields', named_struct('who', c_name), 'vary', named_struct('distance', array('5', '7', '10')))"))
+    path = f"{st.shared_dir(t.spark)}/palimpsest/specs-{uuid.uuid4().hex}"
+    t["customer"].select(spec.alias("value")).repartition(4).write.text(path)
+    files.register(t.spark)
+    out = t.spark.read.format("spec_files").option("lines", "true").load(path)
+    return out.select("key", F.substring("at", 1, 10).alias("day"), "distance", "who")
 
 
 @query("SELECT * FROM (VALUES ('-12d 07:30', '2026-09-24 02:00'), ('+3d', '2026-10-08 18:30'), ('2026-01-02T10:00Z', '2026-01-02 10:00'), "
