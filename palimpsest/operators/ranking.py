@@ -5,11 +5,15 @@ The lexical half is cover density over a positional index of stems (``lexicon``)
 
 from __future__ import annotations
 
+from dataclasses import replace
+from datetime import UTC, datetime, timedelta
+from zoneinfo import ZoneInfo
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.operators.filters import Access, Filters, apply
+from palimpsest.operators.filters import Access, Filters, Window, apply
 from palimpsest.operators.lexicon import Lexicon, best
 from palimpsest.schema import ANSWER_TOP, COUNT_CHECK, HISTORY_DEMOTION, HISTORY_STATES, LIST_MAX, POOL, RERANK_MIN, RRF_K, SOFT_EXTRAS
 
@@ -64,11 +68,22 @@ def search(keys: DataFrame, index: Lexicon, items: DataFrame, question: str, vec
 
 
 def fuse(hits: DataFrame, items: DataFrame, shape: str, k: int = RRF_K, demotion: float = HISTORY_DEMOTION) -> DataFrame:
-    """Channels(channel, item_id, rank) fused per item: sum of 1/(k + rank), history rows halved unless the shape asks for them."""
-    per = hits.groupBy("item_id").agg(F.sum(F.lit(1.0) / (F.lit(k) + F.col("rank"))).alias("s"), F.countDistinct("channel").alias("channels"), F.min("rank").alias("best"))
+    """Hits(channel, item_id, rank) fused per item: (item_id, fused, channels, best, demoted), and with the columns lexical, dense and key_id
+    the best scores of both kinds and the key that matched.
+
+    ``fused`` is the sum of 1 / (k + rank) over all hits, halved for what no longer holds unless the shape asks for it; ``best`` the least rank. The key is that
+    of the best hit by meaning (channel ``soft``), else of the first channel that has one.
+    """
+    extra = [c for c in ("lexical", "dense") if c in hits.columns]
+    aggs = [F.sum(F.lit(1.0) / (F.lit(k) + F.col("rank"))).alias("s"), F.countDistinct("channel").alias("channels"), F.min("rank").alias("best"), *[F.max(c).alias(c) for c in extra]]
+    if "key_id" in hits.columns:
+        order = F.struct(F.col("channel") != "soft", "channel", "rank", "key_id")
+        aggs.append(F.min_by("key_id", F.when(F.col("key_id").isNotNull(), order)).alias("key_id"))
+        extra.append("key_id")
+    per = hits.groupBy("item_id").agg(*aggs)
     past = F.col("state").isin(*HISTORY_STATES) | F.col("valid_to").isNotNull()
     factor = F.lit(1.0) if shape in ("history", "why") else F.when(past, demotion).otherwise(1.0)
-    return per.join(items, "item_id").select("item_id", F.round(F.col("s") * factor, 9).alias("fused"), "channels", "best", past.alias("demoted"))
+    return per.join(items.select("item_id", "state", "valid_to"), "item_id").select("item_id", F.round(F.col("s") * factor, 9).alias("fused"), "channels", "best", *extra, past.alias("demoted"))
 
 
 def select_ranked(rows: DataFrame, top: int = ANSWER_TOP, floor: float = RERANK_MIN) -> DataFrame:
@@ -94,22 +109,81 @@ def look_alikes(soft: DataFrame, counted: DataFrame, floor: float = COUNT_CHECK)
     return soft.where(F.col("score") >= floor).join(counted, ["question_id", "item_id"], "left_anti")
 
 
-def relax(items: DataFrame, filters: Filters, access: Access, item_entities: DataFrame | None = None) -> DataFrame:
-    """The hits of the first non-empty step of the ladder: as asked, then without category, subtypes, states, window, entities.
+def month_window(w: Window, pad: int, timezone: str) -> Window:
+    """A window widened to whole local months and by ``pad`` months on either side; an open end stays open."""
+    zone = ZoneInfo(timezone)
 
-    Steps add up. All are branches of one plan tagged by step, and the least step that has rows stays, so nothing is
-    collected to decide.
-    """
-    steps, cur = [filters], filters
-    for name in ("category", "subtypes", "states", "window", "entity_ids"):
-        if getattr(cur, name) not in ((), None):
+    def first_of(at: datetime, months: int) -> datetime:
+        local = at.replace(tzinfo=UTC).astimezone(zone)
+        n = local.year * 12 + local.month - 1 + months
+        return datetime(n // 12, n % 12 + 1, 1, tzinfo=zone).astimezone(UTC).replace(tzinfo=None)
+
+    return Window(w.clock, w.start and first_of(w.start, -pad), w.end and first_of(w.end - timedelta(microseconds=1), 1 + pad))
+
+
+def ladder(filters: Filters, timezone: str = "UTC", missing_entity: bool = False) -> list[tuple[str, Filters]]:
+    """What is asked, then the steps that loosen it, of those that change something: without category, subtypes, states, by the whole month,
+    by a month more on either side, without entities (unless the one asked for isn't known)."""
+    steps, cur = [("asked", filters)], filters
+    for name, step in (("category", "category"), ("subtypes", "subtype"), ("states", "state")):
+        if getattr(cur, name):
             cur = cur.without(name)
-            steps.append(cur)
+            steps.append((step, cur))
+    if cur.window is not None:
+        for pad, step in ((0, "window_month"), (1, "window_wide")):
+            cur = replace(cur, window=month_window(cur.window, pad, timezone))
+            steps.append((step, cur))
+    if cur.entity_ids and not missing_entity:
+        steps.append(("entity", cur.without("entity_ids", "roles")))
+    return steps
+
+
+def relax(items: DataFrame, filters: Filters, access: Access, item_entities: DataFrame | None = None, timezone: str = "UTC", missing_entity: bool = False) -> DataFrame:
+    """(item_id, step): the hits of the first step of the ``ladder`` that has any.
+
+    Steps add up. All are branches of one plan, and the first that has rows stays, so nothing is collected to decide.
+    """
     out = None
-    for i, f in enumerate(steps):
-        part = apply(items, f, access, item_entities).select("item_id", F.lit(i).alias("step"))
+    for i, (name, f) in enumerate(ladder(filters, timezone, missing_entity)):
+        part = apply(items, f, access, item_entities).select("item_id", F.lit(i).alias("n"), F.lit(name).alias("step"))
         out = part if out is None else out.unionByName(part)
-    return out.join(F.broadcast(out.agg(F.min("step").alias("step"))), "step").select("item_id", "step")
+    return out.join(F.broadcast(out.agg(F.min("n").alias("n"))), "n").select("item_id", "step")  # one row is broadcast
+
+
+#: Shapes whose answer is a list; settings of the answer. Fixed values.
+LIST_LIKE, PASSAGE_FLOOR = ("list", "set", "time_window", "situational"), 0.4
+
+
+def select(candidates: DataFrame, questions: DataFrame, counted: DataFrame, top: int = ANSWER_TOP, cap: int = LIST_MAX, floor: float = RERANK_MIN) -> DataFrame:
+    """(question_id, item_id, n, why, more): what reaches the answer of each question, in order, by the shape of the question.
+
+    Candidates(question_id, item_id, place, filtered, soft_only, lexical, rerank, passage, demoted, occurred_start, due_at, mentioned_at);
+    questions(question_id, shape, missing_entity, by_code, reranked, start, end). A question for an unknown entity has none. A count cites
+    what was counted(question_id, item_id, n), in that order. A list has its first ``cap`` filtered hits, none that no longer hold if others do, and ``top`` extras found
+    by meaning alone that pass the bar, which a set has none of and a time window only from its period; ``more`` counts what the cap left out. Others have the
+    ``top`` best by the judge's score at ``floor`` or more, else by place if filtered or sharing words; of these, what no longer holds only if nothing else is there.
+    """
+    rows = candidates.join(questions, "question_id").where("NOT missing_entity")
+    clamped = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("rerank")))
+    lifted = F.col("passage") & (F.coalesce("lexical", F.lit(0.0)) > 0) & (clamped.isNull() | (clamped < PASSAGE_FLOOR))
+    rows = rows.withColumn("score", F.when(F.col("reranked"), F.when(lifted, F.lit(PASSAGE_FLOOR)).otherwise(clamped)))
+    words = F.coalesce("lexical", F.lit(0.0)) > 0
+    rows = rows.withColumn("passes", F.when(F.col("score").isNotNull(), F.col("score") >= floor).otherwise(words))
+    by = W.partitionBy("question_id")
+    cut = lambda df, n, *order: df.withColumn("n", F.row_number().over(by.orderBy(*order))).where(F.col("n") <= n)
+    result = lambda df, why, more=F.lit(0): df.select("question_id", "item_id", F.col("n").cast("bigint").alias("n"), F.lit(why).alias("why"), more.cast("bigint").alias("more"))
+    count = rows.where("shape = 'count'").join(counted.withColumnRenamed("n", "at"), ["question_id", "item_id"]).withColumn("n", F.row_number().over(by.orderBy("at", "item_id")))
+    listed = rows.where((F.col("shape") != "count") & (F.col("shape").isin(*LIST_LIKE) | F.col("by_code")))
+    base = current_first(listed.where("filtered"))
+    total = base.groupBy("question_id").agg(F.count("*").alias("total"))
+    kept = cut(base, cap, "place", "item_id").join(total, "question_id")
+    extra = listed.where(F.col("soft_only") & F.col("passes") & (F.col("shape") != "set") & ((F.col("shape") != "time_window") | in_period(F.col("start"), F.col("end"))))
+    extra = cut(extra.where(~(F.col("filtered"))), top, "place", "item_id").withColumn("n", F.col("n") + cap)
+    others = rows.where((F.col("shape") != "count") & ~F.col("shape").isin(*LIST_LIKE) & ~F.col("by_code"))
+    fine = others.where(F.when(F.col("reranked"), F.coalesce(F.col("score") >= floor, F.lit(False))).otherwise(F.col("filtered") | words))
+    ranked = current_first(cut(fine, top, F.when(F.col("reranked"), F.col("score")).desc(), "place", "item_id"))
+    out = result(count, "counted").unionByName(result(kept, "listed", F.greatest(F.lit(0), F.col("total") - cap)))
+    return out.unionByName(result(extra, "extra")).unionByName(result(ranked, "ranked"))
 
 
 def conversation(said: DataFrame, index: Lexicon, question: str, vector: list[float], role: str | None = None, exclude: int | None = None, limit: int = 10, k: int = RRF_K) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions.recurrence import expand_rrules
+from palimpsest.operators.graph import parts
 from palimpsest.operators.filters import Access, Filters, Window, apply, entity_items, in_window, live_rank, point_in, scoped
 from palimpsest.schema import DIMENSION_UNITS, LENGTH_HOURS
 
@@ -136,21 +137,13 @@ def entity_tool(reached: DataFrame, items: DataFrame, item_entities: DataFrame,
 def supersede_chain(seeds: DataFrame, links: DataFrame) -> DataFrame:
     """(item_id) of the seeds and all items joined to them by ``supersedes`` links, either way, however long the chain.
 
-    Breadth first: each round is one join of the frontier with the edges, less what is known, and is written out, so
-    the plan stays short. Rounds go on until one finds nothing.
+    The links are taken apart into connected parts (``graph.parts``), which takes a number of rounds that grows with the logarithm of the
+    longest chain; then those of the seeds are looked up.
     """
-    from palimpsest.sources.storage import materialize
-
-    edges = links.where("link_type = 'supersedes'")
-    edges = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    edges = materialize(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    known = frontier = materialize(seeds.select("item_id").distinct())
-    while True:
-        new = frontier.join(edges, F.col("item_id") == F.col("a")).select(F.col("b").alias("item_id")).distinct()
-        frontier = materialize(new.join(known, "item_id", "left_anti"))
-        if frontier.isEmpty():
-            return known
-        known = materialize(known.unionByName(frontier))
+    found = parts(links.where("link_type = 'supersedes'").select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    mine = found.join(seeds.select(F.col("item_id").alias("node")), "node", "left_semi").select("part").distinct()
+    joined = found.join(mine, "part", "left_semi").select(F.col("node").alias("item_id"))
+    return joined.unionByName(seeds.select(F.col("item_id").cast("bigint").alias("item_id"))).distinct()
 
 
 def because(chain: DataFrame, links: DataFrame, items: DataFrame, access: Access) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from datetime import datetime
+from dataclasses import replace
+from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -180,9 +182,66 @@ def r_count_check(t: Tables) -> DataFrame:
     return rk.look_alikes(s.where("soft"), s.where("item_id % 5 = 0").select("question_id", "item_id")).select("question_id", "item_id", "score")
 
 
-@query(f"SELECT i.item_id, 1 AS step FROM items i WHERE {SCOPE} AND i.kind = 'task' AND i.subtype = 'high'")
+#: Questions that each find something at another step, and what they find there.
+_AFTER = "date_trunc('month', (SELECT max(due_at) FROM items))"
+_RELAXED = {
+    "asked": "i.kind = 'task' AND i.subtype = 'high'", "category": "i.kind = 'task' AND i.subtype = 'high'", "subtype": "i.kind = 'task' AND i.state = 'open'", "state": "i.kind = 'task'",
+    "window_month": "i.kind = 'task' AND i.due_at >= TIMESTAMP '1998-03-01' AND i.due_at < TIMESTAMP '1998-04-01'", "window_wide": f"i.kind = 'task' AND i.due_at >= {_AFTER} AND i.due_at < {_AFTER} + INTERVAL 3 MONTH", "entity": "i.kind = 'task'",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT {q} AS question_id, i.item_id, '{step}' AS step FROM items i WHERE {SCOPE} AND {found}" for q, (step, found) in enumerate(_RELAXED.items())))
 def r_relax(t: Tables) -> DataFrame:
-    return rk.relax(t["items"], Filters(kinds=("task",), subtypes=("high",), category="nowhere"), ALL)
+    last = t["items"].agg(F.add_months(F.trunc(F.max("due_at"), "month"), 1).cast("timestamp")).first()[0]
+    task, minute = Filters(kinds=("task",)), timedelta(minutes=1)
+    asked = [
+        replace(task, subtypes=("high",)), replace(task, subtypes=("high",), category="nowhere"), replace(task, subtypes=("none",), category="nowhere", states=("open",)), replace(task, subtypes=("none",), states=("none",)),
+        replace(task, window=fl.Window("due", datetime(1998, 3, 10, 9), datetime(1998, 3, 10, 9) + minute)), replace(task, window=fl.Window("due", last + timedelta(days=4), last + timedelta(days=5))), replace(task, entity_ids=(-5,)),
+    ]
+    each = [rk.relax(t["items"], f, ALL, t["item_entities"]).select(F.lit(q).alias("question_id"), "item_id", "step") for q, f in enumerate(asked)]
+    return reduce(DataFrame.unionByName, each)
+
+
+_HITS = ("(SELECT 'lookup' AS channel, item_id, item_id % 50 + 1 AS rank, NULL::DOUBLE AS lexical, NULL::DOUBLE AS dense, NULL::BIGINT AS key_id FROM items "
+         "UNION ALL SELECT 'search', item_id, item_id % 30 + 1, (item_id % 11) / 11.0::DOUBLE, (item_id % 7) / 7.0::DOUBLE, item_id * 2 FROM items WHERE item_id % 3 = 0 "
+         "UNION ALL SELECT 'soft', item_id, item_id % 40 + 1, NULL, (item_id % 13) / 13.0::DOUBLE, item_id * 2 + 1 FROM items WHERE item_id % 4 = 0)")
+
+
+@query("WITH p AS (SELECT item_id, sum(1.0::DOUBLE / (60 + rank)) AS s, count(DISTINCT channel) AS channels, min(rank) AS best, max(lexical) AS lexical, max(dense) AS dense, "
+       "coalesce(max(key_id) FILTER (WHERE channel = 'soft'), max(key_id) FILTER (WHERE channel = 'search')) AS key_id FROM " + _HITS + " GROUP BY 1) "
+       f"SELECT i.item_id, round(s * CASE WHEN {_PAST} THEN 0.5 ELSE 1.0 END::DOUBLE, 9) AS fused, channels, best, lexical, dense, key_id, {_PAST} AS demoted FROM p JOIN items i ON i.item_id = p.item_id")
+def r_fuse(t: Tables) -> DataFrame:
+    none = "CAST(NULL AS DOUBLE)"
+    each = [("true", "'lookup'", 50, none, none, "CAST(NULL AS BIGINT)"), ("item_id % 3 = 0", "'search'", 30, "(item_id % 11) / 11.0D", "(item_id % 7) / 7.0D", "item_id * 2"), ("item_id % 4 = 0", "'soft'", 40, none, "(item_id % 13) / 13.0D", "item_id * 2 + 1")]
+    hits = [t["items"].where(w).selectExpr(f"{c} AS channel", "item_id", f"item_id % {r} + 1 AS rank", f"{x} AS lexical", f"{y} AS dense", f"{k} AS key_id") for w, c, r, x, y, k in each]
+    return rk.fuse(reduce(DataFrame.unionByName, hits), t["items"], "semantic")
+
+
+_SHAPES = ("count", "list", "set", "time_window", "situational", "semantic", "why", "lookup")
+_CANDIDATES = ("SELECT o_custkey % 400 AS question_id, o_orderkey AS item_id, o_orderkey * 7 % 31 AS place, o_orderkey % 3 <> 0 AS filtered, o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 AS soft_only, (o_orderkey % 5) / {f5} AS lexical, "
+               "CASE WHEN o_orderkey % 4 <> 0 THEN (o_orderkey * 37 % 141 - 20) / {f100} END AS rerank, o_orderkey % 9 = 0 AS passage, o_orderkey % 6 = 1 AS demoted, CAST(o_orderdate AS TIMESTAMP) AS occurred_start, CAST(NULL AS TIMESTAMP) AS due_at, CAST(NULL AS TIMESTAMP) AS mentioned_at FROM {t}")
+_OF_SHAPES = "SELECT id AS question_id, {shape} AS shape, id % 50 = 7 AS missing_entity, id % 40 = 5 AS by_code, id % 16 < 8 AS reranked, TIMESTAMP '1996-01-01' AS start, TIMESTAMP '1998-01-01' AS \"end\" FROM {r}"
+_FIRST = "bool_or(NOT demoted) OVER (PARTITION BY question_id)"
+
+
+@query("WITH c AS (" + _CANDIDATES.format(f5="5.0::DOUBLE", f100="100.0::DOUBLE", t="orders") + "), q AS (" + _OF_SHAPES.format(shape=f"([{', '.join(repr(x) for x in _SHAPES)}])[(id % 8 + 1)::INT]", r="(SELECT unnest(range(400)) AS id)") + "), "
+       "r AS (SELECT c.*, q.shape, q.by_code, q.reranked, q.start, q.\"end\", CASE WHEN reranked THEN CASE WHEN passage AND lexical > 0 AND (rerank IS NULL OR rerank < 0.4) THEN 0.4 ELSE least(1.0, greatest(0.0, rerank)) END END AS score FROM c JOIN q USING (question_id) WHERE NOT missing_entity), "
+       "p AS (SELECT *, CASE WHEN score IS NOT NULL THEN score >= 0.5 ELSE lexical > 0 END AS passes, shape <> 'count' AND (shape IN ('list', 'set', 'time_window', 'situational') OR by_code) AS listed FROM r), "
+       "cnt AS (SELECT question_id, item_id, row_number() OVER (PARTITION BY question_id ORDER BY item_id % 17, item_id) AS n FROM p WHERE shape = 'count' AND item_id % 5 = 0), "
+       f"b AS (SELECT * FROM (SELECT *, {_FIRST} AS fresh FROM p WHERE listed AND filtered) WHERE NOT fresh OR NOT demoted), "
+       "k AS (SELECT question_id, item_id, row_number() OVER (PARTITION BY question_id ORDER BY place, item_id) AS n, count(*) OVER (PARTITION BY question_id) AS total FROM b), "
+       "x AS (SELECT question_id, item_id, 20 + row_number() OVER (PARTITION BY question_id ORDER BY place, item_id) AS n FROM p WHERE listed AND soft_only AND passes AND shape <> 'set' AND (shape <> 'time_window' OR (occurred_start >= start AND occurred_start < \"end\"))), "
+       "f AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY CASE WHEN reranked THEN score END DESC, place, item_id) AS n FROM p WHERE shape <> 'count' AND NOT listed AND CASE WHEN reranked THEN coalesce(score >= 0.5, FALSE) ELSE filtered OR lexical > 0 END), "
+       f"g AS (SELECT *, {_FIRST} AS fresh FROM f WHERE n <= 8) "
+       "SELECT question_id, item_id, n, 'counted' AS why, 0::BIGINT AS more FROM cnt UNION ALL SELECT question_id, item_id, n, 'listed', greatest(0, total - 20) FROM k WHERE n <= 20 UNION ALL SELECT question_id, item_id, n, 'extra', 0 FROM x WHERE n <= 28 "
+       "UNION ALL SELECT question_id, item_id, n, 'ranked', 0 FROM g WHERE NOT fresh OR NOT demoted")
+def r_select(t: Tables) -> DataFrame:
+    """What answers each of 400 questions of eight shapes."""
+    candidates = t.spark.sql(_CANDIDATES.format(f5="5.0D", f100="100.0D", t="{orders}"), orders=t["orders"])
+    shapes = f"element_at(array({', '.join(repr(x) for x in _SHAPES)}), CAST(id % 8 + 1 AS INT))"
+    questions = t.spark.sql(_OF_SHAPES.replace('\"end\"', "`end`").format(shape=shapes, r="range(400)"))
+    counted = candidates.where("item_id % 5 = 0").select("question_id", "item_id", (F.col("item_id") % 17).alias("n"))
+    return rk.select(candidates, questions, counted)
 
 
 @query()

@@ -29,6 +29,25 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that a job writes for itself; they are deleted when the block ends."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/palimpsest/scratch-{uuid.uuid4().hex}", 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def write(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        df.write.parquet(f"{self.base}/{self.n}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.base}/{self.n}")
+
+    def __exit__(self, *_: object) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def by_ids(df: DataFrame, ids: list[int], key: str = "item_id") -> DataFrame:
     """Rows with one of the ids; an empty list gives none."""
     return df.where(F.col(key).isin(*ids)) if ids else df.limit(0)

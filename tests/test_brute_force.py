@@ -12,6 +12,7 @@ from palimpsest.functions import pages as pg
 from palimpsest.functions import recurrence as rc
 from palimpsest.functions import text as tx
 from palimpsest.functions import windows as wi
+from palimpsest.operators import graph as gr
 from palimpsest.operators import lifecycle as lc
 from palimpsest.operators import tools as tl
 from palimpsest.queries.all_queries import QUERIES
@@ -164,6 +165,33 @@ def test_what_an_attribute_says_counts_even_if_it_is_no_number(spark):
     assert [tuple(r) for r in got] == [(None, None, None, 7.0), (5.0, 5.0, None, 7.0), (7.0, 7.0, None, 7.0), (None, None, None, 7.0), (7.0, 7.0, 12.5, 7.0), (None,) * 4]
 
 
+def test_parts_of_graphs_and_rounds_of_long_paths(spark, monkeypatch):
+    rng = random.Random(7)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(None, 3), (1000, 1000)]
+    near = {}
+    for a, b in edges:
+        if a is not None and a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = {}
+    for n in sorted(near):
+        stack = [] if n in want else [n]
+        while stack:
+            x = stack.pop()
+            if x not in want:
+                want[x] = n
+                stack += near[x]
+    assert {r.node: r.part for r in gr.parts(spark.createDataFrame(edges, "a bigint, b bigint")).collect()} == want
+    assert gr.parts(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+    written = []
+    real = gr._written
+    monkeypatch.setattr(gr, "_written", lambda *x: (written.append(1), real(*x))[1])
+    order = list(range(3000))
+    rng.shuffle(order)
+    path = spark.createDataFrame(list(zip(order, order[1:])), "a bigint, b bigint")
+    assert {r.part for r in gr.parts(path).collect()} == {0} and len(written) <= 14
+
+
 def test_a_chain_has_no_longest_length(spark):
     links = spark.createDataFrame([(i + 1, "supersedes", i) for i in range(70)] + [(900, "because", 3), (901, "supersedes", 902)], "src bigint, link_type string, dst bigint")
     got = tl.supersede_chain(spark.createDataFrame([(0,)], "item_id bigint"), links)
