@@ -21,7 +21,7 @@ from palimpsest.operators.filters import Access, Filters
 from palimpsest.queries.reads import _DISTANCE, ALL, SCOPE
 from palimpsest.queries.registry import Tables, query
 from palimpsest.queries.rest import _LEX, _SCORED, _VEC, VECTOR, _scored, lexical
-from palimpsest.queries.words import known
+from palimpsest.queries.words import cases, known
 from palimpsest.sources import files
 from palimpsest.sources import storage as st
 from palimpsest.streaming import jobs
@@ -319,12 +319,12 @@ def _plans(t: Tables) -> tuple[DataFrame, DataFrame]:
     return t.spark.createDataFrame(_PLANS, pl.PLAN_SCHEMA), t.spark.createDataFrame(_HEARD, "question_id bigint, text string")
 
 
-@query(known("question_id, errors", _ERRORS))
+@query(known("question_id, errors", _ERRORS, spread=False))
 def q_validate(t: Tables) -> DataFrame:
     return pl.validate(*_plans(t)).select("question_id", F.array_join("errors", "|").alias("errors"))
 
 
-@query(known("question_id, shape, topic", [(i, "semantic", "Goa" if i == 2 else s) for i, s in _HEARD]))
+@query(known("question_id, shape, topic", [(i, "semantic", "Goa" if i == 2 else s) for i, s in _HEARD], spread=False))
 def q_fallback(t: Tables) -> DataFrame:
     plans, heard = _plans(t)
     return pl.fallback(plans, pl.validate(plans, heard), heard).select("question_id", "shape", "topic")
@@ -336,7 +336,7 @@ _DEFAULTS = [("order", "What comes next?", "any", "1998-03-10", None), ("order",
 
 @query(known('shape, question, direction, start, "end"', _DEFAULTS))
 def q_timeline_default(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([r[:3] for r in _DEFAULTS], "shape string, question string, direction string")
+    rows = cases(t, [r[:3] for r in _DEFAULTS], "shape string, question string, direction string")
     rows = rows.withColumn("w", pl.default_window(F.col("shape"), F.col("question"), F.col("direction"), datetime(1998, 3, 10)))
     return rows.select("shape", "question", "direction", F.date_format("w.start", "yyyy-MM-dd").alias("start"), F.date_format("w.end", "yyyy-MM-dd").alias("end"))
 
@@ -346,7 +346,7 @@ _INTENTS = [("save", "ingest"), ("save_and_recall", "ingest"), ("recall", "recal
 
 @query(known("intent, node", _INTENTS))
 def q_intent_route(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame([(a,) for a, _ in _INTENTS], "intent string").withColumn("node", pl.route(F.col("intent")))
+    return cases(t, [(a,) for a, _ in _INTENTS], "intent string").withColumn("node", pl.route(F.col("intent")))
 
 
 _SHAPED = [("time_window", False, False, "timeline"), ("time_window", True, False, "timeline,search"), ("entity", True, True, ""), ("latest", True, True, "history"), ("count", True, False, "aggregate")]
@@ -354,16 +354,16 @@ _SHAPED = [("time_window", False, False, "timeline"), ("time_window", True, Fals
 
 @query(known("shape, has_topic, missing, tools", _SHAPED))
 def r_shape_tools(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([r[:3] for r in _SHAPED], "shape string, has_topic boolean, missing boolean")
+    rows = cases(t, [r[:3] for r in _SHAPED], "shape string, has_topic boolean, missing boolean")
     return rows.withColumn("tools", F.array_join(pl.tools(F.col("shape"), F.col("has_topic"), F.col("missing")), ","))
 
 
-@query(known("word, kind, state", [("pending", "task", "open"), ("Done", "plan", "happened"), ("Done", "task", "done"), ("Done", "intention", "fulfilled"), ("Done", "resource", "consumed")]))
+@query(known("word, kind, state", [("pending", "task", "open"), ("Done", "plan", "happened"), ("Done", "task", "done"), ("Done", "intention", "fulfilled"), ("Done", "resource", "consumed")], spread=False))
 def q_resolve(t: Tables) -> DataFrame:
     return pl.state_synonyms(t.spark.createDataFrame([("pending", "task"), ("Done", None), ("odd", None)], "word string, kind string"))
 
 
-@query(known("question_id, shape, question, topic", [(1, "time_window", "What is already planned this weekend?", "plans this weekend")]))
+@query(known("question_id, shape, question, topic", [(1, "time_window", "What is already planned this weekend?", "plans this weekend")], spread=False))
 def q_expand_booked(t: Tables) -> DataFrame:
     rows = t.spark.createDataFrame([(1, "situational", "this weekend"), (2, "situational", None), (3, "list", "today")], "question_id int, shape string, expression string")
     return pl.booked(rows, "expression")
@@ -380,7 +380,7 @@ def q_history_seed(t: Tables) -> DataFrame:
 
 @query(known("raw, q", [("What is THE thing, the?", "what|is|the|thing"), ("", ""), ("Élan 2", "lan|2")]))
 def r_tsquery(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([("What is THE thing, the?",), ("",), ("Élan 2",)], "raw string")
+    rows = cases(t, [("What is THE thing, the?",), ("",), ("Élan 2",)], "raw string")
     return rows.withColumn("q", F.array_join(F.array_distinct(tx.words(F.col("raw"))), "|"))
 
 

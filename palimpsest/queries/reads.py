@@ -13,6 +13,7 @@ from palimpsest.operators import filters as fl
 from palimpsest.operators import tools as tl
 from palimpsest.operators.filters import Access, Filters, Window
 from palimpsest.queries.registry import Tables, query
+from palimpsest.queries.words import cases, known
 from palimpsest.sources import files
 from palimpsest.sources import storage as st
 from palimpsest.sources.buckets import BucketTable
@@ -135,10 +136,9 @@ def src_yaml_spec(t: Tables) -> DataFrame:
     return out.select("key", F.substring("at", 1, 10).alias("day"), "distance", "who")
 
 
-@query("SELECT * FROM (VALUES ('-12d 07:30', '2026-09-24 02:00'), ('+3d', '2026-10-08 18:30'), ('2026-01-02T10:00Z', '2026-01-02 10:00'), "
-       "('2026-01-02T10:00', '2026-01-02 04:30')) v(text, \"at\")")
+@query(known('text, "at"', [('-12d 07:30', '2026-09-24 02:00'), ('+3d', '2026-10-08 18:30'), ('2026-01-02T10:00Z', '2026-01-02 10:00'), ('2026-01-02T10:00', '2026-01-02 04:30')]))
 def src_yaml_time(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([("-12d 07:30",), ("+3d",), ("2026-01-02T10:00Z",), ("2026-01-02T10:00",)], "text string")
+    rows = cases(t, [("-12d 07:30",), ("+3d",), ("2026-01-02T10:00Z",), ("2026-01-02T10:00",)], "text string")
     at = st.seed_time(F.col("text"), F.lit(datetime(2026, 10, 6, 4, 30)), "Asia/Kolkata")
     return rows.select("text", F.date_format(at, "yyyy-MM-dd HH:mm").alias("at"))
 

@@ -24,6 +24,7 @@ from palimpsest.operators.filters import Access, Filters
 from palimpsest.queries import stem_sql as ss
 from palimpsest.queries.reads import ALL, SCOPE
 from palimpsest.queries.registry import Tables, query
+from palimpsest.queries.words import cases, known
 from palimpsest.sources.storage import shared_dir
 from palimpsest.streaming import jobs
 from palimpsest.streaming import state as sst
@@ -293,16 +294,16 @@ def x_split_said(t: Tables) -> DataFrame:
     return t["said"].select("turn_id", "seq", F.posexplode(tx.split_said(F.col("text"))).alias("position", "snippet"))
 
 
-@query("SELECT * FROM (VALUES ('PT1H2M3S', 3723, '1:02:03'), ('P1DT5S', 86405, '24:00:05'), ('95', 95, '1:35'), ('soon', NULL, NULL)) v(raw, seconds, shown)")
+@query(known("raw, seconds, shown", [('PT1H2M3S', 3723, '1:02:03'), ('P1DT5S', 86405, '24:00:05'), ('95', 95, '1:35'), ('soon', None, None)]))
 def x_duration(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([("PT1H2M3S",), ("P1DT5S",), ("95",), ("soon",)], "raw string")
+    rows = cases(t, [("PT1H2M3S",), ("P1DT5S",), ("95",), ("soon",)], "raw string")
     rows = rows.withColumn("seconds", tx.duration_seconds(F.col("raw")))
     return rows.withColumn("shown", F.when(F.col("seconds").isNotNull(), tx.duration_words(F.col("seconds"))))
 
 
-@query("SELECT * FROM (VALUES ('So [1] and [3].', 'So [1] and [3].', '1,3', 0), ('No [9] but [2][2].', 'No  but [2][2].', '2', 1)) v(answer, text, used, unknown)")
+@query(known("answer, text, used, unknown", [('So [1] and [3].', 'So [1] and [3].', '1,3', 0), ('No [9] but [2][2].', 'No  but [2][2].', '2', 1)]))
 def x_citations(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([("So [1] and [3].",), ("No [9] but [2][2].",)], "answer string").withColumn("c", tx.citations(F.col("answer"), F.lit(3)))
+    rows = cases(t, [("So [1] and [3].",), ("No [9] but [2][2].",)], "answer string").withColumn("c", tx.citations(F.col("answer"), F.lit(3)))
     return rows.select("answer", "c.text", F.array_join(F.transform("c.used", lambda x: x.cast("string")), ",").alias("used"), "c.unknown")
 
 
@@ -342,16 +343,16 @@ _ASKED = [("yesterday", "1998-03-09", "relative_day"), ("tomorrow", "1998-03-11"
           ("next friday", "1998-03-13", "weekday"), ("last month", "1998-02-01", "period"), ("12 june 1999", "1999-06-12", "day_of_month"), ("1998-04-05", "1998-04-05", "iso"), ("in 1997", "1997-01-01", "year")]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(map(str, _ASKED)) + ") v(asked, day, rule)")
+@query(known("asked, day, rule", _ASKED))
 def d_resolve(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([(a,) for a, _, _ in _ASKED], "asked string")
+    rows = cases(t, [(a,) for a, _, _ in _ASKED], "asked string")
     got = tm.resolve_time(F.col("asked"), F.lit(datetime(1998, 3, 10, 9, 30)))
     return rows.withColumn("r", got).select("asked", F.date_format("r.start", "yyyy-MM-dd").alias("day"), F.col("r.rule").alias("rule"))
 
 
-@query("SELECT * FROM (VALUES ('every monday', 'FREQ=WEEKLY;BYDAY=MO'), ('daily', 'FREQ=DAILY'), ('every 2 weeks', 'FREQ=WEEKLY;INTERVAL=2'), ('on weekdays', 'FREQ=WEEKLY;BYDAY=MO,TU,WE,TH,FR'), ('once', NULL)) v(said, rule)")
+@query(known("said, rule", [('every monday', 'FREQ=WEEKLY;BYDAY=MO'), ('daily', 'FREQ=DAILY'), ('every 2 weeks', 'FREQ=WEEKLY;INTERVAL=2'), ('on weekdays', 'FREQ=WEEKLY;BYDAY=MO,TU,WE,TH,FR'), ('once', None)]))
 def d_routine(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([("every monday",), ("daily",), ("every 2 weeks",), ("on weekdays",), ("once",)], "said string")
+    rows = cases(t, [("every monday",), ("daily",), ("every 2 weeks",), ("on weekdays",), ("once",)], "said string")
     return rows.withColumn("rule", tm.routine_rule(F.col("said")))
 
 

@@ -21,14 +21,24 @@ NOW = datetime(1998, 3, 10, 9, 30)
 _minute = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm")
 
 
-def known(columns: str, rows: list[tuple]) -> str:
-    """Literal rows as SQL."""
+def known(columns: str, rows: list[tuple], spread: bool = True) -> str:
+    """Cases and what is known of them as SQL: one case for each customer in turn, or just the literal rows."""
     lit = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
-    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + f") v({columns})"
+    values = ", ".join("(" + ", ".join(map(lit, (k, *r) if spread else r)) + ")" for k, r in enumerate(rows))
+    if not spread:
+        return f"SELECT * FROM (VALUES {values}) v({columns})"
+    return f"SELECT v.* EXCLUDE (case_no) FROM customer c JOIN (VALUES {values}) v(case_no, {columns}) ON c.c_custkey % {len(rows)} = v.case_no"
+
+
+def cases(t: Tables, rows: list[tuple], schema: str) -> DataFrame:
+    """The same cases, dealt to customers in turn, so that there are as many as customers; the literal rows are broadcast."""
+    small = t.spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], f"case_no int, {schema}")
+    dealt = t["customer"].select((F.col("c_custkey") % len(rows)).cast("int").alias("case_no"))
+    return dealt.join(F.broadcast(small), "case_no").drop("case_no")
 
 
 def _asked(t: Tables, rows: list[tuple], name: str = "raw") -> DataFrame:
-    return t.spark.createDataFrame([(r[0],) for r in rows], f"{name} string")
+    return cases(t, [(r[0],) for r in rows], f"{name} string")
 
 
 # ---------------------------------------------------------------- URLs
@@ -152,7 +162,7 @@ _BYTES = [("café", "utf-8", None, "café"), ("café", "latin-1", "iso-8859-1",
 
 @query(known("n, text", [(i, r[3]) for i, r in enumerate(_BYTES)]))
 def x_decode(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([(i, bytearray(s.encode(c)), d) for i, (s, c, d, _) in enumerate(_BYTES)], "n int, body binary, declared string")
+    rows = cases(t, [(i, bytearray(s.encode(c)), d) for i, (s, c, d, _) in enumerate(_BYTES)], "n int, body binary, declared string")
     return rows.select("n", pg.decode(F.col("body"), F.col("declared")).alias("text"))
 
 
