@@ -315,16 +315,28 @@ _ERRORS = [(1, "sub-query 1: a count needs an aggregate|sub-query 1: time not in
            (4, "a plan needs at least one sub-query"), (5, "sub-query 1: the aggregate needs a field")]
 
 
+def _dealt(t: Tables, rows: DataFrame, n: int) -> DataFrame:
+    """Rows of one of ``n`` numbered questions for each customer in turn, under the customer's number."""
+    who = t["customer"].select(F.col("c_custkey").cast("bigint").alias("who"), (F.col("c_custkey") % n + 1).cast("bigint").alias("question_id"))
+    return who.join(F.broadcast(rows), "question_id").drop("question_id").select(F.col("who").alias("question_id"), *[c for c in rows.columns if c != "question_id"])
+
+
+def _for_each(columns: str, rows: list[tuple]) -> str:
+    """What is known of the questions that ``_dealt`` deals, by the customer's number."""
+    n = len(rows)
+    return f"SELECT c.c_custkey AS question_id, v.* EXCLUDE (question_id) FROM customer c JOIN ({known('question_id, ' + columns, rows, spread=False)}) v ON c.c_custkey % {n} + 1 = v.question_id"
+
+
 def _plans(t: Tables) -> tuple[DataFrame, DataFrame]:
-    return t.spark.createDataFrame(_PLANS, pl.PLAN_SCHEMA), t.spark.createDataFrame(_HEARD, "question_id bigint, text string")
+    return _dealt(t, t.spark.createDataFrame(_PLANS, pl.PLAN_SCHEMA), 5), _dealt(t, t.spark.createDataFrame(_HEARD, "question_id bigint, text string"), 5)
 
 
-@query(known("question_id, errors", _ERRORS, spread=False))
+@query(_for_each("errors", _ERRORS))
 def q_validate(t: Tables) -> DataFrame:
     return pl.validate(*_plans(t)).select("question_id", F.array_join("errors", "|").alias("errors"))
 
 
-@query(known("question_id, shape, topic", [(i, "semantic", "Goa" if i == 2 else s) for i, s in _HEARD], spread=False))
+@query(_for_each("shape, topic", [(i, "semantic", "Goa" if i == 2 else s) for i, s in _HEARD]))
 def q_fallback(t: Tables) -> DataFrame:
     plans, heard = _plans(t)
     return pl.fallback(plans, pl.validate(plans, heard), heard).select("question_id", "shape", "topic")
@@ -358,15 +370,17 @@ def r_shape_tools(t: Tables) -> DataFrame:
     return rows.withColumn("tools", F.array_join(pl.tools(F.col("shape"), F.col("has_topic"), F.col("missing")), ","))
 
 
-@query(known("word, kind, state", [("pending", "task", "open"), ("Done", "plan", "happened"), ("Done", "task", "done"), ("Done", "intention", "fulfilled"), ("Done", "resource", "consumed")], spread=False))
+@query("SELECT v.word, v.kind, v.state FROM customer c JOIN (VALUES (0, 'pending', 'task', 'open'), (1, 'Done', 'plan', 'happened'), (1, 'Done', 'task', 'done'), (1, 'Done', 'intention', 'fulfilled'), "
+       "(1, 'Done', 'resource', 'consumed')) v(k, word, kind, state) ON c.c_custkey % 3 = v.k")
 def q_resolve(t: Tables) -> DataFrame:
-    return pl.state_synonyms(t.spark.createDataFrame([("pending", "task"), ("Done", None), ("odd", None)], "word string, kind string"))
+    return pl.state_synonyms(cases(t, [("pending", "task"), ("Done", None), ("odd", None)], "word string, kind string"))
 
 
-@query(known("question_id, shape, question, topic", [(1, "time_window", "What is already planned this weekend?", "plans this weekend")], spread=False))
+@query("SELECT c_custkey AS question_id, 'time_window' AS shape, 'What is already planned ' || CASE c_custkey % 6 WHEN 0 THEN 'this weekend' ELSE 'today' END || '?' AS question, "
+       "'plans ' || CASE c_custkey % 6 WHEN 0 THEN 'this weekend' ELSE 'today' END AS topic FROM customer WHERE c_custkey % 3 = 0")
 def q_expand_booked(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([(1, "situational", "this weekend"), (2, "situational", None), (3, "list", "today")], "question_id int, shape string, expression string")
-    return pl.booked(rows, "expression")
+    shape, window = "CASE c_custkey % 3 WHEN 2 THEN 'list' ELSE 'situational' END AS shape", "CASE WHEN c_custkey % 3 <> 1 THEN CASE c_custkey % 6 WHEN 0 THEN 'this weekend' ELSE 'today' END END AS expression"
+    return pl.booked(t["customer"].selectExpr("c_custkey AS question_id", shape, window), "expression")
 
 
 @query()

@@ -262,11 +262,16 @@ def x_match_key(t: Tables) -> DataFrame:
     return t["part"].select("p_partkey", tx.match_key(F.col("p_type")).alias("match"))
 
 
-@query("SELECT * FROM (VALUES ('Based in', 'lives_in', TRUE), ('works for', 'works_at', TRUE), ('Owns a boat', 'owns_a_boat', FALSE), ('knows', 'friend_of', TRUE)) v(proposed, chosen, reused)")
+_PROPOSED = [("Based in", "lives_in", True), ("works for", "works_at", True), ("Owns a boat", "owns_a_boat", False), ("knows", "friend_of", True), ("Running", "sport/running", True), ("hand made", "home_made", True), ("far off", "far_off", False)]
+
+
+@query(known("proposed, chosen, reused", _PROPOSED))
 def x_normalise(t: Tables) -> DataFrame:
-    asked = t.spark.createDataFrame([("Based in",), ("works for",), ("Owns a boat",), ("knows",)], "proposed string")
-    stored = t.spark.createDataFrame([("friend_of", ["knows"])], "slug string, aliases array<string>")
-    return tx.normalise(asked, stored, "relation")
+    """Proposals by spelling, by the last segment of a path, and by likeness to a known term."""
+    asked = cases(t, [(p,) for p, _, _ in _PROPOSED], "proposed string")
+    stored = t.spark.createDataFrame([("friend_of", ["knows"]), ("sport/running", ["jogging"]), ("home_made", [])], "slug string, aliases array<string>")
+    near = t.spark.createDataFrame([("hand_made", "home_made", 0.81), ("hand_made", "friend_of", 0.8), ("far_off", "home_made", 0.5)], "slug string, term string, score double")
+    return tx.normalise(asked, stored, "relation", path=True, near=near)
 
 
 @query("SELECT doc_id, sha256(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ')) AS hash FROM documents")

@@ -16,6 +16,7 @@ from palimpsest.operators import graph as gr
 from palimpsest.operators import lifecycle as lc
 from palimpsest.operators import tools as tl
 from palimpsest.queries.all_queries import QUERIES
+from palimpsest.queries.rest import QUESTION
 from palimpsest.sources.derived import load
 
 SF = "/root/testdata/sf0.001"
@@ -64,12 +65,16 @@ def test_excerpts_show_the_best_sentence_and_fit():
         scores = [sum(v for w, v in share.items() if w in s) for s in low]
         best = said[scores.index(max(scores))]
         assert best in body or len(best) > 120 or len(flat) <= 120
+        if best in body and got != flat:  # no other run of whole sentences with the best one says more
+            value = lambda a, b: round(sum(scores[a:b]), 9)
+            fits = [value(a, b) for a in range(len(said)) for b in range(a + 1, len(said) + 1) if best in said[a:b] and len(" ".join(said[a:b])) <= 120]
+            assert any(" ".join(said[a:b]) == body and value(a, b) == max(fits) for a in range(len(said)) for b in range(a + 1, len(said) + 1))
 
 
 def test_the_excerpt_query_reads_whole_texts(spark):
     said = table("conversations")
     got = QUERIES["x_excerpt"](spark, SF).toPandas()
-    want = {(c, n): tx.excerpt_of(t, "What is the thing that they said on the day") for c, n, t in zip(said.conv_id, said.turn, said.text, strict=True) if t is not None}
+    want = {(c, n): tx.excerpt_of(t, QUESTION) for c, n, t in zip(said.conv_id, said.turn, said.text, strict=True) if t is not None}
     assert {(a, b): e for a, b, e in zip(got.turn_id, got.seq, got.excerpt, strict=True) if e is not None} == want
 
 
