@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.functions import tables as ft
 from palimpsest.operators import lifecycle as lc
 from palimpsest.operators import validity as va
 from palimpsest.queries.reads import stored
@@ -290,3 +291,25 @@ def st_late_data(t: Tables) -> DataFrame:
         t["facts"].where(F.col("fact_id") % 2 == half).write.parquet(f"{base}/in/half{half}")
         lines = va.late_facts(jobs.read_table(t.spark, f"{base}/in"), f"{base}/job")
     return _seconds(lines)
+
+
+@query("WITH " + _timeline_sql() + "SELECT subject_id, predicate, fact_id, epoch(valid_from)::BIGINT AS start, CASE WHEN NOT open THEN epoch(z)::BIGINT END AS stop FROM line")
+def f_fact_lines(t: Tables) -> DataFrame:
+    """The timeline by a table function over a partitioned table, in SQL."""
+    ft.register(t.spark)
+    facts = t["facts"].select("subject_id", "predicate", "fact_id", *[F.unix_seconds(c).alias(a) for c, a in (("valid_from", "start"), ("valid_to", "stop"), ("learnt_at", "learnt"))])
+    return t.spark.sql("SELECT * FROM fact_lines(TABLE(SELECT * FROM {f}) PARTITION BY (subject_id, predicate) ORDER BY (start, learnt, fact_id))", f=facts)
+
+
+@query()
+def f_chunks(t: Tables) -> DataFrame:
+    """Chunks of all documents by a lateral table function."""
+    ft.register(t.spark)
+    return t.spark.sql("SELECT d.doc_id, c.position, c.chunk FROM {d} d, LATERAL chunks(d.text, 300) c", d=t["documents"])
+
+
+@query()
+def f_snippets(t: Tables) -> DataFrame:
+    """Snippets of all that was said by a lateral table function."""
+    ft.register(t.spark)
+    return t.spark.sql("SELECT s.turn_id, s.seq, c.position, c.snippet FROM {s} s, LATERAL snippets(s.text, 1200) c", s=t["said"])
