@@ -10,7 +10,9 @@ import time
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,14 +33,27 @@ def shard(stem: Column, shards: int = SHARDS) -> Column:
 
 def postings(rows: DataFrame, text: str = "text") -> DataFrame:
     """The other columns of ``rows`` with stem and places, one row for each stem of a text; words are counted from 1, those left out too."""
-    @F.pandas_udf("array<struct<stem: string, places: array<int>>>")
-    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([list(st.places(x).items()) for x in batch], dtype=object)
-
     keys = [c for c in rows.columns if c != text]
-    found = rows.where(F.col(text).isNotNull()).select(*keys, F.explode(split(F.col(text))).alias("__p"))
-    return found.select(*keys, F.col("__p.stem").alias("stem"), F.col("__p.places").alias("places"))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):  # what is worked out at once stays small
+                part = batch.slice(start, 256)
+                owners, stems, sizes, flat = [], [], [], []
+                for x in part.column(len(keys)).to_pylist():
+                    found = st.places(x)
+                    owners.append(len(found))
+                    stems += found
+                    for at in found.values():
+                        sizes.append(len(at))
+                        flat += at
+                rows_of = pa.array(np.repeat(np.arange(part.num_rows), owners))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(flat, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(rows_of) for k in range(len(keys))), pa.array(stems, pa.string()), lists], [*keys, "stem", "places"])
+
+    known = rows.where(F.col(text).isNotNull()).select(*keys, text)
+    schema = StructType([*known.schema.fields[:-1], *StructType.fromDDL("stem string, places array<int>")])
+    return known.mapInArrow(split, schema)
 
 
 def vocabulary(rows: DataFrame, text: str = "text") -> DataFrame:

@@ -43,7 +43,8 @@ def index_of(t: Tables, name: str) -> lx.Lexicon:
     """The stem index of the texts of a table, written once a session."""
     at = (t.spark.sparkContext.applicationId, t.sf_dir, name)
     if at not in _INDEXES:
-        _INDEXES[at] = lx.Lexicon.create(t[name].drop("embedding"), f"{shared_dir(t.spark)}/palimpsest/{uuid.uuid4().hex}", _KEYS[name])
+        rows = t[name].drop("embedding").repartition(t.spark.sparkContext.defaultParallelism, *_KEYS[name])  # a small file alone would be one task
+        _INDEXES[at] = lx.Lexicon.create(rows, f"{shared_dir(t.spark)}/palimpsest/{uuid.uuid4().hex}", _KEYS[name])
     return _INDEXES[at]
 
 
