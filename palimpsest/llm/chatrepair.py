@@ -151,7 +151,8 @@ def apply(letters: str, state: int, roles: list[str], texts: list[str]) -> list[
 # ---------------------------------------------------------------- streams of blocks
 
 STATS = ("blank", "duplicate", "truncated", "illegal")
-SMALL = "kinds string, first string, last string, turns bigint, low bigint, high bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint"
+#: ``alone`` is the kind of a block's first row if its mark may have ended the task before; ``open`` says that a mark ends the block.
+SMALL = "kinds string, alone string, open boolean, first string, last string, turns bigint, low bigint, high bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint"
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
@@ -170,14 +171,16 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of sorted rows: roles and texts, and what the graph and the counts need of them."""
     task, n, now, seen, mark = TaskContext.get().partitionId() << 32, 0, None, None, None
     before = schema = None
+    head = True  # no row of the task's first conversation has come, so its mark may be in the task before
 
     def close() -> pa.RecordBatch:
+        now["open"] = mark is not None
         return pa.RecordBatch.from_pylist([now], schema)
 
     for batch in batches:
         schema = schema or pa.schema([
             pa.field("conv_id", batch.schema.field("conv_id").type), ("block", pa.int64()), ("roles", pa.list_(pa.string())), ("texts", pa.list_(pa.string())),
-            ("kinds", pa.string()), ("first", pa.string()), ("last", pa.string()), ("turns", pa.int64()), ("low", pa.int64()), ("high", pa.int64()),
+            ("kinds", pa.string()), ("alone", pa.string()), ("open", pa.bool_()), ("first", pa.string()), ("last", pa.string()), ("turns", pa.int64()), ("low", pa.int64()), ("high", pa.int64()),
             *[(s, pa.int64()) for s in STATS],
         ])
         for x in batch.to_pylist():
@@ -185,12 +188,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if now is not None:
                     yield close()
                 if now is None or x["conv_id"] != now["conv_id"]:
-                    before = mark = None
-                now = {"conv_id": x["conv_id"], "block": task + n, "roles": [], "texts": [], "kinds": "", "first": None, "last": None, "turns": 0, "low": None, "high": None,} | dict.fromkeys(STATS, 0)
+                    before, mark, head = None, None, now is None
+                now = {"conv_id": x["conv_id"], "block": task + n, "roles": [], "texts": [], "kinds": "", "alone": None, "first": None, "last": None, "turns": 0, "low": None, "high": None,} | dict.fromkeys(STATS, 0)
                 n, size, seen = n + 1, 0, None
             same = (x["turn"], x["role"], x["key"])
             if not x["row"]:
-                mark = same
+                mark, head = same, False
                 continue
             if x["dropped"]:
                 continue
@@ -200,6 +203,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 now[fault] += 1
             initial = x["role"][:1]
             kind = initial if initial in ("s", "u", "a") else "o"
+            if head and fault == "duplicate":
+                now["alone"] = kind.upper() if x["open"] else kind
+            head = False
             now["kinds"] += "x" if fault in ("blank", "duplicate") else kind.upper() if fault else kind
             if now["first"] is None:
                 now["first"] = initial
@@ -238,6 +244,21 @@ def _vectors(name: str, ahead: bool):  # noqa: ANN202
     return run
 
 
+def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of conversations in order: a row whose mark ended an earlier task is no duplicate."""
+    conv, was_open = None, False
+    for batch in batches:
+        rows = batch.to_pylist()
+        for x in rows:
+            was_open, conv = was_open and x["conv_id"] == conv, x["conv_id"]
+            if was_open and x["alone"] is not None:
+                x["kinds"] = x["alone"] + x["kinds"][1:]
+                x["duplicate"] -= 1
+                x["truncated"] += x["alone"].isupper()
+            was_open = x["open"] or (was_open and not x["kinds"])
+        yield pa.RecordBatch.from_pylist(rows, batch.schema)
+
+
 def _sorted(blocks: DataFrame, *order: Column) -> DataFrame:
     return blocks.repartition("conv_id").sortWithinPartitions("conv_id", *order)
 
@@ -308,7 +329,7 @@ def _stream(rows: DataFrame, run, result: str) -> DataFrame:  # noqa: ANN001
     order = ("conv_id", "turn", "role", "key", "row")
     blocks = materialize(keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_blocks, kind(f"block bigint, roles array<string>, texts array<string>, {SMALL}")))
     small = blocks.drop("roles", "texts")
-    small = _sorted(small, F.asc("block")).mapInArrow(_vectors("before", True), kind(f"block bigint, {SMALL}, before array<bigint>"))
+    small = _sorted(small, F.asc("block")).mapInArrow(_paired, kind(f"block bigint, {SMALL}")).mapInArrow(_vectors("before", True), kind(f"block bigint, {SMALL}, before array<bigint>"))
     small = _sorted(small, F.desc("block")).mapInArrow(_vectors("behind", False), kind(f"block bigint, {SMALL}, before array<bigint>, behind array<bigint>, ends boolean"))
     both = small.unionByName(blocks.select("conv_id", "block", "roles", "texts"), allowMissingColumns=True)
     out = kind(result)

@@ -114,6 +114,27 @@ def test_repairs_are_the_cheapest_of_all(spark, monkeypatch, block):
     assert all(sha("\n".join(turns[c])) == got[c]["repaired_sha256"] for c in convs)
 
 
+@pytest.mark.parametrize("parts", [3, 40])
+def test_repairs_do_not_depend_on_the_tasks(spark, parts):
+    """Each row may be the last of its task, so that the mark of a first row and the row itself are parted."""
+    rng = random.Random(parts)
+    convs = {c: [(rng.choice([None, *range(4)]), rng.choice(ROLES), rng.choice(TEXTS)) for _ in range(rng.randrange(1, 9))] for c in range(12)}
+    convs[3] = [(None, "user", "Yes.")] * 5
+    rows = [(c, *r, False) for c, rs in convs.items() for r in rs] + [(c, r[0], r[1], r[2], True) for c in (3, 4) for r in convs[c]]
+    frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, dropped boolean")
+    conf = {"spark.sql.shuffle.partitions": str(parts), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = {r.conv_id: r.asDict() for r in chatrepair.digests(frame).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    for c, rs in convs.items():
+        assert {k: v for k, v in got[c].items() if k != "conv_id"} == expected(rs), (c, rs)
+
+
 def test_walk_in_blocks_is_the_walk_at_once():
     rng = random.Random(5)
     for _ in range(300):
