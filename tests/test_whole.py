@@ -68,3 +68,17 @@ def test_a_spelling_that_many_share_is_counted_once(spark):
     got = en.resolve(said, known)
     assert {(r.outcome, r.entity_id, r.how, r.n_candidates) for r in got.collect()} == {("ambiguous", 6, "name", 400)}
     assert _most_rows(got._jdf.queryExecution().executedPlan()) <= 400 * 6
+
+
+def test_words_of_messages_are_not_sent_to_all_tasks(spark, monkeypatch):
+    """Many names meet the words of messages by a shuffle, few ones are sent to them; both find the same."""
+    from palimpsest.functions import text as tx
+
+    said = spark.createDataFrame([(1, "Ann Lee met Bo in New York"), (2, "new york, new york"), (3, "nobody"), (4, None)], "message_id bigint, text string")
+    names = spark.createDataFrame([(1, "Ann Lee"), (2, "Bo"), (3, "New York"), (4, "York Bo"), (5, "")], "entity_id bigint, name string")
+    for few in (0, 10):
+        monkeypatch.setattr(tx, "FEW_NAMES", few)
+        got = tx.mentions(said, names)
+        assert {(r.message_id, r.entity_id) for r in got.collect()} == {(1, 1), (1, 2), (1, 3), (2, 3)}
+        plan = got._jdf.queryExecution().sparkPlan().toString()
+        assert ("BroadcastHashJoin" in plan, "BuildLeft" in plan) == (few > 0, False)
