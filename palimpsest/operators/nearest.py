@@ -71,7 +71,8 @@ def _met(questions: DataFrame, stored: DataFrame, k: int | None, floor: float |
     every = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
     a = left.select(F.col("block").alias("q"), every(m).alias("s"), F.col("ids").alias("asked"), F.col("unit").alias("questions"))
     b = right.select(every(n).alias("q"), F.col("block").alias("s"), "ids", "unit")
-    return a.join(b, ["q", "s"]).select("asked", "questions", "ids", "unit").mapInArrow(_products(k, floor), "question_id bigint, id bigint, score double")
+    # each block is there many times, which Spark does not foresee when it looks for a side to broadcast
+    return a.join(b.hint("merge"), ["q", "s"]).select("asked", "questions", "ids", "unit").mapInArrow(_products(k, floor), "question_id bigint, id bigint, score double")
 
 
 def nearest(questions: DataFrame, stored: DataFrame, k: int, floor: float | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:

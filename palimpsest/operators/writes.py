@@ -83,8 +83,11 @@ def _first(hits: DataFrame, *order: Column | str) -> DataFrame:
 def similar_items(drafts: DataFrame, stored: DataFrame, keys: DataFrame, k: int = SIMILAR, floor: float = SAME_AT) -> DataFrame:
     """(draft_id, item_id, score, place) of the ``k`` active items nearest to each draft(draft_id, embedding) that reach ``floor``."""
     live = keys.where("embedding is not null").join(stored.where("status = 'active'").select("item_id"), "item_id", "left_semi")
-    found = nearest(drafts.select(F.col("draft_id").alias("question_id"), F.col("embedding").alias("vector")), live.select(F.col("item_id").alias("id"), F.col("embedding").alias("vector")), k)
-    return found.where(F.col("score") >= floor).select(F.col("question_id").alias("draft_id"), F.col("id").alias("item_id"), "score", "place")
+    asked = drafts.where("embedding is not null").select("draft_id", F.col("embedding").alias("vector"))
+    different = asked.groupBy("vector").agg(F.min("draft_id").alias("question_id"))  # copies of a vector ask once
+    found = nearest(different, live.select(F.col("item_id").alias("id"), F.col("embedding").alias("vector")), k, floor)
+    asked = asked.hint("merge").join(different, "vector").select("draft_id", "question_id")
+    return asked.join(found.hint("merge"), "question_id").select("draft_id", F.col("id").alias("item_id"), "score", "place")
 
 
 def reconcile(drafts: DataFrame, draft_entities: DataFrame, stored: DataFrame, item_entities: DataFrame, keys: DataFrame, choices: DataFrame | None = None) -> DataFrame:
@@ -104,53 +107,53 @@ def reconcile(drafts: DataFrame, draft_entities: DataFrame, stored: DataFrame, i
     entities = draft_entities.select("draft_id", "entity_id", "role", "kind").distinct()
     things = entities.where(about & F.col("kind").isin(*THING_KINDS)).select("draft_id", "entity_id").distinct()
     subjects = live.where("subject_entity_id is not null").select("item_id", F.col("subject_entity_id").alias("entity_id"))
-    held = item_entities.select("item_id", "entity_id").unionByName(subjects).distinct().join(live, "item_id")
+    held = item_entities.select("item_id", "entity_id").unionByName(subjects).distinct().join(live.hint("merge"), "item_id")
 
     other = lambda x: x["item_id"] != drafts["draft_id"]
     # facts
     facts = _newest(live.where("kind in ('fact', 'preference') and valid_to is null").select("kind", "subject_entity_id", "predicate", "item_id", "created_at", "value_number"), ["kind", "subject_entity_id", "predicate"], 2)
     on = (drafts["kind"] == facts["kind"]) & (drafts["subject_entity_id"] == facts["subject_entity_id"]) & (drafts["predicate"] == facts["predicate"]) & other(facts)
-    fact = drafts.join(facts, on).select("draft_id", facts["item_id"], "n", drafts["value_number"].eqNullSafe(facts["value_number"]).alias("equal"))
+    fact = drafts.join(facts.hint("merge"), on).select("draft_id", facts["item_id"], "n", drafts["value_number"].eqNullSafe(facts["value_number"]).alias("equal"))
     fact = _first(fact, "n").select("draft_id", F.struct(F.when(F.col("equal"), "no_op").otherwise("supersede").alias("decision"), F.col("item_id").alias("target"), F.lit(1.0).alias("score"), F.when(F.col("equal"), "same fact").otherwise("new value").alias("rule")).alias("fact"))
     # wishes
     open_ = held.where("kind = 'intention' and state in ('wanted', 'active')").select("entity_id", "subtype", "item_id", "created_at", "attributes")
     wish = _newest(open_, ["entity_id"], 1)
-    meets = things.join(drafts.where("kind = 'episode'").select("draft_id"), "draft_id").join(wish, "entity_id")
+    meets = things.join(drafts.where("kind = 'episode'").select("draft_id").hint("merge"), "draft_id").join(wish.hint("merge"), "entity_id")
     fulfil = _first(meets, "entity_id").select("draft_id", F.struct(F.lit("fulfil").alias("decision"), F.col("item_id").alias("target"), F.lit(1.0).alias("score"), F.lit("wish met").alias("rule")).alias("fulfil"))
     wishes = _newest(open_, ["entity_id", "subtype"], 2)
-    asked = things.join(drafts.where("kind = 'intention'").select("draft_id", F.col("subtype").alias("s"), F.col("attributes").alias("now")), "draft_id")
-    again = asked.join(wishes, (asked["entity_id"] == wishes["entity_id"]) & asked["s"].eqNullSafe(wishes["subtype"]) & (asked["draft_id"] != wishes["item_id"])).select("draft_id", asked["entity_id"], "n", "item_id", "now", "attributes")
+    asked = things.join(drafts.where("kind = 'intention'").select("draft_id", F.col("subtype").alias("s"), F.col("attributes").alias("now")).hint("merge"), "draft_id")
+    again = asked.join(wishes.hint("merge"), (asked["entity_id"] == wishes["entity_id"]) & asked["s"].eqNullSafe(wishes["subtype"]) & (asked["draft_id"] != wishes["item_id"])).select("draft_id", asked["entity_id"], "n", "item_id", "now", "attributes")
     more = adds_detail(F.from_json("attributes", "map<string,string>"), F.from_json("now", "map<string,string>"))
     again = _first(again, "entity_id", "n").select("draft_id", F.struct(F.when(more, "add_detail").otherwise("no_op").alias("decision"), F.col("item_id").alias("target"), F.lit(1.0).alias("score"), F.lit("same wish").alias("rule")).alias("again"))
     # episodes: the entities of each as one value
     whole = lambda rows, key: rows.groupBy(key).agg(F.array_sort(F.collect_set("entity_id")).alias("e"))
-    told = live.where("kind = 'episode' and occurred_start is not null").select("item_id", "occurred_start", "precision", "subtype", "created_at").join(whole(item_entities, "item_id"), "item_id", "left")
+    told = live.where("kind = 'episode' and occurred_start is not null").select("item_id", "occurred_start", "precision", "subtype", "created_at").join(whole(item_entities, "item_id").hint("merge"), "item_id", "left")
     told = _newest(told.withColumn("e", F.coalesce("e", F.array().cast("array<bigint>"))), ["occurred_start", "precision", "subtype", "e"], 2)
-    mine = drafts.where("kind = 'episode' and occurred_start is not null").join(whole(entities, "draft_id"), "draft_id", "left").select("draft_id", "occurred_start", "precision", "subtype", F.coalesce("e", F.array().cast("array<bigint>")).alias("e"))
+    mine = drafts.where("kind = 'episode' and occurred_start is not null").join(whole(entities, "draft_id").hint("merge"), "draft_id", "left").select("draft_id", "occurred_start", "precision", "subtype", F.coalesce("e", F.array().cast("array<bigint>")).alias("e"))
     equal = [mine[c].eqNullSafe(told[c]) for c in ("occurred_start", "precision", "subtype", "e")]
-    twin = mine.join(told, [*equal, mine["draft_id"] != told["item_id"]]).select("draft_id", "item_id", "n")
+    twin = mine.join(told.hint("merge"), [*equal, mine["draft_id"] != told["item_id"]]).select("draft_id", "item_id", "n")
     twin = _first(twin, "n").select("draft_id", F.struct(F.lit("no_op").alias("decision"), F.col("item_id").alias("target"), F.lit(1.0).alias("score"), F.lit("same episode").alias("rule")).alias("twin"))
     # plans
     plans = _newest(held.where("kind = 'plan' and state = 'scheduled'").select("entity_id", "subtype", "item_id", "created_at"), ["entity_id", "subtype"], RELATED + 1)
-    planned = entities.where("kind <> 'self'").select("draft_id", "entity_id").distinct().join(drafts.where("kind = 'plan'").select("draft_id", F.col("subtype").alias("s")), "draft_id")
-    related = planned.join(plans, (planned["entity_id"] == plans["entity_id"]) & planned["s"].eqNullSafe(plans["subtype"]) & (planned["draft_id"] != plans["item_id"])).select("draft_id", planned["entity_id"], "n", "item_id")
+    planned = entities.where("kind <> 'self'").select("draft_id", "entity_id").distinct().join(drafts.where("kind = 'plan'").select("draft_id", F.col("subtype").alias("s")).hint("merge"), "draft_id")
+    related = planned.join(plans.hint("merge"), (planned["entity_id"] == plans["entity_id"]) & planned["s"].eqNullSafe(plans["subtype"]) & (planned["draft_id"] != plans["item_id"])).select("draft_id", planned["entity_id"], "n", "item_id")
     related = related.groupBy("draft_id", "item_id").agg(F.min(F.struct("entity_id", "n")).alias("o"))
     listed = lambda rows, order, score: rows.groupBy("draft_id").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("item_id").alias("target"), score.alias("score")))).alias("c"))
     related = listed(related, "o", F.lit(None).cast("double")).select("draft_id", F.transform(F.slice("c", 1, RELATED), lambda x: F.struct(x["target"].alias("target"), x["score"].alias("score"))).alias("related"))
     # similar items
     theirs = item_entities.where(about).groupBy("item_id").agg(F.collect_set("entity_id").alias("theirs"))
     ours = things.groupBy("draft_id").agg(F.collect_set("entity_id").alias("ours"))
-    near = similar_items(drafts.where("kind <> 'episode'"), stored, keys).join(live.where("kind <> 'episode'").select("item_id"), "item_id").where("item_id <> draft_id")
-    near = near.join(theirs, "item_id", "left").join(ours, "draft_id", "left").where(F.col("theirs").isNull() | F.col("ours").isNull() | F.arrays_overlap("theirs", "ours"))
+    near = similar_items(drafts.where("kind <> 'episode'"), stored, keys).join(live.where("kind <> 'episode'").select("item_id").hint("merge"), "item_id").where("item_id <> draft_id")
+    near = near.join(theirs.hint("merge"), "item_id", "left").join(ours.hint("merge"), "draft_id", "left").where(F.col("theirs").isNull() | F.col("ours").isNull() | F.arrays_overlap("theirs", "ours"))
     near = listed(near, "place", F.col("score")).select("draft_id", F.transform("c", lambda x: F.struct(x["target"].alias("target"), x["score"].alias("score"))).alias("near"))
 
     out = drafts.select("draft_id", "kind")
     for part in (fact, fulfil, again, twin, related, near):
-        out = out.join(part, "draft_id", "left")
+        out = out.join(part.hint("merge"), "draft_id", "left")  # as many as drafts: a small file is no small table in memory
     if choices is None:
         out = out.withColumns({"choice": F.lit(None).cast("string"), "index": F.lit(None).cast("int")})
     else:
-        out = out.join(choices.groupBy("draft_id").agg(F.min(F.struct(F.col("decision").alias("choice"), "index")).alias("x")).select("draft_id", "x.*"), "draft_id", "left")
+        out = out.join(choices.groupBy("draft_id").agg(F.min(F.struct(F.col("decision").alias("choice"), "index")).alias("x")).select("draft_id", "x.*").hint("merge"), "draft_id", "left")
     plan = F.col("related").isNotNull()
     candidates = F.when(plan, F.col("related")).otherwise(F.col("near"))
     why = F.when(plan, "plan for the same thing").otherwise("similar")

@@ -82,3 +82,19 @@ def test_words_of_messages_are_not_sent_to_all_tasks(spark, monkeypatch):
         assert {(r.message_id, r.entity_id) for r in got.collect()} == {(1, 1), (1, 2), (1, 3), (2, 3)}
         plan = got._jdf.queryExecution().sparkPlan().toString()
         assert ("BroadcastHashJoin" in plan, "BuildLeft" in plan) == (few > 0, False)
+
+
+def test_drafts_with_one_vector_ask_once(spark, monkeypatch):
+    """Copies of a vector are one question, and each draft gets its answer; blocks of vectors are not sent to all tasks."""
+    from palimpsest.operators import writes as wr
+
+    drafts = spark.range(60).selectExpr("id AS draft_id", "CASE id % 3 WHEN 0 THEN array(1f, 0f) WHEN 1 THEN array(0f, 1f) END AS embedding")
+    stored = spark.range(100, 104).selectExpr("id AS item_id", "IF(id = 103, 'deleted', 'active') AS status")
+    keys = spark.createDataFrame([(100, [1.0, 0.1]), (101, [0.0, 2.0]), (102, [1.0, 0.0]), (103, [1.0, 0.0])], "item_id bigint, embedding array<float>")
+    asked = []
+    real = wr.nearest
+    monkeypatch.setattr(wr, "nearest", lambda questions, *a: asked.append(questions.count()) or real(questions, *a))
+    got = wr.similar_items(drafts, stored, keys)
+    assert asked == [2]
+    assert {(r.draft_id, r.item_id, r.place) for r in got.collect()} == {(d, *x) for d in range(60) for x in ([(102, 1), (100, 2)], [(101, 1)], [])[d % 3]}
+    assert "BroadcastHashJoin" not in real(drafts.selectExpr("draft_id AS question_id", "embedding AS vector"), keys.selectExpr("item_id AS id", "embedding AS vector"), 2)._jdf.queryExecution().sparkPlan().toString()
