@@ -98,3 +98,19 @@ def test_drafts_with_one_vector_ask_once(spark, monkeypatch):
     assert asked == [2]
     assert {(r.draft_id, r.item_id, r.place) for r in got.collect()} == {(d, *x) for d in range(60) for x in ([(102, 1), (100, 2)], [(101, 1)], [])[d % 3]}
     assert "BroadcastHashJoin" not in real(drafts.selectExpr("draft_id AS question_id", "embedding AS vector"), keys.selectExpr("item_id AS id", "embedding AS vector"), 2)._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_triggers_are_asked_by_the_earliest_messages_alone(spark, tmp_path, monkeypatch):
+    """Of many messages with one vector or one person only the first meets the triggers."""
+    from palimpsest.streaming import jobs
+    from palimpsest.streaming import state as sst
+
+    rows = spark.range(40).selectExpr("id AS message_id", "timestamp_seconds(100 - id) AS at", "id % 2 AS user", "IF(id % 4 = 0, NULL, array(1f, CAST(id % 2 AS FLOAT))) AS vector")
+    rows.write.parquet(f"{tmp_path}/in")
+    triggers = spark.createDataFrame([(1, 11, "person", 0, "pending"), (2, 12, "topic", None, "pending"), (3, 13, "person", 1, "fired")], "trigger_id bigint, item_id bigint, kind string, entity_id bigint, state string")
+    cues = spark.createDataFrame([(2, [1.0, 1.0])], "trigger_id bigint, vector array<float>")
+    counts, real = [], sst.hits
+    monkeypatch.setattr(sst, "hits", lambda messages, people, *a: counts.append((messages.count(), people.count())) or real(messages, people, *a))
+    got = sst.fire_once(jobs.read_table(spark, f"{tmp_path}/in"), lambda m: m.select("message_id", m["user"].alias("entity_id")), triggers, cues, f"{tmp_path}/job", 0.9)
+    assert {(r.trigger_id, r.item_id, r.message_id, r.why) for r in got.collect()} == {(1, 11, 38, "person"), (2, 12, 39, "topic")}
+    assert counts == [(2, 2)]
