@@ -1,55 +1,61 @@
 """A positional index of texts by stem, and ranking by cover density.
 
 Postings lie in folders hashed by stem, so a question reads those of its own stems, however many texts there are. New
-texts are appended; what they replace is noted beside them.
+texts are appended; what they replace is noted beside them. Writing an index pays if it is asked often: ``Texts`` answers as
+it does from the texts alone, read once.
 """
 
 from __future__ import annotations
 
 import time
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from palimpsest.functions import stems as st
+from palimpsest.functions.batches import bound_batches, slices
 from palimpsest.schema import POOL
 
 #: Folders that stems are hashed to; a folder of a large index has many files, each sorted by stem.
 SHARDS = 64
 #: What one cover weighs whose words stand side by side.
 WEIGHT = 0.1
+#: Words that a task of ``vocabulary`` remembers.
+TOLD = 200_000
+#: Texts of a block that meets many questions at once, and sums of texts by questions that it works out at once.
+BLOCK, CELLS = 8192, 1 << 20
 
 
 def shard(stem: Column, shards: int = SHARDS) -> Column:
     return F.pmod(F.crc32(stem), F.lit(shards)).cast("int")
 
 
-def postings(rows: DataFrame, text: str = "text") -> DataFrame:
-    """The other columns of ``rows`` with stem and places, one row for each stem of a text; words are counted from 1, those left out too."""
+def postings(rows: DataFrame, text: str = "text", only: list[str] | None = None) -> DataFrame:
+    """The other columns of ``rows`` with stem and places, one row for each stem of a text, or of those in ``only``; words are counted from 1, those left out too."""
     keys = [c for c in rows.columns if c != text]
+    bound_batches(rows.sparkSession)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):  # what is worked out at once stays small
-                part = batch.slice(start, 256)
-                owners, stems, sizes, flat = [], [], [], []
-                for x in part.column(len(keys)).to_pylist():
-                    found = st.places(x)
-                    owners.append(len(found))
-                    stems += found
-                    for at in found.values():
-                        sizes.append(len(at))
-                        flat += at
-                rows_of = pa.array(np.repeat(np.arange(part.num_rows), owners))
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(part.column(k).take(rows_of) for k in range(len(keys))), pa.array(stems, pa.string()), lists], [*keys, "stem", "places"])
+        for part in slices(batches):  # what is worked out at once stays small
+            owners, stems, sizes, flat = [], [], [], []
+            for x in part.column(len(keys)).to_pylist():
+                found = st.places(x, only)
+                owners.append(len(found))
+                stems += found
+                for at in found.values():
+                    sizes.append(len(at))
+                    flat += at
+            rows_of = pa.array(np.repeat(np.arange(part.num_rows), owners))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(flat, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(part.column(k).take(rows_of) for k in range(len(keys))), pa.array(stems, pa.string()), lists], [*keys, "stem", "places"])
 
     known = rows.where(F.col(text).isNotNull()).select(*keys, text)
     schema = StructType([*known.schema.fields[:-1], *StructType.fromDDL("stem string, places array<int>")])
@@ -58,12 +64,16 @@ def postings(rows: DataFrame, text: str = "text") -> DataFrame:
 
 def vocabulary(rows: DataFrame, text: str = "text") -> DataFrame:
     """(word, stem) of every word of the texts that searches look for."""
-    @F.pandas_udf("array<struct<word: string, stem: string>>")
-    def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([[(w, st.stem(w)) for w in st.words(x)] for x in batch], dtype=object)
+    bound_batches(rows.sparkSession)
 
-    return rows.where(F.col(text).isNotNull()).select(F.explode(split(F.col(text))).alias("w")).select("w.*").distinct()
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[str] = set()  # words of this task that went on, forgotten before they are many
+        for part in slices(batches):
+            new = set().union(*map(st.words, part.column(0).to_pylist())) - told
+            told = told | new if len(told) < TOLD else new
+            yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.string()), pa.array([st.stem(w) for w in new], pa.string())], ["word", "stem"])
+
+    return rows.where(F.col(text).isNotNull()).select(text).mapInArrow(split, "word string, stem string").distinct()
 
 
 class Lexicon:
@@ -148,7 +158,17 @@ def ranked(found: DataFrame, stems: int, every: bool = False) -> DataFrame:
 def scan(rows: DataFrame, question: str, text: str = "text", every: bool = False) -> DataFrame:
     """As ``Lexicon.scores`` for texts that have no index: all of them are read."""
     stems = st.question_stems(question)
-    return ranked(postings(rows, text).where(F.col("stem").isin(*stems)) if stems else postings(rows.limit(0), text), len(stems), every)
+    return ranked(postings(rows if stems else rows.limit(0), text, stems), len(stems), every)
+
+
+class Texts:
+    """Texts that are asked as a ``Lexicon`` is but have no index: a question reads them once, and only places of its stems go on from there."""
+
+    def __init__(self, rows: DataFrame, key: list[str], text: str = "text") -> None:
+        self.rows, self.key, self.text = rows, key, text
+
+    def scores(self, question: str, every: bool = False) -> DataFrame:
+        return scan(self.rows, question, self.text, every)
 
 
 def best(scores: DataFrame, order: list[str], pool: int = POOL) -> DataFrame:
@@ -156,16 +176,61 @@ def best(scores: DataFrame, order: list[str], pool: int = POOL) -> DataFrame:
     return scores.orderBy(F.col("score").desc(), *order).limit(pool)
 
 
-def scores_of_all(index: Lexicon, questions: DataFrame, pool: int = POOL) -> DataFrame:
+def _pools(keys: list[str], pool: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Of a block of texts(keys, words) and all questions' stems: (question_id, keys, n), what can be in the pool of each question."""
+
+    def run(texts: pa.Table, asked: pa.Table) -> pa.Table:
+        ids, stems = (asked.column(c).combine_chunks().dictionary_encode() for c in ("question_id", "stem"))
+        order = np.argsort(stems.indices.to_numpy(), kind="stable")
+        of_stem = ids.indices.to_numpy()[order]  # questions, those of one stem side by side
+        first = np.searchsorted(stems.indices.to_numpy()[order], np.arange(len(stems.dictionary) + 1))
+        questions = len(ids.dictionary)
+        rows, hit, sums = [], [], []
+        step = max(1, CELLS // max(1, questions))
+        for start in range(0, texts.num_rows, step):
+            part = texts.column("words").slice(start, step).combine_chunks()
+            words = part.flatten()
+            known = pc.index_in(words.field("stem"), stems.dictionary).to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(len(part)), part.value_lengths().to_numpy(zero_copy_only=False))
+            width = first[known + 1] - first[known]
+            at = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width) + np.repeat(first[known], width)
+            n = np.bincount(np.repeat(owner, width) * questions + of_stem[at], np.repeat(words.field("n").to_numpy(), width), len(part) * questions)
+            cell = np.flatnonzero(n)
+            rows.append(start + cell // questions)
+            hit.append(cell % questions)
+            sums.append(n[cell])
+        rows, hit, sums = (np.concatenate(x) if x else np.zeros(0, int) for x in (rows, hit, sums))
+        order = np.lexsort((-sums, hit))
+        rows, hit, sums = rows[order], hit[order], sums[order]
+        begin = np.searchsorted(hit, np.arange(questions + 1))
+        score = sums / (sums + round(1 / WEIGHT))
+        last = score[np.minimum(begin[:-1] + pool, begin[1:])[hit] - 1]  # of the last place of each pool; scores that round to the same stay
+        kept = score >= last - 1e-6
+        found = texts.select(keys).take(pa.array(rows[kept]))
+        return pa.Table.from_arrays([ids.dictionary.take(pa.array(hit[kept])), *found.columns, pa.array(sums[kept].astype(np.int64))], ["question_id", *keys, "n"])
+
+    return run
+
+
+def scores_of_all(index: Lexicon | Texts, questions: DataFrame, pool: int = POOL) -> DataFrame:
     """(question_id, key columns, score, place): the pool of each of many questions(question_id, text) in one plan.
 
-    Stems of the questions join the postings; folders that no question needs are pruned at run time. A question has one row
-    for each text that it meets before the places are cut.
+    Stems of the questions join the postings; folders of an index that no question needs are pruned at run time. Texts are dealt to
+    blocks, each of which meets all questions and hands on the pools of its own.
     """
-    asked = postings(questions.select("question_id", "text")).select("question_id", "stem").withColumn("shard", shard(F.col("stem"), index.shards))
-    met = index.stored().join(asked, ["shard", "stem"]).drop("shard")
-    keys = [c for c in met.columns if c not in ("stem", "places", "question_id")]
-    n = F.sum(F.size("places"))
-    scored = met.groupBy("question_id", *keys).agg(F.round(n / (n + F.lit(round(1 / WEIGHT))), 6).alias("score"))
+    asked = postings(questions.select("question_id", "text")).select("question_id", "stem")
+    if isinstance(index, Lexicon):
+        found = index.stored().join(F.broadcast(asked.select("stem").distinct().withColumn("shard", shard(F.col("stem"), index.shards))), ["shard", "stem"], "left_semi").drop("shard")
+    else:
+        found = postings(index.rows, index.text).join(F.broadcast(asked.select("stem").distinct()), "stem", "left_semi")
+    keys = [c for c in found.columns if c not in ("stem", "places")]
+    texts = found.groupBy(*keys).agg(F.collect_list(F.struct("stem", F.size("places").alias("n"))).alias("words"))
+    total = index.rows.count() if isinstance(index, Texts) else index.stored().select(*index.key).distinct().count()
+    blocks = -(-total // BLOCK) or 1
+    texts = texts.withColumn("block", F.pmod(F.xxhash64(*keys), F.lit(blocks)).cast("int"))
+    every = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    schema = StructType([every.schema["question_id"], *texts.select(*keys).schema.fields, *StructType.fromDDL("n bigint").fields])
+    best_of = texts.groupBy("block").cogroup(every.groupBy("block")).applyInArrow(_pools(keys, pool), schema)
+    scored = best_of.select("question_id", *keys, F.round(F.col("n") / (F.col("n") + F.lit(round(1 / WEIGHT))), 6).alias("score"))
     place = F.row_number().over(W.partitionBy("question_id").orderBy(F.col("score").desc(), *index.key))
     return scored.withColumn("place", place).where(F.col("place") <= pool)

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.operators.filters import Access, Filters, Window, apply
-from palimpsest.operators.lexicon import Lexicon, best
+from palimpsest.operators.lexicon import Lexicon, Texts, best
 from palimpsest.schema import ANSWER_TOP, COUNT_CHECK, HISTORY_DEMOTION, HISTORY_STATES, LIST_MAX, POOL, RERANK_MIN, RRF_K, SOFT_EXTRAS
 
 
@@ -60,7 +60,7 @@ def rrf_pair(lex: DataFrame, den: DataFrame, limit: int = 50, k: int = RRF_K) ->
     return both.select("item_id", F.round(part("l") + part("d"), 9).alias("rrf"), key.alias("key_id")).orderBy(F.col("rrf").desc(), "item_id").limit(limit)
 
 
-def search(keys: DataFrame, index: Lexicon, items: DataFrame, question: str, vector: list[float], filters: Filters, access: Access, limit: int = 50) -> DataFrame:
+def search(keys: DataFrame, index: Lexicon | Texts, items: DataFrame, question: str, vector: list[float], filters: Filters, access: Access, limit: int = 50) -> DataFrame:
     """Hybrid search over the keys of eligible items and the index of their texts; filters come before the pools are cut."""
     eligible = apply(items, filters, access).select("item_id")
     words, vectors = (x.join(eligible, "item_id", "left_semi") for x in (index.scores(question), keys))
@@ -186,7 +186,7 @@ def select(candidates: DataFrame, questions: DataFrame, counted: DataFrame, top:
     return out.unionByName(result(extra, "extra")).unionByName(result(ranked, "ranked"))
 
 
-def conversation(said: DataFrame, index: Lexicon, question: str, vector: list[float], role: str | None = None, exclude: int | None = None, limit: int = 10, k: int = RRF_K) -> DataFrame:
+def conversation(said: DataFrame, index: Lexicon | Texts, question: str, vector: list[float], role: str | None = None, exclude: int | None = None, limit: int = 10, k: int = RRF_K) -> DataFrame:
     """(turn_id, role, seq, rrf): the best snippet of each (turn, role) of what was said, by both halves of search, best first."""
     def asked(rows: DataFrame) -> DataFrame:
         rows = rows.where(F.col("role") == role) if role else rows
