@@ -31,3 +31,26 @@ def test_only_places_of_the_question_leave_python(spark):
     rows = spark.createDataFrame([(1, "the cats ran to a cat"), (2, "dogs")], "key_id int, text string")
     assert [(r.key_id, r.stem, r.places) for r in lx.postings(rows, only=["cat"]).collect()] == [(1, "cat", [2, 6])]
     assert lx.Texts(rows, ["key_id"]).scores("of the").count() == 0
+
+
+def test_pools_of_texts_are_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(lx, "BLOCK", 40)
+    monkeypatch.setattr(lx, "CELLS", 64)
+    rng = random.Random(9)
+    said = lambda n: " ".join(rng.choice("ant bee cats dogs elk fox gnus hen ibis the".split()) for _ in range(n))
+    texts = [(i, i // 2, said(rng.randrange(30))) for i in range(300)] + [(7, 3, "bee bee ant")]  # a key that comes twice counts once with both
+    asked = [(q, said(3)) for q in range(20)] + [(20, "the"), (21, "zebra"), (22, None)]
+    rows = spark.createDataFrame(texts, "key_id bigint, item_id bigint, text string")
+    questions = spark.createDataFrame(asked, "question_id bigint, text string")
+    want = set()
+    for q, question in asked:
+        stems, n = set(st.places(question or "")), {}
+        for key, item, text in texts:
+            hits = sum(len(x) for s, x in st.places(text).items() if s in stems)
+            n[key, item] = n.get((key, item), 0) + hits
+        best = sorted(((-round(k / (k + 10), 6), key, item) for (key, item), k in n.items() if k))[:25]
+        want |= {(q, key, item, -score, place) for place, (score, key, item) in enumerate(best, 1)}
+    got = lx.scores_of_all(lx.Texts(rows, ["key_id"]), questions, pool=25)
+    assert {(r.question_id, r.key_id, r.item_id, r.score, r.place) for r in got.collect()} == want
+    # a block hands on pools, not every text that a question meets
+    assert "FlatMapCoGroupsInArrow" in plan(got)
