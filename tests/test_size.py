@@ -54,3 +54,12 @@ def test_pools_of_texts_are_brute_force(spark, monkeypatch):
     assert {(r.question_id, r.key_id, r.item_id, r.score, r.place) for r in got.collect()} == want
     # a block hands on pools, not every text that a question meets
     assert "FlatMapCoGroupsInArrow" in plan(got)
+
+
+def test_words_go_on_once_a_task_in_small_batches(spark, monkeypatch):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    monkeypatch.setattr(lx, "TOLD", 3)
+    rows = spark.createDataFrame([(f"cats w{i % 7} The", ) for i in range(400)] + [(None,)], "text string")
+    got = lx.vocabulary(rows)
+    assert {tuple(r) for r in got.collect()} == {("cats", "cat"), *((f"w{i}", f"w{i}") for i in range(7))} and got.count() == 8
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").removesuffix("b")) <= 2 << 20 and "MapInArrow" in plan(got)
