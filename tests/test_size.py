@@ -56,6 +56,14 @@ def test_pools_of_texts_are_brute_force(spark, monkeypatch):
     assert "FlatMapCoGroupsInArrow" in plan(got)
 
 
+def test_batches_of_pages_and_texts_are_bounded(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    rows = spark.createDataFrame([("<p>a page</p>",)], "html string")
+    for made in (lambda: rows.select(pg.page_record(F.col("html"))), lambda: tx.chunks(rows, "html")):
+        spark.conf.unset(name)
+        assert made().count() == 1 and int(spark.conf.get(name).removesuffix("b")) <= 2 << 20
+
+
 def test_words_go_on_once_a_task_in_small_batches(spark, monkeypatch):
     spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
     monkeypatch.setattr(lx, "TOLD", 3)
