@@ -31,9 +31,13 @@ def known(columns: str, rows: list[tuple], spread: bool = True) -> str:
 
 
 def cases(t: Tables, rows: list[tuple], schema: str) -> DataFrame:
-    """The same cases, dealt to customers in turn, so that there are as many as customers; the literal rows are broadcast."""
+    """The same cases, dealt to customers in turn, so that there are as many as customers; the literal rows are broadcast.
+
+    The file of customers is small for what is worked out of it, so their numbers are dealt to all cores.
+    """
     small = t.spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], f"case_no int, {schema}")
-    dealt = t["customer"].select((F.col("c_custkey") % len(rows)).cast("int").alias("case_no"))
+    who = t["customer"].select("c_custkey").repartition(4 * t.spark.sparkContext.defaultParallelism, "c_custkey")
+    dealt = who.select((F.col("c_custkey") % len(rows)).cast("int").alias("case_no"))
     return dealt.join(F.broadcast(small), "case_no").drop("case_no")
 
 

@@ -64,6 +64,12 @@ def test_batches_of_pages_and_texts_are_bounded(spark):
         assert made().count() == 1 and int(spark.conf.get(name).removesuffix("b")) <= 2 << 20
 
 
+def test_cases_are_dealt_to_all_cores(spark):
+    t = Tables(spark, SF)
+    for made in (words.d_window, words.d_window_future, words.x_paywall):
+        assert "RoundRobin" not in plan(made(t)) and made(t).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def test_words_go_on_once_a_task_in_small_batches(spark, monkeypatch):
     spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
     monkeypatch.setattr(lx, "TOLD", 3)
