@@ -8,7 +8,8 @@ from palimpsest.functions import pages as pg
 from palimpsest.functions import stems as st
 from palimpsest.functions import text as tx
 from palimpsest.operators import lexicon as lx
-from palimpsest.queries import rest, words
+from palimpsest.operators import lifecycle as lc
+from palimpsest.queries import lifecycle, plans, rest, words
 from palimpsest.queries.registry import Tables
 
 SF = "/root/testdata/sf0.001"
@@ -77,3 +78,47 @@ def test_words_go_on_once_a_task_in_small_batches(spark, monkeypatch):
     got = lx.vocabulary(rows)
     assert {tuple(r) for r in got.collect()} == {("cats", "cat"), *((f"w{i}", f"w{i}") for i in range(7))} and got.count() == 8
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").removesuffix("b")) <= 2 << 20 and "MapInArrow" in plan(got)
+
+
+def test_operations_are_dealt_to_many_tasks(spark):
+    t = Tables(spark, SF)
+    many = 16 * spark.sparkContext.defaultParallelism
+    for made in (lifecycle.c_trigger_update, lifecycle.c_link_after, lifecycle.c_create, lifecycle.c_correction_fix, lifecycle.c_entity_upsert, plans.c_keys_rebuild):
+        assert made(t).rdd.getNumPartitions() >= many
+    assert "REPARTITION_BY_NUM" in plan(plans.c_conv_backfill(t))
+
+
+def test_a_change_is_sorted_without_the_stored_fields(spark):
+    stored = spark.createDataFrame([(1, "a", "t"), (2, None, "u")], "item_id int, state string, title string")
+    ops = spark.createDataFrame([(1, 1, 1, {"state": "b", "title": None}), (1, 2, 1, {"state": "c"}), (1, 3, 2, {"state": "x"}), (1, 4, 3, {"state": "x"}), (1, 5, 1, {"colour": "x"}), (1, 6, 1, {}), (1, 7, 1, None)],
+                                "turn_id int, seq int, item_id int, changes map<string,string>")
+    got = lc.change(ops, stored, fields=("state", "title"))
+    assert {tuple(r) for r in got.select("seq", "item_id", "field", "before", "after", "outcome").collect()} == {
+        (1, 1, "state", "a", "b", "applied"), (1, 1, "title", "t", None, "applied"), (2, 1, "state", "b", "c", "applied"), (3, 2, "state", None, "x", "applied"),
+        (4, 3, None, None, None, "skipped"), (5, 1, None, None, None, "rejected")}
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Join") == 1 and "Union" not in text
+
+
+def test_parts_of_an_entity_with_many_operations_see_those_before(spark, monkeypatch):
+    monkeypatch.setattr(lc, "HEAVY", 7)
+    rng = random.Random(3)
+    ops = [(rng.randrange(40), seq, rng.choice(("create", "update", "delete")), rng.choice((0, 1, 1, 2, 2, 2, 3, None)), rng.choice((None, f"n{seq}"))) for seq in range(400)]
+    known = {0: ("self", "me"), 1: ("person", "old")}
+    want, there, name = set(), set(known), {k: v[1] for k, v in known.items()}
+    for turn, seq, op, who, said in sorted(ops, key=lambda x: x[:2]):
+        skip = (who in there) == (op == "create") or (op == "delete" and who == 0)
+        want.add((turn, seq, op, who, name.get(who) if op != "create" else None, said if op != "delete" else None, "skipped" if skip else "applied"))
+        if op == "create":
+            there.add(who)
+        if not skip and op != "delete" and said is not None:
+            name[who] = said
+    rows = spark.createDataFrame(ops, "turn_id bigint, seq bigint, op string, entity_id bigint, name string")
+    got = lc.entity_ops(rows, spark.createDataFrame([(k, *v) for k, v in known.items()], "entity_id bigint, kind string, name string"))
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_edges_after_keep_what_was_stored_twice(spark):
+    stored = spark.createDataFrame([(1, 1, "t", 2), (1, 1, "t", 3), (2, 5, "t", 6), (2, 5, "t", 7), (3, 8, "t", 9)], "edge_id int, src int, type string, dst int")
+    done = spark.createDataFrame([(1, 1, "add", 2, 5, "t", 8, "applied"), (1, 2, "remove", 3, 8, "t", 9, "applied"), (1, 3, "add", 4, 1, "t", 1, "skipped")], "turn_id int, seq int, op string, edge_id int, src int, type string, dst int, outcome string")
+    assert sorted(tuple(r) for r in lc.edges_after(stored, done).collect()) == [(1, 1, "t", 2), (1, 1, "t", 3), (2, 5, "t", 8)]
