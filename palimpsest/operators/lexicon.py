@@ -28,10 +28,10 @@ from palimpsest.schema import POOL
 SHARDS = 64
 #: What one cover weighs whose words stand side by side.
 WEIGHT = 0.1
-#: Words that a task of ``vocabulary`` remembers.
+#: Words that a task remembers.
 TOLD = 200_000
-#: Texts of a block that meets many questions at once, and sums of texts by questions that it works out at once.
-BLOCK, CELLS = 8192, 1 << 20
+#: Texts of a block that meets many questions at once, their characters, and sums of texts by questions that it works out at once.
+BLOCK, BLOCK_CHARS, CELLS = 8192, 16 << 20, 1 << 20
 
 
 def shard(stem: Column, shards: int = SHARDS) -> Column:
@@ -177,37 +177,79 @@ def best(scores: DataFrame, order: list[str], pool: int = POOL) -> DataFrame:
 
 
 def _pools(keys: list[str], pool: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """Of a block of texts(keys, words) and all questions' stems: (question_id, keys, n), what can be in the pool of each question."""
+    """Of a block of texts(keys, words) and all questions' stems: (question_id, keys, n), the pool of each question in the block; ``keys`` begin with the order of ties.
+
+    ``words`` are texts, or their stems with numbers of places. Rows of one key count together.
+    """
 
     def run(texts: pa.Table, asked: pa.Table) -> pa.Table:
+        texts = texts.take(pc.sort_indices(texts, sort_keys=[(k, "ascending") for k in keys], null_placement="at_start"))
+        new = np.zeros(texts.num_rows, bool)
+        new[:1] = True
+        for k in keys:
+            code = texts.column(k).combine_chunks().dictionary_encode("encode").indices.to_numpy()
+            new[1:] |= code[1:] != code[:-1]
+        first_row = np.flatnonzero(new)
         ids, stems = (asked.column(c).combine_chunks().dictionary_encode() for c in ("question_id", "stem"))
         order = np.argsort(stems.indices.to_numpy(), kind="stable")
         of_stem = ids.indices.to_numpy()[order]  # questions, those of one stem side by side
         first = np.searchsorted(stems.indices.to_numpy()[order], np.arange(len(stems.dictionary) + 1))
+        number = {x: i for i, x in enumerate(stems.dictionary.to_pylist())}
         questions = len(ids.dictionary)
-        rows, hit, sums = [], [], []
+        known: dict[str, int | None] = {}
+
+        def counted(x: str | list[dict]) -> Iterator[tuple[int, int]]:
+            if not isinstance(x, str):
+                yield from ((number[y["stem"]], y["n"]) for y in x if y["stem"] in number)
+                return
+            for word, n in st.counts(x).items():
+                if word not in known:
+                    if len(known) > TOLD:
+                        known.clear()
+                    known[word] = number.get(st.stem(word))
+                if known[word] is not None:
+                    yield known[word], n
+
+        bar = np.full(questions, -1.0)  # what the last place of a full pool has
+        kept = [np.zeros(0, int), np.zeros(0, int), np.zeros(0, int)]  # questions, keys, sums
+
+        def score(sums: np.ndarray) -> np.ndarray:
+            return np.round(sums / (sums + round(1 / WEIGHT)), 6)
+
+        def cut(found: list[list[np.ndarray]]) -> list[np.ndarray]:
+            hit, owner, sums = map(np.concatenate, zip(*found, strict=True))
+            order = np.lexsort((owner, -score(sums), hit))
+            hit, owner, sums = hit[order], owner[order], sums[order]
+            begin = np.searchsorted(hit, np.arange(questions + 1))
+            full = np.flatnonzero(np.diff(begin) >= pool)
+            bar[full] = score(sums[begin[full] + pool - 1])
+            inside = np.arange(len(hit)) - begin[hit] < pool
+            return [hit[inside], owner[inside], sums[inside]]
+
+        waiting: list[list[np.ndarray]] = []
         step = max(1, CELLS // max(1, questions))
-        for start in range(0, texts.num_rows, step):
-            part = texts.column("words").slice(start, step).combine_chunks()
-            words = part.flatten()
-            known = pc.index_in(words.field("stem"), stems.dictionary).to_numpy(zero_copy_only=False)
-            owner = np.repeat(np.arange(len(part)), part.value_lengths().to_numpy(zero_copy_only=False))
-            width = first[known + 1] - first[known]
-            at = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width) + np.repeat(first[known], width)
-            n = np.bincount(np.repeat(owner, width) * questions + of_stem[at], np.repeat(words.field("n").to_numpy(), width), len(part) * questions)
+        for start in range(0, len(first_row) if questions else 0, step):
+            ends = np.append(first_row[start : start + step + 1], texts.num_rows)
+            rows = texts.column("words").slice(ends[0], ends[min(step, len(ends) - 1)] - ends[0])
+            size = len(ends[: step + 1]) - 1
+            owners, places, ns = [], [], []
+            for at, x in zip(np.searchsorted(ends[1:size], np.arange(ends[0], ends[0] + len(rows)), "right").tolist(), (y.as_py() for y in rows), strict=True):
+                for k, n in counted(x):
+                    owners.append(at)
+                    places.append(k)
+                    ns.append(n)
+            word = np.array(places, int)
+            width = first[word + 1] - first[word]
+            at = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width) + np.repeat(first[word], width)
+            n = np.bincount(np.repeat(np.array(owners, int), width) * questions + of_stem[at], np.repeat(np.array(ns, int), width), size * questions).astype(np.int64)
             cell = np.flatnonzero(n)
-            rows.append(start + cell // questions)
-            hit.append(cell % questions)
-            sums.append(n[cell])
-        rows, hit, sums = (np.concatenate(x) if x else np.zeros(0, int) for x in (rows, hit, sums))
-        order = np.lexsort((-sums, hit))
-        rows, hit, sums = rows[order], hit[order], sums[order]
-        begin = np.searchsorted(hit, np.arange(questions + 1))
-        score = sums / (sums + round(1 / WEIGHT))
-        last = score[np.minimum(begin[:-1] + pool, begin[1:])[hit] - 1]  # of the last place of each pool; scores that round to the same stay
-        kept = score >= last - 1e-6
-        found = texts.select(keys).take(pa.array(rows[kept]))
-        return pa.Table.from_arrays([ids.dictionary.take(pa.array(hit[kept])), *found.columns, pa.array(sums[kept].astype(np.int64))], ["question_id", *keys, "n"])
+            cell = cell[score(n[cell]) > bar[cell % questions]]  # keys come in the order of ties
+            waiting.append([cell % questions, start + cell // questions, n[cell]])
+            if sum(len(x[0]) for x in waiting) > CELLS:
+                kept, waiting = cut([kept, *waiting]), []
+        hit, owner, sums = cut([kept, *waiting])
+        found = texts.select(keys).take(pa.array(first_row[owner]))
+        return pa.Table.from_arrays([ids.dictionary.take(pa.array(hit)), *found.columns, pa.array(sums, pa.int64())], ["question_id", *keys, "n"])
 
     return run
 
@@ -215,18 +257,22 @@ def _pools(keys: list[str], pool: int) -> Callable[[pa.Table, pa.Table], pa.Tabl
 def scores_of_all(index: Lexicon | Texts, questions: DataFrame, pool: int = POOL) -> DataFrame:
     """(question_id, key columns, score, place): the pool of each of many questions(question_id, text) in one plan.
 
-    Stems of the questions join the postings; folders of an index that no question needs are pruned at run time. Texts are dealt to
-    blocks, each of which meets all questions and hands on the pools of its own.
+    Texts, or what an index holds of them, are dealt once to blocks, each of which meets all questions and hands on the pools of
+    its own; folders of an index that no question needs are pruned at run time.
     """
-    asked = postings(questions.select("question_id", "text")).select("question_id", "stem")
+    asked = postings(questions.select("question_id", "text")).select("question_id", "stem").distinct()
     if isinstance(index, Lexicon):
         found = index.stored().join(F.broadcast(asked.select("stem").distinct().withColumn("shard", shard(F.col("stem"), index.shards))), ["shard", "stem"], "left_semi").drop("shard")
+        others = [c for c in found.columns if c not in ("stem", "places", *index.key)]
+        texts = found.groupBy(*index.key, *others).agg(F.collect_list(F.struct("stem", F.size("places").alias("n"))).alias("words"))
+        total, chars = index.stored().select(*index.key).distinct().count(), 0
     else:
-        found = postings(index.rows, index.text).join(F.broadcast(asked.select("stem").distinct()), "stem", "left_semi")
-    keys = [c for c in found.columns if c not in ("stem", "places")]
-    texts = found.groupBy(*keys).agg(F.collect_list(F.struct("stem", F.size("places").alias("n"))).alias("words"))
-    total = index.rows.count() if isinstance(index, Texts) else index.stored().select(*index.key).distinct().count()
-    blocks = -(-total // BLOCK) or 1
+        others = [c for c in index.rows.columns if c not in (index.text, *index.key)]
+        texts = index.rows.where(F.col(index.text).isNotNull()).select(*index.key, *others, F.col(index.text).alias("words"))
+        total, chars = texts.agg(F.count("*"), F.coalesce(F.sum(F.length("words")), F.lit(0))).first()
+    keys = [*index.key, *others]
+    bound_batches(texts.sparkSession)
+    blocks = max(-(-total // BLOCK), -(-chars // BLOCK_CHARS), min(2 * texts.sparkSession.sparkContext.defaultParallelism, -(-total // 256)), 1)
     texts = texts.withColumn("block", F.pmod(F.xxhash64(*keys), F.lit(blocks)).cast("int"))
     every = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     schema = StructType([every.schema["question_id"], *texts.select(*keys).schema.fields, *StructType.fromDDL("n bigint").fields])

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from palimpsest.functions import pages as pg
@@ -57,6 +58,21 @@ def test_pools_of_texts_are_brute_force(spark, monkeypatch):
     assert "FlatMapCoGroupsInArrow" in plan(got)
 
 
+def test_texts_go_to_blocks_as_they_are(spark):
+    rows = spark.createDataFrame([(1, "cats ran"), (2, "dogs")], "key_id bigint, text string")
+    asked = spark.createDataFrame([(1, "cat"), (1, "cats"), (2, None)], "question_id int, text string")
+    got = lx.scores_of_all(lx.Texts(rows, ["key_id"]), asked)
+    assert [tuple(r) for r in got.collect()] == [(1, 1, round(1 / 11, 6), 1)]  # a question that comes twice asks for a stem once
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1  # places of the questions' words only
+
+
+def test_a_block_hands_on_no_more_than_pools():
+    texts = pa.table({"key_id": [*range(40, 0, -1), None], "words": ["bee bee"] * 39 + ["ant"] * 2})
+    got = lx._pools(["key_id"], 5)(texts, pa.table({"question_id": [1, 2, 2], "stem": ["bee", "bee", "ant"]})).to_pylist()
+    assert [(r["question_id"], r["key_id"], r["n"]) for r in got] == [(q, k, 2) for q in (1, 2) for k in range(2, 7)]
+    assert lx._pools(["key_id"], 5)(texts.slice(0, 0), pa.table({"question_id": [1], "stem": ["bee"]})).num_rows == 0
+
+
 def test_batches_of_pages_and_texts_are_bounded(spark):
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     rows = spark.createDataFrame([("<p>a page</p>",)], "html string")
