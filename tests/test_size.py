@@ -133,6 +133,16 @@ def test_parts_of_an_entity_with_many_operations_see_those_before(spark, monkeyp
     assert {tuple(r) for r in got.collect()} == want
 
 
+def test_operations_get_tasks_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(lc, "DEALT", 20)
+    t = Tables(spark, SF)
+    got = lifecycle.c_entity_upsert(t)
+    assert got.rdd.getNumPartitions() >= t["lineitem"].count() / 20
+    # entities are counted by hashing; rows are sorted only for those with many operations, to find their first
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "count(1)" in text and not any("count(1)" in x and "min(" in x for x in text.splitlines())
+
+
 def test_edges_after_keep_what_was_stored_twice(spark):
     stored = spark.createDataFrame([(1, 1, "t", 2), (1, 1, "t", 3), (2, 5, "t", 6), (2, 5, "t", 7), (3, 8, "t", 9)], "edge_id int, src int, type string, dst int")
     done = spark.createDataFrame([(1, 1, "add", 2, 5, "t", 8, "applied"), (1, 2, "remove", 3, 8, "t", 9, "applied"), (1, 3, "add", 4, 1, "t", 1, "skipped")], "turn_id int, seq int, op string, edge_id int, src int, type string, dst int, outcome string")
