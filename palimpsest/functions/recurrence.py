@@ -226,3 +226,14 @@ def expand_rrules(items: DataFrame, start: datetime | None, end: datetime, timez
 def next_occurrence(items: DataFrame, now: datetime, horizon: datetime, timezone: str = "UTC") -> DataFrame:
     """The occurrence of each routine that runs at or comes next after ``now``."""
     return expand_rrules(items, now, horizon, timezone, limit=1)
+
+
+def expand_shared(items: DataFrame, start: datetime | None, end: datetime, timezone: str = "UTC", limit: int | None = None) -> DataFrame:
+    """As ``expand_rrules`` for items many of which share a rule, start and precision: each of these is expanded once and joins its items."""
+    from palimpsest.sources.storage import dealt
+
+    keys = ("rrule", "occurred_start", "precision")
+    found = expand_rrules(dealt(items.select(*keys), *keys).distinct(), start, end, timezone, limit)
+    found = found.select(*(F.col(k).alias(f"__{k}") for k in keys), "start", "end")
+    same = (F.col("rrule") == F.col("__rrule")) & (F.col("occurred_start") == F.col("__occurred_start")) & F.col("precision").eqNullSafe(F.col("__precision"))
+    return items.drop("start", "end").join(found, same).drop(*(f"__{k}" for k in keys))

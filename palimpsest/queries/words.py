@@ -461,18 +461,13 @@ _ROUTINES = (
 )
 
 
-def _spread(rows: DataFrame) -> DataFrame:
-    """Narrow rows that much is worked out of, dealt to all cores: a small file alone would be one task."""
-    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, "item_id")
-
-
 @query(_ROUTINES + "SELECT item_id, epoch(start)::BIGINT AS start FROM o WHERE start < TIMESTAMP '1998-05-01' AND start + CASE precision WHEN 'day' THEN INTERVAL 24 HOUR ELSE INTERVAL 1 HOUR END > TIMESTAMP '1998-03-01'")
 def d_rrule_rules(t: Tables) -> DataFrame:
     """Two months of the routines of sixteen rules, over a change of the clocks."""
-    return rc.expand_rrules(_spread(t["routines"]), datetime(1998, 3, 1), datetime(1998, 5, 1), "Europe/Berlin").select("item_id", F.unix_timestamp("start").alias("start"))
+    return rc.expand_shared(t["routines"], datetime(1998, 3, 1), datetime(1998, 5, 1), "Europe/Berlin").select("item_id", F.unix_timestamp("start").alias("start"))
 
 
 @query(_ROUTINES + "SELECT item_id, epoch(min(start))::BIGINT AS start FROM o WHERE start < TIMESTAMP '1998-05-01' AND start + CASE precision WHEN 'day' THEN INTERVAL 24 HOUR ELSE INTERVAL 1 HOUR END > TIMESTAMP '1998-03-10' GROUP BY 1")
 def d_rrule_next(t: Tables) -> DataFrame:
     """What of each routine runs at a time or comes next."""
-    return rc.next_occurrence(_spread(t["routines"]), datetime(1998, 3, 10), datetime(1998, 5, 1), "Europe/Berlin").select("item_id", F.unix_timestamp("start").alias("start"))
+    return rc.expand_shared(t["routines"], datetime(1998, 3, 10), datetime(1998, 5, 1), "Europe/Berlin", limit=1).select("item_id", F.unix_timestamp("start").alias("start"))

@@ -105,3 +105,14 @@ def test_what_is_a_rule(spark):
     assert got == {r: r in VALID for r in VALID + INVALID}
     for r in VALID:
         rrulestr(r, dtstart=datetime(2026, 1, 1))
+
+
+def test_items_of_one_rule_and_start_share_their_occurrences(spark):
+    at = datetime(2026, 1, 5, 9)
+    rows = [(i, "FREQ=WEEKLY", at, (None, "day", "datetime")[i % 3]) for i in range(9)] + [(9, "FREQ=WEEKLY", None, "day"), (10, "FREQ=OFTEN", at, None), (11, None, at, None)]
+    items = spark.createDataFrame(rows, "item_id int, rrule string, occurred_start timestamp, precision string")
+    got = rc.expand_shared(items, datetime(2026, 1, 10), datetime(2026, 1, 20))
+    hours = {r.item_id: (r.end - r.start).total_seconds() / 3600 for r in got.collect()}
+    assert got.count() == 18 and hours == {i: 1 if i % 3 == 2 else 24 for i in range(9)}  # two Mondays each
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [rrule" in text and text.index("Join") < text.index("Aggregate [rrule")
