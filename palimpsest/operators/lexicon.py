@@ -63,17 +63,16 @@ def postings(rows: DataFrame, text: str = "text", only: list[str] | None = None)
 
 
 def vocabulary(rows: DataFrame, text: str = "text") -> DataFrame:
-    """(word, stem) of every word of the texts that searches look for."""
+    """(word, stem) of every word of the texts that searches look for. Spark finds the distinct words; only these go to Python, once each."""
     bound_batches(rows.sparkSession)
+    words = rows.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(st.java_word()), F.lit(0))).alias("word"))
+    own = st.stem.__wrapped__  # no word comes twice, so none is remembered
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told: set[str] = set()  # words of this task that went on, forgotten before they are many
-        for part in slices(batches):
-            new = set().union(*map(st.words, part.column(0).to_pylist())) - told
-            told = told | new if len(told) < TOLD else new
-            yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.string()), pa.array([st.stem(w) for w in new], pa.string())], ["word", "stem"])
+    def stemmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(own, part.column(0).to_pylist()), pa.string())], ["word", "stem"])
 
-    return rows.where(F.col(text).isNotNull()).select(text).mapInArrow(split, "word string, stem string").distinct()
+    return words.where(~F.col("word").isin(*st.STOP)).distinct().mapInArrow(stemmed, "word string, stem string")
 
 
 class Lexicon:

@@ -96,6 +96,16 @@ def test_words_go_on_once_a_task_in_small_batches(spark, monkeypatch):
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").removesuffix("b")) <= 2 << 20 and "MapInArrow" in plan(got)
 
 
+def test_a_word_goes_to_python_once(spark):
+    odd = "Straße İstanbul ΣΑΣ ñandú x² Ⅷ \U00031350\u0870 e\u0301 a_b it's 3rd 中文 ١٢"
+    rows = spark.createDataFrame([(f"cats {odd} w{i % 7} The",) for i in range(400)] + [(None,), ("",), ("the _",)], "text string").repartition(4)
+    got = lx.vocabulary(rows)
+    want = {w for r in rows.collect() for w in st.words(r.text or "")}
+    assert sorted(tuple(r) for r in got.collect()) == sorted((w, st.stem(w)) for w in want)
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("MapInArrow") < text.index("Aggregate")  # the texts' words are made distinct before Python sees them
+
+
 def test_operations_are_dealt_to_many_tasks(spark):
     t = Tables(spark, SF)
     many = 16 * spark.sparkContext.defaultParallelism
